@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-from . import batch
+from . import batch, streams
 
 
 def queries() -> dict:
-    out = dict(batch.Q)
-    try:
-        from . import streams
-        out.update(streams.Q)
-    except ImportError:  # pragma: no cover
-        pass
-    return out
+    return {**batch.Q, **streams.Q}
 
 
 def oracle_sql() -> dict:
-    out = dict(batch.SQL)
-    try:
-        from . import streams
-        out.update(streams.SQL)
-    except ImportError:  # pragma: no cover
-        pass
-    return out
+    return {**batch.SQL, **streams.SQL}

@@ -10,7 +10,9 @@ idempotent, which is what ``foreachBatch`` replay needs.
 The new image is ``old ⋉̸ new_keys ∪ new``: the anti join broadcasts the new
 keys once a bounded count has proven them few, so the old image is filtered
 map-side and written back without a shuffle; otherwise the anti join
-shuffles.  Within each written file rows are sorted by key, so Parquet
+shuffles.  With an ``order`` (a version such as ``(ts, event_id)``) the
+stored row of a key survives when it is newer than the incoming one, so the
+result does not depend on the order batches arrive in.  Within each written file rows are sorted by key, so Parquet
 min/max statistics let point lookups skip row groups.
 
 On a cluster with a table format (Delta, Iceberg) the same call maps to a
@@ -38,9 +40,10 @@ def _vname(v: int) -> str:
 class KeyedTable:
     """A table with a unique ``key`` column, updated by upserts."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str,
+    def __init__(self, spark: SparkSession, root: str, key: str | Sequence[str],
                  schema: T.StructType | None = None, fmt: str = "parquet"):
-        self.spark, self.root, self.key, self.schema, self.fmt = spark, root.rstrip("/"), key, schema, fmt
+        self.spark, self.root, self.schema, self.fmt = spark, root.rstrip("/"), schema, fmt
+        self.keys = [key] if isinstance(key, str) else list(key)
 
     # -- reading ---------------------------------------------------------
     def versions(self) -> list[int]:
@@ -71,7 +74,7 @@ class KeyedTable:
     def _commit(self, df: DataFrame, version: int) -> int:
         path = f"{self.root}/{_vname(version)}"
         fs.delete(self.spark, f"{path}/{MARKER}")
-        df.sortWithinPartitions(self.key).write.mode("overwrite").format(self.fmt).save(path)
+        df.sortWithinPartitions(*self.keys).write.mode("overwrite").format(self.fmt).save(path)
         fs.touch(self.spark, f"{path}/{MARKER}")
         if self.schema is None:
             self.schema = df.schema
@@ -85,21 +88,27 @@ class KeyedTable:
                max_rows: int = MAX_BROADCAST_ROWS) -> int:
         """SNK-1: last write per key wins.
 
-        ``rows`` may repeat a key; then ``order`` (columns, greatest wins)
-        picks the row, and ``order`` must be given.  Returns the version.
+        Without ``order`` the incoming row replaces the stored one and
+        ``rows`` must hold one row per key.  With ``order`` (columns of the
+        table, greatest wins) repeated keys are reduced by it, and a stored
+        row newer than the incoming one is kept.  Returns the version.
         """
-        new = rows
-        if order:
-            cols = [c for c in rows.columns]
-            new = (rows.groupBy(self.key)
-                       .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
-                       .select("_r.*"))
         prev = self.latest(before=version)
-        if prev is None:
-            image = new
+        old = self.read(version=prev) if prev is not None else None
+        cols = old.columns if old is not None else rows.columns
+        new = rows.select(*cols)
+        if old is None:
+            image = self._last(new, order) if order else new
         else:
-            old = self.read(version=prev)
-            keys = new.select(self.key).distinct()
-            image = old.join(checked_broadcast(keys, max_rows), self.key, "left_anti") \
-                       .unionByName(new.select(*old.columns))
+            keys = checked_broadcast(new.select(*self.keys).distinct(), max_rows)
+            rest = old.join(keys, self.keys, "left_anti")
+            if order:
+                hit = old.join(keys, self.keys, "left_semi")
+                new = self._last(hit.unionByName(new), order)
+            image = rest.unionByName(new)
         return self._commit(image, version)
+
+    def _last(self, df: DataFrame, order: Sequence[str]) -> DataFrame:
+        return (df.groupBy(*self.keys)
+                  .agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
+                  .select("_r.*"))

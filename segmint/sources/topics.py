@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark import StorageLevel
 
 from . import fs
 
@@ -49,32 +50,47 @@ def next_offset(spark: SparkSession, path: str) -> int:
 
 def write_topic(df: DataFrame, path: str, topic: str, value: str,
                 key: str | None = None, partitions: int = 8,
-                timestamp: str | None = None) -> DataFrame:
+                timestamp: str | None = None) -> int:
     """SNK-3: append ``df`` as messages to the topic at ``path``.
 
     ``value`` / ``key`` name text or binary columns (text is UTF-8 encoded).
-    The topic partition is the key's hash (or spread when the key is null);
-    offsets continue after the topic's last one and are unique.  Returns the
-    written frame's plan (lazy) after the write has run.
+    The topic partition is the key's hash (spread round the partitions when
+    the key is null).  Offsets continue densely after the topic's last one,
+    in the order of the written frame: each Spark partition gets a start
+    offset from a per-partition count (one small row per Spark partition
+    reaches the driver, as in ``zipWithIndex``), and rows count up from it.
+    Returns the number of messages written.
     """
     spark = df.sparkSession
     base = next_offset(spark, path)
     kt = df.schema[key].dataType if key else None
     vt = df.schema[value].dataType
-    rid = F.monotonically_increasing_id()
-    kcol = _bytes(F.col(key), kt) if key else None
-    part = (F.pmod(F.xxhash64(kcol), F.lit(partitions)) if key
-            else F.pmod(F.xxhash64(rid), F.lit(partitions))).cast("int")
-    out = df.select(
+    staged = df.select(
         _bytes(F.col(key) if key else None, kt).alias("key"),
         _bytes(F.col(value), vt).alias("value"),
-        F.lit(topic).alias("topic"),
-        part.alias("partition"),
-        (F.lit(base) + rid).alias("offset"),
         (F.col(timestamp).cast("timestamp") if timestamp else F.current_timestamp()).alias("timestamp"),
-    )
-    out.write.mode("append").parquet(path)
-    return out
+        F.spark_partition_id().alias("_pid"),
+        F.monotonically_increasing_id().alias("_mid"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"),
+                                            F.min("_mid").alias("first")).collect()
+        starts, acc = [], base
+        for r in sorted(counts, key=lambda r: r["_pid"]):
+            starts.append((r["_pid"], acc - r["first"]))
+            acc += r["n"]
+        if not starts:
+            return 0
+        shift = spark.createDataFrame(starts, "_pid int, _shift long")
+        spread = F.when(F.col("key").isNull(), F.xxhash64("_mid")).otherwise(F.xxhash64("key"))
+        part = F.pmod(spread, F.lit(partitions)).cast("int")
+        out = staged.join(F.broadcast(shift), "_pid").select(
+            "key", "value", F.lit(topic).alias("topic"), part.alias("partition"),
+            (F.col("_mid") + F.col("_shift")).alias("offset"), "timestamp")
+        out.write.mode("append").parquet(path)
+        return acc - base
+    finally:
+        staged.unpersist()
 
 
 def read_topic(spark: SparkSession, path: str) -> DataFrame:

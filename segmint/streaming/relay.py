@@ -59,11 +59,14 @@ def enrich_into(table: KeyedTable, key: str, element: str, value: str = "segset"
     which a stream-static join would not see.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        incoming = agg.set_per_key(batch, key, element, name=value)
-        if incoming.isEmpty():
-            return
-        v = first_version + batch_id
-        stored = table.read(before=v)
-        merged = lookup.enrich_merge(incoming, stored, key, value)
-        table.upsert(merged.select(*stored.columns), v)
+        incoming = agg.set_per_key(batch, key, element, name=value).persist()
+        try:
+            if incoming.isEmpty():
+                return
+            v = first_version + batch_id
+            stored = table.read(before=v)
+            merged = lookup.enrich_merge(incoming, stored, key, value)
+            table.upsert(merged.select(*stored.columns), v)
+        finally:
+            incoming.unpersist()
     return handle

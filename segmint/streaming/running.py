@@ -28,9 +28,14 @@ def upsert_sink(table: KeyedTable, first_version: int = 1,
     Empty batches write nothing (the emptiness guard of AGG-2).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        table.upsert(batch, first_version + batch_id, order=order)
+        # the upsert runs several jobs on the batch: compute it once
+        rows = batch.persist()
+        try:
+            if rows.isEmpty():
+                return
+            table.upsert(rows, first_version + batch_id, order=order)
+        finally:
+            rows.unpersist()
     return write
 
 
@@ -43,7 +48,7 @@ def running(stream: DataFrame, key: str | Sequence[str], *aggs: Column,
     return s.groupBy(*keys).agg(*aggs)
 
 
-def running_count(key: str) -> Column:
+def running_count() -> Column:
     """STM-5: running number of rows per key (AGG-1 over batches)."""
     return F.count(F.lit(1)).alias("n")
 
@@ -65,8 +70,9 @@ def running_set(element: str, name: str = "segset") -> Column:
 
 def to_table(aggregated: DataFrame, table: KeyedTable, checkpoint: str,
              trig: dict | None = None, name: str | None = None,
-             first_version: int = 1) -> StreamingQuery:
-    """Start the running aggregate with the upsert sink; returns the query."""
-    w = aggregated.writeStream.outputMode("update").foreachBatch(
-        upsert_sink(table, first_version))
+             first_version: int = 1, mode: str = "update",
+             order: Sequence[str] | None = None) -> StreamingQuery:
+    """Start a stream with the upsert sink; returns the query."""
+    w = aggregated.writeStream.outputMode(mode).foreachBatch(
+        upsert_sink(table, first_version, order))
     return micro.start(w, checkpoint, trig, name)
