@@ -23,7 +23,7 @@ def as_set(x: str | Column) -> Column:
 
     The empty array literal is coerced to the element type of ``x``.
     """
-    return F.array_sort(F.array_distinct(F.coalesce(_c(x), F.array())))
+    return F.sort_array(F.array_distinct(F.coalesce(_c(x), F.array())))
 
 
 def union(a: str | Column, b: str | Column) -> Column:
@@ -32,13 +32,13 @@ def union(a: str | Column, b: str | Column) -> Column:
     ``array_union`` returns null if either side is null, so both sides are
     coalesced to the empty set first.
     """
-    return F.array_sort(F.array_union(F.coalesce(_c(a), F.array()),
+    return F.sort_array(F.array_union(F.coalesce(_c(a), F.array()),
                                       F.coalesce(_c(b), F.array())))
 
 
 def map_elements(x: str | Column, f: Callable[[Column], Column]) -> Column:
     """FN-3 / UDF-4: apply ``f`` to every element; the result is again a set."""
-    return F.array_sort(F.array_distinct(F.transform(_c(x), f)))
+    return F.sort_array(F.array_distinct(F.transform(_c(x), f)))
 
 
 def overlap_size(a: str | Column, b: str | Column) -> Column:
@@ -48,7 +48,7 @@ def overlap_size(a: str | Column, b: str | Column) -> Column:
 
 def to_text(x: str | Column, sep: str = ",") -> Column:
     """A set as stable text (sorted, comma-joined) for reports and hashing."""
-    return F.array_join(F.array_sort(_c(x)), sep)
+    return F.array_join(F.sort_array(_c(x)), sep)
 
 
 def from_scalar(x: str | Column) -> Column:

@@ -68,7 +68,7 @@ def set_per_key(df: DataFrame, key: str | Sequence[str], value: str | Column,
     if value_is_set:
         df = df.select(*keys, F.explode_outer(v).alias("_e"))
         v = F.col("_e")
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(v)).alias(name))
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_set(v)).alias(name))
 
 
 def merge_latest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -98,7 +98,7 @@ def build_map(df: DataFrame, group: str | Sequence[str], key: str, value: str |
     groups = [group] if isinstance(group, str) else list(group)
     last = last_per_key(df, [*groups, key], value, order, "_v")
     return last.groupBy(*groups).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("_v")))))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), F.col("_v")))))
         .alias(name))
 
 
@@ -108,3 +108,10 @@ def collect_map(df: DataFrame, key: str, value: str) -> dict:
     For tests and reports on results already reduced to one row per key.
     """
     return {r[0]: r[1] for r in df.select(key, value).collect()}
+
+
+def overlap_count(a: DataFrame, b: DataFrame, name: str = "n") -> DataFrame:
+    """FN-4 on tables: the number of distinct rows ``a`` and ``b`` share,
+    as a one-row frame (the intersection is a shuffle on the row, never a
+    driver set)."""
+    return a.intersect(b).agg(F.count(F.lit(1)).alias(name))

@@ -361,6 +361,17 @@ def set_overlap(spark, sf):
     return s.join(i, "id").select("id", sets.overlap_size("a", "b").alias("overlap"))
 
 
+@query("table_overlap", f"""
+  SELECT count(*) AS n FROM (
+    SELECT user_id FROM events WHERE ts < TIMESTAMP '{B.SPLIT}'
+    INTERSECT
+    SELECT user_id FROM events WHERE ts >= TIMESTAMP '{B.SPLIT}')""")
+def table_overlap(spark, sf):
+    """FN-4 on tables: users active in both halves of the log."""
+    return agg.overlap_count(B.first_half(spark, sf).select("user_id"),
+                             B.second_half(spark, sf).select("user_id"))
+
+
 @query("to_set", """
   SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS flags
   FROM lineitem GROUP BY l_orderkey""")

@@ -62,7 +62,7 @@ def stored_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (first_half(spark, sf_dir)
             .select(F.col("user_id").alias("id"), segment().alias("k"), "value")
             .groupBy("id")
-            .agg(F.array_sort(F.collect_set("k")).alias("segset"),
+            .agg(F.sort_array(F.collect_set("k")).alias("segset"),
                  agg.exact_sum("value").alias("score")))
 
 

@@ -65,7 +65,7 @@ def running_last(value: str, order: Sequence[str], name: str = "last") -> Column
 
 def running_set(element: str, name: str = "segset") -> Column:
     """STM-7: running set union per key (elements; explode set input first)."""
-    return F.array_sort(F.collect_set(F.col(element))).alias(name)
+    return F.sort_array(F.collect_set(F.col(element))).alias(name)
 
 
 def to_table(aggregated: DataFrame, table: KeyedTable, checkpoint: str,
