@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     # large running profiles: keep streaming state off the JVM heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # commit a change log per batch instead of a snapshot of the whole state
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

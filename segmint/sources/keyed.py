@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.lookup import MAX_BROADCAST_ROWS, checked_broadcast
+from ..operators.lookup import MAX_BROADCAST_ROWS, has_at_most
 from . import fs
+from .tables import frame_from_rows
 
 MARKER = "_COMMITTED"
 
@@ -64,7 +65,7 @@ class KeyedTable:
         if v is None:
             if self.schema is None:
                 raise ValueError(f"keyed table {self.root} has no committed version")
-            return self.spark.createDataFrame([], self.schema)
+            return frame_from_rows(self.spark, [], self.schema)
         r = self.spark.read.format(self.fmt)
         if self.schema is not None:
             r = r.schema(self.schema)
@@ -97,15 +98,22 @@ class KeyedTable:
         old = self.read(version=prev) if prev is not None else None
         cols = old.columns if old is not None else rows.columns
         new = rows.select(*cols)
+        keys = new.select(*self.keys).distinct()
+        small = has_at_most(keys, max_rows)
+        if small:
+            # a proven-small batch is written as one file, not one per shuffle partition
+            new = new.coalesce(1)
+            keys = F.broadcast(keys)
         if old is None:
             image = self._last(new, order) if order else new
         else:
-            keys = checked_broadcast(new.select(*self.keys).distinct(), max_rows)
             rest = old.join(keys, self.keys, "left_anti")
             if order:
                 hit = old.join(keys, self.keys, "left_semi")
                 new = self._last(hit.unionByName(new), order)
-            image = rest.unionByName(new)
+            image = rest.unionByName(new.coalesce(1) if small else new)
+        if old is None and order and small:
+            image = image.coalesce(1)
         return self._commit(image, version)
 
     def _last(self, df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +41,13 @@ def frame_from_rows(spark: SparkSession, rows: Iterable[Sequence],
     """SRC-3: in-memory rows or pairs to a DataFrame with a declared schema.
 
     Meant for driver-sized inputs (key lists, small dimensions); the caller
-    knows their length, which is what makes them safe to broadcast.
+    knows their length, which is what makes them safe to broadcast.  The rows
+    go through Arrow into a JVM ``LocalRelation`` (exact size statistics for
+    the optimizer, no Python worker round trip).
     """
-    return spark.createDataFrame(list(rows), schema)
+    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    pdf = pd.DataFrame([tuple(r) for r in rows], columns=st.names, dtype=object)
+    return spark.createDataFrame(pdf, st)
 
 
 def int_range(spark: SparkSession, start: int, end: int,

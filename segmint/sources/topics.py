@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 from pyspark import StorageLevel
 
 from . import fs
+from .tables import frame_from_rows
+
+# Messages per topic file unless the writer asks otherwise.
+ROWS_PER_FILE = 1_000_000
 
 TOPIC_SCHEMA = T.StructType([
     T.StructField("key", T.BinaryType()),
@@ -50,7 +54,8 @@ def next_offset(spark: SparkSession, path: str) -> int:
 
 def write_topic(df: DataFrame, path: str, topic: str, value: str,
                 key: str | None = None, partitions: int = 8,
-                timestamp: str | None = None) -> int:
+                timestamp: str | None = None, files: int | None = None,
+                rows_per_file: int = ROWS_PER_FILE) -> int:
     """SNK-3: append ``df`` as messages to the topic at ``path``.
 
     ``value`` / ``key`` name text or binary columns (text is UTF-8 encoded).
@@ -59,6 +64,11 @@ def write_topic(df: DataFrame, path: str, topic: str, value: str,
     in the order of the written frame: each Spark partition gets a start
     offset from a per-partition count (one small row per Spark partition
     reaches the driver, as in ``zipWithIndex``), and rows count up from it.
+
+    Files hold at most ``rows_per_file`` messages (or ``ceil(n / files)``
+    when ``files`` is given), and a small write is coalesced to as few tasks
+    as that needs: a file is a unit of consumption (one per micro-batch with
+    ``maxFilesPerTrigger = 1``), so a 16-row effect must not become 16 files.
     Returns the number of messages written.
     """
     spark = df.sparkSession
@@ -81,14 +91,19 @@ def write_topic(df: DataFrame, path: str, topic: str, value: str,
             acc += r["n"]
         if not starts:
             return 0
-        shift = spark.createDataFrame(starts, "_pid int, _shift long")
+        total = acc - base
+        per_file = max(1, -(-total // files)) if files else rows_per_file
+        shift = frame_from_rows(spark, starts, "_pid int, _shift long")
         spread = F.when(F.col("key").isNull(), F.xxhash64("_mid")).otherwise(F.xxhash64("key"))
         part = F.pmod(spread, F.lit(partitions)).cast("int")
         out = staged.join(F.broadcast(shift), "_pid").select(
             "key", "value", F.lit(topic).alias("topic"), part.alias("partition"),
             (F.col("_mid") + F.col("_shift")).alias("offset"), "timestamp")
-        out.write.mode("append").parquet(path)
-        return acc - base
+        tasks = max(1, min(len(starts), -(-total // per_file)))
+        if tasks < len(starts):
+            out = out.coalesce(tasks)
+        out.write.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
+        return total
     finally:
         staged.unpersist()
 
