@@ -140,13 +140,14 @@ def row_map(spark, sf):
 
 
 @query("set_column", """
-  SELECT o_custkey AS id, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS segs
-  FROM orders GROUP BY o_custkey""")
+  SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_type, ' '))), ',') AS segs
+  FROM part""")
 def set_column(spark, sf):
-    """PRJ-10 / FN-5: a list column with repeats made a plain set."""
-    o = _t(spark, sf, "orders")
-    lists = o.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list("o_orderpriority").alias("l"))
-    return lists.select("id", sets.to_text(sets.as_set("l")).alias("segs"))
+    """PRJ-10: a row's list-valued column (the words of the part type)
+    extracted as a plain set.  The list is bounded by the row, never built by
+    collecting a group."""
+    p = _t(spark, sf, "part")
+    return p.select("p_partkey", sets.to_text(sets.as_set(F.split("p_type", " "))).alias("segs"))
 
 
 @query("pair_side", "SELECT c_name AS value FROM customer")
@@ -373,13 +374,12 @@ def table_overlap(spark, sf):
 
 
 @query("to_set", """
-  SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS flags
-  FROM lineitem GROUP BY l_orderkey""")
+  SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ',') AS words
+  FROM part""")
 def to_set(spark, sf):
-    """FN-5: a sequence (return flags of an order, with repeats) to a set."""
-    li = _t(spark, sf, "lineitem")
-    return (li.groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("l"))
-              .select("l_orderkey", sets.to_text(sets.as_set("l")).alias("flags")))
+    """FN-5: a sequence with repeats (the words of a part name) to a set."""
+    p = _t(spark, sf, "part")
+    return p.select("p_partkey", sets.to_text(sets.as_set(F.split("p_name", " "))).alias("words"))
 
 
 @query("build_map", f"""

@@ -86,20 +86,22 @@ class KeyedTable:
         return self._commit(df, version)
 
     def upsert(self, rows: DataFrame, version: int, order: Sequence[str] | None = None,
-               max_rows: int = MAX_BROADCAST_ROWS) -> int:
+               max_rows: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> int:
         """SNK-1: last write per key wins.
 
         Without ``order`` the incoming row replaces the stored one and
         ``rows`` must hold one row per key.  With ``order`` (columns of the
         table, greatest wins) repeated keys are reduced by it, and a stored
-        row newer than the incoming one is kept.  Returns the version.
+        row newer than the incoming one is kept.  ``known_rows`` (a count the
+        caller already took) bounds the keys without another job.  Returns
+        the version.
         """
         prev = self.latest(before=version)
         old = self.read(version=prev) if prev is not None else None
         cols = old.columns if old is not None else rows.columns
         new = rows.select(*cols)
         keys = new.select(*self.keys).distinct()
-        small = has_at_most(keys, max_rows)
+        small = known_rows <= max_rows if known_rows is not None else has_at_most(keys, max_rows)
         if small:
             # a proven-small batch is written as one file, not one per shuffle partition
             new = new.coalesce(1)

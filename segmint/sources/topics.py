@@ -52,6 +52,71 @@ def next_offset(spark: SparkSession, path: str) -> int:
     return 0 if row["m"] is None else int(row["m"]) + 1
 
 
+def topic_path(root: str, name: str) -> str:
+    """Where :func:`write_topics` puts topic ``name`` under ``root``."""
+    return f"{root.rstrip('/')}/t={name}"
+
+
+def _stage(df: DataFrame, value: str, key: str | None, timestamp: str | None,
+           topic: Column) -> DataFrame:
+    """Messages with their topic, sorted by topic within each Spark
+    partition, tagged with the partition id and a row id that counts up
+    within each (topic, partition) run."""
+    kt = df.schema[key].dataType if key else None
+    vt = df.schema[value].dataType
+    return (df.select(
+                topic.alias("topic"),
+                _bytes(F.col(key) if key else None, kt).alias("key"),
+                _bytes(F.col(value), vt).alias("value"),
+                (F.col(timestamp).cast("timestamp") if timestamp else F.current_timestamp())
+                .alias("timestamp"))
+              .sortWithinPartitions("topic")
+              .select("*", F.spark_partition_id().alias("_pid"),
+                      F.monotonically_increasing_id().alias("_mid")))
+
+
+def _write_staged(staged: DataFrame, path: str, bases: dict, partitions: int,
+                  files: int | None, rows_per_file: int, by_topic: bool) -> dict:
+    """Assign dense offsets per topic (continuing from ``bases``) and append.
+
+    One row per (topic, Spark partition) reaches the driver, as in
+    ``zipWithIndex``; each run of a topic within a partition starts at its
+    shift and counts up.  Files hold at most ``rows_per_file`` messages (or
+    ``ceil(n / files)``), and a small write is coalesced to as few tasks as
+    that needs: a file is a unit of consumption (one micro-batch with
+    ``maxFilesPerTrigger = 1``), so a 16-row effect must not become 16 files.
+    """
+    spark = staged.sparkSession
+    counts = staged.groupBy("topic", "_pid").agg(F.count(F.lit(1)).alias("n"),
+                                                 F.min("_mid").alias("first")).collect()
+    shifts, written = [], {}
+    for r in sorted(counts, key=lambda r: (r["topic"], r["_pid"])):
+        t = r["topic"]
+        acc = bases.get(t, 0) + written.get(t, 0)
+        shifts.append((t, r["_pid"], acc - r["first"]))
+        written[t] = written.get(t, 0) + r["n"]
+    total = sum(written.values())
+    if total == 0:
+        return {}
+    per_file = max(1, -(-total // files)) if files else rows_per_file
+    shift = frame_from_rows(spark, shifts, "topic string, _pid int, _shift long")
+    spread = F.when(F.col("key").isNull(), F.xxhash64("_mid")).otherwise(F.xxhash64("key"))
+    cols = ["key", "value", "topic", F.pmod(spread, F.lit(partitions)).cast("int").alias("partition"),
+            (F.col("_mid") + F.col("_shift")).alias("offset"), "timestamp"]
+    if by_topic:
+        cols.append(F.col("topic").alias("t"))
+    out = staged.join(F.broadcast(shift), ["topic", "_pid"]).select(*cols)
+    n_parts = len({s[1] for s in shifts})
+    tasks = max(1, min(n_parts, -(-total // per_file)))
+    if tasks < n_parts:
+        out = out.coalesce(tasks)
+    w = out.write.mode("append").option("maxRecordsPerFile", per_file)
+    if by_topic:
+        w = w.partitionBy("t")
+    w.parquet(path)
+    return written
+
+
 def write_topic(df: DataFrame, path: str, topic: str, value: str,
                 key: str | None = None, partitions: int = 8,
                 timestamp: str | None = None, files: int | None = None,
@@ -60,50 +125,40 @@ def write_topic(df: DataFrame, path: str, topic: str, value: str,
 
     ``value`` / ``key`` name text or binary columns (text is UTF-8 encoded).
     The topic partition is the key's hash (spread round the partitions when
-    the key is null).  Offsets continue densely after the topic's last one,
-    in the order of the written frame: each Spark partition gets a start
-    offset from a per-partition count (one small row per Spark partition
-    reaches the driver, as in ``zipWithIndex``), and rows count up from it.
-
-    Files hold at most ``rows_per_file`` messages (or ``ceil(n / files)``
-    when ``files`` is given), and a small write is coalesced to as few tasks
-    as that needs: a file is a unit of consumption (one per micro-batch with
-    ``maxFilesPerTrigger = 1``), so a 16-row effect must not become 16 files.
+    the key is null).  Offsets continue densely after the topic's last one.
     Returns the number of messages written.
     """
     spark = df.sparkSession
-    base = next_offset(spark, path)
-    kt = df.schema[key].dataType if key else None
-    vt = df.schema[value].dataType
-    staged = df.select(
-        _bytes(F.col(key) if key else None, kt).alias("key"),
-        _bytes(F.col(value), vt).alias("value"),
-        (F.col(timestamp).cast("timestamp") if timestamp else F.current_timestamp()).alias("timestamp"),
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().alias("_mid"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    staged = _stage(df, value, key, timestamp, F.lit(topic)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _write_staged(staged, path, {topic: next_offset(spark, path)}, partitions,
+                             files, rows_per_file, by_topic=False).get(topic, 0)
+    finally:
+        staged.unpersist()
+
+
+def write_topics(df: DataFrame, root: str, topic_col: str, value: str,
+                 key: str | None = None, partitions: int = 8,
+                 timestamp: str | None = None, files: int | None = None,
+                 rows_per_file: int = ROWS_PER_FILE, max_topics: int = 1000) -> dict:
+    """SNK-3 routed: each row goes to the topic named by ``topic_col``, all in
+    one pass (one scan, a sort within partitions, one write); topic ``t``
+    lands in :func:`topic_path` ``(root, t)``.  The number of distinct topics
+    is checked against ``max_topics`` first.  Returns messages per topic.
+    """
+    from ..operators.lookup import has_at_most
+    spark = df.sparkSession
+    if not has_at_most(df.select(topic_col).distinct(), max_topics):
+        raise ValueError(f"more than {max_topics} topics in column {topic_col}")
+    bases = {}
+    if fs.exists(spark, root):
+        for r in (spark.read.schema(TOPIC_SCHEMA).parquet(root)
+                  .groupBy("topic").agg((F.max("offset") + 1).alias("n")).collect()):
+            bases[r["topic"]] = int(r["n"])
+    staged = _stage(df, value, key, timestamp, F.col(topic_col).cast("string")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"),
-                                            F.min("_mid").alias("first")).collect()
-        starts, acc = [], base
-        for r in sorted(counts, key=lambda r: r["_pid"]):
-            starts.append((r["_pid"], acc - r["first"]))
-            acc += r["n"]
-        if not starts:
-            return 0
-        total = acc - base
-        per_file = max(1, -(-total // files)) if files else rows_per_file
-        shift = frame_from_rows(spark, starts, "_pid int, _shift long")
-        spread = F.when(F.col("key").isNull(), F.xxhash64("_mid")).otherwise(F.xxhash64("key"))
-        part = F.pmod(spread, F.lit(partitions)).cast("int")
-        out = staged.join(F.broadcast(shift), "_pid").select(
-            "key", "value", F.lit(topic).alias("topic"), part.alias("partition"),
-            (F.col("_mid") + F.col("_shift")).alias("offset"), "timestamp")
-        tasks = max(1, min(len(starts), -(-total // per_file)))
-        if tasks < len(starts):
-            out = out.coalesce(tasks)
-        out.write.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
-        return total
+        return _write_staged(staged, root, bases, partitions, files, rows_per_file, by_topic=True)
     finally:
         staged.unpersist()
 

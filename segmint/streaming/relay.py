@@ -40,11 +40,12 @@ def merge_with_effect(table: KeyedTable, reduce: Callable[[DataFrame], DataFrame
     def handle(batch: DataFrame, batch_id: int) -> None:
         reduced = reduce(batch).persist()
         try:
-            if reduced.isEmpty():
+            n = reduced.count()  # materializes every partition once
+            if n == 0:
                 return
             if effect is not None:
                 effect(reduced, batch_id)
-            table.upsert(reduced, first_version + batch_id, order=order)
+            table.upsert(reduced, first_version + batch_id, order=order, known_rows=n)
         finally:
             reduced.unpersist()
     return handle
@@ -61,12 +62,13 @@ def enrich_into(table: KeyedTable, key: str, element: str, value: str = "segset"
     def handle(batch: DataFrame, batch_id: int) -> None:
         incoming = agg.set_per_key(batch, key, element, name=value).persist()
         try:
-            if incoming.isEmpty():
+            n = incoming.count()  # materializes every partition once
+            if n == 0:
                 return
             v = first_version + batch_id
             stored = table.read(before=v)
             merged = lookup.enrich_merge(incoming, stored, key, value)
-            table.upsert(merged.select(*stored.columns), v)
+            table.upsert(merged.select(*stored.columns), v, known_rows=n)
         finally:
             incoming.unpersist()
     return handle

@@ -28,12 +28,14 @@ def upsert_sink(table: KeyedTable, first_version: int = 1,
     Empty batches write nothing (the emptiness guard of AGG-2).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        # the upsert runs several jobs on the batch: compute it once
+        # the upsert runs several jobs on the batch: compute every partition
+        # once (count, unlike isEmpty, materializes them all)
         rows = batch.persist()
         try:
-            if rows.isEmpty():
+            n = rows.count()
+            if n == 0:
                 return
-            table.upsert(rows, first_version + batch_id, order=order)
+            table.upsert(rows, first_version + batch_id, order=order, known_rows=n)
         finally:
             rows.unpersist()
     return write

@@ -172,3 +172,16 @@ def test_parse_checked_routes_bad_rows(spark):
     df = tables.frame_from_rows(spark, [('{"a": 1}',), ("not json",)], "value string")
     out = codec.parse_checked(df, "value", "a int").orderBy("bad").collect()
     assert [r["bad"] for r in out] == [False, True] and out[0]["record"]["a"] == 1
+
+
+def test_write_topics_one_pass_dense_per_topic(spark):
+    root = fresh_dir(spark, "t-topics")
+    df = tables.int_range(spark, 0, 90, 4).select(
+        F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("t"),
+        F.col("id").cast("string").alias("v"))
+    assert topics.write_topics(df, root, "t", "v") == {"x": 30, "y": 60}
+    assert topics.write_topics(df.where("t = 'x'"), root, "t", "v") == {"x": 30}
+    for t, n in (("x", 60), ("y", 60)):
+        got = topics.read_topic(spark, topics.topic_path(root, t))
+        assert sorted(r["offset"] for r in got.collect()) == list(range(n))
+        assert {r["topic"] for r in got.collect()} == {t}
