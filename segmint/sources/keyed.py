@@ -12,8 +12,9 @@ keys once a bounded count has proven them few, so the old image is filtered
 map-side and written back without a shuffle; otherwise the anti join
 shuffles.  With an ``order`` (a version such as ``(ts, event_id)``) the
 stored row of a key survives when it is newer than the incoming one, so the
-result does not depend on the order batches arrive in.  Within each written file rows are sorted by key, so Parquet
-min/max statistics let point lookups skip row groups.
+result does not depend on the order batches arrive in.  Rows are written in key order (new rows are sorted, kept rows come
+from files already in key order), so Parquet min/max statistics let point
+lookups skip row groups.
 
 On a cluster with a table format (Delta, Iceberg) the same call maps to a
 ``MERGE INTO``; this copy-on-write form needs nothing but Parquet.
@@ -75,7 +76,7 @@ class KeyedTable:
     def _commit(self, df: DataFrame, version: int) -> int:
         path = f"{self.root}/{_vname(version)}"
         fs.delete(self.spark, f"{path}/{MARKER}")
-        df.sortWithinPartitions(*self.keys).write.mode("overwrite").format(self.fmt).save(path)
+        df.write.mode("overwrite").format(self.fmt).save(path)
         fs.touch(self.spark, f"{path}/{MARKER}")
         if self.schema is None:
             self.schema = df.schema
@@ -83,7 +84,7 @@ class KeyedTable:
 
     def overwrite(self, df: DataFrame, version: int = 0) -> int:
         """Write ``df`` (one row per key) as the whole image ``version``."""
-        return self._commit(df, version)
+        return self._commit(df.sortWithinPartitions(*self.keys), version)
 
     def upsert(self, rows: DataFrame, version: int, order: Sequence[str] | None = None,
                max_rows: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> int:
@@ -106,16 +107,15 @@ class KeyedTable:
             # a proven-small batch is written as one file, not one per shuffle partition
             new = new.coalesce(1)
             keys = F.broadcast(keys)
-        if old is None:
-            image = self._last(new, order) if order else new
-        else:
-            rest = old.join(keys, self.keys, "left_anti")
-            if order:
-                hit = old.join(keys, self.keys, "left_semi")
-                new = self._last(hit.unionByName(new), order)
-            image = rest.unionByName(new.coalesce(1) if small else new)
-        if old is None and order and small:
-            image = image.coalesce(1)
+        if order:
+            new = self._last(new if old is None else
+                             old.join(keys, self.keys, "left_semi").unionByName(new), order)
+            if small:
+                new = new.coalesce(1)
+        # only the new rows are sorted: the rows kept from the old image come
+        # from files that were already written in key order
+        new = new.sortWithinPartitions(*self.keys)
+        image = new if old is None else old.join(keys, self.keys, "left_anti").unionByName(new)
         return self._commit(image, version)
 
     def _last(self, df: DataFrame, order: Sequence[str]) -> DataFrame:
