@@ -1,21 +1,21 @@
 """Keyed lookups and joins (JOIN-1 .. JOIN-7).
 
-All joins are equi-joins on a key that is unique in the stored table.  The
-plan for a lookup of a (possibly skewed, possibly repeated) key list against a
-large table is:
-
-1. reduce the probe side to its *distinct* keys (map-side partial aggregate,
-   so a key holding a third of all rows costs one row per map task);
-2. cut the table down to the keys that are asked for with a ``left_semi``
-   join; the distinct keys are broadcast only after a bounded count proved
-   there are at most ``max_rows`` of them, else the semi join shuffles
-   (distinct keys against unique table keys: no skew on either side);
-3. join the probe rows to that cut; it is broadcast when a second bounded
-   count proves it small, so the skewed probe side is never shuffled;
-   otherwise a shuffle join whose hot partitions AQE's skew-join splits.
-
-Nothing is collected to the driver; the bound checks run ``limit(n+1)``
-counts on the executors.
+All joins are equi-joins on a key that is unique in the stored table.  A
+lookup of a (possibly skewed, possibly repeated) key list against a large
+table makes one decision, from a bounded count of the probe's *distinct* keys
+(a map-side partial aggregate, so a key holding a third of all rows costs one
+row per map task):
+
+* few keys (proven at most ``max_rows``): broadcast them into a ``left_semi``
+  cut of the table, which is then at most that many rows (the table key is
+  unique) and is broadcast back into the probe.  Neither the table nor the
+  skewed probe is shuffled.
+* many keys: one shuffle join of probe and table; AQE's skew join splits the
+  partitions of hot keys.  The cut would cost more than it saves there.
+
+Rows that carry sets are also bounded by their total number of elements
+before they are broadcast.  Nothing is collected to the driver; the checks run
+``limit(n+1)`` counts on the executors.
 """
 
 from __future__ import annotations
@@ -58,11 +58,25 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     return df
 
 
+def _array_cols(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+
+
+def few_keys(keys: DataFrame, key: str | Sequence[str], max_rows: int = MAX_BROADCAST_ROWS):
+    """The distinct keys as a broadcast frame when they are proven few, else None."""
+    cols = [key] if isinstance(key, str) else list(key)
+    distinct = keys.select(*cols).distinct()
+    return F.broadcast(distinct) if has_at_most(distinct, max_rows) else None
+
+
 def semi_cut(table: DataFrame, keys: DataFrame, key: str,
              max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``table`` whose ``key`` occurs in ``keys`` (a key column)."""
-    distinct = keys.select(key).distinct()
-    return table.join(checked_broadcast(distinct, max_rows), key, "left_semi")
+    """Rows of ``table`` whose ``key`` occurs in ``keys`` (a key column):
+    map-side when the keys are proven few, else a shuffle semi join."""
+    few = few_keys(keys, key, max_rows)
+    if few is not None:
+        return table.join(few, key, "left_semi")
+    return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def join_tables(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -98,9 +112,16 @@ def lookup_keys(keys: DataFrame, table: DataFrame, key: str,
     absent; an empty key list gives no rows.
     """
     probe = keys.select(key)
-    hits = semi_cut(table, probe, key, max_rows)
-    hits = hits.select(F.col(key), F.struct(*table.columns).alias("row"))
-    return probe.join(checked_broadcast(hits, max_rows), key, "inner")
+    rows = table.select(F.col(key), F.struct(*table.columns).alias("row"))
+    few = few_keys(probe, key, max_rows)
+    if few is None:
+        return probe.join(rows, key, "inner")
+    hits = rows.join(few, key, "left_semi")  # at most max_rows rows: keys are unique
+    arrays = _array_cols(table)
+    if arrays and not has_at_most(hits.select(*[F.col(f"row.{a}").alias(a) for a in arrays]),
+                                  max_rows, arrays):
+        return probe.join(hits, key, "inner")
+    return probe.join(F.broadcast(hits), key, "inner")
 
 
 def lookup_sets(keys: DataFrame, table: DataFrame, key: str, value: str,
@@ -122,12 +143,14 @@ def enrich_merge(incoming: DataFrame, stored: DataFrame, key: str, value: str,
                  max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """JOIN-5: every incoming key kept, value = stored set ∪ incoming set.
 
-    ``incoming`` has one row per key.  The stored table is first cut to the
-    incoming keys (map-side when they are few), then left-joined, so the full
-    stored table is never shuffled for a small batch.  An empty input gives an
-    empty result without touching ``stored``'s rows.
+    ``incoming`` has one row per key.  When its keys are proven few the
+    stored table is first cut to them map-side, so the full stored table is
+    never shuffled for a small batch; otherwise one shuffle left join (both
+    sides one row per key, so no skew).  An empty input gives an empty result.
     """
     inc = incoming.select(F.col(key), F.col(value).alias("_in"))
-    hit = semi_cut(stored, inc, key, max_rows).select(F.col(key), F.col(value).alias("_st"))
-    return inc.join(hit, key, "left").select(
-        F.col(key), sets.union("_st", "_in").alias(value))
+    st = stored.select(F.col(key), F.col(value).alias("_st"))
+    few = few_keys(inc, key, max_rows)
+    if few is not None:
+        st = st.join(few, key, "left_semi")
+    return inc.join(st, key, "left").select(F.col(key), sets.union("_st", "_in").alias(value))

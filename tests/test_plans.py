@@ -62,3 +62,19 @@ def test_set_functions_stay_in_codegen(spark):
     df = tables.frame_from_rows(spark, [([3, 1],)], "a array<int>")
     p = plan(df.select(sets.union("a", F.array(F.lit(2))).alias("u")))
     assert "lambdafunction" not in p
+
+
+def test_lookup_many_keys_takes_one_shuffle_join(spark, sf_small):
+    keys = B.table(spark, sf_small, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    cust = B.table(spark, sf_small, "customer")
+    few = lookup.lookup_keys(keys, cust, "c_custkey")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        many = lookup.lookup_keys(keys, cust, "c_custkey", max_rows=10)
+        p = plan(many)
+        assert "BroadcastHashJoin" not in p and "LeftSemi" not in p
+        assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
