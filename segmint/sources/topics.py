@@ -13,6 +13,8 @@ transformations downstream stay the same.
 
 from __future__ import annotations
 
+import datetime
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,18 +61,25 @@ def topic_path(root: str, name: str) -> str:
 
 def _stage(df: DataFrame, value: str, key: str | None, timestamp: str | None,
            topic: Column) -> DataFrame:
-    """Messages with their topic, sorted by topic within each Spark
-    partition, tagged with the partition id and a row id that counts up
-    within each (topic, partition) run."""
+    """Messages with their topic, tagged with the Spark partition id and a
+    row id that counts up within each (topic, partition) run.
+
+    The tags must come out the same if a lost cached block is recomputed
+    (after a shuffle the rows of a partition may then arrive in another
+    order), so each partition is sorted by its message content and the
+    produce time is one literal for the whole write, not
+    ``current_timestamp()``.
+    """
     kt = df.schema[key].dataType if key else None
     vt = df.schema[value].dataType
+    ts = (F.col(timestamp).cast("timestamp") if timestamp
+          else F.lit(datetime.datetime.now(datetime.timezone.utc)))
     return (df.select(
                 topic.alias("topic"),
                 _bytes(F.col(key) if key else None, kt).alias("key"),
                 _bytes(F.col(value), vt).alias("value"),
-                (F.col(timestamp).cast("timestamp") if timestamp else F.current_timestamp())
-                .alias("timestamp"))
-              .sortWithinPartitions("topic")
+                ts.alias("timestamp"))
+              .sortWithinPartitions("topic", "key", "value", "timestamp")
               .select("*", F.spark_partition_id().alias("_pid"),
                       F.monotonically_increasing_id().alias("_mid")))
 
