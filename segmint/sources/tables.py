@@ -7,9 +7,9 @@ pushed into the scan by Catalyst (``PushedFilters`` / ``ReadSchema``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,12 +42,14 @@ def frame_from_rows(spark: SparkSession, rows: Iterable[Sequence],
 
     Meant for driver-sized inputs (key lists, small dimensions); the caller
     knows their length, which is what makes them safe to broadcast.  The rows
-    go through Arrow into a JVM ``LocalRelation`` (exact size statistics for
-    the optimizer, no Python worker round trip).
+    travel as one JSON literal that ``from_json`` parses against the schema
+    (folded once by the optimizer) and ``inline`` expands: the frame is built
+    in the JVM, with no Python worker and no dependence on session settings.
     """
     st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    pdf = pd.DataFrame([tuple(r) for r in rows], columns=st.names, dtype=object)
-    return spark.createDataFrame(pdf, st)
+    text = json.dumps([dict(zip(st.names, r)) for r in rows], default=str)
+    parsed = F.from_json(F.lit(text), T.ArrayType(st))
+    return spark.range(1).select(F.inline(parsed))
 
 
 def int_range(spark: SparkSession, start: int, end: int,
