@@ -39,6 +39,8 @@ def query(name: str, sql: str | None = None):
 FEED_FILES = 4
 EVENT_SCHEMA = "event_id long, ts_us long, user_id long, event_type string, value double, k int"
 DRAIN = micro.trigger(available_now=True)
+# Images kept by the tables the streams keep current (a replay needs the one before).
+RETAIN = 2
 
 
 def event_messages(df: DataFrame, *extra: str) -> DataFrame:
@@ -92,7 +94,7 @@ def stream_count(spark, sf):
     stream = topics.as_text(topics.stream_topic(spark, path))
     counts = running.running(stream, "event_type", running.running_count(),
                              transform=lambda d: d.select(F.col("value").alias("event_type")))
-    table = KeyedTable(spark, f"{root}/table", "event_type")
+    table = KeyedTable(spark, f"{root}/table", "event_type", retain=RETAIN)
     drain(running.to_table(counts, table, f"{root}/ckpt", DRAIN))
     return table.read()
 
@@ -103,7 +105,7 @@ def stream_sum(spark, sf):
     """STM-5 / AGG-3 over batches: running exact sum per user."""
     root = fresh_dir(spark, "stream_sum")
     s = parsed_events(spark, _events_topic(spark, sf, root))
-    table = KeyedTable(spark, f"{root}/table", "user_id")
+    table = KeyedTable(spark, f"{root}/table", "user_id", retain=RETAIN)
     drain(running.to_table(running.running(s, "user_id", running.running_sum("value")),
                            table, f"{root}/ckpt", DRAIN))
     return table.read()
@@ -115,7 +117,7 @@ def stream_last(spark, sf):
     root = fresh_dir(spark, "stream_last")
     s = parsed_events(spark, _events_topic(spark, sf, root))
     last = running.running(s, "user_id", running.running_last("event_type", ["ts_us", "event_id"]))
-    table = KeyedTable(spark, f"{root}/table", "user_id")
+    table = KeyedTable(spark, f"{root}/table", "user_id", retain=RETAIN)
     drain(running.to_table(last, table, f"{root}/ckpt", DRAIN))
     return table.read()
 
@@ -126,7 +128,7 @@ def stream_set(spark, sf):
     root = fresh_dir(spark, "stream_set")
     s = parsed_events(spark, _events_topic(spark, sf, root))
     sets_ = running.running(s.select(F.col("user_id").alias("id"), "k"), "id", running.running_set("k"))
-    table = KeyedTable(spark, f"{root}/table", "id")
+    table = KeyedTable(spark, f"{root}/table", "id", retain=RETAIN)
     drain(running.to_table(sets_, table, f"{root}/ckpt", DRAIN))
     return table.read().select("id", sets.to_text("segset").alias("segs"))
 
@@ -183,7 +185,7 @@ def topic_multi(spark, sf):
     recs = s.select("topic", codec.parse("value", EVENT_SCHEMA).alias("r")).select("topic", "r.*")
     per = running.running(recs, ["topic", "user_id"], running.running_count(),
                           running.running_sum("value"))
-    table = KeyedTable(spark, f"{root}/table", ["topic", "user_id"])
+    table = KeyedTable(spark, f"{root}/table", ["topic", "user_id"], retain=RETAIN)
     drain(running.to_table(per, table, f"{root}/ckpt", DRAIN))
     return table.read()
 
@@ -259,7 +261,7 @@ def stream_effect(spark, sf):
                                           codec.render("user_id", "last").alias("value")),
                            effects, "effects", "value", "key")
 
-    table = KeyedTable(spark, f"{root}/table", "user_id")
+    table = KeyedTable(spark, f"{root}/table", "user_id", retain=RETAIN)
     handler = relay.merge_with_effect(table, relay.last_in_batch("user_id", ["ts_us", "event_id"]),
                                       publish, order=["ts_us", "event_id"])
     drain(micro.start(s.writeStream.foreachBatch(handler), f"{root}/ckpt", DRAIN))
@@ -294,14 +296,14 @@ def two_stage(spark, sf):
         topics.write_topic(msgs, t2, "topic2", "value")
 
     order = ["ts_us", "id"]
-    table1 = KeyedTable(spark, f"{root}/table1", "a")
+    table1 = KeyedTable(spark, f"{root}/table1", "a", retain=RETAIN)
     s1 = topics.as_text(topics.stream_topic(spark, t1)).select(
         codec.parse("value", STAGE1_SCHEMA).alias("r")).select("r.*")
     drain(micro.start(s1.writeStream.foreachBatch(
         relay.merge_with_effect(table1, relay.last_in_batch("a", order), decorate, order=order)),
         f"{root}/ckpt1", DRAIN))
 
-    table2 = KeyedTable(spark, f"{root}/table2", "key")
+    table2 = KeyedTable(spark, f"{root}/table2", "key", retain=RETAIN)
     s2 = topics.as_text(topics.stream_topic(spark, t2)).select(
         codec.parse("value", STAGE2_SCHEMA).alias("r")).select("r.*")
     drain(running.to_table(s2, table2, f"{root}/ckpt2", DRAIN, mode="append", order=order))
@@ -313,7 +315,7 @@ def stream_enrich(spark, sf):
     """STM-11: stored profiles (first half) enriched batch by batch with the
     segment sets streaming in (second half) — JOIN-5 inside foreachBatch."""
     root = fresh_dir(spark, "stream_enrich")
-    table = KeyedTable(spark, f"{root}/table", "id")
+    table = KeyedTable(spark, f"{root}/table", "id", retain=RETAIN)
     table.overwrite(B.stored_profiles(spark, sf).select("id", "segset"), version=0)
     path = f"{root}/topic"
     feed(event_messages(B.second_half(spark, sf)), path, "events")
@@ -343,7 +345,7 @@ def upsert_pairs(spark, sf):
     d = F.col("o_orderdate")
     lo, hi = (F.lit(x).cast("timestamp_ntz") for x in ORDER_SLICES)
     slices = [o.where(d >= hi), o.where((d >= lo) & (d < hi)), o.where(d < lo)]
-    table = KeyedTable(spark, f"{root}/table", "id")
+    table = KeyedTable(spark, f"{root}/table", "id", retain=RETAIN)
     for v, part in enumerate(slices, start=1):
         table.upsert(part, v, order=["o_orderdate", "o_orderkey"])
     return table.read().select("id", "status")
@@ -371,7 +373,7 @@ def upsert_scored(spark, sf):
                                "id", "o_orderpriority")
         return c.join(segs, "id").select("id", "score", "segset")
 
-    table = KeyedTable(spark, f"{root}/table", "id")
+    table = KeyedTable(spark, f"{root}/table", "id", retain=RETAIN)
     table.upsert(profiles(o.where(F.col("o_orderdate") < cut)), 1)
     table.upsert(profiles(o.where(F.col("o_orderdate") >= cut)), 2)
     return table.read().select("id", "score", sets.to_text("segset").alias("segs"))

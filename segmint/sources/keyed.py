@@ -43,22 +43,37 @@ class KeyedTable:
     """A table with a unique ``key`` column, updated by upserts."""
 
     def __init__(self, spark: SparkSession, root: str, key: str | Sequence[str],
-                 schema: T.StructType | None = None, fmt: str = "parquet"):
+                 schema: T.StructType | None = None, fmt: str = "parquet",
+                 retain: int | None = None):
+        """``retain``: keep only the newest ``retain`` committed images (at
+        least 2, so a replayed batch still finds the image it started from);
+        ``None`` keeps every version."""
+        if retain is not None and retain < 2:
+            raise ValueError("retain must be at least 2")
         self.spark, self.root, self.schema, self.fmt = spark, root.rstrip("/"), schema, fmt
         self.keys = [key] if isinstance(key, str) else list(key)
+        self.retain = retain
 
     # -- reading ---------------------------------------------------------
+    def _candidates(self) -> list[int]:
+        """Version numbers present, newest first (one directory listing)."""
+        names = fs.list_dirs(self.spark, self.root)
+        return sorted((int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()),
+                      reverse=True)
+
+    def _committed(self, v: int) -> bool:
+        return fs.exists(self.spark, f"{self.root}/{_vname(v)}/{MARKER}")
+
     def versions(self) -> list[int]:
-        out = []
-        for name in fs.list_dirs(self.spark, self.root):
-            if name.startswith("v") and name[1:].isdigit() and \
-                    fs.exists(self.spark, f"{self.root}/{name}/{MARKER}"):
-                out.append(int(name[1:]))
-        return sorted(out)
+        return sorted(v for v in self._candidates() if self._committed(v))
 
     def latest(self, before: int | None = None) -> int | None:
-        vs = [v for v in self.versions() if before is None or v < before]
-        return vs[-1] if vs else None
+        """Newest committed version (below ``before``): markers are checked
+        newest first, so this costs one listing and usually one lookup."""
+        for v in self._candidates():
+            if (before is None or v < before) and self._committed(v):
+                return v
+        return None
 
     def read(self, version: int | None = None, before: int | None = None) -> DataFrame:
         """The image at ``version`` (default: latest committed, or latest below ``before``)."""
@@ -80,8 +95,22 @@ class KeyedTable:
         fs.touch(self.spark, f"{path}/{MARKER}")
         if self.schema is None:
             self.schema = df.schema
+        if self.retain is not None:
+            self.vacuum(self.retain)
         return version
 
+    def vacuum(self, keep: int) -> None:
+        """Delete images older than the newest ``keep`` committed ones (and
+        uncommitted leftovers below them).  Images are whole copies, so no
+        newer version refers to the files removed."""
+        committed = self.versions()
+        if len(committed) <= keep:
+            return
+        floor = committed[-keep]
+        for v in self._candidates():
+            if v < floor:
+                fs.delete(self.spark, f"{self.root}/{_vname(v)}")
+
     def overwrite(self, df: DataFrame, version: int = 0) -> int:
         """Write ``df`` (one row per key) as the whole image ``version``."""
         return self._commit(df.sortWithinPartitions(*self.keys), version)

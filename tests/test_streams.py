@@ -185,3 +185,13 @@ def test_write_topics_one_pass_dense_per_topic(spark):
         got = topics.read_topic(spark, topics.topic_path(root, t))
         assert sorted(r["offset"] for r in got.collect()) == list(range(n))
         assert {r["topic"] for r in got.collect()} == {t}
+
+
+def test_retain_keeps_newest_images(spark):
+    t = KeyedTable(spark, fresh_dir(spark, "t-retain"), "k", retain=2)
+    for v in range(1, 5):
+        t.upsert(tables.frame_from_rows(spark, [(v % 2, f"v{v}")], "k int, v string"), v)
+    assert t.versions() == [3, 4]
+    assert as_dict(t.read(), "k", "v") == {0: "v4", 1: "v3"}
+    t.upsert(tables.frame_from_rows(spark, [(0, "again")], "k int, v string"), 4)  # replay of 4
+    assert as_dict(t.read(), "k", "v") == {0: "again", 1: "v3"}
