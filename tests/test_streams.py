@@ -195,3 +195,9 @@ def test_retain_keeps_newest_images(spark):
     assert as_dict(t.read(), "k", "v") == {0: "v4", 1: "v3"}
     t.upsert(tables.frame_from_rows(spark, [(0, "again")], "k int, v string"), 4)  # replay of 4
     assert as_dict(t.read(), "k", "v") == {0: "again", 1: "v3"}
+
+
+def test_kafka_source_needs_the_connector(spark):
+    # no connector jar here: the failure is loud, not a silent empty stream
+    with pytest.raises(Exception, match="(?i)kafka"):
+        topics.stream_kafka(spark, ["t"], "localhost:1")
