@@ -14,8 +14,8 @@ row per map task):
   partitions of hot keys.  The cut would cost more than it saves there.
 
 Rows that carry sets are also bounded by their total number of elements
-before they are broadcast.  Nothing is collected to the driver; the checks run
-``limit(n+1)`` counts on the executors.
+before they are broadcast.  Nothing is collected to the driver but the counts
+of these checks, which run distributed on the executors.
 """
 
 from __future__ import annotations
@@ -36,16 +36,18 @@ MAX_BROADCAST_ELEMENTS = 20_000_000
 
 def has_at_most(df: DataFrame, max_rows: int, array_cols: Sequence[str] = (),
                 max_elements: int = MAX_BROADCAST_ELEMENTS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows (and, for
+    """True when ``df`` has at most ``max_rows`` rows (and, for
     ``array_cols``, at most ``max_elements`` elements in them).
 
-    Runs one bounded job: every task stops after ``max_rows + 1`` rows.
+    One distributed count: each task counts its rows and only one row per
+    task is shuffled.  (A ``limit(n + 1).count()`` would send up to ``n + 1``
+    rows from *every* task into a single task.)  The inputs checked here are
+    distinct keys or small batches, which take a full pass anyway.
     """
-    cut = df.limit(max_rows + 1)
     if not array_cols:
-        return cut.count() <= max_rows
+        return df.count() <= max_rows
     sizes = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in array_cols]
-    row = cut.agg(F.count(F.lit(1)).alias("n"), sum(sizes, F.lit(0)).alias("e")).first()
+    row = df.agg(F.count(F.lit(1)).alias("n"), sum(sizes, F.lit(0)).alias("e")).first()
     return row["n"] <= max_rows and row["e"] <= max_elements
 
 
