@@ -35,8 +35,9 @@ def query(name: str, sql: str | None = None):
     return reg
 
 
-# Number of topic files (= micro-batches) a feed is written as.
+# Number of topic files a feed is written as, and files per micro-batch.
 FEED_FILES = 4
+BATCH_FILES = 1
 EVENT_SCHEMA = "event_id long, ts_us long, user_id long, event_type string, value double, k int"
 DRAIN = micro.trigger(available_now=True)
 # Images kept by the tables the streams keep current (a replay needs the one before).
@@ -66,7 +67,7 @@ def feed(df: DataFrame, path: str, name: str, value: str = "value", key: str | N
 
 def parsed_events(spark: SparkSession, path: str) -> DataFrame:
     """The events topic as a stream of parsed records (SRC-6, FN-7, STM-4)."""
-    s = topics.as_text(topics.stream_topic(spark, path))
+    s = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
     return s.select(codec.parse("value", EVENT_SCHEMA).alias("r")).select("r.*")
 
 
@@ -91,7 +92,7 @@ def stream_count(spark, sf):
     path = f"{root}/topic"
     feed(B.events(spark, sf).select("ts", F.col("user_id").cast("string").alias("key"),
                                     F.col("event_type").alias("value")), path, "types")
-    stream = topics.as_text(topics.stream_topic(spark, path))
+    stream = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
     counts = running.running(stream, "event_type", running.running_count(),
                              transform=lambda d: d.select(F.col("value").alias("event_type")))
     table = KeyedTable(spark, f"{root}/table", "event_type", retain=RETAIN)
@@ -138,7 +139,7 @@ def stream_set(spark, sf):
 def topic_text(spark, sf):
     """SRC-6, FN-7, FN-8, SNK-3: JSON messages through a topic, parsed back."""
     root = fresh_dir(spark, "topic_text")
-    s = topics.as_text(topics.stream_topic(spark, _events_topic(spark, sf, root)))
+    s = topics.as_text(topics.stream_topic(spark, _events_topic(spark, sf, root), BATCH_FILES))
     out = s.select("key", codec.parse("value", EVENT_SCHEMA).alias("r")).select(
         "key", "r.event_id", "r.user_id", "r.event_type", "r.value")
     sink = f"{root}/sink"
@@ -158,7 +159,7 @@ def topic_binary(spark, sf):
     msgs = B.events(spark, sf).select(
         "ts", codec.text_to_bytes(codec.number_text("event_id", SUFFIX)).alias("value"))
     feed(msgs, path, "bytes", key=None)
-    s = topics.stream_topic(spark, path)
+    s = topics.stream_topic(spark, path, BATCH_FILES)
     out = s.select(codec.bytes_to_text("value").alias("text"), F.octet_length("value").alias("n_bytes"))
     sink = f"{root}/sink"
     drain(micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", DRAIN))
@@ -181,7 +182,7 @@ def topic_multi(spark, sf):
     """SRC-8: several topics subscribed as one stream, routed on ``topic``."""
     root = fresh_dir(spark, "topic_multi")
     paths = _topics_by_type(spark, sf, root)
-    s = topics.as_text(topics.stream_topics(spark, list(paths.values())))
+    s = topics.as_text(topics.stream_topics(spark, list(paths.values()), BATCH_FILES))
     recs = s.select("topic", codec.parse("value", EVENT_SCHEMA).alias("r")).select("topic", "r.*")
     per = running.running(recs, ["topic", "user_id"], running.running_count(),
                           running.running_sum("value"))
@@ -213,7 +214,7 @@ def topic_earliest_resume(spark, sf):
     feed(event_messages(B.first_half(spark, sf)), path, "events")
 
     def run():
-        s = topics.as_text(topics.stream_topic(spark, path))
+        s = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
         out = s.select(codec.parse("value", EVENT_SCHEMA).alias("r")).select(
             "r.event_id", "r.user_id", "r.event_type")
         drain(micro.start(out.writeStream.format("parquet").option("path", sink), ckpt, DRAIN))
@@ -232,7 +233,7 @@ def bounded_run(spark, sf):
     root = fresh_dir(spark, "bounded_run")
     path, sink = f"{root}/topic", f"{root}/sink"
     expected = feed(event_messages(B.events(spark, sf)), path, "events")
-    s = topics.as_text(topics.stream_topic(spark, path))
+    s = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
     out = s.select(codec.parse("value", EVENT_SCHEMA).alias("r")).select("r.event_id", "r.user_id")
     q = micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt",
                     micro.trigger(500))
@@ -297,14 +298,14 @@ def two_stage(spark, sf):
 
     order = ["ts_us", "id"]
     table1 = KeyedTable(spark, f"{root}/table1", "a", retain=RETAIN)
-    s1 = topics.as_text(topics.stream_topic(spark, t1)).select(
+    s1 = topics.as_text(topics.stream_topic(spark, t1, BATCH_FILES)).select(
         codec.parse("value", STAGE1_SCHEMA).alias("r")).select("r.*")
     drain(micro.start(s1.writeStream.foreachBatch(
         relay.merge_with_effect(table1, relay.last_in_batch("a", order), decorate, order=order)),
         f"{root}/ckpt1", DRAIN))
 
     table2 = KeyedTable(spark, f"{root}/table2", "key", retain=RETAIN)
-    s2 = topics.as_text(topics.stream_topic(spark, t2)).select(
+    s2 = topics.as_text(topics.stream_topic(spark, t2, BATCH_FILES)).select(
         codec.parse("value", STAGE2_SCHEMA).alias("r")).select("r.*")
     drain(running.to_table(s2, table2, f"{root}/ckpt2", DRAIN, mode="append", order=order))
     return table2.read().select("key", sets.to_text("value").alias("segs"))

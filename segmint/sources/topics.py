@@ -177,12 +177,14 @@ def read_topic(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOPIC_SCHEMA).parquet(path)
 
 
-def stream_topic(spark: SparkSession, path: str, max_files_per_trigger: int | None = 1) -> DataFrame:
+def stream_topic(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """SRC-6 / SRC-7 / SRC-9: a streaming read of a topic, earliest first.
 
     Key and value stay binary (SRC-7); :func:`as_text` gives the string form
     (SRC-6).  Progress is tracked by the query's checkpoint, which replaces
-    the reference's consumer group and offset commits.
+    the reference's consumer group and offset commits.  ``max_files_per_trigger``
+    is the rate limit (like ``maxOffsetsPerTrigger``); ``None`` takes all new
+    files in each batch.
     """
     fs.mkdirs(spark, path)
     r = spark.readStream.schema(TOPIC_SCHEMA)
@@ -192,7 +194,7 @@ def stream_topic(spark: SparkSession, path: str, max_files_per_trigger: int | No
 
 
 def stream_topics(spark: SparkSession, paths: Sequence[str],
-                  max_files_per_trigger: int | None = 1) -> DataFrame:
+                  max_files_per_trigger: int | None = None) -> DataFrame:
     """SRC-8: several topics as one stream; route on the ``topic`` column."""
     streams = [stream_topic(spark, p, max_files_per_trigger) for p in paths]
     out = streams[0]

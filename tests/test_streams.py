@@ -31,7 +31,7 @@ def test_defaulttest_running_counts(spark):
     # two sends: the running count spans micro-batches
     topics.write_topic(msgs, f"{root}/topic", "test-topic", "value")
     topics.write_topic(msgs.where("value = 'c'"), f"{root}/topic", "test-topic", "value")
-    s = topics.as_text(topics.stream_topic(spark, f"{root}/topic"))
+    s = topics.as_text(topics.stream_topic(spark, f"{root}/topic", 1))
     counts = running.running(s, "value", running.running_count())
     table = KeyedTable(spark, f"{root}/table", "value")
     drain(running.to_table(counts, table, f"{root}/ckpt", DRAIN))
@@ -48,7 +48,7 @@ def records_topic(spark, root, records):
 def test_simple_records_keyed_and_merged(spark):
     root = fresh_dir(spark, "t-simple")
     path = records_topic(spark, root, [(2, [1, 2]), (4, [3, 5])])
-    s = topics.as_text(topics.stream_topic(spark, path))
+    s = topics.as_text(topics.stream_topic(spark, path, 1))
     assert s.isStreaming
     recs = s.select(codec.parse("value", "a int, seg array<int>").alias("r"), "offset").select("r.*", "offset")
     table = KeyedTable(spark, f"{root}/table", "a")
@@ -68,13 +68,13 @@ def test_two_queues(spark):
         topics.write_topic(msgs, t2, "topic2", "value")
 
     table1 = KeyedTable(spark, f"{root}/r1", "a")
-    s1 = topics.as_text(topics.stream_topic(spark, t1)).select(
+    s1 = topics.as_text(topics.stream_topic(spark, t1, 1)).select(
         codec.parse("value", "a int, seg array<int>").alias("r"), "offset").select("r.*", "offset")
     drain(micro.start(s1.writeStream.foreachBatch(
         relay.merge_with_effect(table1, relay.last_in_batch("a", ["offset"]), decorate)),
         f"{root}/c1", DRAIN))
     table2 = KeyedTable(spark, f"{root}/r2", "key")
-    s2 = topics.as_text(topics.stream_topic(spark, t2)).select(
+    s2 = topics.as_text(topics.stream_topic(spark, t2, 1)).select(
         codec.parse("value", "key int, value array<int>, offset long").alias("r")).select("r.*")
     drain(running.to_table(s2, table2, f"{root}/c2", DRAIN, mode="append", order=["offset"]))
     assert as_dict(table1.read(), "a", "seg") == {2: [1, 2], 4: [3, 5]}
@@ -134,7 +134,7 @@ def test_run_bounded_predicate_releases(spark):
     root = fresh_dir(spark, "t-bounded")
     topics.write_topic(tables.frame_from_rows(spark, [("x",)], "value string"),
                        f"{root}/topic", "t", "value")
-    s = topics.stream_topic(spark, f"{root}/topic")
+    s = topics.stream_topic(spark, f"{root}/topic", 1)
     q = micro.start(s.writeStream.format("parquet").option("path", f"{root}/sink"),
                     f"{root}/ckpt", micro.trigger(200))
     released = micro.run_bounded(
@@ -147,7 +147,7 @@ def test_run_bounded_raises_on_failure(spark):
     root = fresh_dir(spark, "t-fail")
     topics.write_topic(tables.frame_from_rows(spark, [("x",)], "value string"),
                        f"{root}/topic", "t", "value")
-    s = topics.stream_topic(spark, f"{root}/topic")
+    s = topics.stream_topic(spark, f"{root}/topic", 1)
 
     def boom(df, batch_id):
         raise RuntimeError("sink failed")
