@@ -142,17 +142,20 @@ def join_keyed(incoming: DataFrame, table: DataFrame, key: str, value: str,
 
 
 def enrich_merge(incoming: DataFrame, stored: DataFrame, key: str, value: str,
-                 max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                 max_rows: int = MAX_BROADCAST_ROWS, keep: Sequence[str] = ()) -> DataFrame:
     """JOIN-5: every incoming key kept, value = stored set ∪ incoming set.
 
     ``incoming`` has one row per key.  When its keys are proven few the
     stored table is first cut to them map-side, so the full stored table is
     never shuffled for a small batch; otherwise one shuffle left join (both
     sides one row per key, so no skew).  An empty input gives an empty result.
+    ``keep`` names further stored columns to carry along (null for keys the
+    table does not have yet).
     """
     inc = incoming.select(F.col(key), F.col(value).alias("_in"))
-    st = stored.select(F.col(key), F.col(value).alias("_st"))
+    st = stored.select(F.col(key), F.col(value).alias("_st"), *keep)
     few = few_keys(inc, key, max_rows)
     if few is not None:
         st = st.join(few, key, "left_semi")
-    return inc.join(st, key, "left").select(F.col(key), sets.union("_st", "_in").alias(value))
+    return inc.join(st, key, "left").select(
+        F.col(key), sets.union("_st", "_in").alias(value), *keep)

@@ -57,7 +57,8 @@ def enrich_into(table: KeyedTable, key: str, element: str, value: str = "segset"
     (JOIN-5 against the table as it is *now*) and upserted back.
 
     The table is re-read every batch because it changes between batches,
-    which a stream-static join would not see.
+    which a stream-static join would not see.  Other stored columns (a
+    score) are kept; new keys get nulls there.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         incoming = agg.set_per_key(batch, key, element, name=value).persist()
@@ -67,7 +68,8 @@ def enrich_into(table: KeyedTable, key: str, element: str, value: str = "segset"
                 return
             v = first_version + batch_id
             stored = table.read(before=v)
-            merged = lookup.enrich_merge(incoming, stored, key, value)
+            others = [c for c in stored.columns if c not in (key, value)]
+            merged = lookup.enrich_merge(incoming, stored, key, value, keep=others)
             table.upsert(merged.select(*stored.columns), v, known_rows=n)
         finally:
             incoming.unpersist()

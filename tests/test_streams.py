@@ -201,3 +201,13 @@ def test_kafka_source_needs_the_connector(spark):
     # no connector jar here: the failure is loud, not a silent empty stream
     with pytest.raises(Exception, match="(?i)kafka"):
         topics.stream_kafka(spark, ["t"], "localhost:1")
+
+
+def test_enrich_into_keeps_other_columns(spark):
+    table = KeyedTable(spark, fresh_dir(spark, "t-enrich-score"), "id")
+    table.overwrite(tables.frame_from_rows(spark, [("a1", 0.5, ["s1"])],
+                                           "id string, score double, segset array<string>"), 0)
+    relay.enrich_into(table, "id", "k")(
+        tables.frame_from_rows(spark, [("a1", "s2"), ("a9", "s1")], "id string, k string"), 0)
+    got = {r["id"]: (r["score"], r["segset"]) for r in table.read().collect()}
+    assert got == {"a1": (0.5, ["s1", "s2"]), "a9": (None, ["s1"])}
