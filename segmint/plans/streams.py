@@ -2,8 +2,8 @@
 consumed by Structured Streaming jobs that keep keyed tables current.
 
 Every run works in fresh folders under the shared checkpoint root (topic
-files, query checkpoints, keyed tables) and returns a batch read of the final
-table, which the SQL oracle checks against the same question asked of the
+files, query checkpoints, keyed tables or change logs) and returns a batch
+read of the final state, which the SQL oracle checks against the same question asked of the
 events table directly.  Micro-batches are one topic file each, and topics are
 written as several files, so each query sees several batches.
 """
@@ -17,7 +17,7 @@ from ..functions import codec, sets
 from ..operators import aggregate as agg
 from ..session import fresh_dir
 from ..sources import topics
-from ..sources.keyed import KeyedTable
+from ..sources.keyed import KeyedLog, KeyedTable
 from ..streaming import micro, relay, running
 from . import bindings as B
 from .batch import SQL_LAST, SQL_SETS, SUFFIX
@@ -95,9 +95,9 @@ def stream_count(spark, sf):
     stream = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
     counts = running.running(stream, "event_type", running.running_count(),
                              transform=lambda d: d.select(F.col("value").alias("event_type")))
-    table = KeyedTable(spark, f"{root}/table", "event_type", retain=RETAIN)
-    drain(running.to_table(counts, table, f"{root}/ckpt", DRAIN))
-    return table.read()
+    log = KeyedLog(spark, f"{root}/log", "event_type")
+    drain(running.to_log(counts, log, f"{root}/ckpt", DRAIN))
+    return log.read()
 
 
 @query("stream_sum", """
@@ -106,10 +106,10 @@ def stream_sum(spark, sf):
     """STM-5 / AGG-3 over batches: running exact sum per user."""
     root = fresh_dir(spark, "stream_sum")
     s = parsed_events(spark, _events_topic(spark, sf, root))
-    table = KeyedTable(spark, f"{root}/table", "user_id", retain=RETAIN)
-    drain(running.to_table(running.running(s, "user_id", running.running_sum("value")),
-                           table, f"{root}/ckpt", DRAIN))
-    return table.read()
+    log = KeyedLog(spark, f"{root}/log", "user_id")
+    drain(running.to_log(running.running(s, "user_id", running.running_sum("value")),
+                         log, f"{root}/ckpt", DRAIN))
+    return log.read()
 
 
 @query("stream_last", SQL_LAST)
@@ -118,9 +118,9 @@ def stream_last(spark, sf):
     root = fresh_dir(spark, "stream_last")
     s = parsed_events(spark, _events_topic(spark, sf, root))
     last = running.running(s, "user_id", running.running_last("event_type", ["ts_us", "event_id"]))
-    table = KeyedTable(spark, f"{root}/table", "user_id", retain=RETAIN)
-    drain(running.to_table(last, table, f"{root}/ckpt", DRAIN))
-    return table.read()
+    log = KeyedLog(spark, f"{root}/log", "user_id")
+    drain(running.to_log(last, log, f"{root}/ckpt", DRAIN))
+    return log.read()
 
 
 @query("stream_set", SQL_SETS)
@@ -129,9 +129,9 @@ def stream_set(spark, sf):
     root = fresh_dir(spark, "stream_set")
     s = parsed_events(spark, _events_topic(spark, sf, root))
     sets_ = running.running(s.select(F.col("user_id").alias("id"), "k"), "id", running.running_set("k"))
-    table = KeyedTable(spark, f"{root}/table", "id", retain=RETAIN)
-    drain(running.to_table(sets_, table, f"{root}/ckpt", DRAIN))
-    return table.read().select("id", sets.to_text("segset").alias("segs"))
+    log = KeyedLog(spark, f"{root}/log", "id")
+    drain(running.to_log(sets_, log, f"{root}/ckpt", DRAIN))
+    return log.read().select("id", sets.to_text("segset").alias("segs"))
 
 
 # ------------------------------------------------------------------ topics
@@ -186,9 +186,9 @@ def topic_multi(spark, sf):
     recs = s.select("topic", codec.parse("value", EVENT_SCHEMA).alias("r")).select("topic", "r.*")
     per = running.running(recs, ["topic", "user_id"], running.running_count(),
                           running.running_sum("value"))
-    table = KeyedTable(spark, f"{root}/table", ["topic", "user_id"], retain=RETAIN)
-    drain(running.to_table(per, table, f"{root}/ckpt", DRAIN))
-    return table.read()
+    log = KeyedLog(spark, f"{root}/log", ["topic", "user_id"])
+    drain(running.to_log(per, log, f"{root}/ckpt", DRAIN))
+    return log.read()
 
 
 @query("latest_offset", "SELECT event_type AS topic, count(*) AS next_offset FROM events GROUP BY event_type")

@@ -151,3 +151,43 @@ class KeyedTable:
         return (df.groupBy(*self.keys)
                   .agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
                   .select("_r.*"))
+
+
+class KeyedLog:
+    """A keyed table kept as an append-only change log (the O(batch) sink).
+
+    Each write stores the changed rows of one batch under ``_batch=<id>``
+    with dynamic partition overwrite, so replaying a batch replaces exactly
+    its own partition: writes are idempotent and cost the size of the batch,
+    not of the table.  A read takes the last row per key by batch (a partial
+    aggregate, so a hot key costs one row per task); :meth:`compact` folds the
+    log into a :class:`KeyedTable` image, after which older batches may be
+    dropped.  Use it where the table is an output view of state that lives
+    elsewhere (a streaming aggregate's state store); use :class:`KeyedTable`
+    where each batch must read the table it updates.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str | Sequence[str]):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.keys = [key] if isinstance(key, str) else list(key)
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        (rows.withColumn("_batch", F.lit(batch_id).cast("long"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("_batch").parquet(self.root))
+
+    def read(self, schema: T.StructType | None = None) -> DataFrame:
+        """The last row of every key."""
+        if not fs.exists(self.spark, self.root):
+            if schema is None:
+                raise ValueError(f"keyed log {self.root} is empty")
+            return frame_from_rows(self.spark, [], schema)
+        log = self.spark.read.parquet(self.root)
+        cols = [c for c in log.columns if c != "_batch"]
+        return (log.groupBy(*self.keys)
+                   .agg(F.max_by(F.struct(*cols), F.col("_batch")).alias("_r"))
+                   .select("_r.*"))
+
+    def compact(self, table: KeyedTable, version: int) -> int:
+        """Write the current state as image ``version`` of ``table``."""
+        return table.overwrite(self.read(), version)

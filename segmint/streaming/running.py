@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import aggregate as agg
-from ..sources.keyed import KeyedTable
+from ..sources.keyed import KeyedLog, KeyedTable
 from . import micro
 
 
@@ -41,6 +41,21 @@ def upsert_sink(table: KeyedTable, first_version: int = 1,
     return write
 
 
+def log_sink(log: KeyedLog) -> Callable[[DataFrame, int], None]:
+    """SNK-4 / UDF-2: a ``foreachBatch`` callback appending each batch's
+    changed rows to a change log (one write job per batch, idempotent)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log.append(batch, batch_id)
+    return write
+
+
+def to_log(aggregated: DataFrame, log: KeyedLog, checkpoint: str,
+           trig: dict | None = None, name: str | None = None) -> StreamingQuery:
+    """Start a running aggregate whose updates go to a change log."""
+    w = aggregated.writeStream.outputMode("update").foreachBatch(log_sink(log))
+    return micro.start(w, checkpoint, trig, name)
+
+
 def running(stream: DataFrame, key: str | Sequence[str], *aggs: Column,
             transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """STM-4 / STM-5 / UDF-1: optional stateless ``transform`` then a running

@@ -211,3 +211,28 @@ def test_enrich_into_keeps_other_columns(spark):
         tables.frame_from_rows(spark, [("a1", "s2"), ("a9", "s1")], "id string, k string"), 0)
     got = {r["id"]: (r["score"], r["segset"]) for r in table.read().collect()}
     assert got == {"a1": (0.5, ["s1", "s2"]), "a9": (None, ["s1"])}
+
+
+def test_keyed_log_replay_and_compact(spark):
+    from segmint.sources.keyed import KeyedLog
+    root = fresh_dir(spark, "t-log")
+    log = KeyedLog(spark, f"{root}/log", "k")
+    log.append(tables.frame_from_rows(spark, [(1, 10), (2, 20)], "k int, n long"), 0)
+    log.append(tables.frame_from_rows(spark, [(1, 11)], "k int, n long"), 1)
+    log.append(tables.frame_from_rows(spark, [(1, 11)], "k int, n long"), 1)  # replay of batch 1
+    assert sorted(map(tuple, log.read().collect())) == [(1, 11), (2, 20)]
+    t = KeyedTable(spark, f"{root}/table", "k")
+    log.compact(t, 1)
+    assert as_dict(t.read(), "k", "n") == {1: 11, 2: 20}
+
+
+def test_running_counts_through_the_log(spark):
+    from segmint.sources.keyed import KeyedLog
+    root = fresh_dir(spark, "t-logstream")
+    for part in (["a", "b", "b"], ["b", "c"]):
+        topics.write_topic(tables.frame_from_rows(spark, [(v,) for v in part], "value string"),
+                           f"{root}/topic", "t", "value")
+    s = topics.as_text(topics.stream_topic(spark, f"{root}/topic", 1))
+    log = KeyedLog(spark, f"{root}/log", "value")
+    drain(running.to_log(running.running(s, "value", running.running_count()), log, f"{root}/ckpt", DRAIN))
+    assert as_dict(log.read(), "value", "n") == {"a": 1, "b": 3, "c": 1}
