@@ -262,11 +262,11 @@ def stream_effect(spark, sf):
                                           codec.render("user_id", "last").alias("value")),
                            effects, "effects", "value", "key")
 
-    table = KeyedTable(spark, f"{root}/table", "user_id", retain=RETAIN)
-    handler = relay.merge_with_effect(table, relay.last_in_batch("user_id", ["ts_us", "event_id"]),
-                                      publish, order=["ts_us", "event_id"])
+    order = ["ts_us", "event_id"]
+    log = KeyedLog(spark, f"{root}/log", "user_id")
+    handler = relay.merge_with_effect(log, relay.last_in_batch("user_id", order), publish)
     drain(micro.start(s.writeStream.foreachBatch(handler), f"{root}/ckpt", DRAIN))
-    return table.read().select("user_id", "last")
+    return log.read(order).select("user_id", "last")
 
 
 STAGE1_SCHEMA = "a long, seg array<int>, ts_us long, id long"
@@ -297,18 +297,18 @@ def two_stage(spark, sf):
         topics.write_topic(msgs, t2, "topic2", "value")
 
     order = ["ts_us", "id"]
-    table1 = KeyedTable(spark, f"{root}/table1", "a", retain=RETAIN)
+    log1 = KeyedLog(spark, f"{root}/log1", "a")
     s1 = topics.as_text(topics.stream_topic(spark, t1, BATCH_FILES)).select(
         codec.parse("value", STAGE1_SCHEMA).alias("r")).select("r.*")
     drain(micro.start(s1.writeStream.foreachBatch(
-        relay.merge_with_effect(table1, relay.last_in_batch("a", order), decorate, order=order)),
+        relay.merge_with_effect(log1, relay.last_in_batch("a", order), decorate)),
         f"{root}/ckpt1", DRAIN))
 
-    table2 = KeyedTable(spark, f"{root}/table2", "key", retain=RETAIN)
+    log2 = KeyedLog(spark, f"{root}/log2", "key")
     s2 = topics.as_text(topics.stream_topic(spark, t2, BATCH_FILES)).select(
         codec.parse("value", STAGE2_SCHEMA).alias("r")).select("r.*")
-    drain(running.to_table(s2, table2, f"{root}/ckpt2", DRAIN, mode="append", order=order))
-    return table2.read().select("key", sets.to_text("value").alias("segs"))
+    drain(running.to_log(s2, log2, f"{root}/ckpt2", DRAIN, mode="append"))
+    return log2.read(order).select("key", sets.to_text("value").alias("segs"))
 
 
 @query("stream_enrich", SQL_SETS)

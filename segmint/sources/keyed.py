@@ -176,18 +176,22 @@ class KeyedLog:
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("_batch").parquet(self.root))
 
-    def read(self, schema: T.StructType | None = None) -> DataFrame:
-        """The last row of every key."""
+    def read(self, order: Sequence[str] | None = None,
+             schema: T.StructType | None = None) -> DataFrame:
+        """The last row of every key: by batch, or by ``order`` (columns of the
+        rows, the batch breaking ties) when records carry their own version."""
         if not fs.exists(self.spark, self.root):
             if schema is None:
                 raise ValueError(f"keyed log {self.root} is empty")
             return frame_from_rows(self.spark, [], schema)
         log = self.spark.read.parquet(self.root)
         cols = [c for c in log.columns if c != "_batch"]
+        rank = F.struct(*order, "_batch") if order else F.col("_batch")
         return (log.groupBy(*self.keys)
-                   .agg(F.max_by(F.struct(*cols), F.col("_batch")).alias("_r"))
+                   .agg(F.max_by(F.struct(*cols), rank).alias("_r"))
                    .select("_r.*"))
 
-    def compact(self, table: KeyedTable, version: int) -> int:
+    def compact(self, table: KeyedTable, version: int,
+                order: Sequence[str] | None = None) -> int:
         """Write the current state as image ``version`` of ``table``."""
-        return table.overwrite(self.read(), version)
+        return table.overwrite(self.read(order), version)

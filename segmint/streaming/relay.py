@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg
 from ..operators import lookup
-from ..sources.keyed import KeyedTable
+from ..sources.keyed import KeyedLog, KeyedTable
 
 
 def last_in_batch(key: str, order: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
@@ -31,12 +31,13 @@ def last_in_batch(key: str, order: Sequence[str]) -> Callable[[DataFrame], DataF
     return reduce
 
 
-def merge_with_effect(table: KeyedTable, reduce: Callable[[DataFrame], DataFrame],
+def merge_with_effect(table: KeyedTable | KeyedLog, reduce: Callable[[DataFrame], DataFrame],
                       effect: Callable[[DataFrame, int], None] | None = None,
                       first_version: int = 1,
                       order: Sequence[str] | None = None) -> Callable[[DataFrame, int], None]:
     """STM-8 / UDF-3: reduce the batch by key, run ``effect`` on the reduced
-    rows, then upsert them into ``table``."""
+    rows, then merge them into ``table``: an upsert into a :class:`KeyedTable`,
+    or an append to a :class:`KeyedLog` (whose reads resolve ``order``)."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         reduced = reduce(batch).persist()
         try:
@@ -45,7 +46,10 @@ def merge_with_effect(table: KeyedTable, reduce: Callable[[DataFrame], DataFrame
                 return
             if effect is not None:
                 effect(reduced, batch_id)
-            table.upsert(reduced, first_version + batch_id, order=order, known_rows=n)
+            if isinstance(table, KeyedLog):
+                table.append(reduced, batch_id)
+            else:
+                table.upsert(reduced, first_version + batch_id, order=order, known_rows=n)
         finally:
             reduced.unpersist()
     return handle

@@ -50,9 +50,11 @@ def log_sink(log: KeyedLog) -> Callable[[DataFrame, int], None]:
 
 
 def to_log(aggregated: DataFrame, log: KeyedLog, checkpoint: str,
-           trig: dict | None = None, name: str | None = None) -> StreamingQuery:
-    """Start a running aggregate whose updates go to a change log."""
-    w = aggregated.writeStream.outputMode("update").foreachBatch(log_sink(log))
+           trig: dict | None = None, name: str | None = None,
+           mode: str = "update") -> StreamingQuery:
+    """Start a stream whose updates (or, in ``append`` mode, records) go to
+    a change log."""
+    w = aggregated.writeStream.outputMode(mode).foreachBatch(log_sink(log))
     return micro.start(w, checkpoint, trig, name)
 
 

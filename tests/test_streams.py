@@ -236,3 +236,16 @@ def test_running_counts_through_the_log(spark):
     log = KeyedLog(spark, f"{root}/log", "value")
     drain(running.to_log(running.running(s, "value", running.running_count()), log, f"{root}/ckpt", DRAIN))
     assert as_dict(log.read(), "value", "n") == {"a": 1, "b": 3, "c": 1}
+
+
+def test_effect_into_log_resolves_order_across_batches(spark):
+    from segmint.sources.keyed import KeyedLog
+    log = KeyedLog(spark, fresh_dir(spark, "t-efflog"), "k")
+    seen = []
+    h = relay.merge_with_effect(log, relay.last_in_batch("k", ["ts"]),
+                                lambda d, b: seen.append((b, sorted(map(tuple, d.collect())))))
+    h(tables.frame_from_rows(spark, [(1, "new", 9), (1, "mid", 5)], "k int, v string, ts int"), 0)
+    h(tables.frame_from_rows(spark, [(1, "old", 2), (2, "x", 1)], "k int, v string, ts int"), 1)
+    assert seen == [(0, [(1, "new", 9)]), (1, [(1, "old", 2), (2, "x", 1)])]
+    assert as_dict(log.read(["ts"]), "k", "v") == {1: "new", 2: "x"}
+    assert as_dict(log.read(), "k", "v") == {1: "old", 2: "x"}  # by batch: the later write
