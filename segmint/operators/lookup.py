@@ -6,10 +6,13 @@ table makes one decision, from a bounded count of the probe's *distinct* keys
 (a map-side partial aggregate, so a key holding a third of all rows costs one
 row per map task):
 
+* very few keys (at most ``MAX_LISTED_KEYS``): an ``IN`` list pushed into the
+  table's scan, as a storage key lookup would be;
 * few keys (proven at most ``max_rows``): broadcast them into a ``left_semi``
-  cut of the table, which is then at most that many rows (the table key is
-  unique) and is broadcast back into the probe.  Neither the table nor the
-  skewed probe is shuffled.
+  cut of the table.
+  Either cut is then at most that many rows (the table key is unique) and is
+  broadcast back into the probe: neither the table nor the skewed probe is
+  shuffled.
 * many keys: one shuffle join of probe and table; AQE's skew join splits the
   partitions of hot keys.  The cut would cost more than it saves there.
 
@@ -20,7 +23,7 @@ of these checks, which run distributed on the executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ from ..functions import sets
 MAX_BROADCAST_ROWS = 1_000_000
 # ... and, for rows carrying sets, by the total number of set elements.
 MAX_BROADCAST_ELEMENTS = 20_000_000
+# Key lists this short are pushed into the scan as an IN filter instead.
+MAX_LISTED_KEYS = 1_000
 
 
 def has_at_most(df: DataFrame, max_rows: int, array_cols: Sequence[str] = (),
@@ -64,20 +69,38 @@ def _array_cols(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
 
 
-def few_keys(keys: DataFrame, key: str | Sequence[str], max_rows: int = MAX_BROADCAST_ROWS):
-    """The distinct keys as a broadcast frame when they are proven few, else None."""
-    cols = [key] if isinstance(key, str) else list(key)
-    distinct = keys.select(*cols).distinct()
-    return F.broadcast(distinct) if has_at_most(distinct, max_rows) else None
+def key_cut(keys: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS,
+            max_listed: int | None = None) -> Callable[[DataFrame], DataFrame] | None:
+    """How to restrict a table to the distinct ``key`` values of ``keys``.
+
+    * at most ``max_listed`` keys: they are collected (a bounded take, no
+      single-task funnel) and the cut is ``where(key IN (...))``, which
+      Catalyst pushes into the scan (``PushedFilters: [In(..)]``), as the
+      key list of a storage lookup;
+    * at most ``max_rows`` keys (one distributed count): a broadcast
+      ``left_semi`` join, map-side;
+    * more: ``None`` — the caller runs one shuffle join instead.
+    """
+    distinct = keys.select(key).distinct()
+    listed_max = min(MAX_LISTED_KEYS if max_listed is None else max_listed, max_rows)
+    listed = distinct.limit(listed_max + 1).collect()
+    if len(listed) <= listed_max:
+        values = [r[0] for r in listed]
+        return lambda table: table.where(F.col(key).isin(values))
+    if has_at_most(distinct, max_rows):
+        few = F.broadcast(distinct)
+        return lambda table: table.join(few, key, "left_semi")
+    return None
 
 
 def semi_cut(table: DataFrame, keys: DataFrame, key: str,
              max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Rows of ``table`` whose ``key`` occurs in ``keys`` (a key column):
-    map-side when the keys are proven few, else a shuffle semi join."""
-    few = few_keys(keys, key, max_rows)
-    if few is not None:
-        return table.join(few, key, "left_semi")
+    pushed into the scan or map-side when the keys are proven few, else a
+    shuffle semi join."""
+    cut = key_cut(keys, key, max_rows)
+    if cut is not None:
+        return cut(table)
     return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
@@ -115,10 +138,10 @@ def lookup_keys(keys: DataFrame, table: DataFrame, key: str,
     """
     probe = keys.select(key)
     rows = table.select(F.col(key), F.struct(*table.columns).alias("row"))
-    few = few_keys(probe, key, max_rows)
-    if few is None:
+    cut = key_cut(probe, key, max_rows)
+    if cut is None:
         return probe.join(rows, key, "inner")
-    hits = rows.join(few, key, "left_semi")  # at most max_rows rows: keys are unique
+    hits = cut(rows)  # at most max_rows rows: table keys are unique
     arrays = _array_cols(table)
     if arrays and not has_at_most(hits.select(*[F.col(f"row.{a}").alias(a) for a in arrays]),
                                   max_rows, arrays):
@@ -154,8 +177,8 @@ def enrich_merge(incoming: DataFrame, stored: DataFrame, key: str, value: str,
     """
     inc = incoming.select(F.col(key), F.col(value).alias("_in"))
     st = stored.select(F.col(key), F.col(value).alias("_st"), *keep)
-    few = few_keys(inc, key, max_rows)
-    if few is not None:
-        st = st.join(few, key, "left_semi")
+    cut = key_cut(inc, key, max_rows)
+    if cut is not None:
+        st = cut(st)
     return inc.join(st, key, "left").select(
         F.col(key), sets.union("_st", "_in").alias(value), *keep)

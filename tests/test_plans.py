@@ -45,16 +45,20 @@ def test_unproven_side_is_not_broadcast(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_enrich_cuts_stored_map_side(spark, sf_small):
+def test_enrich_cuts_stored_before_any_shuffle(spark, sf_small, monkeypatch):
     inc = B.incoming_profiles(spark, sf_small)
     st = B.stored_profiles(spark, sf_small)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
+        # a short key list goes into the stored side's scan as an IN filter
         p = plan(lookup.enrich_merge(inc, st, "id", "segset"))
+        assert "PushedFilters: [IsNotNull(ts), LessThan(ts,2024-01-16T00:00), In(user_id" in p
+        # longer (but proven-small) key sets: a broadcast semi join, map-side
+        monkeypatch.setattr(lookup, "MAX_LISTED_KEYS", 0)
+        p = plan(lookup.enrich_merge(inc, st, "id", "segset"))
+        assert "BroadcastHashJoin" in p and "LeftSemi" in p
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # the stored side is filtered by a broadcast semi join before any shuffle
-    assert "BroadcastHashJoin" in p and "LeftSemi" in p
 
 
 def test_set_functions_stay_in_codegen(spark):
