@@ -30,7 +30,7 @@ def parse_checked(df: DataFrame, text: str, schema: T.StructType | str,
                   out: str = "record") -> DataFrame:
     """FN-7 with error routing: adds ``out`` (the record) and ``bad`` (true when
     the text did not parse as a JSON object of the schema)."""
-    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     with_corrupt = T.StructType(list(st.fields) + [T.StructField(CORRUPT, T.StringType())])
     rec = F.from_json(F.col(text), with_corrupt,
                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})

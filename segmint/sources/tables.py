@@ -46,7 +46,7 @@ def frame_from_rows(spark: SparkSession, rows: Iterable[Sequence],
     (folded once by the optimizer) and ``inline`` expands: the frame is built
     in the JVM, with no Python worker and no dependence on session settings.
     """
-    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     text = json.dumps([dict(zip(st.names, r)) for r in rows], default=str)
     parsed = F.from_json(F.lit(text), T.ArrayType(st))
     return spark.range(1).select(F.inline(parsed))
