@@ -73,21 +73,20 @@ def key_cut(keys: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS,
             max_listed: int | None = None) -> Callable[[DataFrame], DataFrame] | None:
     """How to restrict a table to the distinct ``key`` values of ``keys``.
 
-    * at most ``max_listed`` keys: they are collected (a bounded take, no
-      single-task funnel) and the cut is ``where(key IN (...))``, which
-      Catalyst pushes into the scan (``PushedFilters: [In(..)]``), as the
-      key list of a storage lookup;
-    * at most ``max_rows`` keys (one distributed count): a broadcast
-      ``left_semi`` join, map-side;
+    One distributed count of the distinct keys decides:
+
+    * at most ``max_listed`` keys: they are collected (proven that few) and
+      the cut is ``where(key IN (...))``, which Catalyst pushes into the scan
+      (``PushedFilters: [In(..)]``), as the key list of a storage lookup;
+    * at most ``max_rows`` keys: a broadcast ``left_semi`` join, map-side;
     * more: ``None`` — the caller runs one shuffle join instead.
     """
     distinct = keys.select(key).distinct()
-    listed_max = min(MAX_LISTED_KEYS if max_listed is None else max_listed, max_rows)
-    listed = distinct.limit(listed_max + 1).collect()
-    if len(listed) <= listed_max:
-        values = [r[0] for r in listed]
+    n = distinct.count()  # one distributed count decides; large probes pay it once
+    if n <= min(MAX_LISTED_KEYS if max_listed is None else max_listed, max_rows):
+        values = [r[0] for r in distinct.collect()]  # at most that many rows
         return lambda table: table.where(F.col(key).isin(values))
-    if has_at_most(distinct, max_rows):
+    if n <= max_rows:
         few = F.broadcast(distinct)
         return lambda table: table.join(few, key, "left_semi")
     return None
