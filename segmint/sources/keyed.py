@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.lookup import MAX_BROADCAST_ROWS, has_at_most
+from ..operators import lookup
+from ..operators.lookup import MAX_BROADCAST_ROWS
 from . import fs
 from .tables import frame_from_rows
 
@@ -131,20 +132,37 @@ class KeyedTable:
         cols = old.columns if old is not None else rows.columns
         new = rows.select(*cols)
         keys = new.select(*self.keys).distinct()
-        small = known_rows <= max_rows if known_rows is not None else has_at_most(keys, max_rows)
+        n = known_rows if known_rows is not None else keys.count()
+        small = n <= max_rows
+        listed = None
+        if old is not None and len(self.keys) == 1 and n <= lookup.MAX_LISTED_KEYS:
+            # a short key list: IN / NOT IN filters on the key-sorted image
+            # (row groups are skipped for the IN side) instead of a broadcast
+            listed = [r[0] for r in keys.collect() if r[0] is not None]
         if small:
             # a proven-small batch is written as one file, not one per shuffle partition
             new = new.coalesce(1)
             keys = F.broadcast(keys)
+
+        def hit(df: DataFrame) -> DataFrame:
+            if listed is not None:
+                return df.where(F.col(self.keys[0]).isin(listed))
+            return df.join(keys, self.keys, "left_semi")
+
+        def miss(df: DataFrame) -> DataFrame:
+            if listed is not None:
+                k = F.col(self.keys[0])
+                return df.where(k.isNull() | ~k.isin(listed))
+            return df.join(keys, self.keys, "left_anti")
+
         if order:
-            new = self._last(new if old is None else
-                             old.join(keys, self.keys, "left_semi").unionByName(new), order)
+            new = self._last(new if old is None else hit(old).unionByName(new), order)
             if small:
                 new = new.coalesce(1)
         # only the new rows are sorted: the rows kept from the old image come
         # from files that were already written in key order
         new = new.sortWithinPartitions(*self.keys)
-        image = new if old is None else old.join(keys, self.keys, "left_anti").unionByName(new)
+        image = new if old is None else miss(old).unionByName(new)
         return self._commit(image, version)
 
     def _last(self, df: DataFrame, order: Sequence[str]) -> DataFrame:

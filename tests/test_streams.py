@@ -249,3 +249,18 @@ def test_effect_into_log_resolves_order_across_batches(spark):
     assert seen == [(0, [(1, "new", 9)]), (1, [(1, "old", 2), (2, "x", 1)])]
     assert as_dict(log.read(["ts"]), "k", "v") == {1: "new", 2: "x"}
     assert as_dict(log.read(), "k", "v") == {1: "old", 2: "x"}  # by batch: the later write
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_upsert_paths_agree_including_null_keys(spark, monkeypatch, listed):
+    from segmint.operators import lookup
+    if not listed:
+        monkeypatch.setattr(lookup, "MAX_LISTED_KEYS", 0)
+    t = KeyedTable(spark, fresh_dir(spark, "t-paths"), "k")
+    t.overwrite(tables.frame_from_rows(spark, [(None, "n0", 1), (1, "a", 1), (2, "b", 1)],
+                                       "k int, v string, ts int"), 0)
+    t.upsert(tables.frame_from_rows(spark, [(2, "b2", 5), (3, "c", 5), (None, "n1", 5)],
+                                    "k int, v string, ts int"), 1, order=["ts"])
+    got = sorted(map(tuple, t.read().collect()), key=repr)
+    assert got == sorted([(None, "n0", 1), (1, "a", 1), (2, "b2", 5), (3, "c", 5), (None, "n1", 5)],
+                         key=repr)
