@@ -49,9 +49,3 @@ def overlap_size(a: str | Column, b: str | Column) -> Column:
 def to_text(x: str | Column, sep: str = ",") -> Column:
     """A set as stable text (sorted, comma-joined) for reports and hashing."""
     return F.array_join(F.sort_array(_c(x)), sep)
-
-
-def from_scalar(x: str | Column) -> Column:
-    """A scalar column value as a one-element set (null gives the empty set)."""
-    c = _c(x)
-    return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c.cast("string")))
