@@ -264,3 +264,31 @@ def test_upsert_paths_agree_including_null_keys(spark, monkeypatch, listed):
     got = sorted(map(tuple, t.read().collect()), key=repr)
     assert got == sorted([(None, "n0", 1), (1, "a", 1), (2, "b2", 5), (3, "c", 5), (None, "n1", 5)],
                          key=repr)
+
+
+def test_stream_with_a_hot_key(spark):
+    """A key holding a third of all messages: running count and set stay whole."""
+    from segmint.sources.keyed import KeyedLog
+    root = fresh_dir(spark, "t-hot")
+    msgs = tables.int_range(spark, 0, 3000, 6).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+         .otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string"))).alias("key"),
+        (F.col("id") % 11).cast("string").alias("value"))
+    topics.write_topic(msgs, f"{root}/topic", "t", "value", key="key", files=3)
+    s = topics.as_text(topics.stream_topic(spark, f"{root}/topic", 1))
+    per = running.running(s, "key", running.running_count(), running.running_set("value"))
+    log = KeyedLog(spark, f"{root}/log", "key")
+    drain(running.to_log(per, log, f"{root}/ckpt", DRAIN))
+    got = {r["key"]: (r["n"], r["segset"]) for r in log.read().collect()}
+    assert got["hot"] == (1000, sorted(str(i) for i in range(11)))
+    assert sum(n for n, _ in got.values()) == 3000
+
+
+def test_run_bounded_times_out_and_stops(spark):
+    root = fresh_dir(spark, "t-timeout")
+    topics.write_topic(tables.frame_from_rows(spark, [("x",)], "value string"),
+                       f"{root}/topic", "t", "value")
+    s = topics.stream_topic(spark, f"{root}/topic")
+    q = micro.start(s.writeStream.format("noop"), f"{root}/ckpt", micro.trigger(200))
+    assert micro.run_bounded(q, lambda: True, timeout_s=2) is False
+    assert not q.isActive
