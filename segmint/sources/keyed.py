@@ -177,39 +177,69 @@ class KeyedLog:
     Each write stores the changed rows of one batch under ``_batch=<id>``
     with dynamic partition overwrite, so replaying a batch replaces exactly
     its own partition: writes are idempotent and cost the size of the batch,
-    not of the table.  A read takes the last row per key by batch (a partial
-    aggregate, so a hot key costs one row per task); :meth:`compact` folds the
-    log into a :class:`KeyedTable` image, after which older batches may be
-    dropped.  Use it where the table is an output view of state that lives
-    elsewhere (a streaming aggregate's state store); use :class:`KeyedTable`
-    where each batch must read the table it updates.
+    not of the table.  A read takes the last row per key by batch (or by the
+    records' own order), a partial aggregate, so a hot key costs one row per
+    task.  :meth:`compact` folds the batches up to some id into a base image
+    (a :class:`KeyedTable` under ``_base``, which partition discovery skips)
+    and drops them, so reads stay proportional to the state plus the batches
+    since the last compaction.  Use it where the table is an output view of
+    state that lives elsewhere (a streaming aggregate's state store); use
+    :class:`KeyedTable` where each batch must read the table it updates.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str | Sequence[str]):
         self.spark, self.root = spark, root.rstrip("/")
         self.keys = [key] if isinstance(key, str) else list(key)
+        self.base = KeyedTable(spark, f"{self.root}/_base", key, retain=2)
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         (rows.withColumn("_batch", F.lit(batch_id).cast("long"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("_batch").parquet(self.root))
 
+    def _batches(self) -> list[int]:
+        return sorted(int(n.split("=", 1)[1]) for n in fs.list_dirs(self.spark, self.root)
+                      if n.startswith("_batch="))
+
+    def _rows(self, upto: int | None = None) -> DataFrame | None:
+        """Base image (as batch ``base``) and the log batches after it."""
+        base_v = self.base.latest()
+        parts = None
+        if any((base_v is None or b > base_v) and (upto is None or b <= upto)
+               for b in self._batches()):
+            parts = self.spark.read.parquet(self.root)
+            if base_v is not None:
+                parts = parts.where(F.col("_batch") > F.lit(base_v))
+            if upto is not None:
+                parts = parts.where(F.col("_batch") <= F.lit(upto))
+        if base_v is None:
+            return parts
+        base = self.base.read(version=base_v).withColumn("_batch", F.lit(base_v).cast("long"))
+        return base if parts is None else base.unionByName(parts)
+
     def read(self, order: Sequence[str] | None = None,
-             schema: T.StructType | None = None) -> DataFrame:
+             schema: T.StructType | None = None, upto: int | None = None) -> DataFrame:
         """The last row of every key: by batch, or by ``order`` (columns of the
         rows, the batch breaking ties) when records carry their own version."""
-        if not fs.exists(self.spark, self.root):
+        log = self._rows(upto)
+        if log is None:
             if schema is None:
                 raise ValueError(f"keyed log {self.root} is empty")
             return frame_from_rows(self.spark, [], schema)
-        log = self.spark.read.parquet(self.root)
         cols = [c for c in log.columns if c != "_batch"]
         rank = F.struct(*order, "_batch") if order else F.col("_batch")
         return (log.groupBy(*self.keys)
                    .agg(F.max_by(F.struct(*cols), rank).alias("_r"))
                    .select("_r.*"))
 
-    def compact(self, table: KeyedTable, version: int,
-                order: Sequence[str] | None = None) -> int:
-        """Write the current state as image ``version`` of ``table``."""
-        return table.overwrite(self.read(order), version)
+    def compact(self, upto: int, order: Sequence[str] | None = None) -> None:
+        """Fold every batch up to ``upto`` into the base image, then drop them.
+
+        The new base is committed before any batch is dropped, and a read
+        ignores batches at or below the base, so a crash in between loses
+        nothing.
+        """
+        self.base.overwrite(self.read(order, upto=upto), version=upto)
+        for b in self._batches():
+            if b <= upto:
+                fs.delete(self.spark, f"{self.root}/_batch={b}")

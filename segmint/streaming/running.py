@@ -41,20 +41,25 @@ def upsert_sink(table: KeyedTable, first_version: int = 1,
     return write
 
 
-def log_sink(log: KeyedLog) -> Callable[[DataFrame, int], None]:
+def log_sink(log: KeyedLog, compact_every: int | None = None,
+             order: Sequence[str] | None = None) -> Callable[[DataFrame, int], None]:
     """SNK-4 / UDF-2: a ``foreachBatch`` callback appending each batch's
-    changed rows to a change log (one write job per batch, idempotent)."""
+    changed rows to a change log (one write job per batch, idempotent); every
+    ``compact_every`` batches the log is folded into its base image."""
     def write(batch: DataFrame, batch_id: int) -> None:
         log.append(batch, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            log.compact(batch_id, order)
     return write
 
 
 def to_log(aggregated: DataFrame, log: KeyedLog, checkpoint: str,
            trig: dict | None = None, name: str | None = None,
-           mode: str = "update") -> StreamingQuery:
+           mode: str = "update", compact_every: int | None = None,
+           order: Sequence[str] | None = None) -> StreamingQuery:
     """Start a stream whose updates (or, in ``append`` mode, records) go to
     a change log."""
-    w = aggregated.writeStream.outputMode(mode).foreachBatch(log_sink(log))
+    w = aggregated.writeStream.outputMode(mode).foreachBatch(log_sink(log, compact_every, order))
     return micro.start(w, checkpoint, trig, name)
 
 

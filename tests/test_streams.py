@@ -221,9 +221,12 @@ def test_keyed_log_replay_and_compact(spark):
     log.append(tables.frame_from_rows(spark, [(1, 11)], "k int, n long"), 1)
     log.append(tables.frame_from_rows(spark, [(1, 11)], "k int, n long"), 1)  # replay of batch 1
     assert sorted(map(tuple, log.read().collect())) == [(1, 11), (2, 20)]
-    t = KeyedTable(spark, f"{root}/table", "k")
-    log.compact(t, 1)
-    assert as_dict(t.read(), "k", "n") == {1: 11, 2: 20}
+    log.compact(0)  # fold batch 0 into the base; batch 1 stays in the log
+    log.append(tables.frame_from_rows(spark, [(3, 30)], "k int, n long"), 2)
+    assert sorted(map(tuple, log.read().collect())) == [(1, 11), (2, 20), (3, 30)]
+    log.compact(2)
+    assert log._batches() == [] and log.base.latest() == 2
+    assert sorted(map(tuple, log.read().collect())) == [(1, 11), (2, 20), (3, 30)]
 
 
 def test_running_counts_through_the_log(spark):
