@@ -254,7 +254,8 @@ def bounded_run(spark, sf):
 @query("stream_effect", SQL_LAST)
 def stream_effect(spark, sf):
     """STM-8, UDF-3: per batch, reduce to the last row per user, publish the
-    reduced rows (the effect) before merging them into the table."""
+    reduced rows (the effect) before merging them into the keyed change log,
+    whose reads resolve the records' (ts, event_id) order."""
     root = fresh_dir(spark, "stream_effect")
     s = parsed_events(spark, _events_topic(spark, sf, root)).select(
         "user_id", F.col("event_type").alias("last"), "ts_us", "event_id")
@@ -283,7 +284,8 @@ STAGE2_SCHEMA = "key long, value array<int>, ts_us long, id long"
     FROM events) WHERE rn = 1""")
 def two_stage(spark, sf):
     """STM-9, SNK-3: topic1 → key by ``a`` → per-batch merge whose effect
-    decorates the sets (+1) into topic2 → key → upsert."""
+    decorates the sets (+1) into topic2 → key → keyed change log (last by the
+    records' own order, so repeated relay messages are harmless)."""
     root = fresh_dir(spark, "two_stage")
     t1, t2 = f"{root}/topic1", f"{root}/topic2"
     ev = B.events(spark, sf)
