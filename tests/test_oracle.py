@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from tools.check_oracle import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
 
 
 @pytest.fixture(scope="module")
@@ -34,4 +35,8 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    # same column types in both engines (the driver compares schemas too)
+    spark_types = {f.name: SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == {c[0]: str(c[1]) for c in res.description}
     assert rows_of(df.columns, srows) == rows_of(dcols, drows)
