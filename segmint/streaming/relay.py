@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sets
 from ..operators import aggregate as agg
 from ..operators import lookup
 from ..sources.keyed import KeyedLog, KeyedTable
@@ -78,3 +79,20 @@ def enrich_into(table: KeyedTable, key: str, element: str, value: str = "segset"
         finally:
             incoming.unpersist()
     return handle
+
+
+def enrich_static(stream: DataFrame, stored: DataFrame, key: str, value: str = "segset",
+                  keep: Sequence[str] = ()) -> DataFrame:
+    """STM-11 for a stored table that does not change while the stream runs:
+    a stream-static left join, each incoming record's set unioned with the
+    stored set of its key (``keep`` carries further stored columns).
+
+    Stateless and simple, but the static side is planned again every batch
+    and cannot be cut to the batch's keys first, so for a large stored table
+    :func:`enrich_into` (which cuts it per batch, and sees updates) is the
+    one to use.
+    """
+    st = stored.select(F.col(key), F.col(value).alias("_st"), *keep)
+    return (stream.join(st, key, "left")
+                  .withColumn(value, sets.union("_st", value))
+                  .drop("_st"))

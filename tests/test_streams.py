@@ -295,3 +295,21 @@ def test_run_bounded_times_out_and_stops(spark):
     q = micro.start(s.writeStream.format("noop"), f"{root}/ckpt", micro.trigger(200))
     assert micro.run_bounded(q, lambda: True, timeout_s=2) is False
     assert not q.isActive
+
+
+def test_enrich_static_stream(spark):
+    root = fresh_dir(spark, "t-static")
+    recs = tables.frame_from_rows(spark, [("a2", ["s1", "s3"]), ("a3", ["s1", "s3"])],
+                                  "id string, segset array<string>")
+    topics.write_topic(recs.select(codec.render("id", "segset").alias("value")),
+                       f"{root}/topic", "t", "value")
+    s = topics.as_text(topics.stream_topic(spark, f"{root}/topic")).select(
+        codec.parse("value", "id string, segset array<string>").alias("r")).select("r.*")
+    stored = tables.frame_from_rows(spark, [("a1", ["s1", "s2"]), ("a2", ["s2", "s3"])],
+                                    "id string, segset array<string>")
+    out = relay.enrich_static(s, stored, "id")
+    assert out.isStreaming
+    drain(micro.start(out.writeStream.format("parquet").option("path", f"{root}/sink"),
+                      f"{root}/ckpt", DRAIN))
+    got = {r["id"]: r["segset"] for r in spark.read.parquet(f"{root}/sink").collect()}
+    assert got == {"a2": ["s1", "s2", "s3"], "a3": ["s1", "s3"]}
