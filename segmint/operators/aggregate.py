@@ -102,12 +102,17 @@ def build_map(df: DataFrame, group: str | Sequence[str], key: str, value: str |
         .alias(name))
 
 
-def collect_map(df: DataFrame, key: str, value: str) -> dict:
+def collect_map(df: DataFrame, key: str, value: str, max_rows: int = 100_000) -> dict:
     """SNK-5: a *small* keyed result to a driver dict (repeated keys: one value).
 
-    For tests and reports on results already reduced to one row per key.
+    For tests and reports on results already reduced to one row per key.  At
+    most ``max_rows`` rows are taken (a bounded take, one job); a larger
+    result raises instead of pulling everything through the driver.
     """
-    return {r[0]: r[1] for r in df.select(key, value).collect()}
+    rows = df.select(key, value).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows: not a small keyed result")
+    return {r[0]: r[1] for r in rows}
 
 
 def overlap_count(a: DataFrame, b: DataFrame, name: str = "n") -> DataFrame:

@@ -205,3 +205,9 @@ def test_hot_key_holding_a_third_of_the_key_list(spark):
     counts = as_dict(agg.count_by_value(out, "id"), "id", "count")
     expect = as_dict(agg.count_by_value(keys, "id"), "id", "count")
     assert counts == expect and sum(counts.values()) == 3000
+
+
+def test_collect_map_refuses_large_results(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        agg.collect_map(tables.int_range(spark, 0, 50).select("id", "id"), "id", "id", max_rows=10)
