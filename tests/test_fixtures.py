@@ -210,4 +210,5 @@ def test_hot_key_holding_a_third_of_the_key_list(spark):
 def test_collect_map_refuses_large_results(spark):
     import pytest
     with pytest.raises(ValueError):
-        agg.collect_map(tables.int_range(spark, 0, 50).select("id", "id"), "id", "id", max_rows=10)
+        agg.collect_map(tables.int_range(spark, 0, 50).select("id", F.col("id").alias("v")), "id", "v",
+                        max_rows=10)
