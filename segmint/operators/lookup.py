@@ -82,10 +82,14 @@ def key_cut(keys: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS,
     * more: ``None`` — the caller runs one shuffle join instead.
     """
     distinct = keys.select(key).distinct()
-    n = distinct.count()  # one distributed count decides; large probes pay it once
-    if n <= min(MAX_LISTED_KEYS if max_listed is None else max_listed, max_rows):
-        values = [r[0] for r in distinct.collect()]  # at most that many rows
-        return lambda table: table.where(F.col(key).isin(values))
+    cached = distinct.persist()
+    try:
+        n = cached.count()  # one distributed count decides; large probes pay it once
+        if n <= min(MAX_LISTED_KEYS if max_listed is None else max_listed, max_rows):
+            values = [r[0] for r in cached.collect()]  # at most that many, from the cache
+            return lambda table: table.where(F.col(key).isin(values))
+    finally:
+        cached.unpersist()  # nothing stays cached once the decision is made
     if n <= max_rows:
         few = F.broadcast(distinct)
         return lambda table: table.join(few, key, "left_semi")
