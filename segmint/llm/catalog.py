@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import binary, licenses, packing, quality, shards, urls
+from . import binary, jaccard_join, licenses, packing, quality, shards, urls
 
 Q = {
     "op1_url_filters": urls.op1_url_filters,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_packing": packing.op3_packing,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_sharding": shards.op7_sharding,
