@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, jaccard_join, licenses, packing, quality, shards, urls
+from . import binary, jaccard_join, licenses, packing, quality, shards, suffix_dedup, urls
 
 Q = {
     "op1_url_filters": urls.op1_url_filters,
@@ -12,6 +12,7 @@ Q = {
     "op7_sharding": shards.op7_sharding,
     "op8_token_binary": binary.op8_token_binary,
     "op9_license_scans": licenses.op9_license_scans,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 SQL = {"op5_quality_rules": quality.SQL}
