@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import binary, jaccard_join, licenses, packing, quality, shards, suffix_dedup, urls
+from . import binary, decontaminate, jaccard_join, licenses, packing, quality, shards, suffix_dedup, toxicity, urls
 
 Q = {
     "op1_url_filters": urls.op1_url_filters,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_sharding": shards.op7_sharding,
     "op8_token_binary": binary.op8_token_binary,
     "op9_license_scans": licenses.op9_license_scans,
