@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import fresh_dir
 from .common import kept, table
 from .shards import n_parts
-from .tokens import Encoder, chunks, tokenizer_path
+from .tokens import chunks, encoder, id_kind, tokenizer_path
 
 LANES, BLOCK, CHECK_STEPS = 1024, 1 << 20, 256
 LOW = np.uint64(1 << 31)
@@ -111,26 +111,28 @@ def decode_block(data: bytes, t: Table, first_check: int = 0, n_checks: int | No
 
 
 def tokenised(documents: DataFrame, path: str, kind: str, end: int) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), ``end`` appended; null text: empty."""
+    """doc_id, n_tokens, ids (of the kind that ``id_kind`` names), ``end`` appended; null text: empty."""
+    kind_of_id = id_kind(path)
+
     def run(batches):
-        enc = Encoder(path, kind)
+        enc = encoder(path, kind)
         for b in batches:
             for first, texts in chunks(b.column(1)):
                 ids = enc.encode(texts, end)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(texts)), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+                     pa.array([x.astype(kind_of_id).tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
     """token, n over all rows: each task sends at most one row a distinct id."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for v in b.column(0):
-                n = np.bincount(np.frombuffer(v.as_buffer(), "<u4"))
+                n = np.bincount(np.frombuffer(v.as_buffer(), kind))
                 if len(n) > len(total):
                     total, n = n, total
                 total[:len(n)] += n
@@ -139,12 +141,12 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def write(tokens: DataFrame, path: str) -> None:
-    """``tokens`` (doc_id, n_tokens, ids) as files in ascending doc_id order, null
+def write(tokens: DataFrame, path: str, kind: str) -> None:
+    """``tokens`` (doc_id, n_tokens, ids of ``kind``) as files in ascending doc_id order, null
     first; rows of one doc_id keep one order (by content).  ``tokens`` is read
     several times, so it should be a written table."""
     spark = tokens.sparkSession
-    counts = count_ids(tokens).collect()  # one row an id of the vocabulary
+    counts = count_ids(tokens, kind).collect()  # one row an id of the vocabulary
     tab = Table.of([r["token"] for r in counts], [r["n"] for r in counts])
     spark.createDataFrame([(int(a), int(b)) for a, b in zip(tab.tokens, tab.freq)], "token long, freq long").coalesce(
         1).write.parquet(f"{path}/table")
@@ -157,7 +159,7 @@ def write(tokens: DataFrame, path: str) -> None:
         docs, ids, size = [], [], 0
 
         def flush():
-            flat = np.concatenate(ids)
+            flat = np.concatenate(ids).astype(np.uint32)
             names = np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs)
             head = struct.pack("<I", len(docs)) + names + np.array([len(x) for x in ids], "<u4").tobytes()
             row = [part, state["block"], state["start"], len(flat), len(docs), head + encode_block(flat, t)]
@@ -168,7 +170,7 @@ def write(tokens: DataFrame, path: str) -> None:
 
         for b in batches:
             for d, v in zip(b.column(0).to_pylist(), b.column(1)):
-                one = np.frombuffer(v.as_buffer(), "<u4")
+                one = np.frombuffer(v.as_buffer(), kind)
                 if docs and size + len(one) > BLOCK:
                     yield flush()
                     docs, ids, size = [], [], 0
@@ -226,7 +228,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def op8_token_binary(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    tokens = kept(tokenised(table(spark, sf_dir, "documents"), tokenizer_path(tokenizer), "word", end=2), "tokens")
+    file = tokenizer_path(tokenizer)
+    tokens = kept(tokenised(table(spark, sf_dir, "documents"), file, "word", end=2), "tokens")
     path = fresh_dir(spark, "token-files")
-    write(tokens, path)
+    write(tokens, path, id_kind(file))
     return read(spark, path)

@@ -118,12 +118,12 @@ def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHO
 
 def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents`` that contain no item."""
-    row = free_name(documents, "row_number")
-    numbered = kept(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    hits = contained(numbered.select(F.col(row).alias("doc_id"), "text"), items, threshold)
-    bad = kept(hits.select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    key = free_name(documents, "row_key")
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "text"))  # equal rows get the same answer
+    hits = contained(keyed.select(F.col(key).alias("doc_id"), "text"), items, threshold)
+    bad = kept(hits.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
     small = bad.count() <= 1 << 20
-    return numbered.join(F.broadcast(bad) if small else bad, row, "left_anti").drop(row)
+    return keyed.join(F.broadcast(bad) if small else bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import free_name, kept, table
 from .components import components
 from .shingles import Shingler, mix
 from .tokens import chunks
@@ -79,32 +79,33 @@ def signatures(sets: list[np.ndarray]):
 
 
 def measured(documents: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (of equal sets alike), and for each role
+    """doc_id, text_key, n_shingles, set_key (of equal sets alike), and for each role
     tolerance and need of the document's segments."""
-    names = ["doc_id", "n_shingles", "set_key", "tol0", "tol1", "need0", "need1"]
+    names = ["doc_id", "text_key", "n_shingles", "set_key", "tol0", "tol1", "need0", "need1"]
 
     def run(batches):
         sh = Shingler()
         for b in batches:
-            for at, texts in chunks(b.column(1)):
+            for at, texts in chunks(b.column(2)):
                 sets = sh.sets(texts)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 _, (t0, t1) = signatures(sets)
                 (_, n0), (b1, n1) = plan(sizes)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(t0),
+                    [b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(t0),
                      pa.array(t1), pa.array(n0), pa.array(np.where(b1 >= 0, n1, 0))], names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, tol0 long, tol1 long, need0 long, need1 long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
+                            F.col(text).alias("text")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, set_key binary, tol0 long, tol1 long, need0 long, need1 long")
 
 
-def only(documents: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def only(documents: DataFrame, ids: DataFrame, how: str, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """left_semi or left_anti of documents by ``ids`` (a written table): sent to all
     tasks up to ``BROADCAST_IDS`` rows (16 MB), else a shuffled join."""
-    ids = ids.select("doc_id")
-    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    ids = ids.select(*on)
+    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, list(on), how)
 
 
 def _emitted(documents: DataFrame, n_buckets: int) -> DataFrame:
@@ -266,7 +267,7 @@ def _by_shingle(documents: DataFrame, sizes: DataFrame, percent: int) -> DataFra
 
 
 def join(documents: DataFrame, text: str = "text", percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, representative of every row.
+    """doc_id, n_shingles, component_id, representative, text_key (xxhash64 of the text) of every row.
 
     Texts link when 100 * intersection >= percent * union of their shingle sets
     (percent 80: the segments are made for it).  component_id is the smallest
@@ -291,7 +292,23 @@ def join(documents: DataFrame, text: str = "text", percent: int = 80) -> DataFra
     out = rows.join(found.withColumnRenamed("node", "representative"), "representative", "left")
     return out.select("doc_id", "n_shingles",
                       F.coalesce("component", "representative", "doc_id").alias("component_id"),
-                      F.coalesce("representative", "doc_id").alias("representative"))
+                      F.coalesce("representative", "doc_id").alias("representative"), "text_key")
+
+
+def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that are the first (by doc_id) of their group of
+    linked texts.  Of rows that agree in doc_id and text one stays; rows without
+    doc_id or words all stay."""
+    key = free_name(documents, "text_key")
+    found = kept(join(documents, text).withColumnRenamed("text_key", key), "joined")
+    gone = kept(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id", key).distinct(), "gone")
+    out = only(documents.withColumn(key, F.xxhash64(text)), gone, "left_anti", ("doc_id", key))
+    twice = kept(found.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id", key).count()
+                 .where(F.col("count") > 1).select("doc_id", key), "twice")
+    if not twice.isEmpty():
+        out = only(out, twice, "left_anti", ("doc_id", key)).unionByName(
+            only(out, twice, "left_semi", ("doc_id", key)).dropDuplicates(["doc_id", key]))
+    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

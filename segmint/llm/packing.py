@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, table
-from .tokens import Encoder, chunks, tokenizer_path
+from .tokens import chunks, encoder, tokenizer_path
 
 LENGTH, GROUP, END = 1024, 16_384, 2
 
@@ -112,7 +112,7 @@ def pieces_of(documents: DataFrame, path: str, kind: str = "byte", end: int = EN
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def run(batches):
-        enc = Encoder(path, kind)
+        enc = encoder(path, kind)
         for b in batches:
             docs = b.column(0).to_pylist()
             for first, texts in chunks(b.column(1)):

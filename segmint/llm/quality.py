@@ -119,7 +119,10 @@ def keep(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     p = "_quality_"
     while any(c.lower().startswith(p) for c in df.columns):
         p = "_" + p
-    return with_stats(df, text, p).where(verdict(rules, p)[1]).select(*[F.col(f"`{c}`") for c in df.columns])
+    # a one-row generator instead of a filter: the optimizer would push a filter below the
+    # statistics and repeat their expressions for every mention
+    passed = F.explode(F.filter(F.array(verdict(rules, p)[1]), lambda x: x))
+    return with_stats(df, text, p).withColumn(f"{p}kept", passed).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import kept, table
 from .shingles import mix
@@ -296,14 +297,16 @@ def merged(found: DataFrame) -> DataFrame:
 
 
 def marked(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with ``_spans`` (maximal removed runs of UTF-8 bytes; null:
-    none) and ``_copy`` (all bytes go: a smaller doc_id has the same text).
+    """doc_id, ``_row`` (all columns of ``documents``), ``_bytes`` (UTF-8), ``_spans`` (maximal
+    removed runs; null: none) and ``_copy`` (all bytes go: a smaller doc_id has the same text).
 
     A null text is empty.  A null doc_id comes after all others.  Rows of one
     doc_id don't remove each other's bytes."""
     b = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    keyed = documents.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_bytes": b,
-                                   "_row": F.xxhash64(b), "_digest": F.unhex(F.md5(b))})
+    packed = documents.select("doc_id", b.alias("_bytes"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    b = F.col("_bytes")
+    keyed = packed.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": F.xxhash64(b),
+                             "_digest": F.unhex(F.md5(b))})
     long = F.octet_length("_bytes") >= WIDTH
     heads = keyed.where(long).groupBy("_digest").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"))
     # only groups with a copy: the rest needs no looking up
@@ -311,12 +314,12 @@ def marked(documents: DataFrame, text: str = "text") -> DataFrame:
     size = 64 * shared.count()
     looked = keyed.join(F.broadcast(shared) if size <= BROADCAST_BYTES else shared, "_digest", "left")
     flagged = looked.withColumn("_copy", F.coalesce(F.col("lo") < F.col("_doc"), F.lit(False))).drop("lo", "hi")
-    rows = flagged.where(long & ~F.col("_copy")).select(F.col("_doc").alias("doc_id"), F.col("_row").alias("row_key"),
+    rows = flagged.where(long & ~F.col("_copy")).select(F.col("_doc").alias("doc_id"), F.col("_key").alias("row_key"),
                                                        F.col("_bytes").alias("bytes"))
     found = kept(merged(spans(rows)), "spans")
     size = found.agg(F.coalesce(F.sum(F.octet_length("spans") + 64), F.lit(0))).first()[0]
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row"), F.col("spans").alias("_spans"))
-    return flagged.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, ["_doc", "_row"], "left")
+    found = found.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
+    return flagged.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, ["_doc", "_key"], "left")
 
 
 def _cut(raw: bytes, spans: bytes | None, copy: bool) -> tuple[bytes, int, int]:
@@ -331,6 +334,37 @@ def _cut(raw: bytes, spans: bytes | None, copy: bool) -> tuple[bytes, int, int]:
     return out, len(raw) - len(out), len(ends) // 2
 
 
+def without_repeats(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``documents`` with the repeated passages cut out of ``text``: a character goes
+    if all its bytes do, so the text stays valid.  Rows that lose something and
+    keep no more than white space go; all others stay."""
+    found = marked(documents, text)
+    kind = found.schema["_row"].dataType
+
+    def run(batches):
+        for b in batches:
+            new, gone = [], []
+            for raw, sp, copy in zip(b.column(0), b.column(1), b.column(2).to_pylist()):
+                raw, sp = raw.as_buffer().to_pybytes(), sp.as_py()
+                if sp and not copy:
+                    ends = np.frombuffer(sp, "<u4").astype(np.int64)
+                    inside = np.r_[(np.frombuffer(raw, np.uint8) & 0xC0) == 0x80, False]
+                    a, e = ends[0::2].copy(), ends[1::2].copy()
+                    for _ in range(3):  # whole characters: at most three bytes further
+                        a, e = a + inside[a], e - inside[e]
+                    sp = np.stack([a, e], 1)[e > a].astype("<u4").tobytes()
+                rest, removed, _ = _cut(raw, sp, copy)
+                new.append(rest.decode("utf-8", "surrogatepass"))
+                gone.append(removed > 0 and not rest.split())
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), pa.array(gone, pa.bool_()), b.column(3)], ["new", "gone", "_row"])
+
+    out_type = StructType([StructField("new", StringType()), StructField("gone", BooleanType()), StructField("_row", kind)])
+    out = found.select("_bytes", "_spans", "_copy", "_row").mapInArrow(run, out_type).where(~F.col("gone"))
+    value = lambda c: F.col("_row").getField(c)
+    return out.select(*(F.when(value(c).isNotNull(), F.col("new")).alias(c) if c == text else value(c).alias(c)
+                        for c in documents.columns))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from ``marked``."""
     def run(batches):
