@@ -37,7 +37,7 @@ SPAN = WIDTH - GRAM + 1
 HOT = 4096  # a key with more places sends single windows, dealt by their own bytes
 PER_BUCKET = 1 << 20
 BROADCAST_BYTES = 64 << 20
-CHUNK = 8 << 20
+CHUNK, SLICE = 4 << 20, 1 << 20
 LAST = (1 << 63) - 1  # stands for a null doc_id
 _POS = np.uint64((1 << 31) - 1)
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -49,7 +49,28 @@ def _letters(buf: np.ndarray) -> np.ndarray:
 
 
 def runs(texts: list[bytes]):
-    """(text index, first window in the text, windows, key) of every run of each text."""
+    """(text index, first window in the text, windows, key) of every run of each text.
+
+    Long texts go in overlapping slices of ``SLICE`` windows, so memory is bounded;
+    a run that a slice's border cuts is two runs of one key."""
+    slices = [(i, a, t[a:a + SLICE + WIDTH - 1]) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - WIDTH + 1), SLICE)]
+    parts, batch, size = [], [], 0
+    for x in slices:
+        if batch and size + len(x[2]) > SLICE + WIDTH:
+            parts.append(_of_slices(batch))
+            batch, size = [], 0
+        batch.append(x)
+        size += len(x[2])
+    parts.append(_of_slices(batch))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _of_slices(batch: list[tuple[int, int, bytes]]):
+    d, p, n, key = _runs([t for _, _, t in batch])
+    return np.array([i for i, _, _ in batch], np.int64)[d], p + np.array([a for _, a, _ in batch], np.int64)[d], n, key
+
+
+def _runs(texts: list[bytes]):
     sizes = np.array([len(t) for t in texts], np.int64)
     n = int(sizes.sum())
     buf = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
@@ -143,7 +164,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, rows, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
-            for at, texts in _chunks(b.column(2), CHUNK // 2):
+            for at, texts in _chunks(b.column(2), CHUNK // 4):
                 d, p, n, key = runs(texts)
                 base = np.cumsum([0] + [len(t) for t in texts])[:-1]
                 want = [np.asarray(lists[at + i].values.to_numpy(zero_copy_only=False)) for i in range(len(texts))]
@@ -168,8 +189,8 @@ def _contexts(docs: DataFrame) -> DataFrame:
                 for k in (0, 8, 16, 24, 32, 40, 42):
                     own_key = mix(own_key ^ v[first[single] + k])
                 key[single] = own_key
-                for i in range(0, len(d), 1 << 17):
-                    s = slice(i, i + (1 << 17))
+                for i in range(0, len(d), 1 << 14):
+                    s = slice(i, i + (1 << 14))
                     size = n[s] + WIDTH - 1
                     flat = buf[np.repeat(first[s] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
                     yield pa.RecordBatch.from_arrays(
@@ -270,7 +291,7 @@ def spans(rows: DataFrame) -> DataFrame:
     found = rows.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, "doc_id")
     c = kept(_contexts(found).withColumns({"h1": F.xxhash64("context"), "h2": F.xxhash64(F.lit(1), "context")}), "contexts")
     distinct = c.groupBy("h1", "h2", "key", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    n = max(1, -(-c.count() // (PER_BUCKET // 8)))
+    n = max(1, -(-c.count() // (PER_BUCKET // 32)))
     lost = distinct.withColumn("bucket", F.pmod("key", F.lit(n))).groupBy("bucket").applyInArrow(
         _sorted_bucket, "h1 long, h2 long, shift int, n int, least long")
     hit = c.select("doc_id", "row_key", "place", "h1", "h2").join(lost, ["h1", "h2"]).where(F.col("least") < F.col("doc_id"))
