@@ -114,7 +114,7 @@ def _emitted(documents: DataFrame, n_buckets: int) -> DataFrame:
         sh = Shingler()
         for b in batches:
             ids = b.column(0).to_numpy()
-            for at, texts in chunks(b.column(1), 16 << 20):
+            for at, texts in chunks(b.column(1)):
                 (doc, role, sig), _ = signatures(sh.sets(texts))
                 bucket = ((sig >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
                 order = np.argsort(bucket, kind="stable")
@@ -291,8 +291,8 @@ def join(documents: DataFrame, text: str = "text", percent: int = 80) -> DataFra
     found = components(links(single, sizes, percent))
     out = rows.join(found.withColumnRenamed("node", "representative"), "representative", "left")
     return out.select("doc_id", "n_shingles",
-                      F.coalesce("component", "representative", "doc_id").alias("component_id"),
-                      F.coalesce("representative", "doc_id").alias("representative"), "text_key")
+                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "representative", "doc_id")).alias("component_id"),
+                      F.when(F.col("doc_id").isNotNull(), F.coalesce("representative", "doc_id")).alias("representative"), "text_key")
 
 
 def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
