@@ -3,7 +3,9 @@
 Pieces that fill a sequence have it to themselves.  The others are dealt by
 hash to groups of bounded size.  Inside a group each piece goes to the open
 sequence for which the sum of the squared counts of open sequences per residual
-gap becomes smallest.  What is left open is packed once more across groups.
+gap becomes smallest, which keeps gaps of all sizes for the pieces to come.
+The pieces of sequences that it leaves open are dealt anew and finished by best
+fit: no pieces come after them, so only the tightest gap counts.
 """
 
 from __future__ import annotations
@@ -58,20 +60,45 @@ def sum_of_squares(sizes, length: int = LENGTH) -> tuple[list[int], list[int], l
     return bins, offsets, used
 
 
-def _place(length: int):
-    """A group's rows (item, size) by falling size: rows (item, grp, bin, offset, used)."""
+def best_fit(sizes, length: int = LENGTH) -> tuple[list[int], list[int], list[int]]:
+    """As ``sum_of_squares``, but each piece goes to the smallest gap that holds it."""
+    open_, stacks, used, bins, offsets = np.zeros(length + 1, bool), [[] for _ in range(length + 1)], [], [], []
+    for s in sizes:
+        gap = s + int(open_[s:length].argmax()) if s < length else length
+        if gap < length and open_[gap]:
+            b = stacks[gap].pop()
+            open_[gap] = bool(stacks[gap])
+        else:
+            b, gap = len(used), length
+            used.append(0)
+        bins.append(b)
+        offsets.append(used[b])
+        used[b] += s
+        if 0 < gap - s < length:
+            open_[gap - s] = True
+            stacks[gap - s].append(b)
+    return bins, offsets, used
+
+
+def _place(length: int, method):
+    """A group's rows (item, size, grp) by falling size: rows (item, size, grp, bin, offset, used)."""
     def run(t: pa.Table) -> pa.Table:
-        size, item = t.column("size").to_numpy(), t.column("item").to_numpy()
+        size, item, grp = (t.column(c).to_numpy() for c in ("size", "item", "grp"))
         order = np.lexsort((item, -size))
-        bins, offsets, used = sum_of_squares(size[order].tolist(), length)
-        return pa.table({"item": pa.array(item[order], pa.int64()),
-                         "grp": pa.array(t.column("grp").to_numpy()[order], pa.int64()),
-                         "bin": pa.array(bins, pa.int64()), "offset": pa.array(offsets, pa.int64()),
-                         "used": pa.array(np.array(used, np.int64)[bins] if bins else [], pa.int64())})
+        bins, offsets, used = method(size[order].tolist(), length)
+        columns = [item[order], size[order], grp[order], bins, offsets, np.array(used, np.int64)[bins] if bins else []]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("item", "size", "grp", "bin", "offset", "used"), columns)})
     return run
 
 
-_PLACED = "item long, grp long, bin long, offset long, used long"
+_PLACED = "item long, size long, grp long, bin long, offset long, used long"
+
+
+def _dealt(items: DataFrame, length: int, method) -> DataFrame:
+    """Items in groups of about ``GROUP``, each packed in one task."""
+    groups = max(1, -(-items.count() // GROUP))
+    return items.withColumn("grp", F.pmod(F.xxhash64("item"), F.lit(groups))).groupBy("grp").applyInArrow(
+        _place(length, method), _PLACED)
 
 
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -84,23 +111,11 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows = kept(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
     small = rows.where(F.col("length") < length).select("item", F.col("length").cast("long").alias("size"))
-    groups = max(1, -(-small.count() // GROUP))
-    dealt = small.withColumn("grp", F.pmod(F.xxhash64("item"), F.lit(groups)))
-    first = kept(dealt.groupBy("grp").applyInArrow(_place(length), _PLACED), "packed")
-    # bins that are not full are the items of the second round: a few per group
-    left = first.where((F.col("used") < length) & (F.col("offset") == 0)).select("grp", "bin", F.col("used").alias("size"))
-    left = kept(left.withColumn("item", F.monotonically_increasing_id()), "open")
-    again = max(1, -(-left.count() // GROUP))
-    second = left.select("item", "size", F.pmod(F.xxhash64("item"), F.lit(again)).alias("grp")).groupBy(
-        "grp").applyInArrow(_place(length), _PLACED)
-    moved = left.join(second.select("item", F.col("grp").alias("to_grp"), F.col("bin").alias("to_bin"),
-                                    F.col("offset").alias("shift")), "item").drop("item", "size")
-    placed = first.join(moved, ["grp", "bin"], "left").select(
-        "item",
-        # sequence numbers: second-round ones are 1 mod 4, first-round ones 2 mod 4, whole pieces 0 mod 4
-        F.when(F.col("shift").isNull(), (F.col("grp") * 65536 + F.col("bin")) * 4 + 2)
-        .otherwise((F.col("to_grp") * 65536 + F.col("to_bin")) * 4 + 1).alias("sequence_id"),
-        (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    first = kept(_dealt(small, length, sum_of_squares), "packed")
+    second = _dealt(first.where(F.col("used") < length).select("item", "size"), length, best_fit)
+    number = (F.col("grp") * 65536 + F.col("bin")) * 4  # a group has fewer bins than 65536
+    placed = first.where(F.col("used") == length).select("item", (number + 2).alias("sequence_id"), "offset").unionByName(
+        second.select("item", (number + 1).alias("sequence_id"), "offset"))
     whole = rows.where(F.col("length") >= length).withColumns({"sequence_id": F.col("item") * 4, "offset": F.lit(0).cast("long")})
     return rows.where(F.col("length") < length).join(placed, "item").unionByName(whole).drop("item")
 
