@@ -105,6 +105,8 @@ def decode_block(data: bytes, t: Table, first_check: int = 0, n_checks: int | No
         v[low] = (v[low] << WORD) | body[pos:pos + len(low)]
         pos += len(low)
     ids = t.tokens[out]
+    if last == checks and (x != LOW).any():
+        raise ValueError("the streams don't end where they began")
     if first_check == 0 and last == checks and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum differs")
     return ids
