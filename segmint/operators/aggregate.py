@@ -1,7 +1,7 @@
 """Aggregations per key (AGG-1 .. AGG-5) and keyed merges (FN-2, FN-6).
 
 Every aggregate here is partial-aggregated on the map side before the shuffle
-(``HashAggregate(partial)`` / ``ObjectHashAggregate``), so a key holding a
+(by hash, or by a local sort where the buffer holds text or structs), so a key holding a
 third of all rows sends one buffer per map task, not its rows.  "Last" is
 always made explicit with an ordering column, never left to arrival order.
 """
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x: str | Column) -> Column:
@@ -28,23 +29,24 @@ def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def is_empty(df: DataFrame) -> bool:
-    """AGG-2 guard: stops at the first row found."""
-    return df.isEmpty()
+def exact_sum(x: str | Column, dtype: T.DataType | str = "double") -> Column:
+    """Sum that doesn't depend on the order of the rows, from the input's own type.
 
+    Integers add up as integers and stay long; decimals as decimals.  Doubles add
+    up by their shortest decimal text, to 18 places, and the total is a double.
+    A total beyond the type (10**20 for doubles) raises in ANSI mode."""
+    name = dtype if isinstance(dtype, str) else dtype.simpleString()
+    if name in ("tinyint", "smallint", "int", "bigint", "long"):
+        return F.sum(_c(x).cast("decimal(20,0)")).cast("long")
+    if name.startswith("decimal"):
+        return F.sum(_c(x))
+    return F.sum(_c(x).cast("decimal(38,18)")).cast("double")
 
-def exact_sum(x: str | Column, scale: int = 2) -> Column:
-    """Sum of money-like doubles done in decimal, so the result does not depend
-    on the order rows arrive in; returned as double."""
-    return F.sum(_c(x).cast(f"decimal(18,{scale})")).cast("double")
 
-
-def sum_per_key(df: DataFrame, key: str | Sequence[str], value: str | Column,
-                name: str = "total", scale: int | None = 2) -> DataFrame:
-    """AGG-3: sum of ``value`` per key (decimal when ``scale`` is set)."""
-    agg = exact_sum(value, scale) if scale is not None else F.sum(_c(value))
+def sum_per_key(df: DataFrame, key: str | Sequence[str], value: str, name: str = "total") -> DataFrame:
+    """AGG-3: exact sum of ``value`` per key (see :func:`exact_sum`)."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(agg.alias(name))
+    return df.groupBy(*keys).agg(exact_sum(value, df.schema[value].dataType).alias(name))
 
 
 def last_per_key(df: DataFrame, key: str | Sequence[str], value: str | Column,

@@ -1,29 +1,15 @@
 """Keyed lookups and joins (JOIN-1 .. JOIN-7).
 
-All joins are equi-joins on a key that is unique in the stored table.  A
-lookup of a (possibly skewed, possibly repeated) key list against a large
-table makes one decision, from a bounded count of the probe's *distinct* keys
-(a map-side partial aggregate, so a key holding a third of all rows costs one
-row per map task):
-
-* very few keys (at most ``MAX_LISTED_KEYS``): an ``IN`` list pushed into the
-  table's scan, as a storage key lookup would be;
-* few keys (proven at most ``max_rows``): broadcast them into a ``left_semi``
-  cut of the table.
-  Either cut is then at most that many rows (the table key is unique) and is
-  broadcast back into the probe: neither the table nor the skewed probe is
-  shuffled.
-* many keys: one shuffle join of probe and table; AQE's skew join splits the
-  partitions of hot keys.  The cut would cost more than it saves there.
-
-Rows that carry sets are also bounded by their total number of elements
-before they are broadcast.  Nothing is collected to the driver but the counts
-of these checks, which run distributed on the executors.
+All joins are equi-joins on a key, written as plain joins: the optimizer and
+AQE choose the strategy from the sizes they see at run time (a broadcast below
+the cluster's threshold, else a shuffle join whose hot partitions are split).
+Nothing is counted or collected while a plan is made, and nothing is broadcast
+by hint.  Table keys may repeat and may be of any type that can be compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,77 +17,6 @@ from pyspark.sql import types as T
 
 from ..functions import sets
 
-# A broadcast side is capped by row count (keys and small profile rows).
-MAX_BROADCAST_ROWS = 1_000_000
-# ... and, for rows carrying sets, by the total number of set elements.
-MAX_BROADCAST_ELEMENTS = 20_000_000
-# Key lists this short are pushed into the scan as an IN filter instead.
-MAX_LISTED_KEYS = 1_000
-
-
-def has_at_most(df: DataFrame, max_rows: int, array_cols: Sequence[str] = (),
-                max_elements: int = MAX_BROADCAST_ELEMENTS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (and, for
-    ``array_cols``, at most ``max_elements`` elements in them).
-
-    One distributed count: each task counts its rows and only one row per
-    task is shuffled.  (A ``limit(n + 1).count()`` would send up to ``n + 1``
-    rows from *every* task into a single task.)  The inputs checked here are
-    distinct keys or small batches, which take a full pass anyway.
-    """
-    if not array_cols:
-        return df.count() <= max_rows
-    sizes = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in array_cols]
-    row = df.agg(F.count(F.lit(1)).alias("n"), sum(sizes, F.lit(0)).alias("e")).first()
-    return row["n"] <= max_rows and row["e"] <= max_elements
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      array_cols: Sequence[str] = ()) -> DataFrame:
-    """``broadcast(df)`` if its size is proven bounded, else ``df`` unchanged
-    (the join then shuffles, and AQE may still switch strategy at runtime)."""
-    if has_at_most(df, max_rows, array_cols):
-        return F.broadcast(df)
-    return df
-
-
-def _array_cols(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-
-
-def key_cut(keys: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS,
-            max_listed: int | None = None) -> Callable[[DataFrame], DataFrame] | None:
-    """How to restrict a table to the distinct ``key`` values of ``keys``.
-
-    One distributed count of the distinct keys decides:
-
-    * at most ``max_listed`` keys: they are collected (proven that few) and
-      the cut is ``where(key IN (...))``, which Catalyst pushes into the scan
-      (``PushedFilters: [In(..)]``), as the key list of a storage lookup;
-    * at most ``max_rows`` keys: a broadcast ``left_semi`` join, map-side;
-    * more: ``None`` — the caller runs one shuffle join instead.
-    """
-    distinct = keys.select(key).distinct()
-    n = distinct.count()  # one distributed count decides; large probes pay it once
-    if n <= min(MAX_LISTED_KEYS if max_listed is None else max_listed, max_rows):
-        values = [r[0] for r in distinct.collect()]  # at most that many rows
-        return lambda table: table.where(F.col(key).isin(values))
-    if n <= max_rows:
-        few = F.broadcast(distinct)
-        return lambda table: table.join(few, key, "left_semi")
-    return None
-
-
-def semi_cut(table: DataFrame, keys: DataFrame, key: str,
-             max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``table`` whose ``key`` occurs in ``keys`` (a key column):
-    pushed into the scan or map-side when the keys are proven few, else a
-    shuffle semi join."""
-    cut = key_cut(keys, key, max_rows)
-    if cut is not None:
-        return cut(table)
-    return table.join(keys.select(key).distinct(), key, "left_semi")
-
 
 def join_tables(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """JOIN-1: inner join on ``key``; both full rows kept as ``left`` / ``right``
@@ -128,56 +43,35 @@ def rekey_rest(joined: DataFrame, key: str, side: str = "right") -> DataFrame:
                          .alias("value"))
 
 
-def lookup_keys(keys: DataFrame, table: DataFrame, key: str,
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def lookup_keys(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """JOIN-2: key list → (key, matching table row as ``row``).
 
     A repeated key is repeated in the output; keys missing from the table are
     absent; an empty key list gives no rows.
     """
-    probe = keys.select(key)
-    rows = table.select(F.col(key), F.struct(*table.columns).alias("row"))
-    cut = key_cut(probe, key, max_rows)
-    if cut is None:
-        return probe.join(rows, key, "inner")
-    hits = cut(rows)  # at most max_rows rows: table keys are unique
-    arrays = _array_cols(table)
-    if arrays and not has_at_most(hits.select(*[F.col(f"row.{a}").alias(a) for a in arrays]),
-                                  max_rows, arrays):
-        return probe.join(hits, key, "inner")
-    return probe.join(F.broadcast(hits), key, "inner")
-
-
-def lookup_sets(keys: DataFrame, table: DataFrame, key: str, value: str,
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    return keys.select(key).join(table.select(F.col(key), F.struct(*table.columns).alias("row")), key)
+
+
+def lookup_sets(keys: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
     """JOIN-3: key list → (key, set); missing keys absent, repeats collapse."""
-    return semi_cut(table, keys.select(key), key, max_rows).select(
-        F.col(key), sets.as_set(value).alias(value))
+    return table.join(keys.select(key), key, "left_semi").select(F.col(key), sets.as_set(value).alias(value))
 
 
-def join_keyed(incoming: DataFrame, table: DataFrame, key: str, value: str,
-               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def join_keyed(incoming: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
     """JOIN-4: a (key, set) collection looked up in the table; only the
     table's (key, set) is kept, once per incoming row."""
-    return lookup_keys(incoming, table.select(key, value), key, max_rows).select(
+    return lookup_keys(incoming, table.select(key, value), key).select(
         F.col(key), sets.as_set(F.col(f"row.{value}")).alias(value))
 
 
 def enrich_merge(incoming: DataFrame, stored: DataFrame, key: str, value: str,
-                 max_rows: int = MAX_BROADCAST_ROWS, keep: Sequence[str] = ()) -> DataFrame:
+                 keep: Sequence[str] = ()) -> DataFrame:
     """JOIN-5: every incoming key kept, value = stored set ∪ incoming set.
 
-    ``incoming`` has one row per key.  When its keys are proven few the
-    stored table is first cut to them map-side, so the full stored table is
-    never shuffled for a small batch; otherwise one shuffle left join (both
-    sides one row per key, so no skew).  An empty input gives an empty result.
+    ``incoming`` has one row per key.  An empty input gives an empty result.
     ``keep`` names further stored columns to carry along (null for keys the
     table does not have yet).
     """
     inc = incoming.select(F.col(key), F.col(value).alias("_in"))
     st = stored.select(F.col(key), F.col(value).alias("_st"), *keep)
-    cut = key_cut(inc, key, max_rows)
-    if cut is not None:
-        st = cut(st)
-    return inc.join(st, key, "left").select(
-        F.col(key), sets.union("_st", "_in").alias(value), *keep)
+    return inc.join(st, key, "left").select(F.col(key), sets.union("_st", "_in").alias(value), *keep)

@@ -14,7 +14,7 @@ from ..operators import aggregate as agg
 from ..operators import lookup, project
 from ..sources import tables
 from . import bindings as B
-from .bindings import SQL_INCOMING, SQL_K, SQL_STORED
+from .bindings import SQL_INCOMING, SQL_K, SQL_PROFILES, SQL_STORED, SQL_SUM
 
 Q = {}
 SQL = {}
@@ -108,20 +108,20 @@ def in_filter(spark, sf):
 
 
 @query("first_row", f"""
-  SELECT array_to_string(segset, ',') AS segs FROM ({SQL_STORED}) WHERE id = {POINT_KEY}""")
+  SELECT array_to_string(segset, ',') AS segs FROM ({SQL_PROFILES}) WHERE id = {POINT_KEY}""")
 def first_row(spark, sf):
-    """PRJ-4: the set column of the first stored profile with the key."""
-    st = B.stored_profiles(spark, sf)
+    """PRJ-4: the set column of the first profile with the key."""
+    st = B.profiles(spark, sf)
     return project.first_value(st, "id", POINT_KEY, "segset").select(
         sets.to_text("segset").alias("segs"))
 
 
 @query("point_profile", f"""
   SELECT id AS key, score, array_to_string(segset, ',') AS segs
-  FROM ({SQL_STORED}) WHERE id = {POINT_KEY}""")
+  FROM ({SQL_PROFILES}) WHERE id = {POINT_KEY}""")
 def point_profile(spark, sf):
-    """PRJ-5..PRJ-8: point read keyed by id with (score, segset) as a sub-record."""
-    st = B.stored_profiles(spark, sf)
+    """PRJ-5, PRJ-7, PRJ-8: point read keyed by id with (score, segset) as a sub-record."""
+    st = B.profiles(spark, sf)
     p = project.point_profile(st, "id", POINT_KEY, ["score", "segset"])
     return p.select("key", F.col("value.score").alias("score"),
                     sets.to_text("value.segset").alias("segs"))
@@ -221,13 +221,11 @@ def join_keys(spark, sf):
 
 @query("join_keys_set", f"""
   SELECT s.id, array_to_string(s.segset, ',') AS segs
-  FROM ({SQL_STORED}) s
-  WHERE s.id IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '{B.SPLIT}' AND event_type = 'purchase')""")
+  FROM ({SQL_PROFILES}) s WHERE s.id IN (SELECT c_custkey FROM customer)""")
 def join_keys_set(spark, sf):
-    """JOIN-3: users who purchased in the second half → their stored set."""
-    keys = B.second_half(spark, sf).where(F.col("event_type") == "purchase") \
-            .select(F.col("user_id").alias("id"))
-    r = lookup.lookup_sets(keys, B.stored_profiles(spark, sf), "id", "segset")
+    """JOIN-3: every customer key → the set of its profile."""
+    keys = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    r = lookup.lookup_sets(keys, B.profiles(spark, sf), "id", "segset")
     return r.select("id", sets.to_text("segset").alias("segs"))
 
 
@@ -279,11 +277,10 @@ def row_count(spark, sf):
     return agg.row_count(B.events(spark, sf))
 
 
-@query("sum_per_key", """
-  SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY user_id""")
+@query("sum_per_key", f"SELECT user_id, {SQL_SUM} AS total FROM events GROUP BY user_id")
 def sum_per_key(spark, sf):
-    """AGG-3 (exact)."""
-    return agg.sum_per_key(B.events(spark, sf), "user_id", "value")
+    """AGG-3: exact sum of event values per user."""
+    return agg.sum_per_key(B.events(spark, sf), "user_id", "value").withColumn("total", F.round("total", 6))
 
 
 SQL_LAST = """
@@ -345,11 +342,28 @@ def map_merge(spark, sf):
 
 @query("set_increment", f"""
   SELECT id, array_to_string(list_sort(list_distinct(list_transform(segset, lambda x: x + 1))), ',') AS segs
-  FROM ({SQL_INCOMING})""")
+  FROM ({SQL_PROFILES})""")
 def set_increment(spark, sf):
-    """FN-3 / UDF-4: every element of the incoming set incremented."""
-    i = B.incoming_profiles(spark, sf)
-    return i.select("id", sets.to_text(sets.map_elements("segset", lambda x: x + 1)).alias("segs"))
+    """FN-3 / UDF-4: every element of each profile's set incremented."""
+    p = B.profiles(spark, sf)
+    return p.select("id", sets.to_text(sets.map_elements("segset", lambda x: x + 1)).alias("segs"))
+
+
+@query("map_values", "SELECT c_custkey AS key, c_nationkey + 1 AS value FROM customer")
+def map_values(spark, sf):
+    """PRJ-6: the value of each (key, value) pair transformed, the key unchanged."""
+    pairs = project.key_by(_t(spark, sf, "customer"), "c_custkey", "c_nationkey")
+    return project.map_values(pairs, project.increment)
+
+
+@query("set_per_key_union", f"""
+  SELECT id, array_to_string(list_sort(list_distinct(flatten(list(segset)))), ',') AS segs
+  FROM (SELECT id, segset FROM ({SQL_STORED}) UNION ALL SELECT id, segset FROM ({SQL_INCOMING})) GROUP BY id""")
+def set_per_key_union(spark, sf):
+    """AGG-5 over set-valued rows: the union of the stored and incoming sets per key."""
+    both = B.stored_profiles(spark, sf).select("id", "segset").unionByName(B.incoming_profiles(spark, sf))
+    r = agg.set_per_key(both, "id", "segset", value_is_set=True)
+    return r.select("id", sets.to_text("segset").alias("segs"))
 
 
 @query("set_overlap", f"""

@@ -3,9 +3,11 @@
 * A profile id is an ``events.user_id``; its segments are the ``k`` values
   found in the events' ``props`` JSON; its score is the exact sum of
   ``value``.
-* The *stored* profiles are built from the first half of the event log
-  (before ``SPLIT``) and the *incoming* segment sets from the second half,
-  so every event of the whole table is used exactly once.
+* Queries over one profile table build it from the whole event log
+  (``profiles``).
+* Queries that bring *incoming* sets to *stored* profiles take the stored ones
+  from the first half of the log (before ``SPLIT``) and the incoming ones from
+  the second, so every event of the whole table is used exactly once.
 
 All readers are lazy DataFrames; filters on ``ts`` reach the Parquet scan.
 """
@@ -22,11 +24,21 @@ SPLIT = "2024-01-16 00:00:00"
 
 # SQL (DuckDB) spelling of the same bindings, used by the oracles.
 SQL_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
-SQL_STORED = f"""
+#: Exact sum of a double column, by its shortest decimal text; rounded, as the
+#: last step to a double is not the same in both engines.
+SQL_SUM = "round(CAST(sum(CAST(CAST(value AS VARCHAR) AS DECIMAL(38,18))) AS DOUBLE), 6)"
+
+
+def _sql_profiles(where: str) -> str:
+    return f"""
   SELECT user_id AS id,
          list_sort(list_distinct(list({SQL_K}))) AS segset,
-         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS score
-  FROM events WHERE ts < TIMESTAMP '{SPLIT}' GROUP BY user_id"""
+         {SQL_SUM} AS score
+  FROM events {where} GROUP BY user_id"""
+
+
+SQL_PROFILES = _sql_profiles("")
+SQL_STORED = _sql_profiles(f"WHERE ts < TIMESTAMP '{SPLIT}'")
 SQL_INCOMING = f"""
   SELECT user_id AS id, list_sort(list_distinct(list({SQL_K}))) AS segset
   FROM events WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY user_id"""
@@ -57,13 +69,24 @@ def second_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).where(F.col("ts") >= split_ts())
 
 
+def total(value: str = "value") -> Column:
+    """The exact sum that ``SQL_SUM`` gives."""
+    return F.round(agg.exact_sum(value), 6)
+
+
+def _profiles(events: DataFrame) -> DataFrame:
+    return (events.select(F.col("user_id").alias("id"), segment().alias("k"), "value").groupBy("id")
+            .agg(F.sort_array(F.collect_set("k")).alias("segset"), total().alias("score")))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, segset, score) from the whole log."""
+    return _profiles(events(spark, sf_dir))
+
+
 def stored_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, segset, score) from the first half of the log."""
-    return (first_half(spark, sf_dir)
-            .select(F.col("user_id").alias("id"), segment().alias("k"), "value")
-            .groupBy("id")
-            .agg(F.sort_array(F.collect_set("k")).alias("segset"),
-                 agg.exact_sum("value").alias("score")))
+    return _profiles(first_half(spark, sf_dir))
 
 
 def incoming_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ consumed by Structured Streaming jobs that keep keyed tables current.
 Every run works in fresh folders under the shared checkpoint root (topic
 files, query checkpoints, keyed tables or change logs) and returns a batch
 read of the final state, which the SQL oracle checks against the same question asked of the
-events table directly.  Micro-batches are one topic file each, and topics are
-written as several files, so each query sees several batches.
+events table directly.  Topics are published in two parts with a restart of the
+query in between, so state and progress outlive it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from ..sources.keyed import KeyedLog, KeyedTable
 from ..streaming import micro, relay, running
 from . import bindings as B
 from .batch import SQL_LAST, SQL_SETS, SUFFIX
+from .bindings import SQL_SUM
 
 Q = {}
 SQL = {}
@@ -35,15 +38,11 @@ def query(name: str, sql: str | None = None):
     return reg
 
 
-# Number of topic files a feed is written as, and files per micro-batch.
-FEED_FILES = 4
-BATCH_FILES = 1
 EVENT_SCHEMA = "event_id long, ts_us long, user_id long, event_type string, value double, k int"
 DRAIN = micro.trigger(available_now=True)
-# Images kept by the tables the streams keep current (a replay needs the one before).
-RETAIN = 2
-# stream_sum folds its change log into the base image every this many batches.
+# stream_sum folds its change log into the base every this many batches.
 COMPACT_EVERY = 2
+TIMEOUT_S = 600
 
 
 def event_messages(df: DataFrame, *extra: str) -> DataFrame:
@@ -56,98 +55,105 @@ def event_messages(df: DataFrame, *extra: str) -> DataFrame:
                      "user_id", "event_type", "value", B.segment().alias("k")).alias("value"))
 
 
-def feed(df: DataFrame, path: str, name: str, value: str = "value", key: str | None = "key",
-         files: int = FEED_FILES) -> int:
-    """Publish ``df`` to the topic at ``path`` as about ``files`` files.
+def halves(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The event log in the two parts that the streams get one after the other."""
+    return [B.first_half(spark, sf), B.second_half(spark, sf)]
+
 
-    No shuffle: each task cuts its rows into files of equal size.  Which rows
-    share a micro-batch does not change any result, because every sink here
-    orders by an explicit version column.
-    """
-    return topics.write_topic(df, path, name, value, key, files=files)
+def feed_and_drain(parts: list[DataFrame], publish, start) -> None:
+    """Publish a part, let the query read what is there, stop it; the next part
+    finds it restarted from its checkpoint, with its state."""
+    for part in parts:
+        publish(part)
+        micro.drain(start())
 
 
 def parsed_events(spark: SparkSession, path: str) -> DataFrame:
     """The events topic as a stream of parsed records (SRC-6, FN-7, STM-4)."""
-    s = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
+    s = topics.as_text(topics.stream_topic(spark, path))
     return s.select(codec.parse("value", EVENT_SCHEMA).alias("r")).select("r.*")
 
 
-def drain(q) -> None:
-    """Wait for an ``availableNow`` query; a failure is raised, not swallowed."""
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-
-
-def _events_topic(spark, sf, root):
-    path = f"{root}/topic-events"
-    feed(event_messages(B.events(spark, sf)), path, "events")
-    return path
+def _run_log(spark, sf, name: str, key, build, **log_options) -> KeyedLog:
+    """A change log kept current by ``build(parsed events)`` over both halves of the log."""
+    root = fresh_dir(spark, name)
+    path, log = f"{root}/topic", KeyedLog(spark, f"{root}/log", key)
+    feed_and_drain(halves(spark, sf),
+                   lambda part: topics.write_topic(event_messages(part), path, "events", "value", "key"),
+                   lambda: running.to_log(build(parsed_events(spark, path)), log, f"{root}/ckpt", DRAIN, **log_options))
+    return log
 
 
 # ------------------------------------------------------------ running state
 @query("stream_count", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_count(spark, sf):
     """STM-1/2/4/5, SNK-4, UDF-1, UDF-2: running count per event type."""
-    root = fresh_dir(spark, "stream_count")
-    path = f"{root}/topic"
-    feed(B.events(spark, sf).select("ts", F.col("user_id").cast("string").alias("key"),
-                                    F.col("event_type").alias("value")), path, "types")
-    stream = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
-    counts = running.running(stream, "event_type", running.running_count(),
-                             transform=lambda d: d.select(F.col("value").alias("event_type")))
-    log = KeyedLog(spark, f"{root}/log", "event_type")
-    drain(running.to_log(counts, log, f"{root}/ckpt", DRAIN))
-    return log.read()
-
-
-@query("stream_sum", """
-  SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY user_id""")
+    return _run_log(spark, sf, "stream_count", "event_type", lambda s: running.running(
+        s, "event_type", running.running_count(), transform=lambda d: d.select("event_type"))).read()
+
+
+@query("stream_sum", f"SELECT user_id, {SQL_SUM} AS total FROM events GROUP BY user_id")
 def stream_sum(spark, sf):
     """STM-5 / AGG-3 over batches: running exact sum per user; the change log
-    is compacted into its base image as the stream runs."""
-    root = fresh_dir(spark, "stream_sum")
-    s = parsed_events(spark, _events_topic(spark, sf, root))
-    log = KeyedLog(spark, f"{root}/log", "user_id")
-    drain(running.to_log(running.running(s, "user_id", running.running_sum("value")),
-                         log, f"{root}/ckpt", DRAIN, compact_every=COMPACT_EVERY))
-    return log.read()
+    is compacted into its base as the stream runs."""
+    log = _run_log(spark, sf, "stream_sum", "user_id", lambda s: running.running(
+        s, "user_id", running.running_sum("value")), compact_every=COMPACT_EVERY)
+    return log.read().withColumn("total", F.round("total", 6))
 
 
 @query("stream_last", SQL_LAST)
 def stream_last(spark, sf):
     """STM-6: running last event type per user by (ts, event_id)."""
-    root = fresh_dir(spark, "stream_last")
-    s = parsed_events(spark, _events_topic(spark, sf, root))
-    last = running.running(s, "user_id", running.running_last("event_type", ["ts_us", "event_id"]))
-    log = KeyedLog(spark, f"{root}/log", "user_id")
-    drain(running.to_log(last, log, f"{root}/ckpt", DRAIN))
-    return log.read()
+    return _run_log(spark, sf, "stream_last", "user_id", lambda s: running.running(
+        s, "user_id", running.running_last("event_type", ["ts_us", "event_id"]))).read()
 
 
 @query("stream_set", SQL_SETS)
 def stream_set(spark, sf):
-    """STM-7: running set of segments per user."""
+    """STM-7: running union of set-valued messages per user."""
     root = fresh_dir(spark, "stream_set")
-    s = parsed_events(spark, _events_topic(spark, sf, root))
-    sets_ = running.running(s.select(F.col("user_id").alias("id"), "k"), "id", running.running_set("k"))
-    log = KeyedLog(spark, f"{root}/log", "id")
-    drain(running.to_log(sets_, log, f"{root}/ckpt", DRAIN))
+    path, log = f"{root}/topic", KeyedLog(spark, f"{root}/log", "id")
+
+    def publish(part):
+        msgs = part.select(codec.render(F.col("user_id").alias("id"), F.array(B.segment()).alias("seg")).alias("value"))
+        topics.write_topic(msgs, path, "sets", "value")
+
+    def start():
+        s = topics.as_text(topics.stream_topic(spark, path)).select(
+            codec.parse("value", "id long, seg array<int>").alias("r")).select("r.*")
+        return running.to_log(running.running(running.elements(s, "seg", "k"), "id", running.running_set("k")),
+                              log, f"{root}/ckpt", DRAIN)
+
+    feed_and_drain(halves(spark, sf), publish, start)
     return log.read().select("id", sets.to_text("segset").alias("segs"))
 
 
 # ------------------------------------------------------------------ topics
-@query("topic_text", "SELECT event_id, user_id, event_type, value, CAST(user_id AS VARCHAR) AS key FROM events")
+# Fixed value: every so many messages one is cut short on purpose.
+BAD_EVERY = 97
+
+
+@query("topic_text", f"""
+  SELECT CAST(user_id AS VARCHAR) AS key, event_id % {BAD_EVERY} = 0 AS bad,
+         CASE WHEN event_id % {BAD_EVERY} <> 0 THEN event_id END AS event_id,
+         CASE WHEN event_id % {BAD_EVERY} <> 0 THEN user_id END AS user_id,
+         CASE WHEN event_id % {BAD_EVERY} <> 0 THEN event_type END AS event_type,
+         CASE WHEN event_id % {BAD_EVERY} <> 0 THEN value END AS value
+  FROM events""")
 def topic_text(spark, sf):
-    """SRC-6, FN-7, FN-8, SNK-3: JSON messages through a topic, parsed back."""
+    """SRC-6, FN-7, FN-8, SNK-3: JSON messages through a topic, parsed back;
+    messages that don't parse are routed to an output of their own."""
     root = fresh_dir(spark, "topic_text")
-    s = topics.as_text(topics.stream_topic(spark, _events_topic(spark, sf, root), BATCH_FILES))
-    out = s.select("key", codec.parse("value", EVENT_SCHEMA).alias("r")).select(
-        "key", "r.event_id", "r.user_id", "r.event_type", "r.value")
-    sink = f"{root}/sink"
-    drain(micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", DRAIN))
-    return spark.read.parquet(sink)
+    path, sink = f"{root}/topic", f"{root}/sink"
+    msgs = event_messages(B.events(spark, sf), "event_id")
+    cut = F.when(F.col("event_id") % BAD_EVERY == 0, F.substring("value", 1, 9)).otherwise(F.col("value"))
+    topics.write_topic(msgs.withColumn("value", cut), path, "events", "value", "key")
+    s = topics.as_text(topics.stream_topic(spark, path))
+    out = codec.parse_checked(s, "value", EVENT_SCHEMA, "r").select("key", "value", "r", "bad")
+    micro.drain(micro.start(out.writeStream.format("parquet").partitionBy("bad").option("path", sink), f"{root}/ckpt", DRAIN))
+    stored = spark.read.schema(out.schema).parquet(sink)
+    fields = ["event_id", "user_id", "event_type", "value"]
+    return stored.select("key", "bad", *(F.when(~F.col("bad"), F.col(f"r.{c}")).alias(c) for c in fields))
 
 
 @query("topic_binary", f"""
@@ -158,54 +164,55 @@ def topic_binary(spark, sf):
     """SRC-7, FN-9, FN-10, FN-11: byte messages kept binary in the stream,
     decoded at the end."""
     root = fresh_dir(spark, "topic_binary")
-    path = f"{root}/topic"
+    path, sink = f"{root}/topic", f"{root}/sink"
     msgs = B.events(spark, sf).select(
         "ts", codec.text_to_bytes(codec.number_text("event_id", SUFFIX)).alias("value"))
-    feed(msgs, path, "bytes", key=None)
-    s = topics.stream_topic(spark, path, BATCH_FILES)
+    topics.write_topic(msgs, path, "bytes", "value")
+    s = topics.stream_topic(spark, path)
     out = s.select(codec.bytes_to_text("value").alias("text"), F.octet_length("value").alias("n_bytes"))
-    sink = f"{root}/sink"
-    drain(micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", DRAIN))
+    micro.drain(micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", DRAIN))
     return spark.read.parquet(sink)
 
 
 def _topics_by_type(spark, sf, root) -> dict[str, str]:
     """One topic per event type, all written in one pass over the events."""
-    ev = B.events(spark, sf)
-    written = topics.write_topics(event_messages(ev, "event_type"), root, "event_type",
-                                  "value", "key", files=FEED_FILES * 5)
-    return {t: topics.topic_path(root, t) for t in sorted(written)}
+    topics.write_topics(event_messages(B.events(spark, sf), "event_type"), root, "event_type", "value", "key")
+    return {t: topics.topic_path(root, t) for t in topics.topic_names(spark, root)}
+
+
+# The handler of each topic; others pass their values on.
+HANDLERS = {"purchase": lambda d: d.withColumn("value", F.col("value") * 2),
+            "view": lambda d: d.withColumn("value", F.lit(0.0))}
 
 
 @query("topic_multi", """
   SELECT event_type AS topic, user_id, count(*) AS n,
-         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+         round(CAST(sum(CAST(CAST(CASE event_type WHEN 'purchase' THEN value * 2 WHEN 'view' THEN 0.0 ELSE value END
+           AS VARCHAR) AS DECIMAL(38,18))) AS DOUBLE), 6) AS total
   FROM events GROUP BY event_type, user_id""")
 def topic_multi(spark, sf):
-    """SRC-8: several topics subscribed as one stream, routed on ``topic``."""
+    """SRC-8: several topics, each with its own handler, read at the same time."""
     root = fresh_dir(spark, "topic_multi")
-    paths = _topics_by_type(spark, sf, root)
-    s = topics.as_text(topics.stream_topics(spark, list(paths.values()), BATCH_FILES))
-    recs = s.select("topic", codec.parse("value", EVENT_SCHEMA).alias("r")).select("topic", "r.*")
-    per = running.running(recs, ["topic", "user_id"], running.running_count(),
-                          running.running_sum("value"))
-    log = KeyedLog(spark, f"{root}/log", ["topic", "user_id"])
-    drain(running.to_log(per, log, f"{root}/ckpt", DRAIN))
-    return log.read()
+    logs, live = {}, []
+    for i, (topic, path) in enumerate(_topics_by_type(spark, sf, f"{root}/topics").items()):
+        handled = HANDLERS.get(topic, lambda d: d)(parsed_events(spark, path))
+        per = running.running(handled, "user_id", running.running_count(), running.running_sum("value"))
+        logs[topic] = KeyedLog(spark, f"{root}/log{i}", "user_id")
+        live.append(running.to_log(per, logs[topic], f"{root}/ckpt{i}", DRAIN))
+    micro.drain(*live)
+    reads = [log.read().select(F.lit(topic).alias("topic"), "user_id", "n", F.round("total", 6).alias("total"))
+             for topic, log in logs.items()]
+    return reduce(DataFrame.unionByName, reads)
 
 
 @query("latest_offset", "SELECT event_type AS topic, count(*) AS next_offset FROM events GROUP BY event_type")
 def latest_offset(spark, sf):
-    """STM-10 / SRC-10: next offset of every topic (offsets are dense from 0,
-    so it equals the number of messages)."""
+    """SRC-10: a bounded read of every topic and its number of messages, which is
+    the next offset where a topic has one partition."""
     root = fresh_dir(spark, "latest_offset")
     paths = _topics_by_type(spark, sf, root)
-    reads = [topics.read_topic(spark, p) for p in paths.values()]
-    alltopics = reads[0]
-    for r in reads[1:]:
-        alltopics = alltopics.unionByName(r)
-    return (topics.latest_offsets(alltopics)
-            .groupBy("topic").agg(F.max("next_offset").alias("next_offset")))
+    read = spark.read.schema(topics.TOPIC_SCHEMA).parquet(*paths.values())
+    return topics.message_counts(read).withColumnRenamed("n", "next_offset")
 
 
 @query("topic_earliest_resume", "SELECT event_id, user_id, event_type FROM events")
@@ -213,64 +220,61 @@ def topic_earliest_resume(spark, sf):
     """SRC-9, STM-2: start from the earliest message, stop, publish more, and
     restart from the checkpoint: every message is delivered once."""
     root = fresh_dir(spark, "topic_resume")
-    path, sink, ckpt = f"{root}/topic", f"{root}/sink", f"{root}/ckpt"
-    feed(event_messages(B.first_half(spark, sf)), path, "events")
-
-    def run():
-        s = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
-        out = s.select(codec.parse("value", EVENT_SCHEMA).alias("r")).select(
-            "r.event_id", "r.user_id", "r.event_type")
-        drain(micro.start(out.writeStream.format("parquet").option("path", sink), ckpt, DRAIN))
-
-    run()
-    feed(event_messages(B.second_half(spark, sf)), path, "events")
-    run()
+    path, sink = f"{root}/topic", f"{root}/sink"
+
+    def start():
+        out = parsed_events(spark, path).select("event_id", "user_id", "event_type")
+        return micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", DRAIN)
+
+    feed_and_drain(halves(spark, sf),
+                   lambda part: topics.write_topic(event_messages(part), path, "events", "value", "key"), start)
     return spark.read.parquet(sink)
 
 
 @query("bounded_run", "SELECT event_id, user_id FROM events")
 def bounded_run(spark, sf):
     """STM-1, STM-3, UDF-5: a 500 ms processing-time query, stopped when the
-    continue-predicate (sink still short of the published count) turns false
-    or a time limit passes."""
+    continue-predicate (rows read still short of the published count) turns
+    false; a passed time limit is an error."""
     root = fresh_dir(spark, "bounded_run")
     path, sink = f"{root}/topic", f"{root}/sink"
-    expected = feed(event_messages(B.events(spark, sf)), path, "events")
-    s = topics.as_text(topics.stream_topic(spark, path, BATCH_FILES))
-    out = s.select(codec.parse("value", EVENT_SCHEMA).alias("r")).select("r.event_id", "r.user_id")
-    q = micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt",
-                    micro.trigger(500))
-
-    def keep_waiting() -> bool:
-        if q.lastProgress is None:
-            return True
-        return spark.read.parquet(sink).count() < expected
-
-    micro.run_bounded(q, keep_waiting, timeout_s=600, poll_s=0.2)
+    events = B.events(spark, sf)
+    topics.write_topic(event_messages(events), path, "events", "value", "key")
+    expected = events.count()
+    out = parsed_events(spark, path).select("event_id", "user_id")
+    q = micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", micro.trigger(500))
+    micro.run_bounded(q, lambda: micro.rows_read(q) < expected, timeout_s=TIMEOUT_S)
     return spark.read.parquet(sink)
 
 
 # ---------------------------------------------------- merges with effects
-@query("stream_effect", SQL_LAST)
+@query("stream_effect", f"SELECT user_id, last, last AS effect FROM ({SQL_LAST})")
 def stream_effect(spark, sf):
     """STM-8, UDF-3: per batch, reduce to the last row per user, publish the
-    reduced rows (the effect) before merging them into the keyed change log,
-    whose reads resolve the records' (ts, event_id) order."""
+    reduced rows (the effect) before merging them into the keyed change log.
+    Both are returned: the log's last row, and the last one that the effects'
+    topic holds, by the records' (ts, event_id) order."""
     root = fresh_dir(spark, "stream_effect")
-    s = parsed_events(spark, _events_topic(spark, sf, root)).select(
-        "user_id", F.col("event_type").alias("last"), "ts_us", "event_id")
-    effects = f"{root}/effects"
+    path, effects = f"{root}/topic", f"{root}/effects"
+    order = ["ts_us", "event_id"]
+    log = KeyedLog(spark, f"{root}/log", "user_id")
 
     def publish(reduced: DataFrame, batch_id: int) -> None:
         topics.write_topic(reduced.select(F.col("user_id").cast("string").alias("key"),
-                                          codec.render("user_id", "last").alias("value")),
+                                          codec.render("user_id", "last", *order).alias("value")),
                            effects, "effects", "value", "key")
 
-    order = ["ts_us", "event_id"]
-    log = KeyedLog(spark, f"{root}/log", "user_id")
-    handler = relay.merge_with_effect(log, relay.last_in_batch("user_id", order), publish)
-    drain(micro.start(s.writeStream.foreachBatch(handler), f"{root}/ckpt", DRAIN))
-    return log.read(order).select("user_id", "last")
+    def start():
+        s = parsed_events(spark, path).select("user_id", F.col("event_type").alias("last"), *order)
+        handler = relay.merge_with_effect(log, relay.last_in_batch("user_id", order), publish)
+        return micro.start(s.writeStream.foreachBatch(handler), f"{root}/ckpt", DRAIN)
+
+    feed_and_drain(halves(spark, sf),
+                   lambda part: topics.write_topic(event_messages(part), path, "events", "value", "key"), start)
+    sent = topics.as_text(topics.read_topic(spark, effects)).select(
+        codec.parse("value", "user_id long, last string, ts_us long, event_id long").alias("r")).select("r.*")
+    sent = agg.last_per_key(sent, "user_id", "last", order, "effect")
+    return log.read(order).select("user_id", "last").join(sent, "user_id", "full_outer")
 
 
 STAGE1_SCHEMA = "a long, seg array<int>, ts_us long, id long"
@@ -283,36 +287,35 @@ STAGE2_SCHEMA = "key long, value array<int>, ts_us long, id long"
            row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
     FROM events) WHERE rn = 1""")
 def two_stage(spark, sf):
-    """STM-9, SNK-3: topic1 → key by ``a`` → per-batch merge whose effect
+    """STM-9, STM-3, SNK-3: topic1 → key by ``a`` → per-batch merge whose effect
     decorates the sets (+1) into topic2 → key → keyed change log (last by the
-    records' own order, so repeated relay messages are harmless)."""
+    records' own order, so repeated relay messages are harmless).  Both queries
+    run at the same time under one predicate and one limit."""
     root = fresh_dir(spark, "two_stage")
     t1, t2 = f"{root}/topic1", f"{root}/topic2"
     ev = B.events(spark, sf)
-    feed(ev.select("ts", codec.render(F.col("user_id").alias("a"),
-                                      F.array(B.segment()).alias("seg"),
-                                      F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-                                      F.col("event_id").alias("id")).alias("value")),
-         t1, "topic1", key=None)
+    topics.write_topic(ev.select(codec.render(F.col("user_id").alias("a"), F.array(B.segment()).alias("seg"),
+                                              F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                                              F.col("event_id").alias("id")).alias("value")), t1, "topic1", "value")
+    expected, relayed = ev.count(), []
 
     def decorate(reduced: DataFrame, batch_id: int) -> None:
         msgs = reduced.select(codec.render(
             F.col("a").alias("key"),
             sets.map_elements("seg", lambda x: x + 1).alias("value"), "ts_us", "id").alias("value"))
         topics.write_topic(msgs, t2, "topic2", "value")
+        relayed.append(reduced.count())
+
+    def parsed(path, schema):
+        return topics.as_text(topics.stream_topic(spark, path)).select(codec.parse("value", schema).alias("r")).select("r.*")
 
     order = ["ts_us", "id"]
-    log1 = KeyedLog(spark, f"{root}/log1", "a")
-    s1 = topics.as_text(topics.stream_topic(spark, t1, BATCH_FILES)).select(
-        codec.parse("value", STAGE1_SCHEMA).alias("r")).select("r.*")
-    drain(micro.start(s1.writeStream.foreachBatch(
-        relay.merge_with_effect(log1, relay.last_in_batch("a", order), decorate)),
-        f"{root}/ckpt1", DRAIN))
-
-    log2 = KeyedLog(spark, f"{root}/log2", "key")
-    s2 = topics.as_text(topics.stream_topic(spark, t2, BATCH_FILES)).select(
-        codec.parse("value", STAGE2_SCHEMA).alias("r")).select("r.*")
-    drain(running.to_log(s2, log2, f"{root}/ckpt2", DRAIN, mode="append"))
+    log1, log2 = KeyedLog(spark, f"{root}/log1", "a"), KeyedLog(spark, f"{root}/log2", "key")
+    handler = relay.merge_with_effect(log1, relay.last_in_batch("a", order), decorate)
+    q1 = micro.start(parsed(t1, STAGE1_SCHEMA).writeStream.foreachBatch(handler), f"{root}/ckpt1")
+    q2 = running.to_log(parsed(t2, STAGE2_SCHEMA), log2, f"{root}/ckpt2", mode="append")
+    micro.run_bounded([q1, q2], lambda: micro.rows_read(q1) < expected or micro.rows_read(q2) < sum(relayed),
+                      timeout_s=TIMEOUT_S)
     return log2.read(order).select("key", sets.to_text("value").alias("segs"))
 
 
@@ -321,13 +324,12 @@ def stream_enrich(spark, sf):
     """STM-11: stored profiles (first half) enriched batch by batch with the
     segment sets streaming in (second half) — JOIN-5 inside foreachBatch."""
     root = fresh_dir(spark, "stream_enrich")
-    table = KeyedTable(spark, f"{root}/table", "id", retain=RETAIN)
+    table = KeyedTable(spark, f"{root}/table", "id")
     table.overwrite(B.stored_profiles(spark, sf).select("id", "segset"), version=0)
     path = f"{root}/topic"
-    feed(event_messages(B.second_half(spark, sf)), path, "events")
+    topics.write_topic(event_messages(B.second_half(spark, sf)), path, "events", "value", "key")
     s = parsed_events(spark, path).select(F.col("user_id").alias("id"), "k")
-    drain(micro.start(s.writeStream.foreachBatch(relay.enrich_into(table, "id", "k")),
-                      f"{root}/ckpt", DRAIN))
+    micro.drain(micro.start(s.writeStream.foreachBatch(relay.enrich_into(table, "id", "k")), f"{root}/ckpt", DRAIN))
     return table.read().select("id", sets.to_text("segset").alias("segs"))
 
 
@@ -351,7 +353,7 @@ def upsert_pairs(spark, sf):
     d = F.col("o_orderdate")
     lo, hi = (F.lit(x).cast("timestamp_ntz") for x in ORDER_SLICES)
     slices = [o.where(d >= hi), o.where((d >= lo) & (d < hi)), o.where(d < lo)]
-    table = KeyedTable(spark, f"{root}/table", "id", retain=RETAIN)
+    table = KeyedTable(spark, f"{root}/table", "id")
     for v, part in enumerate(slices, start=1):
         table.upsert(part, v, order=["o_orderdate", "o_orderkey"])
     return table.read().select("id", "status")
@@ -379,7 +381,7 @@ def upsert_scored(spark, sf):
                                "id", "o_orderpriority")
         return c.join(segs, "id").select("id", "score", "segset")
 
-    table = KeyedTable(spark, f"{root}/table", "id", retain=RETAIN)
+    table = KeyedTable(spark, f"{root}/table", "id")
     table.upsert(profiles(o.where(F.col("o_orderdate") < cut)), 1)
     table.upsert(profiles(o.where(F.col("o_orderdate") >= cut)), 2)
     return table.read().select("id", "score", sets.to_text("segset").alias("segs"))

@@ -2,8 +2,8 @@
 
 Everything that has to survive an executor loss (stream checkpoints, topic
 directories, keyed tables, cut lineage) lives under the shared folder the
-cluster names in ``spark.checkpoint.dir``.  Only when that is unset (local
-tests) do we create one of our own.
+cluster names in ``spark.checkpoint.dir``.  Only where that is unset and the
+master is local (tests) do we create one of our own.
 """
 
 from __future__ import annotations
@@ -52,19 +52,14 @@ def shared_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir).  When neither is set, as in local tests, a folder of our
-    own is created and registered, so later calls agree on it.
+    checkpoint dir).  When neither is set, a local session (as in tests) gets a
+    folder of its own; on a cluster, whose executors wouldn't share it, this raises.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:  # pragma: no cover - conf not settable at runtime
-            root = None
-    if not root:
-        root = sc.getCheckpointDir()
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="segmint-ckpt-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")

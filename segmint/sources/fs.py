@@ -30,11 +30,6 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
 
 
-def touch(spark: SparkSession, path: str) -> None:
-    fs, p = _fs_path(spark, path)
-    fs.create(p, True).close()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs_path(spark, path)
     if fs.exists(p):
@@ -44,3 +39,37 @@ def delete(spark: SparkSession, path: str) -> None:
 def mkdirs(spark: SparkSession, path: str) -> None:
     fs, p = _fs_path(spark, path)
     fs.mkdirs(p)
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in ``path`` (empty if it is missing)."""
+    fs, p = _fs_path(spark, path)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isFile()) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    fs, p = _fs_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that appears whole, by a rename; an older one is replaced."""
+    fs, p = _fs_path(spark, path)
+    _, temporary = _fs_path(spark, f"{path}.new")
+    out = fs.create(temporary, True)
+    out.write(text.encode("utf-8"))
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    fs.rename(temporary, p)
+
+
+def modified(spark: SparkSession, path: str) -> float:
+    """Seconds since the epoch."""
+    fs, p = _fs_path(spark, path)
+    return fs.getFileStatus(p).getModificationTime() / 1000

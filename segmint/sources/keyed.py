@@ -1,221 +1,196 @@
-"""A keyed table with upsert (SNK-1, SNK-2) as versioned Parquet directories.
-
-Layout: ``{root}/v{version:012d}/`` holds a full image of the table; a
-``_COMMITTED`` marker written after the files makes a version visible.
-Readers take the greatest committed version.  An upsert for version ``v``
-starts from the greatest committed version *below* ``v``, so rerunning a
-micro-batch (same ``v``) after a failure rewrites the same image: the sink is
-idempotent, which is what ``foreachBatch`` replay needs.
-
-The new image is ``old ⋉̸ new_keys ∪ new``: the anti join broadcasts the new
-keys once a bounded count has proven them few, so the old image is filtered
-map-side and written back without a shuffle; otherwise the anti join
-shuffles.  With an ``order`` (a version such as ``(ts, event_id)``) the
-stored row of a key survives when it is newer than the incoming one, so the
-result does not depend on the order batches arrive in.  Rows are written in key order (new rows are sorted, kept rows come
-from files already in key order), so Parquet min/max statistics let point
-lookups skip row groups.
-
-On a cluster with a table format (Delta, Iceberg) the same call maps to a
-``MERGE INTO``; this copy-on-write form needs nothing but Parquet.
+"""Keyed tables (SNK-1, SNK-2) and keyed change logs (SNK-4) on Parquet.
+
+A table's rows are hashed by key into buckets.  A commit is one small file that
+names, for each bucket, the version directory holding its rows; it appears by
+a rename, so a reader sees a whole version or none.  An upsert reads and
+rewrites only the buckets that its keys fall into: its cost follows the batch.
+
+Versions only rise.  A version below the newest committed one is refused (a
+stream restarted with a new checkpoint would lose its rows silently); an equal
+one is a replay, starts from the version before and gives the same rows.
+
+On a cluster with a table format the same call is a ``MERGE INTO``.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import lookup
-from ..operators.lookup import MAX_BROADCAST_ROWS
 from . import fs
 from .tables import frame_from_rows
 
-MARKER = "_COMMITTED"
+BUCKET = "_bucket"
 
 
-def _vname(v: int) -> str:
-    return f"v{v:012d}"
+class StaleVersion(ValueError):
+    """A write below the newest committed version or batch."""
+
+
+def last_rows(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *rank) -> DataFrame:
+    """The row of each key with the greatest ``rank``: a partial aggregate, so a
+    hot key costs one row per task."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*rank)).alias("_r")).select("_r.*")
 
 
 class KeyedTable:
-    """A table with a unique ``key`` column, updated by upserts."""
+    """A table with a unique ``key`` (null is a key like others), updated by upserts.
+
+    ``buckets``: at most so many directories and write tasks per version; choose
+    it so that a bucket fits a task (rows of the table / some millions)."""
 
     def __init__(self, spark: SparkSession, root: str, key: str | Sequence[str],
-                 schema: T.StructType | None = None, fmt: str = "parquet",
-                 retain: int | None = None):
-        """``retain``: keep only the newest ``retain`` committed images (at
-        least 2, so a replayed batch still finds the image it started from);
-        ``None`` keeps every version."""
-        if retain is not None and retain < 2:
-            raise ValueError("retain must be at least 2")
-        self.spark, self.root, self.schema, self.fmt = spark, root.rstrip("/"), schema, fmt
+                 schema: T.StructType | None = None, buckets: int = 16):
+        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
         self.keys = [key] if isinstance(key, str) else list(key)
-        self.retain = retain
 
     # -- reading ---------------------------------------------------------
-    def _candidates(self) -> list[int]:
-        """Version numbers present, newest first (one directory listing)."""
-        names = fs.list_dirs(self.spark, self.root)
-        return sorted((int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()),
-                      reverse=True)
-
-    def _committed(self, v: int) -> bool:
-        return fs.exists(self.spark, f"{self.root}/{_vname(v)}/{MARKER}")
-
     def versions(self) -> list[int]:
-        return sorted(v for v in self._candidates() if self._committed(v))
+        return sorted(int(n) for n in fs.list_files(self.spark, f"{self.root}/_commits") if n.isdigit())
 
     def latest(self, before: int | None = None) -> int | None:
-        """Newest committed version (below ``before``): markers are checked
-        newest first, so this costs one listing and usually one lookup."""
-        for v in self._candidates():
-            if (before is None or v < before) and self._committed(v):
-                return v
-        return None
+        """Newest committed version (below ``before``)."""
+        return max((v for v in self.versions() if before is None or v < before), default=None)
+
+    def _commit_of(self, version: int | None) -> dict:
+        if version is None:
+            return {"schema": None, "n": self.buckets, "at": {}}
+        return json.loads(fs.read_text(self.spark, f"{self.root}/_commits/{version}"))
+
+    def _load(self, commit: dict, touched: Sequence[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(commit["schema"]) if commit["schema"] else self.schema
+        paths = [f"{self.root}/v{v}/{BUCKET}={b}" for b, v in commit["at"].items()
+                 if touched is None or int(b) in touched]
+        if schema is None:
+            raise ValueError(f"keyed table {self.root} has no committed version")
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def read(self, version: int | None = None, before: int | None = None) -> DataFrame:
-        """The image at ``version`` (default: latest committed, or latest below ``before``)."""
-        v = version if version is not None else self.latest(before)
-        if v is None:
-            if self.schema is None:
-                raise ValueError(f"keyed table {self.root} has no committed version")
-            return frame_from_rows(self.spark, [], self.schema)
-        r = self.spark.read.format(self.fmt)
-        if self.schema is not None:
-            r = r.schema(self.schema)
-        return r.load(f"{self.root}/{_vname(v)}")
+        """The rows at ``version`` (default: latest committed, or latest below ``before``)."""
+        return self._load(self._commit_of(version if version is not None else self.latest(before)))
+
+    def read_for(self, rows: DataFrame, before: int | None = None) -> DataFrame:
+        """The stored rows of the buckets that the keys of ``rows`` fall into."""
+        commit = self._commit_of(self.latest(before))
+        return self._load(commit, self._touched(rows, commit["n"]))
+
+    def _bucket(self, n: int):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
+
+    def _touched(self, rows: DataFrame, n: int) -> list[int]:
+        return [r[0] for r in rows.select(self._bucket(n)).distinct().collect()]  # n at most
 
     # -- writing ---------------------------------------------------------
-    def _commit(self, df: DataFrame, version: int) -> int:
-        path = f"{self.root}/{_vname(version)}"
-        fs.delete(self.spark, f"{path}/{MARKER}")
-        df.write.mode("overwrite").format(self.fmt).save(path)
-        fs.touch(self.spark, f"{path}/{MARKER}")
-        if self.schema is None:
-            self.schema = df.schema
-        if self.retain is not None:
-            self.vacuum(self.retain)
+    def _base(self, version: int) -> int | None:
+        newest = self.latest()
+        if newest is not None and version < newest:
+            raise StaleVersion(f"version {version} of {self.root} is below the newest, {newest}")
+        return self.latest(before=version)
+
+    def _write(self, image: DataFrame, version: int, commit: dict, touched: Sequence[int], schema: T.StructType) -> int:
+        (image.withColumn(BUCKET, self._bucket(commit["n"])).repartition(max(1, len(touched)), BUCKET)
+         .sortWithinPartitions(BUCKET, *self.keys).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/v{version}"))
+        there = {n.split("=")[1] for n in fs.list_dirs(self.spark, f"{self.root}/v{version}")}
+        at = {b: v for b, v in commit["at"].items() if int(b) not in touched} | {b: version for b in there}
+        text = json.dumps({"schema": json.loads(schema.json()), "n": commit["n"], "at": at})
+        fs.write_text(self.spark, f"{self.root}/_commits/{version}", text)
         return version
 
-    def vacuum(self, keep: int) -> None:
-        """Delete images older than the newest ``keep`` committed ones (and
-        uncommitted leftovers below them).  Images are whole copies, so no
-        newer version refers to the files removed."""
-        committed = self.versions()
-        if len(committed) <= keep:
-            return
-        floor = committed[-keep]
-        for v in self._candidates():
-            if v < floor:
-                fs.delete(self.spark, f"{self.root}/{_vname(v)}")
-
     def overwrite(self, df: DataFrame, version: int = 0) -> int:
-        """Write ``df`` (one row per key) as the whole image ``version``."""
-        return self._commit(df.sortWithinPartitions(*self.keys), version)
+        """Write ``df`` (one row per key) as the whole table."""
+        self._base(version)
+        return self._write(df, version, self._commit_of(None), range(self.buckets), df.schema)
 
-    def upsert(self, rows: DataFrame, version: int, order: Sequence[str] | None = None,
-               max_rows: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> int:
+    def upsert(self, rows: DataFrame, version: int, order: Sequence[str] | None = None) -> int:
         """SNK-1: last write per key wins.
 
-        Without ``order`` the incoming row replaces the stored one and
-        ``rows`` must hold one row per key.  With ``order`` (columns of the
-        table, greatest wins) repeated keys are reduced by it, and a stored
-        row newer than the incoming one is kept.  ``known_rows`` (a count the
-        caller already took) bounds the keys without another job.  Returns
-        the version.
+        With ``order`` (columns of the table, greatest wins) repeated keys are
+        reduced by it and a stored row newer than the incoming one stays.
+        Without, ``rows`` must have one row per key (else ``ValueError``), which
+        replaces the stored one.  Returns the version.
         """
-        prev = self.latest(before=version)
-        old = self.read(version=prev) if prev is not None else None
-        cols = old.columns if old is not None else rows.columns
+        commit = self._commit_of(self._base(version))
+        schema = T.StructType.fromJson(commit["schema"]) if commit["schema"] else rows.schema
+        cols = schema.names
         new = rows.select(*cols)
-        keys = new.select(*self.keys).distinct()
-        n = known_rows if known_rows is not None else keys.count()
-        small = n <= max_rows
-        listed = None
-        if old is not None and len(self.keys) == 1 and n <= lookup.MAX_LISTED_KEYS:
-            # a short key list: IN / NOT IN filters on the key-sorted image
-            # (row groups are skipped for the IN side) instead of a broadcast
-            listed = [r[0] for r in keys.collect() if r[0] is not None]
-        if small:
-            # a proven-small batch is written as one file, not one per shuffle partition
-            new = new.coalesce(1)
-            keys = F.broadcast(keys)
-
-        def hit(df: DataFrame) -> DataFrame:
-            if listed is not None:
-                return df.where(F.col(self.keys[0]).isin(listed))
-            return df.join(keys, self.keys, "left_semi")
-
-        def miss(df: DataFrame) -> DataFrame:
-            if listed is not None:
-                k = F.col(self.keys[0])
-                return df.where(k.isNull() | ~k.isin(listed))
-            return df.join(keys, self.keys, "left_anti")
-
         if order:
-            new = self._last(new if old is None else hit(old).unionByName(new), order)
-            if small:
-                new = new.coalesce(1)
-        # only the new rows are sorted: the rows kept from the old image come
-        # from files that were already written in key order
-        new = new.sortWithinPartitions(*self.keys)
-        image = new if old is None else miss(old).unionByName(new)
-        return self._commit(image, version)
-
-    def _last(self, df: DataFrame, order: Sequence[str]) -> DataFrame:
-        return (df.groupBy(*self.keys)
-                  .agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
-                  .select("_r.*"))
+            new = last_rows(new, self.keys, cols, *order)
+        new = new.persist()
+        try:
+            if not order and not new.groupBy(*self.keys).count().where("count > 1").isEmpty():
+                raise ValueError("repeated keys need an order")
+            touched = self._touched(new, commit["n"])
+            image = new
+            if commit["at"]:
+                both = self._load(commit, touched).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+                image = last_rows(both, self.keys, cols, *(order or ()), "_new")
+            return self._write(image, version, commit, touched, schema)
+        finally:
+            new.unpersist()
+
+    def vacuum(self, older_than_s: float) -> None:
+        """Drop commits older than this (the newest two stay, for readers and
+        replays) and the directories that no commit names any more."""
+        versions = self.versions()
+        limit = time.time() - older_than_s
+        for v in versions[:-2]:
+            if fs.modified(self.spark, f"{self.root}/_commits/{v}") < limit:
+                fs.delete(self.spark, f"{self.root}/_commits/{v}")
+        left = self.versions()
+        named = {v for c in left for v in self._commit_of(c)["at"].values()} | set(left)
+        for n in fs.list_dirs(self.spark, self.root):
+            if n[0] == "v" and n[1:].isdigit() and int(n[1:]) not in named and left and int(n[1:]) < left[-1]:
+                fs.delete(self.spark, f"{self.root}/{n}")
 
 
 class KeyedLog:
-    """A keyed table kept as an append-only change log (the O(batch) sink).
-
-    Each write stores the changed rows of one batch under ``_batch=<id>``
-    with dynamic partition overwrite, so replaying a batch replaces exactly
-    its own partition: writes are idempotent and cost the size of the batch,
-    not of the table.  A read takes the last row per key by batch (or by the
-    records' own order), a partial aggregate, so a hot key costs one row per
-    task.  :meth:`compact` folds the batches up to some id into a base image
-    (a :class:`KeyedTable` under ``_base``, which partition discovery skips)
-    and drops them, so reads stay proportional to the state plus the batches
-    since the last compaction.  Use it where the table is an output view of
-    state that lives elsewhere (a streaming aggregate's state store); use
-    :class:`KeyedTable` where each batch must read the table it updates.
+    """A keyed view kept as an append-only change log (the O(batch) sink).
+
+    Each batch's rows are one partition ``_batch=<id>``, overwritten by a replay
+    of that batch.  A read takes the last row per key by batch, or by the
+    records' own order.  :meth:`compact` folds the log into a base table.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str | Sequence[str]):
         self.spark, self.root = spark, root.rstrip("/")
         self.keys = [key] if isinstance(key, str) else list(key)
-        self.base = KeyedTable(spark, f"{self.root}/_base", key, retain=2)
+        self.base = KeyedTable(spark, f"{self.root}/_base", key)
+
+    def _batches(self) -> list[int]:
+        return sorted(int(n.split("=", 1)[1]) for n in fs.list_dirs(self.spark, self.root) if n.startswith("_batch="))
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
+        """A batch below the newest one is refused; the newest may be replayed, and
+        one that the base already holds is not written again."""
+        base = self.base.latest()
+        newest = max([*self._batches(), *([base] if base is not None else [])], default=batch_id)
+        if batch_id < newest:
+            raise StaleVersion(f"batch {batch_id} of {self.root} is below the newest, {newest}")
+        if base == batch_id:
+            return
         (rows.withColumn("_batch", F.lit(batch_id).cast("long"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("_batch").parquet(self.root))
 
-    def _batches(self) -> list[int]:
-        return sorted(int(n.split("=", 1)[1]) for n in fs.list_dirs(self.spark, self.root)
-                      if n.startswith("_batch="))
-
     def _rows(self, upto: int | None = None) -> DataFrame | None:
-        """Base image (as batch ``base``) and the log batches after it."""
-        base_v = self.base.latest()
+        """Base rows (as batch ``base``) and the log batches after it."""
+        base = self.base.latest()
+        later = [b for b in self._batches() if (base is None or b > base) and (upto is None or b <= upto)]
         parts = None
-        if any((base_v is None or b > base_v) and (upto is None or b <= upto)
-               for b in self._batches()):
-            parts = self.spark.read.parquet(self.root)
-            if base_v is not None:
-                parts = parts.where(F.col("_batch") > F.lit(base_v))
-            if upto is not None:
-                parts = parts.where(F.col("_batch") <= F.lit(upto))
-        if base_v is None:
+        if later:
+            parts = self.spark.read.option("basePath", self.root).parquet(*(f"{self.root}/_batch={b}" for b in later))
+            parts = parts.withColumn("_batch", F.col("_batch").cast("long"))
+        if base is None:
             return parts
-        base = self.base.read(version=base_v).withColumn("_batch", F.lit(base_v).cast("long"))
-        return base if parts is None else base.unionByName(parts)
+        rows = self.base.read(version=base).withColumn("_batch", F.lit(base).cast("long"))
+        return rows if parts is None else rows.unionByName(parts)
 
     def read(self, order: Sequence[str] | None = None,
              schema: T.StructType | None = None, upto: int | None = None) -> DataFrame:
@@ -226,20 +201,21 @@ class KeyedLog:
             if schema is None:
                 raise ValueError(f"keyed log {self.root} is empty")
             return frame_from_rows(self.spark, [], schema)
-        cols = [c for c in log.columns if c != "_batch"]
-        rank = F.struct(*order, "_batch") if order else F.col("_batch")
-        return (log.groupBy(*self.keys)
-                   .agg(F.max_by(F.struct(*cols), rank).alias("_r"))
-                   .select("_r.*"))
+        return last_rows(log, self.keys, [c for c in log.columns if c != "_batch"], *(order or ()), "_batch")
 
     def compact(self, upto: int, order: Sequence[str] | None = None) -> None:
-        """Fold every batch up to ``upto`` into the base image, then drop them.
+        """Fold every batch up to ``upto`` into the base.
 
-        The new base is committed before any batch is dropped, and a read
-        ignores batches at or below the base, so a crash in between loses
-        nothing.
-        """
+        A committed base is never written again, and the batches it holds are
+        dropped only once a later base is committed: a crash or a replay at any
+        point leaves all rows readable."""
+        base = self.base.latest()
+        if base is not None and base >= upto:
+            return
+        rows = self._rows(upto)
+        if rows is None:
+            return
         self.base.overwrite(self.read(order, upto=upto), version=upto)
         for b in self._batches():
-            if b <= upto:
+            if base is not None and b <= base:
                 fs.delete(self.spark, f"{self.root}/_batch={b}")

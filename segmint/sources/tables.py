@@ -7,7 +7,6 @@ pushed into the scan by Catalyst (``PushedFilters`` / ``ReadSchema``).
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,15 +40,11 @@ def frame_from_rows(spark: SparkSession, rows: Iterable[Sequence],
     """SRC-3: in-memory rows or pairs to a DataFrame with a declared schema.
 
     Meant for driver-sized inputs (key lists, small dimensions); the caller
-    knows their length, which is what makes them safe to broadcast.  The rows
-    travel as one JSON literal that ``from_json`` parses against the schema
-    (folded once by the optimizer) and ``inline`` expands: the frame is built
-    in the JVM, with no Python worker and no dependence on session settings.
+    knows their length.  Values are checked against the schema: one of a wrong
+    type raises.
     """
     st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    text = json.dumps([dict(zip(st.names, r)) for r in rows], default=str)
-    parsed = F.from_json(F.lit(text), T.ArrayType(st))
-    return spark.range(1).select(F.inline(parsed))
+    return spark.createDataFrame([tuple(r) for r in rows], st, verifySchema=True)
 
 
 def int_range(spark: SparkSession, start: int, end: int,
@@ -63,12 +58,11 @@ def replicate_by_frequency(df: DataFrame, n: str | Column,
                            chunk: int = 1024) -> DataFrame:
     """SRC-5: emit each row (its ``keep`` columns) ``n`` times; ``n <= 0`` emits nothing.
 
-    Replication is done in two explodes so that no single row ever holds more
-    than ``max(chunk, sqrt(n))`` array elements: a row with a huge frequency
-    first becomes about ``n / width`` chunk rows, which the shuffle below
-    spreads over many tasks, and each chunk then expands to at most ``width``
-    copies.  ``array_repeat`` is used rather than ``sequence(1, n)`` because
-    the latter yields two rows for ``n = 0``.
+    No row ever holds more than ``max(chunk, sqrt(n))`` array elements: a row of
+    more than one chunk first becomes about ``n / width`` chunk rows, which are
+    spread over tasks, and each chunk then expands to at most ``width`` copies.
+    Rows of one chunk expand where they are.  ``array_repeat`` is used rather
+    than ``sequence(1, n)`` because the latter yields two rows for ``n = 0``.
     """
     cnt = (F.col(n) if isinstance(n, str) else n).cast("long")
     cols = list(keep) if keep is not None else [c for c in df.columns if c != n]
@@ -78,9 +72,7 @@ def replicate_by_frequency(df: DataFrame, n: str | Column,
                                                 F.floor((F.col("_n") - 1) / F.col("_w")).cast("long")))
     staged = (base.withColumn("_w", width)
                   .select("_row", "_n", "_w", F.explode(chunks).alias("_chunk")))
-    # spread the chunks of a very frequent row over the cluster
-    staged = staged.repartition(F.xxhash64("_row", "_chunk"))
     copies = F.least(F.col("_w"), F.col("_n") - F.col("_chunk") * F.col("_w"))
-    return (staged.select(F.explode(F.array_repeat(F.col("_row"), copies.cast("int")))
-                          .alias("_row"))
-                  .select("_row.*"))
+    one = F.explode(F.array_repeat(F.col("_row"), copies.cast("int"))).alias("_row")
+    many = staged.where(F.col("_n") > F.col("_w")).repartition(F.xxhash64("_row", "_chunk"))
+    return staged.where(F.col("_n") <= F.col("_w")).select(one).unionByName(many.select(one)).select("_row.*")

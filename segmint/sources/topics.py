@@ -1,175 +1,77 @@
-"""Topics: message logs with the Kafka source schema (SRC-6 .. SRC-10, SNK-3, STM-10).
+"""Topics: message logs with the Kafka source's message columns (SRC-6 .. SRC-10, SNK-3).
 
 No Kafka connector is on this class path, so a topic is a directory of
-Parquet files with exactly the columns Spark's Kafka source yields::
+Parquet files::
 
-    key binary, value binary, topic string, partition int, offset long, timestamp timestamp
+    key binary, value binary, topic string, timestamp timestamp
 
-Streams read it with the file source, which (like ``startingOffsets =
-earliest`` plus a checkpoint) delivers every file once across restarts.  With
-the connector present only ``format`` and the options change; the
-transformations downstream stay the same.
+Publishing appends files, in parallel.  There are no offsets of our own: a
+consumer that needs an order takes it from the records (their own version).
+Streams read the directory with the file source, which (like
+``startingOffsets = earliest`` plus a checkpoint) delivers every file once
+across restarts.  With the connector present only ``format`` and the options
+change; the transformations downstream stay the same.
 """
 
 from __future__ import annotations
 
-import datetime
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark import StorageLevel
 
 from . import fs
-from .tables import frame_from_rows
 
-# Messages per topic file unless the writer asks otherwise.
+# Messages per topic file at most.
 ROWS_PER_FILE = 1_000_000
 
 TOPIC_SCHEMA = T.StructType([
     T.StructField("key", T.BinaryType()),
     T.StructField("value", T.BinaryType()),
     T.StructField("topic", T.StringType()),
-    T.StructField("partition", T.IntegerType()),
-    T.StructField("offset", T.LongType()),
     T.StructField("timestamp", T.TimestampType()),
 ])
 
 
-def _bytes(c: Column | None, dtype: T.DataType | None) -> Column:
-    if c is None:
-        return F.lit(None).cast("binary")
-    if isinstance(dtype, T.BinaryType):
-        return c
-    return F.encode(c.cast("string"), "UTF-8")
+def topic_path(root: str, name: str) -> str:
+    """Where :func:`write_topics` puts topic ``name`` under ``root``."""
+    return f"{root.rstrip('/')}/t={name}"
 
 
-def next_offset(spark: SparkSession, path: str) -> int:
-    """One past the greatest offset already in the topic (0 when empty)."""
-    if not fs.exists(spark, path):
-        return 0
-    row = read_topic(spark, path).agg(F.max("offset").alias("m")).first()
-    return 0 if row["m"] is None else int(row["m"]) + 1
+def topic_names(spark: SparkSession, root: str) -> list[str]:
+    """The topics that :func:`write_topics` has written under ``root``."""
+    return [n[2:] for n in fs.list_dirs(spark, root) if n.startswith("t=")]
 
 
-def topic_path(root: str, name: str) -> str:
-    """Where :func:`write_topics` puts topic ``name`` under ``root``."""
-    return f"{root.rstrip('/')}/t={name}"
+def _messages(df: DataFrame, value: str, key: str | None, timestamp: str | None, topic: Column) -> DataFrame:
+    def data(name):
+        if name is None:
+            return F.lit(None).cast("binary")
+        c = F.col(name)
+        return c if isinstance(df.schema[name].dataType, T.BinaryType) else F.encode(c.cast("string"), "UTF-8")
 
+    when = F.col(timestamp).cast("timestamp") if timestamp else F.current_timestamp()
+    return df.select(data(key).alias("key"), data(value).alias("value"), topic.alias("topic"), when.alias("timestamp"))
 
-def _stage(df: DataFrame, value: str, key: str | None, timestamp: str | None,
-           topic: Column) -> DataFrame:
-    """Messages with their topic, tagged with the Spark partition id and a
-    row id that counts up within each (topic, partition) run.
 
-    The tags must come out the same if a lost cached block is recomputed
-    (after a shuffle the rows of a partition may then arrive in another
-    order), so each partition is sorted by its message content and the
-    produce time is one literal for the whole write, not
-    ``current_timestamp()``.
-    """
-    kt = df.schema[key].dataType if key else None
-    vt = df.schema[value].dataType
-    ts = (F.col(timestamp).cast("timestamp") if timestamp
-          else F.lit(datetime.datetime.now(datetime.timezone.utc)))
-    return (df.select(
-                topic.alias("topic"),
-                _bytes(F.col(key) if key else None, kt).alias("key"),
-                _bytes(F.col(value), vt).alias("value"),
-                ts.alias("timestamp"))
-              .sortWithinPartitions("topic", "key", "value", "timestamp")
-              .select("*", F.spark_partition_id().alias("_pid"),
-                      F.monotonically_increasing_id().alias("_mid")))
-
-
-def _write_staged(staged: DataFrame, path: str, bases: dict, partitions: int,
-                  files: int | None, rows_per_file: int, by_topic: bool) -> dict:
-    """Assign dense offsets per topic (continuing from ``bases``) and append.
-
-    One row per (topic, Spark partition) reaches the driver, as in
-    ``zipWithIndex``; each run of a topic within a partition starts at its
-    shift and counts up.  Files hold at most ``rows_per_file`` messages (or
-    ``ceil(n / files)``), and a small write is coalesced to as few tasks as
-    that needs: a file is a unit of consumption (one micro-batch with
-    ``maxFilesPerTrigger = 1``), so a 16-row effect must not become 16 files.
-    """
-    spark = staged.sparkSession
-    counts = staged.groupBy("topic", "_pid").agg(F.count(F.lit(1)).alias("n"),
-                                                 F.min("_mid").alias("first")).collect()
-    shifts, written = [], {}
-    for r in sorted(counts, key=lambda r: (r["topic"], r["_pid"])):
-        t = r["topic"]
-        acc = bases.get(t, 0) + written.get(t, 0)
-        shifts.append((t, r["_pid"], acc - r["first"]))
-        written[t] = written.get(t, 0) + r["n"]
-    total = sum(written.values())
-    if total == 0:
-        return {}
-    per_file = max(1, -(-total // files)) if files else rows_per_file
-    shift = frame_from_rows(spark, shifts, "topic string, _pid int, _shift long")
-    spread = F.when(F.col("key").isNull(), F.xxhash64("_mid")).otherwise(F.xxhash64("key"))
-    cols = ["key", "value", "topic", F.pmod(spread, F.lit(partitions)).cast("int").alias("partition"),
-            (F.col("_mid") + F.col("_shift")).alias("offset"), "timestamp"]
-    if by_topic:
-        cols.append(F.col("topic").alias("t"))
-    out = staged.join(F.broadcast(shift), ["topic", "_pid"]).select(*cols)
-    n_parts = len({s[1] for s in shifts})
-    tasks = max(1, min(n_parts, -(-total // per_file)))
-    if tasks < n_parts:
-        out = out.coalesce(tasks)
-    w = out.write.mode("append").option("maxRecordsPerFile", per_file)
-    if by_topic:
-        w = w.partitionBy("t")
-    w.parquet(path)
-    return written
-
-
-def write_topic(df: DataFrame, path: str, topic: str, value: str,
-                key: str | None = None, partitions: int = 8,
-                timestamp: str | None = None, files: int | None = None,
-                rows_per_file: int = ROWS_PER_FILE) -> int:
-    """SNK-3: append ``df`` as messages to the topic at ``path``.
+def write_topic(df: DataFrame, path: str, topic: str, value: str, key: str | None = None,
+                timestamp: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """SNK-3: append ``df`` as messages to the topic at ``path``, every task its own rows.
 
     ``value`` / ``key`` name text or binary columns (text is UTF-8 encoded).
-    The topic partition is the key's hash (spread round the partitions when
-    the key is null).  Offsets continue densely after the topic's last one.
-    Returns the number of messages written.
     """
-    spark = df.sparkSession
-    staged = _stage(df, value, key, timestamp, F.lit(topic)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _write_staged(staged, path, {topic: next_offset(spark, path)}, partitions,
-                             files, rows_per_file, by_topic=False).get(topic, 0)
-    finally:
-        staged.unpersist()
-
-
-def write_topics(df: DataFrame, root: str, topic_col: str, value: str,
-                 key: str | None = None, partitions: int = 8,
-                 timestamp: str | None = None, files: int | None = None,
-                 rows_per_file: int = ROWS_PER_FILE, max_topics: int = 1000) -> dict:
+    _messages(df, value, key, timestamp, F.lit(topic)).write.mode("append").option(
+        "maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def write_topics(df: DataFrame, root: str, topic_col: str, value: str, key: str | None = None,
+                 timestamp: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> None:
     """SNK-3 routed: each row goes to the topic named by ``topic_col``, all in
-    one pass (one scan, a sort within partitions, one write); topic ``t``
-    lands in :func:`topic_path` ``(root, t)``.  The number of distinct topics
-    is checked against ``max_topics`` first.  Returns messages per topic.
-    """
-    from ..operators.lookup import has_at_most
-    spark = df.sparkSession
-    if not has_at_most(df.select(topic_col).distinct(), max_topics):
-        raise ValueError(f"more than {max_topics} topics in column {topic_col}")
-    bases = {}
-    if fs.exists(spark, root):
-        for r in (spark.read.schema(TOPIC_SCHEMA).parquet(root)
-                  .groupBy("topic").agg((F.max("offset") + 1).alias("n")).collect()):
-            bases[r["topic"]] = int(r["n"])
-    staged = _stage(df, value, key, timestamp, F.col(topic_col).cast("string")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _write_staged(staged, root, bases, partitions, files, rows_per_file, by_topic=True)
-    finally:
-        staged.unpersist()
+    one pass; topic ``t`` lands in :func:`topic_path` ``(root, t)``."""
+    out = _messages(df, value, key, timestamp, F.col(topic_col).cast("string"))
+    out.withColumn("t", F.col("topic")).write.mode("append").option(
+        "maxRecordsPerFile", rows_per_file).partitionBy("t").parquet(root)
 
 
 def read_topic(spark: SparkSession, path: str) -> DataFrame:
@@ -237,6 +139,6 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.decode("key", "UTF-8")).withColumn("value", F.decode("value", "UTF-8"))
 
 
-def latest_offsets(df: DataFrame) -> DataFrame:
-    """STM-10: next offset (greatest + 1) per topic partition."""
-    return df.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
+def message_counts(df: DataFrame) -> DataFrame:
+    """SRC-10: messages per topic of a bounded read."""
+    return df.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ Errors are never swallowed: a failed query raises from :func:`run_bounded`.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -39,24 +39,41 @@ def stop(query: StreamingQuery) -> None:
         query.stop()
 
 
-def run_bounded(query: StreamingQuery, should_continue: Callable[[], bool] | None = None,
-                timeout_s: float = 10.0, poll_s: float = 0.2) -> bool:
-    """STM-3 / UDF-5: let ``query`` run while ``should_continue()`` is true and
-    the timeout has not passed, polling every ``poll_s``; then stop it.
+def drain(*queries: StreamingQuery) -> None:
+    """Wait for ``available_now`` queries that run at the same time; a failure is raised."""
+    for q in queries:
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
 
-    Returns True when the predicate released the wait (False on timeout or
-    when the query ended by itself).  A failed query re-raises its error.
+
+def rows_read(query: StreamingQuery) -> int:
+    """Input rows of the query's batches so far, from its own progress (of the
+    last batches that Spark keeps)."""
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def run_bounded(queries: StreamingQuery | Sequence[StreamingQuery], should_continue: Callable[[], bool],
+                timeout_s: float, poll_s: float = 0.2) -> None:
+    """STM-3 / UDF-5: let one or several queries run at the same time while
+    ``should_continue()`` is true, polling every ``poll_s``; then stop them all.
+
+    One predicate and one limit govern them.  ``TimeoutError`` if the predicate
+    has not released the wait by then: the results would be partial.  A failed
+    query raises its error.
     """
+    running = [queries] if isinstance(queries, StreamingQuery) else list(queries)
     deadline = time.monotonic() + timeout_s
-    released = False
     try:
-        while query.isActive and time.monotonic() < deadline:
-            if should_continue is not None and not should_continue():
-                released = True
-                break
-            query.awaitTermination(poll_s)
-        if query.exception() is not None:
-            raise query.exception()
+        while should_continue():
+            for q in running:
+                if q.exception() is not None:
+                    raise q.exception()
+            if not any(q.isActive for q in running):
+                raise RuntimeError("all queries ended before the predicate released the wait")
+            if time.monotonic() > deadline:
+                raise TimeoutError(f"not released within {timeout_s} s")
+            time.sleep(poll_s)
     finally:
-        stop(query)
-    return released
+        for q in running:
+            stop(q)

@@ -42,15 +42,14 @@ def merge_with_effect(table: KeyedTable | KeyedLog, reduce: Callable[[DataFrame]
     def handle(batch: DataFrame, batch_id: int) -> None:
         reduced = reduce(batch).persist()
         try:
-            n = reduced.count()  # materializes every partition once
-            if n == 0:
+            if reduced.isEmpty():
                 return
             if effect is not None:
                 effect(reduced, batch_id)
             if isinstance(table, KeyedLog):
                 table.append(reduced, batch_id)
             else:
-                table.upsert(reduced, first_version + batch_id, order=order, known_rows=n)
+                table.upsert(reduced, first_version + batch_id, order=order)
         finally:
             reduced.unpersist()
     return handle
@@ -61,21 +60,19 @@ def enrich_into(table: KeyedTable, key: str, element: str, value: str = "segset"
     """STM-11: each batch's elements per key are unioned with the stored set
     (JOIN-5 against the table as it is *now*) and upserted back.
 
-    The table is re-read every batch because it changes between batches,
-    which a stream-static join would not see.  Other stored columns (a
-    score) are kept; new keys get nulls there.
+    Only the buckets that the batch's keys fall into are read and rewritten.
+    Other stored columns (a score) are kept; new keys get nulls there.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         incoming = agg.set_per_key(batch, key, element, name=value).persist()
         try:
-            n = incoming.count()  # materializes every partition once
-            if n == 0:
+            if incoming.isEmpty():
                 return
             v = first_version + batch_id
-            stored = table.read(before=v)
+            stored = table.read_for(incoming, before=v)
             others = [c for c in stored.columns if c not in (key, value)]
             merged = lookup.enrich_merge(incoming, stored, key, value, keep=others)
-            table.upsert(merged.select(*stored.columns), v, known_rows=n)
+            table.upsert(merged.select(*stored.columns), v)
         finally:
             incoming.unpersist()
     return handle
@@ -87,10 +84,8 @@ def enrich_static(stream: DataFrame, stored: DataFrame, key: str, value: str = "
     a stream-static left join, each incoming record's set unioned with the
     stored set of its key (``keep`` carries further stored columns).
 
-    Stateless and simple, but the static side is planned again every batch
-    and cannot be cut to the batch's keys first, so for a large stored table
-    :func:`enrich_into` (which cuts it per batch, and sees updates) is the
-    one to use.
+    Stateless; :func:`enrich_into` reads only the buckets of a batch's keys
+    and sees updates.
     """
     st = stored.select(F.col(key), F.col(value).alias("_st"), *keep)
     return (stream.join(st, key, "left")

@@ -28,16 +28,8 @@ def upsert_sink(table: KeyedTable, first_version: int = 1,
     Empty batches write nothing (the emptiness guard of AGG-2).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        # the upsert runs several jobs on the batch: compute every partition
-        # once (count, unlike isEmpty, materializes them all)
-        rows = batch.persist()
-        try:
-            n = rows.count()
-            if n == 0:
-                return
-            table.upsert(rows, first_version + batch_id, order=order, known_rows=n)
-        finally:
-            rows.unpersist()
+        if not batch.isEmpty():
+            table.upsert(batch, first_version + batch_id, order=order)
     return write
 
 
@@ -77,9 +69,9 @@ def running_count() -> Column:
     return F.count(F.lit(1)).alias("n")
 
 
-def running_sum(value: str, name: str = "total") -> Column:
-    """STM-5: running exact sum per key (AGG-3 over batches)."""
-    return agg.exact_sum(value).alias(name)
+def running_sum(value: str, dtype: str = "double", name: str = "total") -> Column:
+    """STM-5: running exact sum per key (AGG-3 over batches), for a column of ``dtype``."""
+    return agg.exact_sum(value, dtype).alias(name)
 
 
 def running_last(value: str, order: Sequence[str], name: str = "last") -> Column:
@@ -88,10 +80,17 @@ def running_last(value: str, order: Sequence[str], name: str = "last") -> Column
 
 
 def running_set(element: str, name: str = "segset") -> Column:
-    """STM-7: running set union per key (elements; explode set input first)."""
+    """STM-7: running set union per key, of elements; set-valued messages go
+    through :func:`elements` first."""
     return F.sort_array(F.collect_set(F.col(element))).alias(name)
 
 
+def elements(stream: DataFrame, value: str, name: str = "element") -> DataFrame:
+    """STM-7: set-valued messages as one row per element (an empty or null set:
+    one null element, so that its key still counts)."""
+    return stream.withColumn(name, F.explode_outer(value)).drop(value)
+
+
 def to_table(aggregated: DataFrame, table: KeyedTable, checkpoint: str,
              trig: dict | None = None, name: str | None = None,
              first_version: int = 1, mode: str = "update",

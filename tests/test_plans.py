@@ -23,62 +23,75 @@ def test_in_filter_is_pushed_and_pruned(spark, sf_small):
     assert "In(c_custkey" in p and "ReadSchema: struct<c_custkey:bigint>" in p
 
 
-def test_size_check_is_exact_at_the_bound(spark):
-    small = tables.int_range(spark, 0, 10)
-    assert lookup.has_at_most(small, 10) and not lookup.has_at_most(small, 9)
-    arr = tables.frame_from_rows(spark, [([1, 2, 3],), ([4],)], "a array<int>")
-    assert lookup.has_at_most(arr, 2, ["a"], max_elements=4)
-    assert not lookup.has_at_most(arr, 2, ["a"], max_elements=3)
-
-
-def test_unproven_side_is_not_broadcast(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        big = tables.int_range(spark, 0, 1000)
-        j = big.join(lookup.checked_broadcast(big, 100), "id")
-        assert "BroadcastHashJoin" not in plan(j)
-        j2 = big.join(lookup.checked_broadcast(big.limit(5), 100), "id")
-        assert "BroadcastHashJoin" in plan(j2)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+def test_set_functions_stay_in_codegen(spark):
+    from segmint.functions import sets
+    df = tables.frame_from_rows(spark, [([3, 1],)], "a array<int>")
+    p = plan(df.select(sets.union("a", F.array(F.lit(2))).alias("u")))
+    assert "lambdafunction" not in p
 
 
-def test_enrich_cuts_stored_before_any_shuffle(spark, sf_small, monkeypatch):
-    inc = B.incoming_profiles(spark, sf_small)
-    st = B.stored_profiles(spark, sf_small)
+def no_aqe(spark, f):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        # a short key list goes into the stored side's scan as an IN filter
-        p = plan(lookup.enrich_merge(inc, st, "id", "segset"))
-        assert "PushedFilters: [IsNotNull(ts), LessThan(ts,2024-01-16T00:00), In(user_id" in p
-        # longer (but proven-small) key sets: a broadcast semi join, map-side
-        monkeypatch.setattr(lookup, "MAX_LISTED_KEYS", 0)
-        p = plan(lookup.enrich_merge(inc, st, "id", "segset"))
-        assert "BroadcastHashJoin" in p and "LeftSemi" in p
+        return f()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_set_functions_stay_in_codegen(spark):
-    from segmint.functions import sets
-    df = tables.frame_from_rows(spark, [([3, 1],)], "a array<int>")
-    p = plan(df.select(sets.union("a", F.array(F.lit(2))).alias("u")))
-    assert "lambdafunction" not in p
+def test_lookups_are_plain_joins(spark, sf_small):
+    keys = B.table(spark, sf_small, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    p = no_aqe(spark, lambda: plan(lookup.lookup_keys(keys, B.table(spark, sf_small, "customer"), "c_custkey")))
+    assert p.count("Join") == 1 and "Coalesce 1" not in p
 
 
-def test_lookup_many_keys_takes_one_shuffle_join(spark, sf_small):
-    keys = B.table(spark, sf_small, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    cust = B.table(spark, sf_small, "customer")
-    few = lookup.lookup_keys(keys, cust, "c_custkey")
+def test_lookup_of_a_repeated_table_key_is_never_broadcast_by_hint(spark):
+    table = tables.int_range(spark, 0, 50_000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    keys = tables.frame_from_rows(spark, [(1,)], "k int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        many = lookup.lookup_keys(keys, cust, "c_custkey", max_rows=10)
-        p = plan(many)
-        assert "BroadcastHashJoin" not in p and "LeftSemi" not in p
-        assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+        j = lookup.lookup_keys(keys, table, "k")
+        assert "BroadcastHashJoin" not in plan(j) and j.count() == 50_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_struct_keys(spark):
+    schema = "k struct<a:int,b:string>, s array<string>"
+    inc = tables.frame_from_rows(spark, [((1, "x"), ["n"]), ((2, "y"), ["m"])], schema)
+    st = tables.frame_from_rows(spark, [((1, "x"), ["o"])], schema)
+    got = sorted((tuple(r["k"]), r["s"]) for r in lookup.enrich_merge(inc, st, "k", "s").collect())
+    assert got == [((1, "x"), ["n", "o"]), ((2, "y"), ["m"])]
+
+
+def test_no_single_task_above_a_scan_or_join(spark, sf_small, monkeypatch):
+    """The upserts never squeeze their input into one task."""
+    from pyspark.sql import DataFrame
+    from segmint.plans import catalog
+    monkeypatch.setattr(DataFrame, "coalesce", lambda *a: (_ for _ in ()).throw(AssertionError("coalesce")))
+    type_ = type(spark.range(1))
+    monkeypatch.setattr(type_, "coalesce", lambda *a: (_ for _ in ()).throw(AssertionError("coalesce")), raising=False)
+    for name in ("upsert_pairs", "upsert_scored", "stream_enrich"):
+        assert catalog.queries()[name](spark, sf_small).count() > 0
+
+
+def test_rows_keep_their_values(spark):
+    assert tables.frame_from_rows(spark, [(b"\x00\xff", None)], "b binary, n int").first()[:] == (bytearray(b"\x00\xff"), None)
+    import pytest
+    with pytest.raises(Exception):
+        tables.frame_from_rows(spark, [("text",)], "n int").collect()
+
+
+def test_shared_root_needs_a_folder_on_a_cluster():
+    import pytest
+    from segmint.session import shared_root
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_root(Session())

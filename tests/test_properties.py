@@ -46,7 +46,7 @@ def test_per_key_aggregates_match_python(spark, rows):
     df = tables.frame_from_rows(spark, rows, "k int, v int, ts int")
     sets_ = agg.collect_map(agg.set_per_key(df, "k", "v"), "k", "segset")
     last = agg.collect_map(agg.last_per_key(df, "k", "v", ["ts"]), "k", "last")
-    sums = agg.collect_map(agg.sum_per_key(df, "k", "v", scale=None), "k", "total")
+    sums = agg.collect_map(agg.sum_per_key(df, "k", "v"), "k", "total")
     for k in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == k]
         assert sets_[k] == norm(r[1] for r in mine)

@@ -39,8 +39,8 @@ def test_defaulttest_running_counts(spark):
 
 
 def records_topic(spark, root, records):
-    df = tables.frame_from_rows(spark, records, "a int, seg array<int>")
-    topics.write_topic(df.select(codec.render("a", "seg").alias("value")),
+    df = tables.frame_from_rows(spark, [(*r, i) for i, r in enumerate(records)], "a int, seg array<int>, v int")
+    topics.write_topic(df.select(codec.render("a", "seg", "v").alias("value")),
                        f"{root}/topic1", "topic1", "value")  # null key, as in the reference
     return f"{root}/topic1"
 
@@ -50,9 +50,9 @@ def test_simple_records_keyed_and_merged(spark):
     path = records_topic(spark, root, [(2, [1, 2]), (4, [3, 5])])
     s = topics.as_text(topics.stream_topic(spark, path, 1))
     assert s.isStreaming
-    recs = s.select(codec.parse("value", "a int, seg array<int>").alias("r"), "offset").select("r.*", "offset")
+    recs = s.select(codec.parse("value", "a int, seg array<int>, v int").alias("r")).select("r.*")
     table = KeyedTable(spark, f"{root}/table", "a")
-    drain(running.to_table(recs, table, f"{root}/ckpt", DRAIN, mode="append", order=["offset"]))
+    drain(running.to_table(recs, table, f"{root}/ckpt", DRAIN, mode="append", order=["v"]))
     assert as_dict(table.read(), "a", "seg") == {2: [1, 2], 4: [3, 5]}
 
 
@@ -64,19 +64,19 @@ def test_two_queues(spark):
     def decorate(reduced, batch_id):
         msgs = reduced.select(codec.render(F.col("a").alias("key"),
                                            sets.map_elements("seg", lambda x: x + 1).alias("value"),
-                                           "offset").alias("value"))
+                                           "v").alias("value"))
         topics.write_topic(msgs, t2, "topic2", "value")
 
     table1 = KeyedTable(spark, f"{root}/r1", "a")
     s1 = topics.as_text(topics.stream_topic(spark, t1, 1)).select(
-        codec.parse("value", "a int, seg array<int>").alias("r"), "offset").select("r.*", "offset")
+        codec.parse("value", "a int, seg array<int>, v int").alias("r")).select("r.*")
     drain(micro.start(s1.writeStream.foreachBatch(
-        relay.merge_with_effect(table1, relay.last_in_batch("a", ["offset"]), decorate)),
+        relay.merge_with_effect(table1, relay.last_in_batch("a", ["v"]), decorate)),
         f"{root}/c1", DRAIN))
     table2 = KeyedTable(spark, f"{root}/r2", "key")
     s2 = topics.as_text(topics.stream_topic(spark, t2, 1)).select(
-        codec.parse("value", "key int, value array<int>, offset long").alias("r")).select("r.*")
-    drain(running.to_table(s2, table2, f"{root}/c2", DRAIN, mode="append", order=["offset"]))
+        codec.parse("value", "key int, value array<int>, v int").alias("r")).select("r.*")
+    drain(running.to_table(s2, table2, f"{root}/c2", DRAIN, mode="append", order=["v"]))
     assert as_dict(table1.read(), "a", "seg") == {2: [1, 2], 4: [3, 5]}
     assert as_dict(table2.read(), "key", "value") == {2: [2, 3], 4: [4, 6]}
 
@@ -130,17 +130,24 @@ def test_enrich_into_batches(spark):
         "a1": ["s1", "s2", "s3", "s4"], "a2": ["s1", "s2", "s3"], "a3": ["s1", "s3"]}
 
 
+def live(spark, root, name="t"):
+    topics.write_topic(tables.frame_from_rows(spark, [("x",)], "value string"), f"{root}/{name}", name, "value")
+    s = topics.stream_topic(spark, f"{root}/{name}", 1)
+    return micro.start(s.writeStream.format("parquet").option("path", f"{root}/{name}-sink"), f"{root}/{name}-ckpt", micro.trigger(200))
+
+
 def test_run_bounded_predicate_releases(spark):
-    root = fresh_dir(spark, "t-bounded")
-    topics.write_topic(tables.frame_from_rows(spark, [("x",)], "value string"),
-                       f"{root}/topic", "t", "value")
-    s = topics.stream_topic(spark, f"{root}/topic", 1)
-    q = micro.start(s.writeStream.format("parquet").option("path", f"{root}/sink"),
-                    f"{root}/ckpt", micro.trigger(200))
-    released = micro.run_bounded(
-        q, lambda: q.lastProgress is None or spark.read.parquet(f"{root}/sink").count() < 1,
-        timeout_s=120)
-    assert released and not q.isActive
+    q = live(spark, fresh_dir(spark, "t-bounded"))
+    micro.run_bounded(q, lambda: micro.rows_read(q) < 1, timeout_s=120)
+    assert not q.isActive
+
+
+def test_run_bounded_governs_several_queries(spark):
+    root = fresh_dir(spark, "t-several")
+    qs = [live(spark, root, n) for n in ("a", "b")]
+    micro.run_bounded(qs, lambda: any(micro.rows_read(q) < 1 for q in qs), timeout_s=120)
+    assert not any(q.isActive for q in qs)
+    assert [spark.read.parquet(f"{root}/{n}-sink").count() for n in ("a", "b")] == [1, 1]
 
 
 def test_run_bounded_raises_on_failure(spark):
@@ -154,18 +161,20 @@ def test_run_bounded_raises_on_failure(spark):
 
     q = micro.start(s.writeStream.foreachBatch(boom), f"{root}/ckpt", micro.trigger(200))
     with pytest.raises(Exception):
-        micro.run_bounded(q, None, timeout_s=60)
+        micro.run_bounded(q, lambda: True, timeout_s=60)
 
 
-def test_latest_offsets_dense(spark):
-    root = fresh_dir(spark, "t-offsets")
+def test_topic_files_follow_the_rows(spark):
+    root = fresh_dir(spark, "t-files")
     df = tables.int_range(spark, 0, 100, 7).select(F.col("id").cast("string").alias("v"))
-    assert topics.write_topic(df, f"{root}/t", "t", "v", key="v", partitions=3) == 100
-    assert topics.write_topic(df, f"{root}/t", "t", "v", key="v", partitions=3) == 100
-    offs = [r["offset"] for r in topics.read_topic(spark, f"{root}/t").collect()]
-    assert sorted(offs) == list(range(200))
-    nxt = topics.latest_offsets(topics.read_topic(spark, f"{root}/t"))
-    assert nxt.agg(F.max("next_offset")).first()[0] == 200
+    topics.write_topic(df, f"{root}/t", "t", "v", key="v", rows_per_file=5)
+    topics.write_topic(df, f"{root}/t", "t", "v", key="v")
+    got = topics.as_text(topics.read_topic(spark, f"{root}/t"))
+    assert sorted(r["value"] for r in got.collect()) == sorted(2 * [str(i) for i in range(100)])
+    # every task writes its own rows: seven at the usual size, at most five rows a file before
+    files = got.select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) == 7 * 3 + 7 and got.where("key <> value").count() == 0
+    assert topics.message_counts(got).collect()[0]["n"] == 200
 
 
 def test_parse_checked_routes_bad_rows(spark):
@@ -174,27 +183,131 @@ def test_parse_checked_routes_bad_rows(spark):
     assert [r["bad"] for r in out] == [False, True] and out[0]["record"]["a"] == 1
 
 
-def test_write_topics_one_pass_dense_per_topic(spark):
+def test_write_topics_in_one_pass(spark):
     root = fresh_dir(spark, "t-topics")
     df = tables.int_range(spark, 0, 90, 4).select(
         F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("t"),
         F.col("id").cast("string").alias("v"))
-    assert topics.write_topics(df, root, "t", "v") == {"x": 30, "y": 60}
-    assert topics.write_topics(df.where("t = 'x'"), root, "t", "v") == {"x": 30}
+    topics.write_topics(df, root, "t", "v")
+    topics.write_topics(df.where("t = 'x'"), root, "t", "v")
+    assert topics.topic_names(spark, root) == ["x", "y"]
     for t, n in (("x", 60), ("y", 60)):
-        got = topics.read_topic(spark, topics.topic_path(root, t))
-        assert sorted(r["offset"] for r in got.collect()) == list(range(n))
-        assert {r["topic"] for r in got.collect()} == {t}
+        got = topics.read_topic(spark, topics.topic_path(root, t)).collect()
+        assert len(got) == n and {r["topic"] for r in got} == {t}
+
+
+KV = "k int, v string"
+
+
+def rows(spark, *values, schema=KV):
+    return tables.frame_from_rows(spark, values, schema)
+
+
+def content(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_vacuum_by_age_keeps_named_buckets(spark):
+    t = KeyedTable(spark, fresh_dir(spark, "t-vacuum"), "k", buckets=4)
+    for v in range(1, 6):
+        t.upsert(rows(spark, (v % 3, f"v{v}")), v)
+    want = content(t.read())
+    t.vacuum(older_than_s=3600)
+    assert t.versions() == [1, 2, 3, 4, 5]
+    t.vacuum(older_than_s=-5)
+    assert t.versions() == [4, 5] and content(t.read()) == want and t.read(4).count() == 3
+    t.upsert(rows(spark, (0, "again")), 5)  # replay of 5
+    assert as_dict(t.read(), "k", "v")[0] == "again"
+
+
+def test_upsert_rewrites_only_touched_buckets(spark):
+    from segmint.sources import fs
+    t = KeyedTable(spark, fresh_dir(spark, "t-buckets"), "k", buckets=8)
+    t.overwrite(tables.int_range(spark, 0, 200).selectExpr("cast(id as int) k", "'old' v"), 0)
+    t.upsert(rows(spark, (7, "new")), 1)
+    assert len(fs.list_dirs(spark, f"{t.root}/v1")) == 1
+    at = t._commit_of(1)["at"]
+    assert sorted(at.values()) == [0] * 7 + [1]
+    got = as_dict(t.read(), "k", "v")
+    assert len(got) == 200 and got[7] == "new" and got[8] == "old"
+
+
+def test_writes_below_the_newest_are_refused(spark):
+    from segmint.sources.keyed import KeyedLog, StaleVersion
+    t = KeyedTable(spark, fresh_dir(spark, "t-stale"), "k")
+    t.upsert(rows(spark, (1, "a")), 5)
+    t.upsert(rows(spark, (2, "b")), 6)
+    for write in (t.upsert, t.overwrite):
+        with pytest.raises(StaleVersion):
+            write(rows(spark, (3, "z")), 1)
+    log = KeyedLog(spark, fresh_dir(spark, "t-stale-log"), "k")
+    log.append(rows(spark, (1, "a")), 3)
+    with pytest.raises(StaleVersion):
+        log.append(rows(spark, (1, "b")), 0)  # a stream with a new checkpoint
+    log.append(rows(spark, (1, "c")), 3)  # a replay
+    assert content(log.read()) == [(1, "c")]
+
+
+def test_repeated_keys_need_an_order(spark):
+    t = KeyedTable(spark, fresh_dir(spark, "t-dups"), "k")
+    with pytest.raises(ValueError, match="order"):
+        t.upsert(rows(spark, (1, "a"), (1, "b")), 1)
+    t.upsert(rows(spark, (1, "a"), (1, "b")), 1, order=["v"])
+    assert content(t.read()) == [(1, "b")]
+
+
+def test_crash_in_a_replayed_compaction_loses_nothing(spark, monkeypatch):
+    from segmint.sources import fs, keyed
+    log = keyed.KeyedLog(spark, fresh_dir(spark, "t-crash"), "k")
+    log.append(rows(spark, (1, "a"), (2, "b")), 0)
+    log.append(rows(spark, (2, "b1"), (3, "c")), 1)
+    want = [(1, "a"), (2, "b1"), (3, "c")]
+
+    def crash(*a):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:  # before the commit of the base
+        m.setattr(keyed.fs, "write_text", crash)
+        with pytest.raises(RuntimeError):
+            log.compact(1)
+    assert content(log.read()) == want
+    log.compact(1)
+    assert content(log.read()) == want
+    for _ in range(2):  # the batch and its compaction again, crashing wherever they may write
+        with monkeypatch.context() as m:
+            m.setattr(keyed.fs, "write_text", crash)
+            log.append(rows(spark, (2, "b1"), (3, "c")), 1)
+            log.compact(1)
+        assert content(log.read()) == want
+    log.append(rows(spark, (4, "d")), 2)
+    with monkeypatch.context() as m:  # after the commit, before the batches go
+        m.setattr(keyed.fs, "delete", crash)
+        with pytest.raises(RuntimeError):
+            log.compact(2)
+    assert content(log.read()) == want + [(4, "d")]
+    log.append(rows(spark, (4, "e")), 3)
+    log.compact(3)
+    assert content(log.read()) == want + [(4, "e")]
+
+
+def test_running_union_of_sets(spark):
+    root = fresh_dir(spark, "t-sets")
+    for part in ([(2, [1, 2]), (4, [])], [(2, [2, 5])]):
+        df = tables.frame_from_rows(spark, part, "a int, seg array<int>")
+        topics.write_topic(df.select(codec.render("a", "seg").alias("value")), f"{root}/t", "t", "value")
+    s = topics.as_text(topics.stream_topic(spark, f"{root}/t", 1)).select(
+        codec.parse("value", "a int, seg array<int>").alias("r")).select("r.*")
+    from segmint.sources.keyed import KeyedLog
+    log = KeyedLog(spark, f"{root}/log", "a")
+    drain(running.to_log(running.running(running.elements(s, "seg", "e"), "a", running.running_set("e")), log, f"{root}/c", DRAIN))
+    assert as_dict(log.read(), "a", "segset") == {2: [1, 2, 5], 4: []}
 
 
-def test_retain_keeps_newest_images(spark):
-    t = KeyedTable(spark, fresh_dir(spark, "t-retain"), "k", retain=2)
-    for v in range(1, 5):
-        t.upsert(tables.frame_from_rows(spark, [(v % 2, f"v{v}")], "k int, v string"), v)
-    assert t.versions() == [3, 4]
-    assert as_dict(t.read(), "k", "v") == {0: "v4", 1: "v3"}
-    t.upsert(tables.frame_from_rows(spark, [(0, "again")], "k int, v string"), 4)  # replay of 4
-    assert as_dict(t.read(), "k", "v") == {0: "again", 1: "v3"}
+def test_sums_are_exact_in_every_type(spark):
+    df = tables.frame_from_rows(spark, [(0.004, 10**17, 1)] * 3, "d double, n long, k int")
+    r = agg.sum_per_key(df, "k", "d", "d").join(agg.sum_per_key(df, "k", "n", "n"), "k").first()
+    assert r["d"] == 0.012 and r["n"] == 3 * 10**17
+    assert df.groupBy("k").agg(running.running_sum("n", "long", "n"), running.running_sum("d")).first()[1:] == (3 * 10**17, 0.012)
 
 
 def test_kafka_source_needs_the_connector(spark):
@@ -225,7 +338,7 @@ def test_keyed_log_replay_and_compact(spark):
     log.append(tables.frame_from_rows(spark, [(3, 30)], "k int, n long"), 2)
     assert sorted(map(tuple, log.read().collect())) == [(1, 11), (2, 20), (3, 30)]
     log.compact(2)
-    assert log._batches() == [] and log.base.latest() == 2
+    assert log._batches() == [1, 2] and log.base.latest() == 2  # they go with the next base
     assert sorted(map(tuple, log.read().collect())) == [(1, 11), (2, 20), (3, 30)]
 
 
@@ -254,19 +367,12 @@ def test_effect_into_log_resolves_order_across_batches(spark):
     assert as_dict(log.read(), "k", "v") == {1: "old", 2: "x"}  # by batch: the later write
 
 
-@pytest.mark.parametrize("listed", [True, False])
-def test_upsert_paths_agree_including_null_keys(spark, monkeypatch, listed):
-    from segmint.operators import lookup
-    if not listed:
-        monkeypatch.setattr(lookup, "MAX_LISTED_KEYS", 0)
-    t = KeyedTable(spark, fresh_dir(spark, "t-paths"), "k")
-    t.overwrite(tables.frame_from_rows(spark, [(None, "n0", 1), (1, "a", 1), (2, "b", 1)],
-                                       "k int, v string, ts int"), 0)
-    t.upsert(tables.frame_from_rows(spark, [(2, "b2", 5), (3, "c", 5), (None, "n1", 5)],
-                                    "k int, v string, ts int"), 1, order=["ts"])
-    got = sorted(map(tuple, t.read().collect()), key=repr)
-    assert got == sorted([(None, "n0", 1), (1, "a", 1), (2, "b2", 5), (3, "c", 5), (None, "n1", 5)],
-                         key=repr)
+def test_null_is_a_key_like_others(spark):
+    t = KeyedTable(spark, fresh_dir(spark, "t-null"), "k")
+    schema = "k int, v string, ts int"
+    t.overwrite(rows(spark, (None, "n0", 1), (1, "a", 1), (2, "b", 1), schema=schema), 0)
+    t.upsert(rows(spark, (2, "b2", 5), (3, "c", 5), (None, "n1", 5), schema=schema), 1, order=["ts"])
+    assert content(t.read()) == sorted([(1, "a", 1), (2, "b2", 5), (3, "c", 5), (None, "n1", 5)], key=repr)
 
 
 def test_stream_with_a_hot_key(spark):
@@ -277,7 +383,7 @@ def test_stream_with_a_hot_key(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
          .otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string"))).alias("key"),
         (F.col("id") % 11).cast("string").alias("value"))
-    topics.write_topic(msgs, f"{root}/topic", "t", "value", key="key", files=3)
+    topics.write_topic(msgs, f"{root}/topic", "t", "value", key="key", rows_per_file=300)
     s = topics.as_text(topics.stream_topic(spark, f"{root}/topic", 1))
     per = running.running(s, "key", running.running_count(), running.running_set("value"))
     log = KeyedLog(spark, f"{root}/log", "key")
@@ -287,13 +393,10 @@ def test_stream_with_a_hot_key(spark):
     assert sum(n for n, _ in got.values()) == 3000
 
 
-def test_run_bounded_times_out_and_stops(spark):
-    root = fresh_dir(spark, "t-timeout")
-    topics.write_topic(tables.frame_from_rows(spark, [("x",)], "value string"),
-                       f"{root}/topic", "t", "value")
-    s = topics.stream_topic(spark, f"{root}/topic")
-    q = micro.start(s.writeStream.format("noop"), f"{root}/ckpt", micro.trigger(200))
-    assert micro.run_bounded(q, lambda: True, timeout_s=2) is False
+def test_run_bounded_raises_on_timeout(spark):
+    q = live(spark, fresh_dir(spark, "t-timeout"))
+    with pytest.raises(TimeoutError):
+        micro.run_bounded(q, lambda: True, timeout_s=2)
     assert not q.isActive
 
 
