@@ -34,7 +34,7 @@ from .shingles import mix
 
 WIDTH, GRAM, SIDE = 50, 16, 18
 SPAN = WIDTH - GRAM + 1
-HOT = 4096  # a key with more places sends single windows, dealt by their own bytes
+HOT = 1 << 16  # a key with more places sends single windows, dealt by their own bytes
 PER_BUCKET = 1 << 20
 BROADCAST_BYTES = 64 << 20
 CHUNK, SLICE = 4 << 20, 1 << 20
@@ -128,30 +128,32 @@ def _keys(docs: DataFrame, n_buckets: int) -> DataFrame:
                 bucket = ((key >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-                doc, pos, low = ids[at + d[order]].astype("<i8"), p[order].astype("<u4"), key[order]
-                rows = [(k, doc[i:j].tobytes(), pos[i:j].tobytes(), (low[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                         ((low[i:j] >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                # 40 bits of the key beside its bucket's; places in halves, as the upper ones are mostly 0
+                doc, pos, low = ids[at + d[order]].astype("<i8"), p[order], key[order]
+                columns = [doc, (pos & 0xFFFF).astype("<u2"), (pos >> 16).astype("<u2"),
+                           (low & np.uint64(0xFFFFFFFF)).astype("<u4"), ((low >> np.uint64(32)) & np.uint64(0xFF)).astype("u1")]
+                rows = [(k, *(c[i:j].tobytes() for c in columns))
                         for k, i, j in zip(range(n_buckets), cuts[:-1], cuts[1:]) if j > i]
                 for i in range(0, len(rows), 64):
                     cols = list(zip(*rows[i:i + 64]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
-                        ["bucket", "docs", "places", "low", "high"])
-    return docs.select("doc_id", "bytes").mapInArrow(run, "bucket int, docs binary, places binary, low binary, high binary")
+                        ["bucket", "docs", "places", "places2", "low", "high"])
+    return docs.select("doc_id", "bytes").mapInArrow(run, "bucket int, docs binary, places binary, places2 binary, low binary, high binary")
 
 
 def _met(t: pa.Table) -> pa.Table:
     """Of one bucket: the places (negative: of a hot key, as ~place) of keys of several documents."""
     get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-    docs, places = get("docs", "<i8"), get("places", "<u4").astype(np.int64)
-    key = get("low", "<u4").astype(np.uint64) | (get("high", "<u2").astype(np.uint64) << np.uint64(32))
+    docs, places = get("docs", "<i8"), get("places", "<u2").astype(np.int64) | (get("places2", "<u2").astype(np.int64) << 16)
+    key = get("low", "<u4").astype(np.uint64) | (get("high", "u1").astype(np.uint64) << np.uint64(32))
     order = np.argsort(key)
     k, d, p = key[order], docs[order], places[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     n = np.diff(np.r_[first, len(k)])
     several = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), n)
     p = np.where(np.repeat(n > HOT, n), ~p, p)
-    return pa.table({"doc_id": d[several], "place": p[several]})
+    return pa.table({"doc_id": d[several], "place": p[several].astype(np.int32)})
 
 
 def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -167,7 +169,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
             for at, texts in _chunks(b.column(2), CHUNK // 4):
                 d, p, n, key = runs(texts)
                 base = np.cumsum([0] + [len(t) for t in texts])[:-1]
-                want = [np.asarray(lists[at + i].values.to_numpy(zero_copy_only=False)) for i in range(len(texts))]
+                want = [lists[at + i].values.to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(texts))]
                 size = [len(x) for x in want]
                 place = np.concatenate(want)
                 # (text, place) as one number, to look the runs up
@@ -260,7 +262,7 @@ def least_document(buf: np.ndarray, window: np.ndarray, value: np.ndarray) -> np
 
 
 def _sorted_bucket(t: pa.Table) -> pa.Table:
-    """Of one bucket's contexts (h1, h2, context, lo, hi): the window runs that some place may lose."""
+    """Of one bucket's contexts (key, digest, context, lo, hi): the window runs that some place may lose."""
     context = t.column("context").combine_chunks()
     texts = context.to_pylist()
     size = np.array([len(x) for x in texts], np.int64)
@@ -274,8 +276,8 @@ def _sorted_bucket(t: pa.Table) -> pa.Table:
     at = np.flatnonzero(m < hi[owner])
     o, s, m = owner[at], step[at], m[at]
     first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1) | (m[1:] != m[:-1])]) if len(at) else at
-    h1, h2 = t.column("h1").to_numpy(), t.column("h2").to_numpy()
-    return pa.table({"h1": h1[o[first]], "h2": h2[o[first]], "shift": s[first].astype(np.int32),
+    key, digest = t.column("key").to_numpy(), t.column("digest").to_numpy()
+    return pa.table({"key": key[o[first]], "digest": digest[o[first]], "shift": s[first].astype(np.int32),
                      "n": np.diff(np.r_[first, len(at)]).astype(np.int32), "least": m[first]})
 
 
@@ -285,16 +287,18 @@ def spans(rows: DataFrame) -> DataFrame:
     ``rows``: doc_id (not null), row_key, bytes; documents of equal bytes must be one row."""
     total = rows.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     n_buckets = max(1, -(-total // (12 * PER_BUCKET)))  # about one run in twelve bytes
-    met = _keys(rows, n_buckets).groupBy("bucket").applyInArrow(_met, "doc_id long, place long")
+    met = _keys(rows, n_buckets).groupBy("bucket").applyInArrow(_met, "doc_id long, place int")
     places = kept(met.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "places")
-    size = places.agg(F.coalesce(F.sum(8 * F.size("places") + 64), F.lit(0))).first()[0]
+    size = places.agg(F.coalesce(F.sum(4 * F.size("places") + 64), F.lit(0))).first()[0]
     found = rows.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, "doc_id")
-    c = kept(_contexts(found).withColumns({"h1": F.xxhash64("context"), "h2": F.xxhash64(F.lit(1), "context")}), "contexts")
-    distinct = c.groupBy("h1", "h2", "key", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    c = kept(_contexts(found), "contexts", "zstd")
+    distinct = c.groupBy("key", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     n = max(1, -(-c.count() // (PER_BUCKET // 32)))
-    lost = distinct.withColumn("bucket", F.pmod("key", F.lit(n))).groupBy("bucket").applyInArrow(
-        _sorted_bucket, "h1 long, h2 long, shift int, n int, least long")
-    hit = c.select("doc_id", "row_key", "place", "h1", "h2").join(lost, ["h1", "h2"]).where(F.col("least") < F.col("doc_id"))
+    # key and digest: 128 bits that tell the contexts apart
+    lost = distinct.withColumns({"bucket": F.pmod("key", F.lit(n)), "digest": F.xxhash64("context")}).groupBy(
+        "bucket").applyInArrow(_sorted_bucket, "key long, digest long, shift int, n int, least long")
+    hit = c.select("doc_id", "row_key", "place", "key", F.xxhash64("context").alias("digest")).join(
+        lost, ["key", "digest"]).where(F.col("least") < F.col("doc_id"))
     start = F.col("place") + F.col("shift")
     return hit.select("doc_id", "row_key", start.alias("start"), (start + F.col("n") + (WIDTH - 1)).alias("end"))
 
