@@ -15,10 +15,12 @@ from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Strings of special tokens, and characters that only some engines call white space.
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -‏    -⁤　﻿]")
-_PIECES = {"byte": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall, "word": str.split}
+_BYTE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 #: Both tokenizers part a run of letters from a run of these after it.
 _TAILED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;=>?@\\[\\\\\\]^_`{}~-]+)").fullmatch
 CACHE = 800_000  # pieces, about 150 bytes each
@@ -60,6 +62,7 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
+        self.hits = np.zeros(1 << 12, np.int32)
         self.used = 0
 
     def _add(self, pieces: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
@@ -84,37 +87,67 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Words with a tail of punctuation are put together; the rest is encoded by the library."""
-        tailed = {p: m.groups() for p in pieces if not p[-1].isalnum() and (m := _TAILED(p))}
+        tailed = {p: m.groups() for p in pieces if not p[-1:].isalnum() and (m := _TAILED(p))}
         plain = pieces.difference(tailed) if tailed else pieces
         plain = list(plain.union(x for ab in tailed.values() for x in ab if x not in self.index))
         for at in range(0, len(plain), 4096):
             part = plain[at:at + 4096]
             ids = [e.ids for e in self.lib.encode_batch(part, add_special_tokens=False)]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add(part, n, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
+            self._add(part, n, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())))
         if tailed:
             rows = np.array([(self.index[a], self.index[b]) for a, b in tailed.values()], np.int64)
             ids, n = self._gather(rows.ravel())
             self._add(list(tailed), n.reshape(-1, 2).sum(1), ids)
 
-    def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
-        """The ids of each text (uint32), with ``end`` appended."""
-        tail = np.array([] if end is None else [end], np.uint32)
-        whole = [_odd(t) for t in texts]
-        if self.kind == "word":  # the tokenizer lower-cases too
-            texts = [t.lower() if t.isascii() and not w else t for t, w in zip(texts, whole)]
-        cut = _PIECES[self.kind]
-        pieces = [[] if w else cut(t) for t, w in zip(texts, whole)]
-        every = list(chain.from_iterable(pieces))
+    def _evict(self) -> None:
+        """Keep the pieces that came twice or more, at most half of the cache."""
+        hits = self.hits[:len(self.index)]
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > CACHE // 2:
+            keep = np.sort(np.argpartition(hits, -(CACHE // 2))[-(CACHE // 2):])
+        marked = np.zeros(len(hits), bool)
+        marked[keep] = True
+        pieces = [p for p, k in zip(self.index, marked.tolist()) if k]  # numbers rise with insertion
+        ids, n = self._gather(keep)
+        self._clear()
+        self._add(pieces, n, ids)
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces; new ones are learned."""
         if len(self.index) > CACHE:
-            self._clear()
-        rows = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+            self._evict()
+        rows = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(missing := np.flatnonzero(rows < 0)):
-            new = [every[i] for i in missing.tolist()]
+            new = [pieces[i] for i in missing.tolist()]
             self._learn(set(new))
             rows[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        return rows
+
+    def _parted(self, text: str) -> str:
+        """``text`` with a mark between its pieces."""
+        plain = not any(x in text for x in ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c"))
+        if plain and text[-1:] not in (" ", "\n"):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        return "\0".join(_BYTE_PIECES(text))
+
+    def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
+        """The ids of each text (uint32), with ``end`` appended."""
+        tail = np.array([] if end is None else [end], np.uint32)
+        whole = ["\0" in t or _odd(t) for t in texts]
+        if self.kind == "word":  # the tokenizer lower-cases too
+            own = ["" if w else t.lower() if t.isascii() else t for t, w in zip(texts, whole)]
+            lists = pc.ascii_split_whitespace(pa.array(own, pa.string()))
+        else:
+            lists = pc.split_pattern(pa.array(["" if w else self._parted(t) for t, w in zip(texts, whole)], pa.string()), "\0")
+        pieces = lists.flatten().dictionary_encode()  # a chunk's pieces, each once
+        known = self._numbers(pieces.dictionary.to_pylist())
+        rows = known[pieces.indices.to_numpy()]
+        if len(self.hits) < len(self.starts):
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.starts) - len(self.hits), np.int32)])
+        self.hits[known] += np.bincount(pieces.indices, minlength=len(known)).astype(np.int32)
         ids, n = self._gather(rows)
-        cuts = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [len(x) for x in pieces])]
+        cuts = np.concatenate([[0], np.cumsum(n)])[lists.offsets.to_numpy()]
         out = []
         for i, (t, w) in enumerate(zip(texts, whole)):
             own = self.lib.encode(t, add_special_tokens=False).ids if w else ids[cuts[i]:cuts[i + 1]]
