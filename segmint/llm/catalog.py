@@ -17,4 +17,4 @@ Q = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
-SQL = {"op5_quality_rules": quality.SQL}
+SQL = {"op2_jaccard_join": jaccard_join.SQL, "op5_quality_rules": quality.SQL, "op6_decontamination": decontaminate.SQL}

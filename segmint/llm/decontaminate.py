@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, kept, table
+from .common import LOWER, UPPER, free_name, kept, table
 from .shingles import Shingler
 from .tokens import chunks
 
@@ -128,3 +128,18 @@ def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _shingles(table_name: str, key: str) -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+  SELECT {key}, unnest(g) AS h, len(g)::BIGINT AS n FROM (
+    SELECT {key}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g
+    FROM (SELECT {key}, {words} AS w FROM {table_name}))"""
+
+
+SQL = f"""
+WITH d AS ({_shingles('documents', 'doc_id')}), b AS ({_shingles('benchmark', 'item_id')}),
+p AS (SELECT doc_id, item_id, any_value(b.n) AS item_size, count(*) AS shared FROM d JOIN b ON d.h = b.h GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_size, shared, shared / item_size AS containment FROM p WHERE shared >= {THRESHOLD} * item_size - 1e-9"""

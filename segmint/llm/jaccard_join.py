@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, kept, table
+from .common import LOWER, UPPER, free_name, kept, table
 from .components import components
 from .shingles import Shingler, mix
 from .tokens import chunks
@@ -35,21 +35,21 @@ PIVOT_ROUNDS = 3
 PER_BUCKET = 1 << 20
 BROADCAST_IDS = 1 << 20
 
-_UPPERS = []
-while not _UPPERS or _UPPERS[-1] < 1 << 40:
-    _UPPERS.append(((_UPPERS[-1] + 1) if _UPPERS else 1) * 5 // 4)
-UPPERS = np.array(_UPPERS, np.int64)
-SEGMENTS = np.ceil(1.2 * (UPPERS / 4 + 1)).astype(np.int64) + 3
+_ENDS = []
+while not _ENDS or _ENDS[-1] < 1 << 40:
+    _ENDS.append(((_ENDS[-1] + 1) if _ENDS else 1) * 5 // 4)
+BAND_ENDS = np.array(_ENDS, np.int64)
+SEGMENTS = np.ceil(1.2 * (BAND_ENDS / 4 + 1)).astype(np.int64) + 3
 
 
 def plan(sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For role 0 (own band) and 1 (the band below): the band of each size (-1:
     none), and its need: differences to a smaller or equal partner, and one."""
-    own = np.searchsorted(UPPERS, sizes)
+    own = np.searchsorted(BAND_ENDS, sizes)
     below = own - 1
-    reach = (below >= 0) & (sizes > 0) & (4 * sizes <= 5 * UPPERS[np.maximum(below, 0)])
+    reach = (below >= 0) & (sizes > 0) & (4 * sizes <= 5 * BAND_ENDS[np.maximum(below, 0)])
     return [(np.where(sizes > 0, own, -1), 2 * sizes // 9 + 1),
-            (np.where(reach, below, -1), (sizes + UPPERS[np.maximum(below, 0)]) // 9 + 1)]
+            (np.where(reach, below, -1), (sizes + BAND_ENDS[np.maximum(below, 0)]) // 9 + 1)]
 
 
 def signatures(sets: list[np.ndarray]):
@@ -69,7 +69,7 @@ def signatures(sets: list[np.ndarray]):
         n = np.diff(np.r_[first, len(d)])
         total = np.add.reduceat(v, first) if len(first) else np.zeros(0, np.uint64)
         salt = mix(band[first].astype(np.uint64) * np.uint64(1 << 32) + seg[first])
-        small = UPPERS[band[first]] <= SMALL
+        small = BAND_ENDS[band[first]] <= SMALL
         tolerance.append(np.bincount(d[first], np.where(small, np.minimum(n, 2), 1), len(sets)).astype(np.int64))
         out.append((d[first], np.full(len(first), role, np.uint8), mix(total ^ salt)))
         short = np.repeat(small & (n > 1), n)
@@ -313,3 +313,21 @@ def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+SQL = f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS h, len(g) AS n FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m
+  FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n + m - c)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, t.b FROM r JOIN t ON t.a = r.y)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(r.y) AS component_id
+FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.g)"""
