@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import fresh_dir
 from .common import kept, table
 from .shards import n_parts
-from .tokens import chunks, encoder, id_kind, tokenizer_path
+from .tokens import TOKEN_CHUNK, chunks, encoder, id_kind, tokenizer_path
 
 LANES, BLOCK, CHECK_STEPS = 1024, 1 << 20, 256
 LOW = np.uint64(1 << 31)
@@ -37,6 +37,8 @@ class Table:
         self.tokens, self.bits = tokens, bits
         self.freq, self.cum = freqs.astype(np.uint64), (np.cumsum(freqs) - freqs).astype(np.uint64)
         self.slot = np.repeat(np.arange(len(tokens), dtype=np.int32), freqs)
+        self.rank = np.zeros(int(tokens.max()) + 1 if len(tokens) else 0, np.int32)
+        self.rank[tokens] = np.arange(len(tokens))
 
     @classmethod
     def of(cls, tokens, counts) -> Table:
@@ -55,7 +57,7 @@ class Table:
 
 def encode_block(ids: np.ndarray, t: Table) -> bytes:
     """Payload of ``ids`` (uint32): sizes, checksum, checkpoints, words."""
-    s = np.searchsorted(t.tokens, ids)
+    s = t.rank[ids]
     freq, cum = t.freq[s], t.cum[s]
     steps = -(-len(ids) // LANES)
     x = np.full(LANES, LOW, np.uint64)
@@ -119,7 +121,7 @@ def tokenised(documents: DataFrame, path: str, kind: str, end: int) -> DataFrame
     def run(batches):
         enc = encoder(path, kind)
         for b in batches:
-            for first, texts in chunks(b.column(1)):
+            for first, texts in chunks(b.column(1), TOKEN_CHUNK):
                 ids = enc.encode(texts, end)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(texts)), pa.array([len(x) for x in ids], pa.int64()),

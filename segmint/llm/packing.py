@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, table
-from .tokens import chunks, encoder, tokenizer_path
+from .tokens import TOKEN_CHUNK, chunks, encoder, tokenizer_path
 
 LENGTH, GROUP, END = 1024, 16_384, 2
 
@@ -130,7 +130,7 @@ def pieces_of(documents: DataFrame, path: str, kind: str = "byte", end: int = EN
         enc = encoder(path, kind)
         for b in batches:
             docs = b.column(0).to_pylist()
-            for first, texts in chunks(b.column(1)):
+            for first, texts in chunks(b.column(1), TOKEN_CHUNK):
                 out = []
                 for i, ids in enumerate(enc.encode(texts, end)):
                     for k, (s, n) in enumerate(cut(len(ids), length)):

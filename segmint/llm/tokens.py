@@ -24,7 +24,7 @@ _BYTE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 #: Both tokenizers part a run of letters from a run of these after it.
 _TAILED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;=>?@\\[\\\\\\]^_`{}~-]+)").fullmatch
 CACHE = 800_000  # pieces, about 150 bytes each
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, TOKEN_CHUNK = 4 << 20, 8 << 20
 
 
 def _odd(text: str) -> bool:
