@@ -1,13 +1,14 @@
-"""Every registered query against its DuckDB SQL oracle, at sf0.001."""
+"""Every registered query of the engine against its DuckDB SQL oracle, at sf0.001."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from segmint.plans import catalog
 from tools.check_oracle import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
 def test_entry_smoke(spark):
@@ -27,11 +28,11 @@ def test_entry_smoke(spark):
     assert df.columns == ["id", "segs"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = catalog.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    res = con.execute(entry.oracle_sql()[name])
+    res = con.execute(catalog.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
