@@ -53,8 +53,12 @@ def plan(sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def signatures(sets: list[np.ndarray]):
-    """(document index, role, signature) arrays of all sets, and per role the
-    number of differences that each document's segments stand for."""
+    """(document index, role and worth, unit, signature) arrays of all sets, and per role
+    the number of differences that each document's segments stand for.
+
+    A unit is a segment with its one-deletion neighbourhood: 1 and more in small
+    texts; 0 where a segment is its one signature.  Its worth is the differences that it
+    stands for: 2 where it has a neighbourhood, else 1 (the byte is role + 2 * worth)."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     mixed = mix(flat + np.uint64(0x51ED270B7A2C9F35))
@@ -70,11 +74,14 @@ def signatures(sets: list[np.ndarray]):
         total = np.add.reduceat(v, first) if len(first) else np.zeros(0, np.uint64)
         salt = mix(band[first].astype(np.uint64) * np.uint64(1 << 32) + seg[first])
         small = BAND_ENDS[band[first]] <= SMALL
-        tolerance.append(np.bincount(d[first], np.where(small, np.minimum(n, 2), 1), len(sets)).astype(np.int64))
-        out.append((d[first], np.full(len(first), role, np.uint8), mix(total ^ salt)))
+        worth = np.where(small & (n > 1), 2, 1)
+        unit = np.where(small, seg[first].astype(np.int64) + 1, 0).astype(np.uint8)
+        kind = (role + 2 * worth).astype(np.uint8)
+        tolerance.append(np.bincount(d[first], worth, len(sets)).astype(np.int64))
+        out.append((d[first], kind, unit, mix(total ^ salt)))
         short = np.repeat(small & (n > 1), n)
         rest = (np.repeat(total, n) - v)[short]
-        out.append((d[short], np.full(len(rest), role, np.uint8), mix(rest ^ np.repeat(salt, n)[short])))
+        out.append((d[short], np.repeat(kind, n)[short], np.repeat(unit, n)[short], mix(rest ^ np.repeat(salt, n)[short])))
     return tuple(np.concatenate(x) for x in zip(*out)), tolerance
 
 
@@ -115,29 +122,29 @@ def _emitted(documents: DataFrame, n_buckets: int) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy()
             for at, texts in chunks(b.column(1)):
-                (doc, role, sig), _ = signatures(sh.sets(texts))
+                (doc, kind, unit, sig), _ = signatures(sh.sets(texts))
                 bucket = ((sig >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
                 docs = ids[at + doc].astype("<i8")[order]
-                low, role = (sig & np.uint64((1 << 48) - 1))[order], role[order]
-                rows = [(k, docs[i:j].tobytes(), role[i:j].tobytes(), (low[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+                low, kind, unit = (sig & np.uint64((1 << 48) - 1))[order], kind[order], unit[order]
+                rows = [(k, docs[i:j].tobytes(), kind[i:j].tobytes(), unit[i:j].tobytes(), (low[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                          (low[i:j] >> np.uint64(32)).astype("<u2").tobytes())
                         for k, i, j in zip(range(n_buckets), cuts[:-1], cuts[1:]) if j > i]
                 for i in range(0, len(rows), 64):
                     cols = list(zip(*rows[i:i + 64]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
-                        ["bucket", "docs", "roles", "low", "high"])
+                        ["bucket", "docs", "kinds", "units", "low", "high"])
 
     return documents.select("doc_id", "text").mapInArrow(
-        run, "bucket int, docs binary, roles binary, low binary, high binary")
+        run, "bucket int, docs binary, kinds binary, units binary, low binary, high binary")
 
 
 def _repeated(t: pa.Table) -> pa.Table:
     """Of one bucket: the records whose signature occurs more than once, with the count."""
     get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-    docs, roles = get("docs", "<i8"), get("roles", "u1")
+    docs, kinds, units = get("docs", "<i8"), get("kinds", "u1"), get("units", "u1")
     sig = get("low", "<u4").astype(np.uint64) | (get("high", "<u2").astype(np.uint64) << np.uint64(32))
     order = np.argsort(sig)
     s = sig[order]
@@ -147,20 +154,28 @@ def _repeated(t: pa.Table) -> pa.Table:
     bucket = np.int64(t.column("bucket")[0].as_py()) if len(t) else np.int64(0)
     # 48 bits of the hash within its bucket: an accidental meeting only costs a verification
     key = (sig[at].astype(np.int64) << np.int64(15)) ^ bucket
-    return pa.table({"doc_id": docs[at], "role": roles[at].astype(np.int32), "sig": key, "n": n[n > 1].astype(np.int64)})
+    # units without a number are known by their signature
+    unit = np.where(units[at] > 0, -units[at].astype(np.int64), key)
+    return pa.table({"doc_id": docs[at], "role": (kinds[at] & 1).astype(np.int32), "worth": (kinds[at] >> 1).astype(np.int32),
+                     "unit": unit, "sig": key, "n": n[n > 1].astype(np.int64)})
 
 
 def groups(documents: DataFrame, sizes: DataFrame, n_shingles: int) -> DataFrame:
     """doc_id, role, sig, size, probes of the signatures that several texts share."""
     n_buckets = max(1, -(-n_shingles * 6 // (10 * PER_BUCKET)))
     shared = kept(_emitted(documents, n_buckets).groupBy("bucket").applyInArrow(
-        _repeated, "doc_id long, role int, sig long, n long"), "signatures")
+        _repeated, "doc_id long, role int, worth int, unit long, sig long, n long"), "signatures")
     by_role = lambda c: F.when(F.col("role") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
-    own = Window.partitionBy("doc_id", "role")
     rows = shared.join(sizes.withColumnRenamed("n_shingles", "size"), "doc_id")
-    # signatures that nobody else has are probes without cost; then the rarest
-    free = by_role("tol") - F.count(F.lit(1)).over(own)
-    probes = (F.col("size") <= SMALL * 5 // 4) | (F.row_number().over(own.orderBy("n", "sig")) <= by_role("need") - free)
+    # cost of a unit: the places of its signatures; units that nobody else shares are
+    # probes without cost, then the cheapest are taken until their worth is the need
+    text = Window.partitionBy("doc_id", "role")
+    rows = rows.withColumn("cost", F.sum("n").over(Window.partitionBy("doc_id", "role", "unit")))
+    one = F.row_number().over(Window.partitionBy("doc_id", "role", "unit").orderBy("sig")) == 1
+    rows = rows.withColumn("counted", F.when(one, F.col("worth")).otherwise(0))
+    before = F.coalesce(F.sum("counted").over(text.orderBy("cost", "unit").rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    rows = rows.withColumns({"upto": before, "free": by_role("tol") - F.sum("counted").over(text)})
+    probes = F.col("free") + F.col("upto") - F.col("worth") < by_role("need")
     rows = rows.select("doc_id", "role", "sig", "size", probes.alias("probes"))
     rows = kept(rows, "allocated")
     return kept(rows.join(rows.where("probes").select("sig").distinct(), "sig", "left_semi"), "groups")
