@@ -139,11 +139,22 @@ def test_pigeonhole_covers_every_close_pair():
             both = len(np.intersect1d(a, b))
             if both == 0 or 100 * both < 80 * (len(a) + len(b) - both):
                 continue
-            (doc, role, sig), tol = jaccard_join.signatures([a, b])
+            (doc, _, _, sig), tol = jaccard_join.signatures([a, b])
             need = [x[1] for x in jaccard_join.plan(np.array([len(a), len(b)]))]
             assert set(sig[doc == 0]) & set(sig[doc == 1]) or any((tol[k] < need[k]).any() for k in (0, 1))
 
 
+def test_common_line_makes_few_candidates(docs, monkeypatch):
+    """Short texts that share one line: the line's segments are not probed with."""
+    tried = []
+    real = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: tried.append(pairs.count()) or real(pairs, *a))
+    line = prose(9, 5000)
+    rows = [(i, f"{line} " + prose(20 + i % 60, 5001 + i)) for i in range(400)]
+    assert found_components(docs(rows)) == sorted(((i, len(sets_of(t)), i) for i, t in rows), key=repr)
+    assert sum(tried) < 4000  # of 79,800 pairs
+
+
 def test_one_of_each(docs):
     df = kept(docs(ROWS), "t")
     out = jaccard_join.one_of_each(df)
