@@ -31,9 +31,10 @@ from .tokens import chunks
 
 SMALL = 64  # up to so many shingles: one-deletion neighbourhoods
 GROUP = 32  # a larger signature group is first tied to pivots
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 PER_BUCKET = 1 << 20
 BROADCAST_IDS = 1 << 20
+CHUNK = 2 << 20  # bytes of text whose words are held at once
 
 _ENDS = []
 while not _ENDS or _ENDS[-1] < 1 << 40:
@@ -93,7 +94,7 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         sh = Shingler()
         for b in batches:
-            for at, texts in chunks(b.column(2)):
+            for at, texts in chunks(b.column(2), CHUNK):
                 sets = sh.sets(texts)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 _, (t0, t1) = signatures(sets)
@@ -121,7 +122,7 @@ def _emitted(documents: DataFrame, n_buckets: int) -> DataFrame:
         sh = Shingler()
         for b in batches:
             ids = b.column(0).to_numpy()
-            for at, texts in chunks(b.column(1)):
+            for at, texts in chunks(b.column(1), CHUNK):
                 (doc, kind, unit, sig), _ = signatures(sh.sets(texts))
                 bucket = ((sig >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
                 order = np.argsort(bucket, kind="stable")
@@ -186,7 +187,7 @@ def stored_sets(documents: DataFrame) -> DataFrame:
     def run(batches):
         sh = Shingler()
         for b in batches:
-            for at, texts in chunks(b.column(1)):
+            for at, texts in chunks(b.column(1), CHUNK):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), pa.array([s.astype("<u8").tobytes() for s in sh.sets(texts)], pa.binary())],
                     ["doc_id", "elements"])

@@ -8,7 +8,7 @@ import xxhash
 WIDTH = 5
 _MUL, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S27, _S30, _S31 = np.uint64(27), np.uint64(30), np.uint64(31)
-CACHE = 400_000
+CACHE = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
