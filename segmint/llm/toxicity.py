@@ -1,13 +1,12 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine on block-max
-inverted lists, distance-weighted votes, and evidence.
-
-Learning uses a bounded sample of distinct labelled texts (``MAX_EXAMPLES``, by
-text hash).  The vocabulary is the words and word beginnings that are clearly
-commoner in toxic examples (``MAX_TERMS`` at most); vectors are TF-IDF over it.
-The votes of the nearest examples are calibrated by a logistic fit on the
-examples' own votes, each left out of its neighbours.  The index and the
-vocabulary are bounded by these two and are sent to all tasks.  Every text is
-scored whole, where it is read.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine on inverted lists,
+distance-weighted votes, and evidence.
+
+Learning uses a bounded sample of distinct labelled texts, by text hash: at most
+``MAX_EXAMPLES``, and ``MAX_POSTINGS`` distinct words in sum.  Every example is
+indexed by all its words and every text that has words is searched whole, where it
+is read.  Evidence beside the vote are the words and word beginnings that are
+clearly commoner in toxic examples.  Votes and evidence are calibrated by a logistic
+fit on the examples' own, each left out of its neighbours and of the counts.
 """
 
 from __future__ import annotations
@@ -17,16 +16,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, table
 from .decontaminate import plain_words
+from .shingles import _Words
 from .tokens import chunks
 
-MAX_EXAMPLES, MAX_TERMS = 20_000, 4_096
+MAX_EXAMPLES, MAX_POSTINGS = 20_000, 1 << 23
 NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.7
-MIN_Z, MIN_ODDS, MIN_DF, MIN_SHARE = 3.0, math.log(6), 3, 0.01
+MIN_Z, MIN_ODDS, MIN_DF = 3.0, math.log(6), 3
+QUERIES = 128  # texts whose scores are held at once
+DENSE_BYTES = 64 << 20  # weights of the commonest words, by example
 #: Bytes of word beginnings that are terms of their own.
 BEGINNINGS = (5, 6, 7)
 RIDGE = 0.05
@@ -37,74 +40,176 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n)]
 
 
-def choose_terms(counts: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int) -> dict[bytes, tuple[float, float]]:
-    """Term -> (idf, log odds) of the terms whose odds to be in a toxic text are higher by
-    ``MIN_Z`` standard errors and ``MIN_ODDS``, most significant first."""
-    least = max(MIN_DF, MIN_SHARE * n_toxic)
-    found = []
-    for term, t, c in counts:
-        odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
-        z = odds / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if t >= least and z >= MIN_Z and odds >= MIN_ODDS:
-            found.append((-z, term, (math.log((1 + n_toxic + n_clean) / (1 + t + c)) + 1, odds)))
-    return {term: values for _, term, values in sorted(found)[:MAX_TERMS]}
+def odds_of(t, c, n_toxic: int, n_clean: int):
+    """(log odds to be in a toxic text against a clean one, its standard errors) of counts."""
+    t, c = np.asarray(t, np.float64), np.asarray(c, np.float64)
+    odds = np.log((t + 0.5) / (n_toxic - t + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
+    return odds, odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+
+
+def weight_of(t, c, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The log odds of terms that lean toxic by ``MIN_Z`` standard errors and ``MIN_ODDS``, else 0."""
+    odds, z = odds_of(t, c, n_toxic, n_clean)
+    return np.where((np.asarray(t) >= MIN_DF) & (z >= MIN_Z) & (odds >= MIN_ODDS), odds, 0.0)
+
+
+class Leaning:
+    """The terms that lean toxic, and their log odds with and without an example of either label."""
+
+    def __init__(self, counts: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int):
+        t, c = np.array([x[1] for x in counts], np.int64), np.array([x[2] for x in counts], np.int64)
+        odds = weight_of(t, c, n_toxic, n_clean)
+        order = [i for _, i in sorted((x[0], i) for i, x in enumerate(counts) if odds[i] > 0)]
+        self.number = {counts[i][0]: n for n, i in enumerate(order)}
+        self.names = [counts[i][0].decode("utf-8", "replace") for i in order]
+        t, c, self.odds = t[order], c[order], odds[order]
+        self.without = (weight_of(t, np.maximum(c - 1, 0), n_toxic, max(0, n_clean - 1)),
+                        weight_of(np.maximum(t - 1, 0), c, max(0, n_toxic - 1), n_clean))
+
+    def evidence(self, found: Counter, label: int | None = None) -> tuple[int, float]:
+        """Number and sum of log odds of the terms; of an example with its own label left out."""
+        odds = (self.odds if label is None else self.without[label])[list(found)]
+        return int((odds > 0).sum()), float(odds.sum())
+
+    def named(self, found: Counter) -> str:
+        """The five that speak loudest."""
+        return ",".join(self.names[i] for i in sorted(found, key=lambda i: (-self.odds[i] * (1 + math.log(found[i])), i))[:5])
 
 
 class Terms(dict):
-    """Word -> numbers of the vocabulary's terms in it, made as words come."""
+    """Word -> its number in the examples' words (-1: in none), made as words come."""
 
-    def __init__(self, chosen: dict[bytes, tuple[float, float]]):
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray, leaning: Leaning):
         super().__init__()
-        self.number = {t: i for i, t in enumerate(chosen)}
-        self.idf, self.odds = np.array([*chosen.values(), (0.0, 0.0)]).T
+        self.hashes, self.idf, self.leaning, self.leans = hashes, idf, leaning, {}
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 300_000:
+    def learn(self, words: list[bytes]) -> None:
+        """Look the new ones of a text's words up."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if len(self) + len(new) > 300_000:
             self.clear()
-        out = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        return out
-
-    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, float]:
-        """(term numbers, weights (1 + log tf) * idf scaled to length 1, sum of the terms' log odds) of a text."""
-        n = Counter(i for w in words for i in self[w])
-        ids = np.array(sorted(n), np.int64)
-        tf = np.array([n[i] for i in ids.tolist()], np.float64)
-        w = (1 + np.log(tf)) * self.idf[ids]
-        return ids, w / np.sqrt((w * w).sum()) if len(w) else w, float(self.odds[ids].sum())
+            self.leans.clear()
+            new = list(dict.fromkeys(words))
+        if not new:
+            return
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        at = np.searchsorted(self.hashes, h)
+        known = np.flatnonzero(at < len(self.hashes))
+        hit = np.full(len(new), -1, np.int64)
+        hit[known] = np.where(self.hashes[at[known]] == h[known], at[known], -1)
+        self.update(zip(new, hit.tolist()))
+        number = self.leaning.number
+        for w in new:
+            own = tuple(number[t] for t in terms_of(w) if t in number)
+            if own:
+                self.leans[w] = own
+
+    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, weights (1 + log tf) * idf scaled to length 1) of a text's words.  Words
+        that no example has would only scale all its cosines alike."""
+        self.learn(words)
+        ids, tf = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
+        if len(ids) and ids[0] < 0:
+            ids, tf = ids[1:], tf[1:]
+        return ids, scaled((1 + np.log(tf)) * self.idf[ids])
+
+    def found(self, words: list[bytes]) -> Counter:
+        """The terms that lean toxic, after ``vector``."""
+        return Counter(i for w in words if w in self.leans for i in self.leans[w])
+
+
+def scaled(w: np.ndarray) -> np.ndarray:
+    return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
 class BlockMaxIndex:
-    """Inverted lists cut into blocks of ``BLOCK`` examples, each with its largest weight."""
+    """Inverted lists of all words; those of the commonest words (one example in 20 and
+    more, up to ``DENSE_BYTES``) are rows of a matrix.  Scores are summed over whole
+    lists; the largest of each block of ``BLOCK`` examples bounds the k-th from below."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n = len(vectors)
-        self.blocks = max(1, -(-self.n // BLOCK))
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        slot = term * self.blocks + example // BLOCK
-        order = np.lexsort((example, slot))
-        self.example, self.weight, slot = example[order] % BLOCK, weight[order], slot[order]
-        self.cuts = np.searchsorted(slot, np.arange(n_terms * self.blocks + 1))
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, slot, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        self._hold((np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32),
+                           np.concatenate([w for _, w in vectors]).astype(np.float32) if vectors else np.zeros(0, np.float32),
+                           np.cumsum([0, *(len(t) for t, _ in vectors)]), n_terms))
+
+    @classmethod
+    def of(cls, own: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_terms: int) -> BlockMaxIndex:
+        out = cls.__new__(cls)
+        out._hold((own, weight, starts, n_terms))
+        return out
+
+    def _hold(self, state):
+        self.own, self.own_weight, self.starts, self.n_terms = state
+        self.n, self.built = len(self.starts) - 1, False
+
+    __setstate__ = _hold
+
+    def __getstate__(self):
+        return self.own, self.own_weight, self.starts, self.n_terms
+
+    def _build(self):
+        """The lists, made where they are first used."""
+        self.built = True
+        df = np.bincount(self.own, minlength=self.n_terms)
+        common = np.argsort(-df, kind="stable")[:DENSE_BYTES // (4 * max(1, self.n))]
+        common = common[df[common] >= max(8, self.n / 20)]
+        self.row = np.full(self.n_terms, -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.starts))
+        row = self.row[self.own]
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        self.dense[row[row >= 0], example[row >= 0]] = self.own_weight[row >= 0]
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(self.own[rare], kind="stable")]
+        self.example, self.weight = example[rare], self.own_weight[rare]
+        df[common] = 0
+        self.cuts = np.concatenate([[0], np.cumsum(df)])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k largest cosines (over 0) and their examples; of ties the lower
-        number.  Blocks go by falling bound; one that can't reach the k-th is the end."""
-        bound = weights @ self.most[terms] if len(terms) else np.zeros(0)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                i, j = self.cuts[t * self.blocks + b], self.cuts[t * self.blocks + b + 1]
-                score[self.example[i:j]] += w * self.weight[i:j]
-            at = np.flatnonzero(score > 0)
-            best = sorted(best + [(-s, b * BLOCK + e) for s, e in zip(score[at].tolist(), at.tolist())])[:k]
-        return [(min(1.0, -s), e) for s, e in best]
+        """The k largest cosines (over 0) and their examples; of ties the lower number."""
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """``nearest`` of each text, ``QUERIES`` at once."""
+        if not self.built:
+            self._build()
+        out: list[list[tuple[float, int]]] = []
+        full = np.zeros(self.n_terms)
+        for at in range(0, len(queries), QUERIES):
+            part = queries[at:at + QUERIES]
+            common = np.zeros((len(part), len(self.dense)), np.float32)
+            for i, (t, w) in enumerate(part):
+                row = self.row[t]
+                common[i, row[row >= 0]] = w[row >= 0]
+            scores = common @ self.dense
+            for (t, w), score in zip(part, scores):
+                places, n = _ranges(self.cuts[t], self.cuts[t + 1])
+                if len(places):
+                    score += np.bincount(self.example[places], np.repeat(w.astype(np.float32), n) * self.weight[places], self.n)
+                full[t] = w
+                out.append(self._best(score, full, k))
+                full[t] = 0
+        return out
+
+    def _best(self, score: np.ndarray, full: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The candidates by single precision, ordered by double."""
+        most = np.maximum.reduceat(score, np.arange(0, self.n, BLOCK)) if self.n > k * BLOCK else score
+        least = np.partition(most, len(most) - k)[len(most) - k] if len(most) > k else 0.0
+        at = np.flatnonzero((score > 0) & (score >= least - 1e-4))
+        if len(at) > k:
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k] - 1e-4]
+        if not len(at):
+            return []
+        places, n = _ranges(self.starts[at], self.starts[at + 1])
+        exact = np.add.reduceat(full[self.own[places]] * self.own_weight[places], np.cumsum(n) - n)
+        order = np.argsort(-exact, kind="stable")[:k]
+        return [(min(1.0, s), e) for s, e in zip(exact[order].tolist(), at[order].tolist())]
+
+
+def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and how many each has."""
+    n = b - a
+    return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
 
 
 def _features(vote: float, n_terms: int, odds: float, n_words: int) -> list[float]:
@@ -124,34 +229,55 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-class Model:
-    def __init__(self, idf: dict[bytes, tuple[float, float]], examples: list[tuple], prior: float):
-        """``examples``: (doc_id, label, term numbers, weights, log odds, words), in a fixed order."""
-        self.idf, self.prior = idf, prior
-        self.names = [t.decode("utf-8", "replace") for t in idf]
-        self.doc_ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
-        vectors = [(np.array(e[2], np.int64), np.array(e[3])) for e in examples]
-        self.index = BlockMaxIndex(vectors, max(1, len(idf)))
-        x = [_features(self.vote(self.index.nearest(t, w, NEIGHBOURS + 1), i), len(t), e[4], e[5])
-             for i, (e, (t, w)) in enumerate(zip(examples, vectors))]
-        self.weights = _logistic(np.array(x), np.array(self.labels, np.float64)) if x else np.zeros(5)
+class Examples:
+    """What all tasks share: the examples' words, labels and index, and the leaning terms."""
+
+    def __init__(self, rows: list[tuple], leaning: Leaning):
+        """``rows``: (hash of the text, doc_id, label, word hashes, counts), in a fixed order."""
+        self.h = np.array([r[0] for r in rows], np.int64)
+        self.doc_ids, self.labels, self.leaning = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), leaning
+        size = np.array([len(r[3]) // 8 for r in rows], np.int64)
+        starts = np.concatenate([[0], np.cumsum(size)])
+        flat = np.empty(int(starts[-1]), np.uint64)
+        for r, i, j in zip(rows, starts[:-1], starts[1:]):
+            flat[i:j] = np.frombuffer(r[3], "<u8")
+        rising = np.sort(flat)
+        first = np.flatnonzero(np.r_[True, rising[1:] != rising[:-1]]) if len(rising) else np.zeros(0, np.int64)
+        self.hashes = rising[first]
+        self.idf = np.log((1 + len(rows)) / (1 + np.diff(np.r_[first, len(rising)]))) + 1
+        del rising
+        ids, weights = np.empty(len(flat), np.int32), np.empty(len(flat), np.float32)
+        for r, i, j in zip(rows, starts[:-1], starts[1:]):
+            ids[i:j] = np.searchsorted(self.hashes, flat[i:j])
+            weights[i:j] = scaled((1 + np.log(np.frombuffer(r[4], "<u4"))) * self.idf[ids[i:j]])
+        self.index = BlockMaxIndex.of(ids, weights, starts, len(self.hashes))
+        self.share = float(self.labels.mean()) if rows else 0.0
+
+    def terms(self) -> Terms:
+        return Terms(self.hashes, self.idf, self.leaning)
 
     def vote(self, near: list[tuple[float, int]], left_out: int = -1) -> float:
-        """The toxic share of the neighbours' cosines."""
+        """The toxic share of the neighbours' cosines; without neighbours, of all examples."""
         own = [(s, e) for s, e in near if e != left_out][:NEIGHBOURS]
         total = sum(s for s, _ in own)
-        return sum(s for s, e in own if self.labels[e]) / total if total else 0.0
+        return sum(s for s, e in own if self.labels[e]) / total if total else self.share
 
-    def score(self, words: list[bytes], terms: Terms) -> tuple[float, list[int], str]:
-        """(score, nearest examples, terms that speak for it).  A text without any
-        of the terms, or an empty one, has the prior of such texts."""
-        at, w, odds = terms.vector(words)
-        if not len(at):
-            return self.prior, [], ""
-        near = self.index.nearest(at, w)
-        x = float(np.dot(self.weights, _features(self.vote(near), len(at), odds, len(words))))
-        top = [self.names[t] for t in at[np.argsort(-w, kind="stable")][:5].tolist()]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [self.doc_ids[e] for _, e in near[:3]], ",".join(top)
+
+class Model:
+    def __init__(self, shared, weights: np.ndarray, prior: float):
+        """``shared``: the broadcast ``Examples``; ``prior``: score of texts without words."""
+        self.shared, self.weights, self.prior = shared, weights, prior
+
+    def scores(self, texts: list[list[bytes]], terms: Terms) -> list[tuple[float, list[int], str]]:
+        """(score, nearest examples, terms that speak for it) of each text's words."""
+        own = self.shared.value
+        out = []
+        for words, near in zip(texts, own.index.nearest_of([terms.vector(w) for w in texts])):
+            found = terms.found(words)
+            x = float(np.dot(self.weights, _features(own.vote(near), *own.leaning.evidence(found), len(words))))
+            out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) if words else self.prior,
+                        [own.doc_ids[e] for _, e in near[:3]], own.leaning.named(found)))
+        return out
 
 
 def held_out():
@@ -170,9 +296,30 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     # the sample's border: the MAX_EXAMPLES-th hash
     border = distinct.select("h").orderBy("h").limit(MAX_EXAMPLES).agg(F.max("h")).first()[0]
     chosen = F.broadcast(distinct.where(F.col("h") <= F.lit(border)).select("h", "doc_id", "toxic"))
-    picked = rows.drop("toxic").join(chosen, ["h", "doc_id"]).dropDuplicates(["h", "doc_id"])
-    n_toxic, n = distinct.where(F.col("h") <= F.lit(border)).agg(
-        F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    # at most MAX_EXAMPLES texts
+    picked = kept(rows.drop("toxic").join(chosen, ["h", "doc_id"]).dropDuplicates(["h", "doc_id"]), "picked")
+
+    def hashed(batches):
+        words = _Words()
+        for b in batches:
+            if len(words) > 300_000:
+                words.clear()
+            for at, texts in chunks(b.column(3)):
+                own = [np.unique(np.fromiter(map(words.__getitem__, x := plain_words(t)), np.uint64, len(x)), return_counts=True) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(i).slice(at, len(texts)) for i in range(3)), pa.array([len(h) for h, _ in own], pa.int64()),
+                     pa.array([h.astype("<u8").tobytes() for h, _ in own], pa.binary()),
+                     pa.array([n.astype("<u4").tobytes() for _, n in own], pa.binary())], ["h", "doc_id", "toxic", "size", "words", "counts"])
+
+    examples = kept(picked.select("h", "doc_id", "toxic", "text").mapInArrow(
+        hashed, "h long, doc_id long, toxic int, size long, words binary, counts binary"), "examples")
+    # the sample ends earlier if its texts have more than MAX_POSTINGS distinct words in sum
+    sizes = sorted((r[0], r[1]) for r in examples.select("h", "size").collect())
+    n = int(np.searchsorted(np.cumsum([s for _, s in sizes]), MAX_POSTINGS, side="right")) if sizes else 0
+    inside = F.col("h") <= F.lit(sizes[n - 1][0]) if n else F.lit(False)
+    rows = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in examples.where(inside).select(
+        "h", "doc_id", "toxic", "words", "counts").collect())
+    n_toxic = sum(r[2] for r in rows)
 
     def words(batches):
         for b in batches:
@@ -185,44 +332,45 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
                     [pa.array(list(seen), pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()),
                      pa.array([v[1] for v in seen.values()], pa.int64())], ["term", "t", "c"])
 
-    least = max(MIN_DF, MIN_SHARE * n_toxic)
-    counts = picked.select("text", "toxic").mapInArrow(words, "term binary, t long, c long").groupBy("term").agg(
-        F.sum("t").alias("t"), F.sum("c").alias("c")).where((F.col("t") >= least) & (F.col("t") * max(1, n - n_toxic) > 4 * F.col("c") * max(1, n_toxic)))
-    idf = choose_terms([(bytes(r[0]), r[1], r[2]) for r in counts.collect()], n_toxic, n - n_toxic)
+    t, c = F.col("t"), F.col("c")
+    odds = F.log((t + 0.5) / (n_toxic - t + 0.5)) - F.log((c + 0.5) / (n - n_toxic - c + 0.5))
+    # a little below the borders of weight_of, which decides
+    leans = (t >= MIN_DF) & (odds >= MIN_ODDS - 1e-6) & (odds >= (MIN_Z - 1e-6) * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)))
+    counts = picked.where(inside).select("text", "toxic").mapInArrow(words, "term binary, t long, c long").groupBy("term").agg(
+        F.sum("t").alias("t"), F.sum("c").alias("c")).where(leans)
+    own = Examples(rows, Leaning([(bytes(r[0]), r[1], r[2]) for r in counts.collect()], n_toxic, n - n_toxic))
+    shared = documents.sparkSession.sparkContext.broadcast(own)
 
-    def vectors(batches):
-        terms = Terms(idf)
+    def features(batches):
+        m = shared.value
+        terms = m.terms()
         for b in batches:
-            for at, texts in chunks(b.column(1)):
+            for at, texts in chunks(b.column(2)):
                 words = [plain_words(t) for t in texts]
-                vs = [terms.vector(w) for w in words]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), b.column(3).slice(at, len(texts)),
-                     pa.array([v[0].tolist() for v in vs], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in vs], pa.list_(pa.float64())),
-                     pa.array([v[2] for v in vs], pa.float64()), pa.array([len(w) for w in words], pa.int64())],
-                    ["doc_id", "toxic", "h", "terms", "weights", "odds", "n_words"])
-
-    # at most MAX_EXAMPLES rows of a few terms each
-    examples = sorted((r["h"], r["doc_id"], r["toxic"], r["terms"], r["weights"], r["odds"], r["n_words"])
-                      for r in picked.select("doc_id", "text", "toxic", "h").mapInArrow(
-        vectors, "doc_id long, toxic int, h long, terms array<long>, weights array<double>, odds double, n_words long").collect())
-    # calibration of the texts without any of the words: their share of toxic examples
-    none = [e for e in examples if not e[3]]
-    prior = (sum(e[2] for e in none) + 0.5) / (len(none) + 1)
-    return Model(idf, [e[1:] for e in examples if e[3]], min(prior, 0.5))
+                near = m.index.nearest_of([terms.vector(w) for w in words], NEIGHBOURS + 1)
+                h = b.column(0).slice(at, len(texts))
+                x = [_features(m.vote(e, i), *m.leaning.evidence(terms.found(w), y), len(w)) for e, i, y, w in zip(
+                    near, np.searchsorted(m.h, h.to_numpy()).tolist(), b.column(1).slice(at, len(texts)).to_pylist(), words)]
+                yield pa.RecordBatch.from_arrays([h, b.column(1).slice(at, len(texts)), pa.array([len(w) for w in words], pa.int64()),
+                                                  pa.array(x, pa.list_(pa.float64()))], ["h", "toxic", "n_words", "x"])
+
+    found = sorted(tuple(r) for r in picked.where(inside).select("h", "toxic", "text").mapInArrow(
+        features, "h long, toxic int, n_words long, x array<double>").collect())
+    # calibration of the texts without words: their share of toxic examples
+    none = [y for _, y, size, _ in found if not size]
+    prior = (sum(none) + 0.5) / (len(none) + 1)
+    some = [(x, y) for _, y, size, x in found if size]
+    weights = _logistic(np.array([x for x, _ in some]), np.array([y for _, y in some], np.float64)) if some else np.zeros(5)
+    return Model(shared, weights, min(prior, 0.5))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, nearest (doc_ids of examples), evidence."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
-        m = shared.value
-        terms = Terms(m.idf)
+        terms = model.shared.value.terms()
         for b in batches:
             for at, texts in chunks(b.column(2)):
-                out = [m.score(plain_words(t), terms) for t in texts]
-                s, near, why = zip(*out)
+                s, near, why = zip(*model.scores([plain_words(t) for t in texts], terms))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(s, pa.float64()),
                      pa.array([int(x >= THRESHOLD) for x in s], pa.int32()), pa.array(near, pa.list_(pa.int64())),

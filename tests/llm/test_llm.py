@@ -315,6 +315,37 @@ def test_toxicity(spark, docs):
     empty(docs, lambda d: toxicity.score(d, toxicity.fit(d, labels)))
 
 
+def test_toxicity_searches_all_words(spark, docs):
+    r = random.Random(8)
+    rows, slurs = [], ["qqzra", "qqzrb"]
+    for i in range(12000):  # every fifth is toxic; one word tells it, the other is in under 1 % of them
+        words = prose(30, 5000 + i, 300).split()
+        if i % 5 == 0:
+            words.insert(r.randrange(30), slurs[i % 600 == 0])
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    extra = [(90000, prose(30, 90000, 300) + " qqzrb"), (90001, prose(30, 90001, 300)), (90002, "unseen words only"), (90003, None)]
+    df = docs(rows + extra)
+    model = toxicity.fit(df, labels)
+    # all examples are indexed, with all their words
+    assert sorted(model.shared.value.doc_ids) == [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert np.all(np.diff(model.shared.value.index.starts) > 10)
+    got = {g.doc_id: g for g in toxicity.score(df, model).collect()}
+    assert got[90000].predicted == 1 and got[90001].predicted == 0 and len(got[90001].nearest) == 3
+    assert got[90002].nearest == [] and got[90002].predicted == 0 and got[90003].predicted == 0
+    # the nearest are those of all words, by brute force
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    sets = {i: __import__("collections").Counter(t.split()) for i, t in train}
+    df_ = __import__("collections").Counter(w for c in sets.values() for w in c)
+    vec = lambda c: {w: (1 + np.log(n)) * (np.log((1 + len(train)) / (1 + df_[w])) + 1) for w, n in c.items() if w in df_}
+    long = lambda v: sum(x * x for x in v.values()) ** 0.5
+    vecs = {i: vec(c) for i, c in sets.items()}
+    for i in (90000, 90001):
+        q = vec(__import__("collections").Counter(dict(extra)[i].split()))
+        cos = {e: sum(x * v.get(w, 0) for w, x in q.items()) / long(q) / long(v) for e, v in vecs.items()}
+        assert np.allclose([cos[e] for e in got[i].nearest], sorted(cos.values(), reverse=True)[:3], atol=1e-6)
+
+
 # ------------------------------------------------------------------ op5
 def brute_quality(text):
     t = text or ""
