@@ -20,12 +20,14 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: label, keyword, regex of the name (words after single spaces), identifiers.
+#: label, keyword (in every match of the name), regex of the name (words after single spaces),
+#: identifiers (empty: those of the row before).
 FAMILIES = (
     ("mit", "mit", "(?:the )?mit", "mit"),
     ("apache", "apache", "(?:the )?apache(?: software)?", "apache 2 0"),
     ("agpl", "affero", "(?:the )?(?:gnu )?affero general public", "agpl 3 0"),
-    ("lgpl", "lesser", "(?:the )?(?:gnu )?(?:lesser|library) general public", "lgpl [23] \\d"),
+    ("lgpl", "lesser general public", "(?:the )?(?:gnu )?lesser general public", "lgpl [23] \\d"),
+    ("lgpl", "library general public", "(?:the )?(?:gnu )?library general public", ""),
     ("gpl", "general public", "(?:the )?(?:gnu )?general public", "gpl [23] 0"),
     ("bsd", "bsd", "(?:the )?(?:(?:new|modified|simplified|revised|original) )?(?:[0234] clause )?bsd", "bsd [0234] clause"),
     ("mpl", "mozilla", "(?:the )?mozilla public", "mpl [12] \\d"),
@@ -57,13 +59,14 @@ FAMILIES = (
     ("gfdl", "free documentation", "(?:the )?(?:gnu )?free documentation", "gfdl 1 \\d"),
     ("odbl", "open database", "(?:the )?open database", "odbl 1 0"),
     ("beerware", "beerware", "(?:the )?beerware", "beerware"),
-    ("qpl", "qpl", "(?:the )?q public", "qpl 1 0"),
+    ("qpl", "q public", "(?:the )?q public", "qpl 1 0"),
     ("cc-by-nc-nd", "nc nd", "(?:the )?(?:cc|creative commons) by nc nd(?: \\d \\d)?", "cc by nc nd \\d 0"),
     ("cc-by-nc-sa", "nc sa", "(?:the )?(?:cc|creative commons) by nc sa(?: \\d \\d)?", "cc by nc sa \\d 0"),
     ("cc-by-nc", "by nc", "(?:the )?(?:cc|creative commons) by nc(?: \\d \\d)?", "cc by nc \\d 0"),
     ("cc-by-nd", "by nd", "(?:the )?(?:cc|creative commons) by nd(?: \\d \\d)?", "cc by nd \\d 0"),
     ("cc-by-sa", "by sa", "(?:the )?(?:cc|creative commons) by sa(?: \\d \\d)?", "cc by sa \\d 0"),
-    ("cc-by", "cc by", "(?:the )?(?:cc|creative commons) by(?: \\d \\d)?", "cc by \\d 0"),
+    ("cc-by", "cc by", "(?:the )?cc by(?: \\d \\d)?", "cc by \\d 0"),
+    ("cc-by", "creative commons by", "(?:the )?creative commons by(?: \\d \\d)?", ""),
     ("cc0", "cc0", "(?:the )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
 )
 #: regex with the family's name (N) or identifier (I), priority (0 is best), weight of the evidence.
@@ -94,7 +97,7 @@ TRIGGERS = ("license", "licence", "spdx", "reserved", "proprietary", "domain", "
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(keyword, regex, label, priority, weight), in order: every form of every family, then the notices."""
     out = [(key if " I" not in form else "spdx", form.replace("N", name).replace("I", ident), label, level, weight)
-           for label, key, name, ident in FAMILIES for form, level, weight in FORMS]
+           for label, key, name, ident in FAMILIES for form, level, weight in FORMS if ident or " I" not in form]
     return out + [(key, regex, label, level, weight) for label, key, regex, level, weight in NOTICES]
 
 

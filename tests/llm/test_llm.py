@@ -515,6 +515,23 @@ def test_detections_against_brute_force(docs):
         assert [(x.start, x.stop, x.level, x.label) for x in r.detections] == left
 
 
+def test_every_listed_alternative_fires(docs):
+    texts = ["Released under the GNU Library General Public License", "under the Q Public License 1.0", "licensed under Creative Commons BY 4.0",
+             "licensed under CC BY 4.0", "SPDX-License-Identifier: LGPL-2.1", "Creative Commons BY-NC-SA 4.0 license", "GNU Lesser General Public License"]
+    rows = [*LICENSED, *enumerate(texts, 500)]
+    for r in licenses.scan(docs(rows)).collect():
+        t = "".join(c.lower() if "A" <= c <= "Z" else c for c in dict(rows).get(r.doc_id) or "")
+        norm = "".join(" " + w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t))
+        # all regexes, whatever their keywords
+        every = [(norm[:m.start()].count(" "), norm[:m.end()].count(" "), level, label)
+                 for _, regex, label, level, _ in licenses.rules() for m in re.finditer(f" {regex}(?= |$)", norm)]
+        order = sorted(every, key=lambda d: (d[0], -d[1], d[2], d[3]))
+        left = [d for k, d in enumerate(order) if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] <= d[2] for e in order[:k])]
+        assert [(x.start, x.stop, x.level, x.label) for x in r.detections] == left
+    by = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(rows)).collect() if r.doc_id}
+    assert "lgpl" in by[500] and "qpl" in by[501] and "cc-by" in by[502] and "cc-by" in by[503] and "lgpl" in by[504]
+
+
 # ------------------------------------------------------------------ op10
 def brute_repeats(rows):
     least = {}
