@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, free_name, kept, table
-from .shingles import Shingler
+from .shingles import _MUL, WIDTH, Shingler, mix
 from .tokens import chunks
 
 THRESHOLD = 0.8
@@ -31,18 +31,34 @@ def plain_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
+def short_windows(w: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The distinct hashes of the ``k`` words from every word of each text on, seeded by ``k``."""
+    h = w.copy()
+    for i in range(1, k):
+        h = h * _MUL
+        h[:max(0, len(w) - i)] += w[i:]
+    h = mix(mix(h) + np.uint64(k))
+    ends = np.cumsum(sizes)
+    return [np.unique(h[e - n:max(e - n, e - k + 1)]) for n, e in zip(sizes.tolist(), ends.tolist())]
+
+
 def item_sets(items: DataFrame, text: str = "text") -> DataFrame:
-    """item_id, size, elements (rising hashes) of items with words."""
+    """item_id, size, elements (rising hashes), words (their number up to ``WIDTH``) of items with words."""
     def run(batches):
         sh = Shingler(plain_words)
         for b in batches:
             for at, texts in chunks(b.column(1)):
-                sets = sh.sets(texts)
+                w, n = sh.words(texts)
+                sets = [np.unique(x) for x in sh.sequences_of(w, n)]
+                for k in range(1, WIDTH):
+                    if (n == k).any():
+                        sets = [x if m == k else s for s, x, m in zip(sets, short_windows(w, n, k), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["item_id", "size", "elements"])
+                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array(np.minimum(n, WIDTH))],
+                    ["item_id", "size", "elements", "words"])
     return items.select(F.col("item_id").cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(
-        run, "item_id long, size long, elements binary").where("size > 0")
+        run, "item_id long, size long, elements binary, words long").where("size > 0")
 
 
 def sketch_size(size: int, threshold: float = THRESHOLD) -> int:
@@ -84,11 +100,18 @@ class Index:
                 yield d, i, shared
 
 
+def probes(sh: Shingler, texts: list[str], short: list[int]) -> list[np.ndarray]:
+    """The distinct hashes of each text: its shingles, and its windows of the lengths ``short``."""
+    w, n = sh.words(texts)
+    parts = [sh.sequences_of(w, n), *(short_windows(w, n, k) for k in short)]
+    return [np.unique(np.concatenate(x) if len(x) > 1 else x[0]) for x in zip(*parts)]
+
+
 def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, item_size, shared, containment of every pair at or over the threshold.
 
-    Items without words are in nothing; an item of fewer than five words is only
-    in texts of the same words.  Null texts are empty, null ids stay null;
+    Items without words are in nothing; an item of fewer than five words is in every
+    text that has these words one after the other (size 1).  Null texts are empty, null ids stay null;
     repeated rows give repeated pairs; an empty table gives no rows."""
     stored = kept(item_sets(items), "items")
     total = stored.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -97,15 +120,17 @@ def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHO
     out = None
     for block in range(n_blocks):  # a block of the stated query set against all rows
         mine = stored.where(F.pmod(F.xxhash64("elements", "item_id"), F.lit(n_blocks)) == block)
-        rows = sorted((r["item_id"] is not None, r["item_id"], bytes(r["elements"])) for r in mine.collect())
+        found = mine.collect()
+        rows = sorted((r["item_id"] is not None, r["item_id"], bytes(r["elements"])) for r in found)
         shared = documents.sparkSession.sparkContext.broadcast([r[1:] for r in rows])
+        short = sorted({r["words"] for r in found if r["words"] < WIDTH})
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, short=short):
             sh, index = Shingler(plain_words), Index(shared.value, threshold)
             for b in batches:
                 ids = b.column(0).to_pylist()
                 for at, texts in chunks(b.column(1)):
-                    found = [(ids[at + d], index.ids[i], len(index.sets[i]), n) for d, i, n in index.find(sh.sets(texts))]
+                    found = [(ids[at + d], index.ids[i], len(index.sets[i]), n) for d, i, n in index.find(probes(sh, texts, short))]
                     if found:
                         cols = [pa.array(c, pa.int64()) for c in zip(*found)]
                         share = pa.array([n / s for _, _, s, n in found], pa.float64())

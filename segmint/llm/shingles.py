@@ -32,15 +32,22 @@ class Shingler:
         self.split = split or (lambda t: t.encode("utf-8", "surrogatepass").lower().split())
         self.hashes = _Words()
 
-    def sequences(self, texts: list[str]) -> list[np.ndarray]:
-        """The shingle hashes of each text, in order; a text of fewer than
-        ``WIDTH`` words has one of the whole sequence, one without words none."""
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of the texts, and the number of words of each."""
         if len(self.hashes) > CACHE:
             self.hashes.clear()
         lists = [self.split(t) for t in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         get = self.hashes.__getitem__
-        w = np.fromiter((get(x) for ws in lists for x in ws), np.uint64, int(sizes.sum()))
+        return np.fromiter((get(x) for ws in lists for x in ws), np.uint64, int(sizes.sum())), sizes
+
+    def sequences(self, texts: list[str]) -> list[np.ndarray]:
+        """The shingle hashes of each text, in order; a text of fewer than
+        ``WIDTH`` words has one of the whole sequence, one without words none."""
+        return self.sequences_of(*self.words(texts))
+
+    def sequences_of(self, w: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """``sequences`` from ``words``."""
         h = w.copy()
         for k in range(1, WIDTH):
             h = h * _MUL

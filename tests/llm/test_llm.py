@@ -408,6 +408,27 @@ def test_decontamination_blocks_agree(spark, docs, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contained(df, bench).collect()) == [(i, i) for i in range(30)]
 
 
+def test_short_items_in_long_documents(spark, docs):
+    items = [(1, "Forty-two apples fell"), (2, "xyzzy"), (3, "alpha beta gamma delta"), (4, "no such"), (5, prose(20, 510)), (6, "xyzzy xyzzy")]
+    rows = [(1, prose(400, 610) + " forty two APPLES fell. " + prose(400, 611)), (2, "xyzzy"), (3, prose(50, 612) + " xyzzy"),
+            (4, "alpha beta gamma. Delta " + prose(50, 613) + " " + items[4][1]), (5, "alpha beta gamma"), (6, "delta"),
+            (7, "Xyzzy xyzzy xyzzy " + prose(9, 614)), (8, None), (9, "no"), (10, "such")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.item_size, r.shared) for r in decontaminate.contained(docs(rows), bench).collect())
+    want = []
+    for i, t in rows:
+        w = decontaminate.plain_words(t or "")
+        for j, u in items:
+            v = decontaminate.plain_words(u)
+            n = min(5, len(v))
+            grams = lambda x: {tuple(x[a:a + n]) for a in range(len(x) - n + 1)}
+            shared = len(grams(w) & grams(v))
+            if shared >= 0.8 * len(grams(v)):
+                want.append((i, j, len(grams(v)), shared))
+    assert got == sorted(want) and (1, 1, 1, 1) in got and (4, 3, 1, 1) in got
+    assert sorted(r.doc_id for r in decontaminate.clean(docs(rows), bench).collect()) == [5, 6, 8, 9, 10]
+
+
 # ------------------------------------------------------------------ op7
 def test_sharding(docs):
     got = shards.shard(kept(shards.sized(docs(ROWS)), "t"), 4).collect()
