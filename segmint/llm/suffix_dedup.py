@@ -119,7 +119,7 @@ def _chunks(column, limit: int = CHUNK):
 
 
 def _keys(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """Run keys packed by bucket; a row holds the arrays of one chunk of texts."""
+    """Run keys packed by bucket with the number of their row; a row holds the arrays of one chunk of texts."""
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -138,14 +138,14 @@ def _keys(docs: DataFrame, n_buckets: int) -> DataFrame:
                     cols = list(zip(*rows[i:i + 64]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
-                        ["bucket", "docs", "places", "places2", "low", "high"])
-    return docs.select("doc_id", "bytes").mapInArrow(run, "bucket int, docs binary, places binary, places2 binary, low binary, high binary")
+                        ["bucket", "rows", "places", "places2", "low", "high"])
+    return docs.select("row", "bytes").mapInArrow(run, "bucket int, rows binary, places binary, places2 binary, low binary, high binary")
 
 
 def _met(t: pa.Table) -> pa.Table:
-    """Of one bucket: the places (negative: of a hot key, as ~place) of keys of several documents."""
+    """Of one bucket: the places (negative: of a hot key, as ~place) of keys of several rows."""
     get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-    docs, places = get("docs", "<i8"), get("places", "<u2").astype(np.int64) | (get("places2", "<u2").astype(np.int64) << 16)
+    docs, places = get("rows", "<i8"), get("places", "<u2").astype(np.int64) | (get("places2", "<u2").astype(np.int64) << 16)
     key = get("low", "<u4").astype(np.uint64) | (get("high", "u1").astype(np.uint64) << np.uint64(32))
     order = np.argsort(key)
     k, d, p = key[order], docs[order], places[order]
@@ -153,7 +153,7 @@ def _met(t: pa.Table) -> pa.Table:
     n = np.diff(np.r_[first, len(k)])
     several = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), n)
     p = np.where(np.repeat(n > HOT, n), ~p, p)
-    return pa.table({"doc_id": d[several], "place": p[several].astype(np.int32)})
+    return pa.table({"row": d[several], "place": p[several].astype(np.int32)})
 
 
 def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -284,13 +284,15 @@ def _sorted_bucket(t: pa.Table) -> pa.Table:
 def spans(rows: DataFrame) -> DataFrame:
     """doc_id, row_key, span (start, end) of the bytes to remove, not yet merged.
 
-    ``rows``: doc_id (not null), row_key, bytes; documents of equal bytes must be one row."""
+    ``rows``: doc_id (not null), row_key, bytes; documents of equal bytes must be one row.
+    Places belong to a row, as many rows may have one doc_id."""
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "row_key"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     n_buckets = max(1, -(-total // (12 * PER_BUCKET)))  # about one run in twelve bytes
-    met = _keys(rows, n_buckets).groupBy("bucket").applyInArrow(_met, "doc_id long, place int")
-    places = kept(met.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "places")
+    met = _keys(rows, n_buckets).groupBy("bucket").applyInArrow(_met, "row long, place int")
+    places = kept(met.groupBy("row").agg(F.collect_list("place").alias("places")), "places")
     size = places.agg(F.coalesce(F.sum(4 * F.size("places") + 64), F.lit(0))).first()[0]
-    found = rows.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, "doc_id")
+    found = rows.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, "row")
     c = kept(_contexts(found), "contexts", "zstd")
     distinct = c.groupBy("key", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     n = max(1, -(-c.count() // (PER_BUCKET // 32)))
@@ -333,14 +335,20 @@ def marked(documents: DataFrame, text: str = "text") -> DataFrame:
     keyed = packed.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": F.xxhash64(b),
                              "_digest": F.unhex(F.md5(b))})
     long = F.octet_length("_bytes") >= WIDTH
-    heads = keyed.where(long).groupBy("_digest").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"))
+    each = keyed.where(long).groupBy("_digest", "_doc").agg(F.count(F.lit(1)).alias("n"))
+    heads = each.groupBy("_digest").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"), F.min_by("n", "_doc").alias("n"))
     # only groups with a copy: the rest needs no looking up
-    shared = kept(heads.where(F.col("lo") < F.col("hi")), "heads")
+    shared = kept(heads.where((F.col("lo") < F.col("hi")) | (F.col("n") > 1)).drop("hi"), "heads")
     size = 64 * shared.count()
     looked = keyed.join(F.broadcast(shared) if size <= BROADCAST_BYTES else shared, "_digest", "left")
-    flagged = looked.withColumn("_copy", F.coalesce(F.col("lo") < F.col("_doc"), F.lit(False))).drop("lo", "hi")
-    rows = flagged.where(long & ~F.col("_copy")).select(F.col("_doc").alias("doc_id"), F.col("_key").alias("row_key"),
-                                                       F.col("_bytes").alias("bytes"))
+    marks = looked.withColumn("_copy", F.coalesce(F.col("lo") < F.col("_doc"), F.lit(False)))
+    flagged = marks.drop("lo", "n")
+    own = long & ~F.col("_copy")
+    needed = lambda df: df.select(F.col("_doc").alias("doc_id"), F.col("_key").alias("row_key"), F.col("_bytes").alias("bytes"))
+    rows = needed(flagged.where(own))
+    if not shared.where(F.col("n") > 1).isEmpty():  # rows that agree in doc_id and text are one
+        twice = kept(needed(marks.where(own & (F.col("n") > 1))).dropDuplicates(["doc_id", "row_key"]), "twice")
+        rows = needed(marks.where(own & (F.coalesce("n", F.lit(1)) == 1))).unionByName(twice)
     found = kept(merged(spans(rows)), "spans")
     size = found.agg(F.coalesce(F.sum(F.octet_length("spans") + 64), F.lit(0))).first()[0]
     found = found.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))

@@ -600,6 +600,24 @@ def test_suffix_dedup_edges(docs):
     assert 401 not in texts and texts[5] == [prose(300, 2)] and None in texts[7] and texts[1] == [BASE] and 3 not in texts
 
 
+@pytest.mark.parametrize("one", [None, 50])
+def test_suffix_dedup_rows_of_one_id(docs, monkeypatch, one):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    hot, other = prose(40, 960), prose(40, 961)
+    # both passages start their texts: a hot key of one row has the places of the other's runs
+    rows = [(i, f"{hot} {prose(9, 970 + i)}") for i in range(1, 7)] + [(7, f"{other} {prose(9, 980)}"), (one, f"{hot} {prose(9, 981)}"), (one, f"{other} {prose(9, 982)}")]
+    rows += [(one, f"{prose(60, 990 + i)} {hot[5:]}") for i in range(20)] + [(one, f"{other} {prose(9, 982)}")] * 3
+    seen, real = [], suffix_dedup._contexts
+    monkeypatch.setattr(suffix_dedup, "_contexts", lambda d: seen.append(d) or real(d))
+    got = sorted((tuple(r) for r in suffix_dedup.digest(suffix_dedup.marked(docs(rows))).collect()), key=repr)
+    assert got == brute_repeats(rows)
+    # a row has its own places only, each once
+    for r in seen[0].collect():
+        own = {p for p in suffix_dedup.runs([bytes(r.bytes)])[1].tolist()}
+        mine = [p if p >= 0 else ~p for p in r.places]
+        assert set(mine) <= own and len(mine) == len(set(mine))
+
+
 def test_difference_cover_least():
     r = np.random.default_rng(4)
     for n in (60, 200, 3000):
