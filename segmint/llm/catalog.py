@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, jaccard_join, licenses, merkle, packing, quality, shards, suffix_dedup, toxicity, urls
+from . import binary, decontaminate, jaccard_join, licenses, merkle, packing, quality, shards, spelling, suffix_dedup, toxicity, urls
 
 Q = {
     "op1_url_filters": urls.op1_url_filters,
@@ -16,7 +16,8 @@ Q = {
     "op9_license_scans": licenses.op9_license_scans,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
 SQL = {"op2_jaccard_join": jaccard_join.SQL, "op5_quality_rules": quality.SQL, "op6_decontamination": decontaminate.SQL,
-       "op11_merkle_manifest": merkle.SQL}
+       "op11_merkle_manifest": merkle.SQL, "op12_spelling_variants": spelling.SQL}
