@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, jaccard_join, licenses, merkle, packing, quality, shards, spelling, suffix_dedup, toxicity, urls
+from . import binary, decontaminate, jaccard_join, language, licenses, merkle, packing, quality, shards, spelling, suffix_dedup, toxicity, urls
 
 Q = {
     "op1_url_filters": urls.op1_url_filters,
@@ -17,6 +17,7 @@ Q = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_language_id": language.op13_language_id,
 }
 
 SQL = {"op2_jaccard_join": jaccard_join.SQL, "op5_quality_rules": quality.SQL, "op6_decontamination": decontaminate.SQL,
