@@ -71,8 +71,10 @@ def counts(texts: list[str]) -> np.ndarray:
 
 def vectors(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Normalised TF-IDF rows; a text without letters has zeros."""
-    x = np.log1p(n.astype(np.float32)) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.zeros(n.shape)
+    at = np.nonzero(n)
+    x[at] = np.log1p(n[at]) * idf[at[1]]
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -136,7 +138,8 @@ class Model:
         letterless = ~n.any(axis=1)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts)), np.ones(len(texts), bool)
-        d = 1.0 - np.clip(vectors(n, self.idf) @ self.centroids.T, 0.0, 1.0).astype(np.float64)
+        # rounded, as a product's last digits depend on the texts beside
+        d = np.round(1.0 - np.clip(vectors(n, self.idf) @ self.centroids.T, 0.0, 1.0), 9)
         per = np.full((len(texts), len(self.languages)), 1.0)
         for i in range(len(self.languages)):
             per[:, i] = d[:, self.of == i].min(axis=1)
@@ -178,8 +181,8 @@ def fit(rows: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, k: in
     common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
     sizes = {r.lang: r.rows for r in common.collect()}  # ``languages`` rows at most
     df = document_frequencies(rows)
-    idf = (np.log((1.0 + sum(sizes.values())) / (1.0 + df)) + 1.0).clip(min=0.0).astype(np.float32)
-    empty = Model([], np.zeros(0, np.int64), np.zeros((0, DIM), np.float32), np.zeros(0), idf)
+    idf = (np.log((1.0 + sum(sizes.values())) / (1.0 + df)) + 1.0).clip(min=0.0)
+    empty = Model([], np.zeros(0, np.int64), np.zeros((0, DIM)), np.zeros(0), idf)
     if not sizes:
         return empty
     share = rows.sparkSession.createDataFrame([(x, min(1.0, sample / n)) for x, n in sizes.items()], "lang string, share double")
@@ -193,7 +196,7 @@ def fit(rows: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, k: in
             keep = x.any(axis=1)
             at = [np.flatnonzero(r).astype(np.int32) for r in x]
             yield pa.RecordBatch.from_arrays(
-                [batch["lang"], pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, at)], pa.list_(pa.float32()))],
+                [batch["lang"], pa.array(at, pa.list_(pa.int32())), pa.array([r[i].astype(np.float32) for r, i in zip(x, at)], pa.list_(pa.float32()))],
                 ["lang", "places", "weights"]).filter(pa.array(keep))
 
     points = kept(chosen.select("text", "lang").mapInArrow(weigh, "lang string, places array<int>, weights array<float>"), "points")
@@ -202,7 +205,7 @@ def fit(rows: DataFrame, languages: int = LANGUAGES, sample: int = SAMPLE, k: in
         return empty
     names = sorted({r.lang for r in found}, key=lambda x: (-sizes[x], x.encode()))
     found.sort(key=lambda r: (names.index(r.lang), r.reach))
-    return Model(names, np.array([names.index(r.lang) for r in found]), np.array([r.centre for r in found], np.float32),
+    return Model(names, np.array([names.index(r.lang) for r in found]), np.array([r.centre for r in found], np.float64),
                  np.array([r.reach for r in found]), idf)
 
 
