@@ -48,10 +48,10 @@ def _is_letter() -> np.ndarray:
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased code points of all texts (0 where there is no letter; two zeros end
-    a text) and the text that each belongs to."""
+    """The lower-cased code points of all texts (0 where there is no letter; each text
+    stands between zeros) and the text that each belongs to."""
     low = [t.lower() for t in texts]
-    points = np.frombuffer("".join(t + "\0\0" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join(f"\0{t}\0" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)) + 2)
     return np.where(_is_letter()[points], points, 0).astype(np.uint64), owner
 
@@ -64,8 +64,7 @@ def counts(texts: list[str]) -> np.ndarray:
     for h, has, n in ((one, c > 0, 1), (two, (c[:-1] > 0) | (c[1:] > 0), 2), (three, c[1:-1] > 0, 3)):
         at = np.flatnonzero(has)
         slot = mix(h[at] + np.uint64(n)) >> np.uint64(64 - BITS)
-        # a bigram that begins in a gap belongs to the text of its letter
-        places.append(owner[at + (n - 1 if n == 2 else 0)] * DIM + slot.astype(np.int64))
+        places.append(owner[at] * DIM + slot.astype(np.int64))
     return np.bincount(np.concatenate(places), minlength=len(texts) * DIM).reshape(len(texts), DIM)
 
 
