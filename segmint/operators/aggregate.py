@@ -8,8 +8,10 @@ always made explicit with an ordering column, never left to arrival order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,24 +31,88 @@ def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def exact_sum(x: str | Column, dtype: T.DataType | str = "double") -> Column:
-    """Sum that doesn't depend on the order of the rows, from the input's own type.
+#: Doubles are added up as integers in units of 2 ** (BLOCK_BITS * block).
+BLOCK_BITS = 8
+#: Blocks of the values that have no digits.
+NAN, PLUS_INF, MINUS_INF = 10_001, 10_002, 10_003
+BLOCK, PART = "_block", "_part"
 
-    Integers add up as integers and stay long; decimals as decimals.  Doubles add
-    up by their shortest decimal text, to 18 places, and the total is a double.
-    A total beyond the type (10**20 for doubles) raises in ANSI mode."""
+
+def is_double(dtype: T.DataType | str) -> bool:
+    return (dtype if isinstance(dtype, str) else dtype.simpleString()) in ("double", "float")
+
+
+def plain_sum(x: str | Column, dtype: T.DataType | str) -> Column:
+    """Sum of integers (as a long) or decimals; a total beyond the type raises in ANSI mode."""
     name = dtype if isinstance(dtype, str) else dtype.simpleString()
-    if name in ("tinyint", "smallint", "int", "bigint", "long"):
-        return F.sum(_c(x).cast("decimal(20,0)")).cast("long")
-    if name.startswith("decimal"):
-        return F.sum(_c(x))
-    return F.sum(_c(x).cast("decimal(38,18)")).cast("double")
+    return F.sum(_c(x)) if name.startswith("decimal") else F.sum(_c(x).cast("decimal(20,0)")).cast("long")
+
+
+def exact_parts(x: str | Column) -> list[Column]:
+    """``BLOCK`` and ``PART`` of a double, so that sums of parts per block lose nothing.
+
+    The block follows the exponent.  A part is the value in the block's unit: a whole
+    number below 2 ** 62, as the unit is below the value's last digit; scaling by powers
+    of two, in two steps, is exact.  NaN and the infinities are counted in blocks of
+    their own; a null's part is null."""
+    v = _c(x).cast("double")
+    block = F.floor((F.floor(F.log2(F.abs(v))) - 53) / BLOCK_BITS)
+    half = F.floor(-block * BLOCK_BITS / 2)
+    digits = v * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -block * BLOCK_BITS - half)
+    inf = F.lit(float("inf"))
+
+    def cases(nan, plus, minus, zero, other):
+        return (F.when(v.isNull() | (v == 0), zero).when(F.isnan(v), nan).when(v == inf, plus).when(v == -inf, minus).otherwise(other))
+
+    return [cases(*map(F.lit, (NAN, PLUS_INF, MINUS_INF, 0)), block).cast("int").alias(BLOCK),
+            cases(*[F.lit(1)] * 3, F.when(v == 0, 0), digits.cast("long")).cast("decimal(28,0)").alias(PART)]
+
+
+@F.arrow_udf(T.DoubleType())
+def _total(blocks: pa.Array, sums: pa.Array) -> pa.Array:
+    def total(pairs) -> float | None:
+        there = {b: int(s) for b, s in pairs if s is not None}
+        if there.get(NAN) or there.get(PLUS_INF) and there.get(MINUS_INF):
+            return math.nan
+        if there.get(PLUS_INF) or there.get(MINUS_INF):
+            return math.inf if there.get(PLUS_INF) else -math.inf
+        if not there:
+            return None
+        low = min(there)
+        n = sum(s << BLOCK_BITS * (b - low) for b, s in there.items())
+        try:  # both ways round once, to the nearest double
+            return float(n << BLOCK_BITS * low) if low >= 0 else n / (1 << -BLOCK_BITS * low)
+        except OverflowError:
+            return math.inf if n > 0 else -math.inf
+
+    return pa.array([total(zip(b, s)) for b, s in zip(blocks.to_pylist(), sums.to_pylist())], pa.float64())
+
+
+def exact_total(parts: Column) -> Column:
+    """The double nearest to the sum, from one key's (block, sum of parts) structs: 270 at most."""
+    return _total(F.transform(parts, lambda p: p[BLOCK]), F.transform(parts, lambda p: p[PART]))
+
+
+def totals(sums: DataFrame, key: str | Sequence[str], name: str, *others: Column) -> DataFrame:
+    """One total per key from rows of (key, ``BLOCK``, ``PART`` summed up); ``others`` aggregate along."""
+    keys = [key] if isinstance(key, str) else list(key)
+    parts = sums.groupBy(*keys).agg(F.collect_list(F.struct(BLOCK, PART)).alias("_parts"), *others)
+    return parts.withColumn(name, exact_total(F.col("_parts"))).drop("_parts")
 
 
 def sum_per_key(df: DataFrame, key: str | Sequence[str], value: str, name: str = "total") -> DataFrame:
-    """AGG-3: exact sum of ``value`` per key (see :func:`exact_sum`)."""
+    """AGG-3: exact sum of ``value`` per key, whatever the order of the rows.
+
+    Integers stay long and decimals decimal.  For doubles it is the double nearest to the
+    true sum of all finite values, an infinity beyond the range; NaN and the infinities
+    behave as in arithmetic.  Nulls don't count; only nulls give null.  Two partial
+    aggregates: per key and block of exponents, then per key over its few blocks."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(exact_sum(value, df.schema[value].dataType).alias(name))
+    dtype = df.schema[value].dataType
+    if not is_double(dtype):
+        return df.groupBy(*keys).agg(plain_sum(value, dtype).alias(name))
+    sums = df.select(*keys, *exact_parts(value)).groupBy(*keys, BLOCK).agg(F.sum(PART).alias(PART))
+    return totals(sums, keys, name)
 
 
 def last_per_key(df: DataFrame, key: str | Sequence[str], value: str | Column,

@@ -1,6 +1,6 @@
 """Batch queries over the given tables, one per operator family, with the
 equivalent DuckDB SQL.  Sets are emitted as sorted comma-joined text so that
-results hash alike in both engines; sums are exact (decimal) sums.
+results hash alike in both engines; sums are exact, then rounded to 6 places.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..functions import codec, sets
 from ..operators import aggregate as agg
 from ..operators import lookup, project
-from ..sources import tables
+from ..session import fresh_dir
+from ..sources import bucketed, tables
 from . import bindings as B
 from .bindings import SQL_INCOMING, SQL_K, SQL_PROFILES, SQL_STORED, SQL_SUM
 
@@ -180,10 +181,13 @@ def const_column(spark, sf):
 
 
 # ------------------------------------------------------------------ joins
-@query("join_tables", f"""
+SQL_JOIN_TABLES = f"""
   SELECT s.id, array_to_string(s.segset, ',') AS stored_segs,
          array_to_string(i.segset, ',') AS incoming_segs
-  FROM ({SQL_STORED}) s JOIN ({SQL_INCOMING}) i ON s.id = i.id""")
+  FROM ({SQL_STORED}) s JOIN ({SQL_INCOMING}) i ON s.id = i.id"""
+
+
+@query("join_tables", SQL_JOIN_TABLES)
 def join_tables(spark, sf):
     """JOIN-1: stored ⋈ incoming on id, both rows kept."""
     j = lookup.join_tables(B.stored_profiles(spark, sf), B.incoming_profiles(spark, sf), "id")
@@ -253,6 +257,22 @@ def enrich_merge(spark, sf):
     return r.select("id", sets.to_text("segset").alias("segs"))
 
 
+@query("join_bucketed", SQL_JOIN_TABLES)
+def join_bucketed(spark, sf):
+    """JOIN-1 against a stored table that lies in buckets of the key: only the other side moves."""
+    stored = bucketed.write(B.stored_profiles(spark, sf).select("id", "segset"), fresh_dir(spark, "join_bucketed"), "id")
+    j = lookup.join_tables(stored, B.incoming_profiles(spark, sf), "id")
+    return j.select("id", sets.to_text("left.segset").alias("stored_segs"), sets.to_text("right.segset").alias("incoming_segs"))
+
+
+@query("enrich_bucketed", SQL_ENRICH)
+def enrich_bucketed(spark, sf):
+    """JOIN-5 against a stored table that lies in buckets of the key."""
+    stored = bucketed.write(B.stored_profiles(spark, sf).select("id", "segset"), fresh_dir(spark, "enrich_bucketed"), "id")
+    r = lookup.enrich_merge(B.incoming_profiles(spark, sf), stored, "id", "segset")
+    return r.select("id", sets.to_text("segset").alias("segs"))
+
+
 @query("join_rekeyed", """
   SELECT c.c_custkey AS key, c.c_name || '|' || c.c_mktsegment AS value
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")

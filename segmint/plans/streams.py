@@ -2,8 +2,8 @@
 consumed by Structured Streaming jobs that keep keyed tables current.
 
 Every run works in fresh folders under the shared checkpoint root (topic
-files, query checkpoints, keyed tables or change logs) and returns a batch
-read of the final state, which the SQL oracle checks against the same question asked of the
+files, query checkpoints, keyed tables) and returns a batch
+read of the final state (of the state store, a keyed table or a sink), which the SQL oracle checks against the same question asked of the
 events table directly.  Topics are published in two parts with a restart of the
 query in between, so state and progress outlive it.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import codec, sets
 from ..operators import aggregate as agg
 from ..session import fresh_dir
-from ..sources import topics
-from ..sources.keyed import KeyedLog, KeyedTable
+from ..sources import bucketed, topics
+from ..sources.keyed import KeyedTable
 from ..streaming import micro, relay, running
 from . import bindings as B
 from .batch import SQL_LAST, SQL_SETS, SUFFIX
@@ -40,8 +40,6 @@ def query(name: str, sql: str | None = None):
 
 EVENT_SCHEMA = "event_id long, ts_us long, user_id long, event_type string, value double, k int"
 DRAIN = micro.trigger(available_now=True)
-# stream_sum folds its change log into the base every this many batches.
-COMPACT_EVERY = 2
 TIMEOUT_S = 600
 
 
@@ -74,45 +72,60 @@ def parsed_events(spark: SparkSession, path: str) -> DataFrame:
     return s.select(codec.parse("value", EVENT_SCHEMA).alias("r")).select("r.*")
 
 
-def _run_log(spark, sf, name: str, key, build, **log_options) -> KeyedLog:
-    """A change log kept current by ``build(parsed events)`` over both halves of the log."""
+def _run(spark, sf, name: str, build) -> str:
+    """The checkpoint of ``build(parsed events)``, run over both halves of the log."""
     root = fresh_dir(spark, name)
-    path, log = f"{root}/topic", KeyedLog(spark, f"{root}/log", key)
+    path = f"{root}/topic"
     feed_and_drain(halves(spark, sf),
                    lambda part: topics.write_topic(event_messages(part), path, "events", "value", "key"),
-                   lambda: running.to_log(build(parsed_events(spark, path)), log, f"{root}/ckpt", DRAIN, **log_options))
-    return log
+                   lambda: running.keep(build(parsed_events(spark, path)), f"{root}/ckpt", DRAIN))
+    return f"{root}/ckpt"
 
 
 # ------------------------------------------------------------ running state
 @query("stream_count", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_count(spark, sf):
-    """STM-1/2/4/5, SNK-4, UDF-1, UDF-2: running count per event type."""
-    return _run_log(spark, sf, "stream_count", "event_type", lambda s: running.running(
-        s, "event_type", running.running_count(), transform=lambda d: d.select("event_type"))).read()
+    """STM-1/2/4/5, UDF-1: running count per event type, read from the query's state."""
+    ckpt = _run(spark, sf, "stream_count", lambda s: running.running(
+        s, "event_type", running.running_count(), transform=lambda d: d.select("event_type")))
+    return running.state(spark, ckpt, n=running.count_state())
 
 
 @query("stream_sum", f"SELECT user_id, {SQL_SUM} AS total FROM events GROUP BY user_id")
 def stream_sum(spark, sf):
-    """STM-5 / AGG-3 over batches: running exact sum per user; the change log
-    is compacted into its base as the stream runs."""
-    log = _run_log(spark, sf, "stream_sum", "user_id", lambda s: running.running(
-        s, "user_id", running.running_sum("value")), compact_every=COMPACT_EVERY)
-    return log.read().withColumn("total", F.round("total", 6))
+    """STM-5 / AGG-3 over batches: running exact sum per user, read from the query's state."""
+    ckpt = _run(spark, sf, "stream_sum", lambda s: running.running_sum(s, "user_id", "value"))
+    return running.sum_state(spark, ckpt, "user_id").withColumn("total", F.round("total", 6))
 
 
 @query("stream_last", SQL_LAST)
 def stream_last(spark, sf):
-    """STM-6: running last event type per user by (ts, event_id)."""
-    return _run_log(spark, sf, "stream_last", "user_id", lambda s: running.running(
-        s, "user_id", running.running_last("event_type", ["ts_us", "event_id"]))).read()
+    """STM-6: running last event type per user by (ts, event_id), read from the query's state."""
+    ckpt = _run(spark, sf, "stream_last", lambda s: running.running(
+        s, "user_id", running.running_last("event_type", ["ts_us", "event_id"])))
+    return running.state(spark, ckpt, last=running.last_state())
+
+
+@query("stream_updates", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_updates(spark, sf):
+    """SNK-4, UDF-2: each batch's changed counts upserted into a keyed table."""
+    root = fresh_dir(spark, "stream_updates")
+    path, table = f"{root}/topic", KeyedTable(spark, f"{root}/table", "event_type")
+
+    def start():
+        counts = running.running(parsed_events(spark, path), "event_type", running.running_count())
+        return running.to_table(counts, table, f"{root}/ckpt", DRAIN)
+
+    feed_and_drain(halves(spark, sf),
+                   lambda part: topics.write_topic(event_messages(part), path, "events", "value", "key"), start)
+    return table.read()
 
 
 @query("stream_set", SQL_SETS)
 def stream_set(spark, sf):
     """STM-7: running union of set-valued messages per user."""
     root = fresh_dir(spark, "stream_set")
-    path, log = f"{root}/topic", KeyedLog(spark, f"{root}/log", "id")
+    path = f"{root}/topic"
 
     def publish(part):
         msgs = part.select(codec.render(F.col("user_id").alias("id"), F.array(B.segment()).alias("seg")).alias("value"))
@@ -121,11 +134,10 @@ def stream_set(spark, sf):
     def start():
         s = topics.as_text(topics.stream_topic(spark, path)).select(
             codec.parse("value", "id long, seg array<int>").alias("r")).select("r.*")
-        return running.to_log(running.running(running.elements(s, "seg", "k"), "id", running.running_set("k")),
-                              log, f"{root}/ckpt", DRAIN)
+        return running.keep(running.running_set(running.elements(s, "seg", "k"), "id", "k"), f"{root}/ckpt", DRAIN)
 
     feed_and_drain(halves(spark, sf), publish, start)
-    return log.read().select("id", sets.to_text("segset").alias("segs"))
+    return running.set_state(spark, f"{root}/ckpt", "id", "k").select("id", sets.to_text("segset").alias("segs"))
 
 
 # ------------------------------------------------------------------ topics
@@ -193,15 +205,14 @@ HANDLERS = {"purchase": lambda d: d.withColumn("value", F.col("value") * 2),
 def topic_multi(spark, sf):
     """SRC-8: several topics, each with its own handler, read at the same time."""
     root = fresh_dir(spark, "topic_multi")
-    logs, live = {}, []
+    ckpts, live = {}, []
     for i, (topic, path) in enumerate(_topics_by_type(spark, sf, f"{root}/topics").items()):
         handled = HANDLERS.get(topic, lambda d: d)(parsed_events(spark, path))
-        per = running.running(handled, "user_id", running.running_count(), running.running_sum("value"))
-        logs[topic] = KeyedLog(spark, f"{root}/log{i}", "user_id")
-        live.append(running.to_log(per, logs[topic], f"{root}/ckpt{i}", DRAIN))
+        ckpts[topic] = f"{root}/ckpt{i}"
+        live.append(running.keep(running.running_sum(handled, "user_id", "value", running.running_count()), ckpts[topic], DRAIN))
     micro.drain(*live)
-    reads = [log.read().select(F.lit(topic).alias("topic"), "user_id", "n", F.round("total", 6).alias("total"))
-             for topic, log in logs.items()]
+    reads = [running.sum_state(spark, ckpt, "user_id", count="n").select(
+        F.lit(topic).alias("topic"), "user_id", "n", F.round("total", 6).alias("total")) for topic, ckpt in ckpts.items()]
     return reduce(DataFrame.unionByName, reads)
 
 
@@ -242,39 +253,45 @@ def bounded_run(spark, sf):
     topics.write_topic(event_messages(events), path, "events", "value", "key")
     expected = events.count()
     out = parsed_events(spark, path).select("event_id", "user_id")
-    q = micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", micro.trigger(500))
-    micro.run_bounded(q, lambda: micro.rows_read(q) < expected, timeout_s=TIMEOUT_S)
+    with micro.RowsRead(spark) as rows:
+        q = micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", micro.trigger(500))
+        micro.run_bounded(q, lambda: rows.of(q) < expected, timeout_s=TIMEOUT_S)
     return spark.read.parquet(sink)
 
 
 # ---------------------------------------------------- merges with effects
-@query("stream_effect", f"SELECT user_id, last, last AS effect FROM ({SQL_LAST})")
+SQL_EFFECTS = f"""
+  WITH ranked AS (
+    SELECT user_id, event_type, CASE WHEN ts < TIMESTAMP '{B.SPLIT}' THEN 0 ELSE 1 END AS batch,
+           row_number() OVER (PARTITION BY user_id, ts < TIMESTAMP '{B.SPLIT}' ORDER BY ts DESC, event_id DESC) AS rn
+    FROM events)
+  SELECT r.user_id, CAST(r.batch AS BIGINT) AS batch, r.event_type AS effect, l.last
+  FROM ranked r JOIN ({SQL_LAST}) l USING (user_id) WHERE r.rn = 1"""
+
+
+@query("stream_effect", SQL_EFFECTS)
 def stream_effect(spark, sf):
     """STM-8, UDF-3: per batch, reduce to the last row per user, publish the
-    reduced rows (the effect) before merging them into the keyed change log.
-    Both are returned: the log's last row, and the last one that the effects'
-    topic holds, by the records' (ts, event_id) order."""
+    reduced rows (the effect) before merging them into the keyed table.
+    All effects that were sent are returned, with their batch and the table's last value."""
     root = fresh_dir(spark, "stream_effect")
     path, effects = f"{root}/topic", f"{root}/effects"
     order = ["ts_us", "event_id"]
-    log = KeyedLog(spark, f"{root}/log", "user_id")
-
-    def publish(reduced: DataFrame, batch_id: int) -> None:
-        topics.write_topic(reduced.select(F.col("user_id").cast("string").alias("key"),
-                                          codec.render("user_id", "last", *order).alias("value")),
-                           effects, "effects", "value", "key")
+    table = KeyedTable(spark, f"{root}/table", "user_id")
+    publish = relay.send(effects, "effects", lambda reduced: reduced.select(
+        F.col("user_id").cast("string").alias("key"), codec.render("user_id", "last", *order).alias("value")))
 
     def start():
         s = parsed_events(spark, path).select("user_id", F.col("event_type").alias("last"), *order)
-        handler = relay.merge_with_effect(log, relay.last_in_batch("user_id", order), publish)
+        handler = relay.merge_with_effect(table, relay.last_in_batch("user_id", order), publish, order=order)
         return micro.start(s.writeStream.foreachBatch(handler), f"{root}/ckpt", DRAIN)
 
     feed_and_drain(halves(spark, sf),
                    lambda part: topics.write_topic(event_messages(part), path, "events", "value", "key"), start)
-    sent = topics.as_text(topics.read_topic(spark, effects)).select(
-        codec.parse("value", "user_id long, last string, ts_us long, event_id long").alias("r")).select("r.*")
-    sent = agg.last_per_key(sent, "user_id", "last", order, "effect")
-    return log.read(order).select("user_id", "last").join(sent, "user_id", "full_outer")
+    sent = topics.as_text(topics.read_topic(spark, topics.batches(effects))).select(
+        codec.parse("value", "user_id long, last string").alias("r"),
+        F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("long").alias("batch"))
+    return sent.select("r.user_id", "batch", F.col("r.last").alias("effect")).join(table.read().select("user_id", "last"), "user_id", "left")
 
 
 STAGE1_SCHEMA = "a long, seg array<int>, ts_us long, id long"
@@ -288,35 +305,31 @@ STAGE2_SCHEMA = "key long, value array<int>, ts_us long, id long"
     FROM events) WHERE rn = 1""")
 def two_stage(spark, sf):
     """STM-9, STM-3, SNK-3: topic1 → key by ``a`` → per-batch merge whose effect
-    decorates the sets (+1) into topic2 → key → keyed change log (last by the
-    records' own order, so repeated relay messages are harmless).  Both queries
-    run at the same time under one predicate and one limit."""
+    decorates the sets (+1) into topic2, an outbox → key → keyed table, last by the
+    records' own order.  Both queries run at the same time under one predicate and one limit."""
     root = fresh_dir(spark, "two_stage")
     t1, t2 = f"{root}/topic1", f"{root}/topic2"
     ev = B.events(spark, sf)
     topics.write_topic(ev.select(codec.render(F.col("user_id").alias("a"), F.array(B.segment()).alias("seg"),
                                               F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
                                               F.col("event_id").alias("id")).alias("value")), t1, "topic1", "value")
-    expected, relayed = ev.count(), []
-
-    def decorate(reduced: DataFrame, batch_id: int) -> None:
-        msgs = reduced.select(codec.render(
-            F.col("a").alias("key"),
-            sets.map_elements("seg", lambda x: x + 1).alias("value"), "ts_us", "id").alias("value"))
-        topics.write_topic(msgs, t2, "topic2", "value")
-        relayed.append(reduced.count())
+    expected = ev.count()
+    decorate = relay.send(t2, "topic2", lambda reduced: reduced.select(codec.render(
+        F.col("a").alias("key"), sets.map_elements("seg", lambda x: x + 1).alias("value"), "ts_us", "id").alias("value")))
 
     def parsed(path, schema):
         return topics.as_text(topics.stream_topic(spark, path)).select(codec.parse("value", schema).alias("r")).select("r.*")
 
     order = ["ts_us", "id"]
-    log1, log2 = KeyedLog(spark, f"{root}/log1", "a"), KeyedLog(spark, f"{root}/log2", "key")
-    handler = relay.merge_with_effect(log1, relay.last_in_batch("a", order), decorate)
-    q1 = micro.start(parsed(t1, STAGE1_SCHEMA).writeStream.foreachBatch(handler), f"{root}/ckpt1")
-    q2 = running.to_log(parsed(t2, STAGE2_SCHEMA), log2, f"{root}/ckpt2", mode="append")
-    micro.run_bounded([q1, q2], lambda: micro.rows_read(q1) < expected or micro.rows_read(q2) < sum(relayed),
-                      timeout_s=TIMEOUT_S)
-    return log2.read(order).select("key", sets.to_text("value").alias("segs"))
+    table1, table2 = KeyedTable(spark, f"{root}/table1", "a"), KeyedTable(spark, f"{root}/table2", "key")
+    handler = relay.merge_with_effect(table1, relay.last_in_batch("a", order), decorate, order=order)
+    with micro.RowsRead(spark) as rows:
+        q1 = micro.start(parsed(t1, STAGE1_SCHEMA).writeStream.foreachBatch(handler), f"{root}/ckpt1")
+        q2 = running.to_table(parsed(topics.batches(t2), STAGE2_SCHEMA), table2, f"{root}/ckpt2", mode="append", order=order)
+        # what was relayed is what the outbox holds, once the first query is through
+        micro.run_bounded([q1, q2], lambda: rows.of(q1) < expected
+                          or rows.of(q2) < topics.read_topic(spark, topics.batches(t2)).count(), timeout_s=TIMEOUT_S)
+    return table2.read().select("key", sets.to_text("value").alias("segs"))
 
 
 @query("stream_enrich", SQL_SETS)
@@ -333,6 +346,25 @@ def stream_enrich(spark, sf):
     return table.read().select("id", sets.to_text("segset").alias("segs"))
 
 
+@query("stream_enrich_static", f"""
+  SELECT e.event_id, e.user_id AS id,
+         array_to_string(list_sort(list_distinct(list_concat(coalesce(s.segset, []), [e.k]))), ',') AS segs
+  FROM (SELECT event_id, user_id, {B.SQL_K} AS k FROM events WHERE ts >= TIMESTAMP '{B.SPLIT}') e
+  LEFT JOIN ({B.SQL_STORED}) s ON s.id = e.user_id""")
+def stream_enrich_static(spark, sf):
+    """STM-11: every streamed record (second half) enriched with the stored profile of its
+    user (first half) by a stream-static join; no state, no ``foreachBatch``.  The stored
+    table is bucketed by id, so batches are brought to it and it isn't shuffled."""
+    root = fresh_dir(spark, "stream_enrich_static")
+    path, sink = f"{root}/topic", f"{root}/sink"
+    stored = bucketed.write(B.stored_profiles(spark, sf).select("id", "segset"), f"{root}/stored", "id")
+    topics.write_topic(event_messages(B.second_half(spark, sf)), path, "events", "value", "key")
+    s = parsed_events(spark, path).select("event_id", F.col("user_id").alias("id"), F.array("k").alias("segset"))
+    out = relay.enrich_static(s, stored, "id").select("event_id", "id", sets.to_text("segset").alias("segs"))
+    micro.drain(micro.start(out.writeStream.format("parquet").option("path", sink), f"{root}/ckpt", DRAIN))
+    return spark.read.schema(out.schema).parquet(sink)
+
+
 # ------------------------------------------------------------------ upserts
 # The order log is loaded into the keyed table in these slices.
 ORDER_SLICES = ["1997-01-01", "1999-01-01"]

@@ -57,16 +57,36 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def rename(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> None:
+    """A rename that fails on an existing target, or replaces it in one step (files only)."""
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(hadoop.Path(source).toUri(), sc._jsc.hadoopConfiguration())
+    how = sc._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE if overwrite else hadoop.Options.Rename.NONE
+    context.rename(hadoop.Path(source), hadoop.Path(target), how)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file that appears whole, by a rename; an older one is replaced."""
-    fs, p = _fs_path(spark, path)
-    _, temporary = _fs_path(spark, f"{path}.new")
+    """A small text file that appears whole, by a rename that replaces an older one."""
+    fs, temporary = _fs_path(spark, f"{path}.new")
     out = fs.create(temporary, True)
     out.write(text.encode("utf-8"))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(temporary, p)
+    rename(spark, f"{path}.new", path, overwrite=True)
+
+
+def sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of the data files under ``path``, by their directory's name: one listing."""
+    fs, p = _fs_path(spark, path)
+    out: dict[str, int] = {}
+    files = fs.listFiles(p, True) if fs.exists(p) else None
+    while files is not None and files.hasNext():
+        f = files.next()
+        if f.getPath().getName()[0] not in "._":
+            name = f.getPath().getParent().getName()
+            out[name] = out.get(name, 0) + f.getLen()
+    return out
 
 
 def modified(spark: SparkSession, path: str) -> float:

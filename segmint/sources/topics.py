@@ -68,12 +68,37 @@ def write_topic(df: DataFrame, path: str, topic: str, value: str, key: str | Non
 def write_topics(df: DataFrame, root: str, topic_col: str, value: str, key: str | None = None,
                  timestamp: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> None:
     """SNK-3 routed: each row goes to the topic named by ``topic_col``, all in
-    one pass; topic ``t`` lands in :func:`topic_path` ``(root, t)``."""
+    one pass; topic ``t`` lands in :func:`topic_path` ``(root, t)``.
+
+    Rows are rebalanced by topic first: a small topic gets one file, not one of every
+    task, and AQE splits a hot one into tasks of its advisory size."""
     out = _messages(df, value, key, timestamp, F.col(topic_col).cast("string"))
-    out.withColumn("t", F.col("topic")).write.mode("append").option(
+    out.withColumn("t", F.col("topic")).hint("rebalance", F.col("t")).write.mode("append").option(
         "maxRecordsPerFile", rows_per_file).partitionBy("t").parquet(root)
 
 
+def write_batch(df: DataFrame, path: str, topic: str, value: str, batch_id: int, key: str | None = None,
+                timestamp: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> bool:
+    """SNK-3 as an outbox (STM-8): the messages of one micro-batch, sent once.
+
+    They are written aside and appear whole by one rename to ``batch=<id>``.  A replay
+    finds that directory and sends nothing (the result says so): its rows are the same,
+    and readers, streams among them, never see a message twice.  Read it with
+    :func:`batches`."""
+    spark, there = df.sparkSession, f"{path}/batch={batch_id}"
+    if fs.exists(spark, there):
+        return False
+    _messages(df, value, key, timestamp, F.lit(topic)).write.mode("overwrite").option(
+        "maxRecordsPerFile", rows_per_file).parquet(f"{path}/_writing-{batch_id}")
+    fs.rename(spark, f"{path}/_writing-{batch_id}", there)
+    return True
+
+
+def batches(path: str) -> str:
+    """The path under which :func:`read_topic` and :func:`stream_topic` see an outbox."""
+    return f"{path}/batch=*"
+
+
 def read_topic(spark: SparkSession, path: str) -> DataFrame:
     """SRC-10: a bounded (batch) read of a topic."""
     return spark.read.schema(TOPIC_SCHEMA).parquet(path)
@@ -88,7 +113,7 @@ def stream_topic(spark: SparkSession, path: str, max_files_per_trigger: int | No
     is the rate limit (like ``maxOffsetsPerTrigger``); ``None`` takes all new
     files in each batch.
     """
-    fs.mkdirs(spark, path)
+    fs.mkdirs(spark, path.split("/batch=")[0])
     r = spark.readStream.schema(TOPIC_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)

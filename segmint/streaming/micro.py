@@ -5,10 +5,12 @@ Errors are never swallowed: a failed query raises from :func:`run_bounded`.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 DEFAULT_INTERVAL_MS = 500
 
@@ -47,10 +49,54 @@ def drain(*queries: StreamingQuery) -> None:
             raise q.exception()
 
 
-def rows_read(query: StreamingQuery) -> int:
-    """Input rows of the query's batches so far, from its own progress (of the
-    last batches that Spark keeps)."""
-    return sum(p["numInputRows"] for p in query.recentProgress)
+class RowsRead(StreamingQueryListener):
+    """Input rows by query, for predicates of :func:`run_bounded` (STM-3, STM-9).
+
+    Totals the progress of every batch, however many there are, in constant memory: batch
+    ids of a query only rise, and a batch that runs again replaces its own count.  A query
+    keeps its id over restarts, so one counter follows it as long as the driver lives.
+
+        with RowsRead(spark) as rows:
+            q = micro.start(...)
+            micro.run_bounded(q, lambda: rows.of(q) < expected, timeout_s=60)
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._lock = spark, threading.Lock()
+        self._counts: dict[str, tuple[int, int, int]] = {}  # query → (rows before the last batch, its id, its rows)
+
+    def __enter__(self) -> RowsRead:
+        self._spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._spark.streams.removeListener(self)
+
+    def add(self, query: str, batch: int, rows: int) -> None:
+        with self._lock:
+            before, last, n = self._counts.get(query, (0, -1, 0))
+            if batch > last:
+                self._counts[query] = (before + n, batch, rows)
+            elif batch == last:
+                # a replay has the same rows; an idle report of the same batch has none
+                self._counts[query] = (before, last, max(n, rows))
+
+    def of(self, query: StreamingQuery) -> int:
+        with self._lock:
+            before, _, n = self._counts.get(str(query.id), (0, -1, 0))
+        return before + n
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.add(str(event.progress.id), event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def run_bounded(queries: StreamingQuery | Sequence[StreamingQuery], should_continue: Callable[[], bool],

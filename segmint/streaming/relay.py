@@ -5,9 +5,8 @@ Each handler is a ``foreachBatch`` callback.  Within a batch the rows are
 reduced to one per key first (partial aggregation, no driver round trip);
 the effect sees that reduced batch *before* the keyed table changes, as in
 the reference; the table upsert is versioned by batch id and so idempotent.
-Topic writes are at-least-once, so the consumer of a relayed topic is itself
-an upsert keyed by the record key with an explicit order: a replayed message
-rewrites the same value.
+An effect that sends messages is an outbox (:func:`send`), so a crash between
+effect and merge, and the replay after it, repeat nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import sets
 from ..operators import aggregate as agg
 from ..operators import lookup
-from ..sources.keyed import KeyedLog, KeyedTable
+from ..sources import topics
+from ..sources.keyed import KeyedTable
 
 
 def last_in_batch(key: str, order: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
@@ -32,13 +32,21 @@ def last_in_batch(key: str, order: Sequence[str]) -> Callable[[DataFrame], DataF
     return reduce
 
 
-def merge_with_effect(table: KeyedTable | KeyedLog, reduce: Callable[[DataFrame], DataFrame],
+def send(path: str, topic: str, messages: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """UDF-3: an effect that publishes ``messages(reduced)`` (``value``, and ``key`` if there is
+    one) to the outbox at ``path``, each batch once (:func:`topics.write_batch`)."""
+    def effect(reduced: DataFrame, batch_id: int) -> None:
+        out = messages(reduced)
+        topics.write_batch(out, path, topic, "value", batch_id, key="key" if "key" in out.columns else None)
+    return effect
+
+
+def merge_with_effect(table: KeyedTable, reduce: Callable[[DataFrame], DataFrame],
                       effect: Callable[[DataFrame, int], None] | None = None,
                       first_version: int = 1,
                       order: Sequence[str] | None = None) -> Callable[[DataFrame, int], None]:
     """STM-8 / UDF-3: reduce the batch by key, run ``effect`` on the reduced
-    rows, then merge them into ``table``: an upsert into a :class:`KeyedTable`,
-    or an append to a :class:`KeyedLog` (whose reads resolve ``order``)."""
+    rows, then upsert them into ``table`` (by ``order``, if given)."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         reduced = reduce(batch).persist()
         try:
@@ -46,10 +54,7 @@ def merge_with_effect(table: KeyedTable | KeyedLog, reduce: Callable[[DataFrame]
                 return
             if effect is not None:
                 effect(reduced, batch_id)
-            if isinstance(table, KeyedLog):
-                table.append(reduced, batch_id)
-            else:
-                table.upsert(reduced, first_version + batch_id, order=order)
+            table.upsert(reduced, first_version + batch_id, order=order)
         finally:
             reduced.unpersist()
     return handle

@@ -95,3 +95,70 @@ def test_shared_root_needs_a_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_root(Session())
+
+
+def bucketed_profiles(spark):
+    from segmint.session import fresh_dir
+    from segmint.sources import bucketed
+    stored = tables.int_range(spark, 0, 3000, 6).select((F.col("id") % 1000).alias("id"), F.col("id").cast("string").alias("s"))
+    stored = stored.groupBy("id").agg(F.collect_list("s").alias("segset"))
+    path = fresh_dir(spark, "t-bucketed")
+    return path, bucketed.write(stored, path, "id")
+
+
+def exchanges_above(p: str, table: str) -> list[str]:
+    """The exchanges on the way from the root of a plan's text to the scan of ``table``."""
+    way, depth = [], []
+    for line in p.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        while depth and depth[-1] >= at:
+            depth.pop(), way.pop()
+        depth.append(at), way.append(line)
+        if "FileScan" in line and table in line:
+            return [x for x in way if "Exchange" in x]
+    raise AssertionError(f"no scan of {table} in {p}")
+
+
+def test_bucketed_table_is_joined_as_it_lies(spark):
+    _, stored = bucketed_profiles(spark)
+    incoming = tables.int_range(spark, 500, 1500, 5).select("id", F.array(F.lit("x")).alias("segset"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for j in (lookup.join_tables(stored, incoming, "id"), lookup.enrich_merge(incoming, stored, "id", "segset")):
+            p = no_aqe(spark, lambda: plan(j))
+            assert "SortMergeJoin" in p and p.count("Exchange hashpartitioning") == 1
+            assert exchanges_above(p, "bucketed_") == []
+        assert lookup.join_tables(stored, incoming, "id").count() == 500
+        got = {r["id"]: r["segset"] for r in lookup.enrich_merge(incoming, stored, "id", "segset").collect()}
+        assert len(got) == 1000 and got[700] == ["1700", "2700", "700", "x"] and got[1200] == ["x"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
+def test_bucketed_table_in_another_session(spark):
+    from segmint.sources import bucketed
+    path, stored = bucketed_profiles(spark)
+    again = bucketed.read(spark, path, stored.schema, "id", bucketed.bucket_count(spark, 1))
+    assert sorted(map(str, again.collect())) == sorted(map(str, stored.collect()))
+    assert "Exchange" not in no_aqe(spark, lambda: plan(again.groupBy("id").count()))
+    assert bucketed.bucket_count(spark, 100 << 40) == 1 << 19 and bucketed.bucket_count(spark, 0) == 4
+
+
+def test_static_enrichment_has_no_state(spark):
+    from segmint.session import fresh_dir
+    from segmint.sources import topics
+    from segmint.streaming import micro, relay
+    root = fresh_dir(spark, "t-stateless")
+    _, stored = bucketed_profiles(spark)
+    tables.int_range(spark, 0, 50, 2).select(F.lit(None).cast("binary").alias("key"), F.col("id").cast("string").cast("binary").alias("value"),
+                                             F.lit("t").alias("topic"), F.current_timestamp().alias("timestamp")).write.parquet(f"{root}/t")
+    s = topics.as_text(topics.stream_topic(spark, f"{root}/t")).select(F.col("value").cast("long").alias("id"), F.array(F.lit("n")).alias("segset"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = micro.start(relay.enrich_static(s, stored, "id").writeStream.format("noop"), f"{root}/c", micro.trigger(available_now=True))
+        micro.drain(q)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert q.lastProgress["stateOperators"] == [] and q.recentProgress[0]["numInputRows"] == 50
+    p = q._jsq.explainInternal(False)
+    assert "StateStore" not in p and exchanges_above(p[p.index("Physical Plan"):], "bucketed_") == []

@@ -1,6 +1,9 @@
 """Set functions and per-key aggregates against plain Python semantics, on
 generated inputs (all examples of a property go through one Spark job)."""
 
+import math
+from fractions import Fraction
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -52,3 +55,45 @@ def test_per_key_aggregates_match_python(spark, rows):
         assert sets_[k] == norm(r[1] for r in mine)
         assert last[k] == max(mine, key=lambda r: r[2])[1]
         assert sums[k] == sum(r[1] for r in mine)
+
+
+doubles = st.one_of(st.floats(), st.sampled_from([0.0, -0.0, 5e-324, -5e-324, 1e-300, 1e300, -1e300, 4e-19, 1e21, 0.1, 2.0**-1022, 1.7976931348623157e308]),
+                    st.builds(math.ldexp, st.sampled_from([1.0, -1.0, 1.5]), st.integers(-1074, 1022)), st.none())
+
+
+def true_sum(values):
+    """``math.fsum``, with infinities where the total is beyond the range, and by arithmetic for values without digits."""
+    values = [v for v in values if v is not None]
+    special = [v for v in values if not math.isfinite(v)]
+    if special or not values:
+        return sum(special) if values else None
+    try:
+        return math.fsum(values)
+    except OverflowError:  # fsum also gives up on a partial sum
+        total = sum(map(Fraction, values))
+        try:
+            return float(total)
+        except OverflowError:
+            return math.inf if total > 0 else -math.inf
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(doubles, min_size=1, max_size=12), min_size=1, max_size=12))
+def test_sums_of_doubles_are_exact(spark, keys):
+    rows = [(k, v) for k, values in enumerate(keys) for v in values]
+    got = agg.collect_map(agg.sum_per_key(tables.frame_from_rows(spark, rows, "k int, v double"), "k", "v"), "k", "total")
+    for k, values in enumerate(keys):
+        want = true_sum(values)
+        assert got[k] == want or (want != want and got[k] != got[k]), (values, want, got[k])
+
+
+def test_sums_of_named_cases(spark):
+    nan, inf = math.nan, math.inf
+    cases = [[4e-19, 4e-19], [1e21], [1.0, nan], [inf, 1.0], [inf, -inf], [1e300, 1e-300, -1e300], [1e308] * 3, [-1e308] * 3, [None], [None, 2.0], [0.1] * 10, [-0.0]]
+    rows = [(k, v) for k, values in enumerate(cases) for v in values]
+    got = agg.collect_map(agg.sum_per_key(tables.frame_from_rows(spark, rows, "k int, v double"), "k", "v"), "k", "total")
+    assert str([got[k] for k in range(len(cases))]) == str([8e-19, 1e21, nan, inf, nan, 1e-300, inf, -inf, None, 2.0, 1.0, 0.0])
+    typed = tables.frame_from_rows(spark, [(1, 10**17, 1.5)] * 3, "k int, n long, f float")
+    r = agg.sum_per_key(typed, "k", "n", "n").join(agg.sum_per_key(typed, "k", "f", "f"), "k").first()
+    assert r["n"] == 3 * 10**17 and r["f"] == 4.5
+    assert agg.sum_per_key(typed.limit(0), "k", "f").count() == 0
