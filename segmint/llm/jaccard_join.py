@@ -16,11 +16,15 @@ sets.  A text whose shingles fall into too few segments is joined by its shingle
 
 Equal sets are one class, whatever ids its rows have, and only classes are compared.
 In signature groups links to a pivot are tried first; then only pairs across the
-components found so far are.  :func:`similar_pairs` gives every link between classes.
+components found so far are, and of these only pairs that parity bits of the sets and
+the distances to a common pivot leave open.  :func:`similar_pairs` gives every link between classes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,6 +43,7 @@ GROUP = 8  # a larger signature group is first tied to pivots
 PIVOT_ROUNDS = 2
 PER_BUCKET = 1 << 20
 SPREAD = 1.5  # segments, as a multiple of those that the pigeonhole wants
+PARITY = tuple(f"k{i}" for i in range(8))  # columns of 64 parity bits
 BROADCAST_IDS = 1 << 20
 CHUNK = 2 << 20  # bytes of text whose words are held at once
 
@@ -233,8 +238,7 @@ def groups(documents: DataFrame, sizes: DataFrame, n_shingles: int) -> DataFrame
 
 
 def stored_sets(documents: DataFrame) -> DataFrame:
-    """id and its set (rising unsigned 64-bit hashes), one row an id, in buckets of the id: joins read
-    it as it lies."""
+    """id, its set (rising unsigned 64-bit hashes) and parities, in buckets of the id: joins read it as it lies."""
     def run(batches):
         sh, seen = Shingler(), set()
         for b in batches:
@@ -242,14 +246,25 @@ def stored_sets(documents: DataFrame) -> DataFrame:
                 ids = b.column(0).slice(at, len(texts)).to_pylist()
                 fresh = [i for i, x in enumerate(ids) if x not in seen]
                 seen.update(ids)  # of this task's texts
+                found = sh.sets([texts[i] for i in fresh])
+                bits = parities(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in fresh], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sh.sets([texts[i] for i in fresh])], pa.binary())],
-                    ["id", "elements"])
+                    [pa.array([ids[i] for i in fresh], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()),
+                     *(pa.array(bits[:, i]) for i in range(len(PARITY)))], ["id", "elements", *PARITY])
 
-    sets = documents.select("id", "text").mapInArrow(run, "id long, elements binary")
+    sets = documents.select("id", "text").mapInArrow(run, "id long, elements binary, " + ", ".join(f"{k} long" for k in PARITY))
     return bucketed.write(sets, fresh_dir(documents.sparkSession, "sets"), "id")
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set 512 bits: whether the number of its elements in a place is odd.  Where the
+    bits of two sets differ, so do the sets: by as many elements at least."""
+    place = np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(511)
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = np.bincount(doc * 512 + place.astype(np.int64), minlength=len(sets) * 512).reshape(len(sets), 512) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked, far (the Jaccard distance) of distinct ``pairs`` by the exact sizes of intersection and union."""
     def run(batches):
@@ -273,10 +288,13 @@ def _close(a: str, b: str):
 
 
 def _candidates(asking: DataFrame, found: DataFrame, *apart) -> DataFrame:
-    """(a, b), a < b, of rows that ask and rows of their size or less that share a signature."""
+    """(a, b), a < b, of rows that ask and rows of their size or less that share a signature and
+    whose parities leave it open."""
     x, y = asking.where("probes").alias("x"), found.where("role = 0").alias("y")
+    differ = reduce(add, (F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in PARITY))
     met = x.join(y, F.col("x.sig") == F.col("y.sig")).where(
-        (F.col("x.id") != F.col("y.id")) & (F.col("x.size") >= F.col("y.size")) & _close("x.size", "y.size"))
+        (F.col("x.id") != F.col("y.id")) & (F.col("x.size") >= F.col("y.size")) & _close("x.size", "y.size")
+        & (9 * differ <= F.col("x.size") + F.col("y.size")))
     for condition in apart:
         met = met.where(condition)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
@@ -291,8 +309,10 @@ def links(documents: DataFrame, sizes: DataFrame, percent: int = 80, every: bool
     g = groups(documents, sizes, total)
     sets = stored_sets(only(documents, kept(g.select("id").distinct(), "active"), "left_semi"))
     few = _by_shingle(documents, sizes, percent)
+    bits = sets.select("id", *PARITY).dropDuplicates(["id"])
     if every:
-        return verified(_candidates(g, g), sets, percent).where("linked").select("a", "b").unionByName(few).distinct()
+        met = kept(g.join(bits, "id"), "met")
+        return verified(_candidates(met, met), sets, percent).where("linked").select("a", "b").unionByName(few).distinct()
     none = documents.sparkSession.createDataFrame([], "a long, b long, linked boolean, far double")
     tested, known = none, none.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
@@ -319,7 +339,8 @@ def links(documents: DataFrame, sizes: DataFrame, percent: int = 80, every: bool
     rows = kept(rows, "labelled")
     main = rows.groupBy("sig", "component").count().groupBy("sig").agg(
         F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = kept(rows.join(main.where(F.col("parts") > 1), "sig"), "mixed")
+    mixed = rows.join(main.where(F.col("parts") > 1), "sig").where(F.col("probes") | (F.col("role") == 0))
+    mixed = kept(mixed.join(bits, "id"), "mixed")
     aside = mixed.where(F.col("component") != F.col("main"))
     # distances are a metric: what a third text tells apart needn't be tried
     apart = (F.col("x.component") != F.col("y.component")) & ~F.coalesce(

@@ -144,15 +144,73 @@ def test_pigeonhole_covers_every_close_pair():
             assert set(sig[doc == 0]) & set(sig[doc == 1]) or any((tol[k] < need[k]).any() for k in (0, 1))
 
 
-def test_common_line_makes_few_candidates(docs, monkeypatch):
-    """Short texts that share one line: the line's segments are not probed with."""
+@pytest.mark.parametrize("words,own", [(9, 30), (12, 6)])
+def test_common_line_makes_few_candidates(docs, monkeypatch, words, own):
+    """Short texts that share one line: the line's segments are not asked with."""
     tried = []
     real = jaccard_join.verified
     monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: tried.append(pairs.count()) or real(pairs, *a))
-    line = prose(9, 5000)
-    rows = [(i, f"{line} " + prose(20 + i % 60, 5001 + i)) for i in range(400)]
+    line = prose(words, 5000)
+    rows = [(i, f"{line} " + prose(own + i % 9, 5001 + i)) for i in range(600)]
     assert found_components(docs(rows)) == sorted(((i, len(sets_of(t)), i) for i, t in rows), key=repr)
-    assert sum(tried) < 4000  # of 79,800 pairs
+    assert sum(tried) < 600  # of 179,700 pairs
+
+
+def near_copies(n, edits):
+    """Copies of one text that each differ in some places, most of them too far apart to link."""
+    r, base = random.Random(8), prose(140, 77).split()
+    out = []
+    for i in range(n):
+        words = base[:]
+        for _ in range(r.randrange(edits)):
+            words[r.randrange(len(words))] = f"z{r.randrange(10**6)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_near_copies_that_hardly_link(docs, monkeypatch):
+    tried = []
+    real = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: tried.append(pairs.count()) or real(pairs, *a))
+    rows = near_copies(220, 9)
+    assert found_components(docs(rows)) == brute_components(rows)
+    assert sum(tried) < 4000 and tried[-1] < 50  # of 24,090 pairs; the last are those beyond pivots
+
+
+def test_one_doc_id_with_several_texts(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", -1)  # and the lists of ids joined, not sent
+    other = prose(120, 2)
+    rows = [(1, BASE), (5, BASE), (5, other), (9, other + " more"), (5, "short one"), (5, "short one"), (-7, "short  one"), (5, None), (20, BASE + " x")]
+    got = found_components(docs(rows))
+    assert got == brute_components(rows)
+    assert (9, len(sets_of(rows[3][1])), 5) in got and (5, len(sets_of(other)), 5) in got and (5, len(sets_of(BASE)), 1) in got
+
+
+def test_every_link(docs):
+    rows = ROWS + near_copies(40, 5)
+    classes, pairs = jaccard_join.similar_pairs(docs(rows))
+    classes = {(r.doc_id, r["class"]) for r in classes.collect() if r["class"] is not None}
+    sets = {}
+    for i, t in rows:
+        if i is not None and sets_of(t):
+            sets.setdefault(sets_of(t), set()).add(i)
+    by_class = {}
+    for i, c in classes:
+        by_class.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, by_class.values())) == sorted(map(sorted, sets.values()))
+    found = [tuple(sorted((sorted(by_class[r.a]), sorted(by_class[r.b])))) for r in pairs.collect()]
+    alls = list(sets)
+    want = [tuple(sorted((sorted(sets[s]), sorted(sets[t])))) for k, s in enumerate(alls) for t in alls[:k] if 100 * len(s & t) >= 80 * len(s | t)]
+    assert sorted(found) == sorted(want) and len(want) > 700
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 20, 400):
+        a, b = (np.unique(r.integers(0, 1 << 60, n + 5, dtype=np.int64)).astype(np.uint64) for _ in "ab")
+        b = np.unique(np.r_[b[:3], a[:n]])
+        x, y = jaccard_join.parities([a, b]).view(np.uint64)
+        assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
 
 
 def test_one_of_each(docs):
