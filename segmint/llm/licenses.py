@@ -102,7 +102,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 
 def _rules_literal() -> Column:
-    rows = [{"key": k, "regex": f" {r}(?= |$)", "label": lb, "level": p, "weight": w} for k, r, lb, p, w in rules()]
+    rows = [{"key": k, "regex": f" {r}(?= |\\z)", "label": lb, "level": p, "weight": w} for k, r, lb, p, w in rules()]
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<key:string,regex:string,label:string,level:int,weight:double>>")
 
 
@@ -183,7 +183,7 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     df = df.select("doc_id", _words_in(F.col("t")).alias("n_words"),
                    F.when(triggered, normalised(F.col("t"))).otherwise("").alias("norm"))
     norm = F.col("norm")
-    gated = lambda p: F.when(F.contains(norm, F.lit(f" {p}")), F.split(norm, f" {p}(?= |$)", -1))
+    gated = lambda p: F.when(F.contains(norm, F.lit(f" {p}")), F.split(norm, f" {p}(?= |\\z)", -1))
     df = df.withColumns({f"b{i}": gated(p) for i, (p, _) in enumerate(PHRASES)})
     df = with_detections(df, "norm", "detections")
     firsts, lasts, counts, labels = [], [], [], []
