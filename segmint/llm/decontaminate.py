@@ -155,16 +155,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _shingles(table_name: str, key: str) -> str:
-    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
-    return f"""
-  SELECT {key}, unnest(g) AS h, len(g)::BIGINT AS n FROM (
-    SELECT {key}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g
-    FROM (SELECT {key}, {words} AS w FROM {table_name}))"""
-
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_SHINGLES = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"
 
 SQL = f"""
-WITH d AS ({_shingles('documents', 'doc_id')}), b AS ({_shingles('benchmark', 'item_id')}),
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+d AS (SELECT doc_id, unnest({_SHINGLES}) AS h FROM dw WHERE len(w) >= 5),
+b AS (SELECT item_id, unnest(g) AS h, len(g)::BIGINT AS n FROM (SELECT item_id, {_SHINGLES} AS g FROM bw WHERE len(w) >= 5)),
 p AS (SELECT doc_id, item_id, any_value(b.n) AS item_size, count(*) AS shared FROM d JOIN b ON d.h = b.h GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, item_size, shared, shared / item_size AS containment FROM p WHERE shared >= {THRESHOLD} * item_size - 1e-9"""
+SELECT doc_id, item_id, item_size, shared, shared / item_size AS containment FROM p WHERE shared >= {THRESHOLD} * item_size - 1e-9
+UNION ALL
+SELECT doc_id, item_id, 1::BIGINT, 1::BIGINT, 1.0::DOUBLE FROM dw JOIN bw
+ON len(bw.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(dw.w, ' ') || ' ', ' ' || array_to_string(bw.w, ' ') || ' ')"""

@@ -611,6 +611,29 @@ def test_every_listed_alternative_fires(docs):
     assert "lgpl" in by[500] and "qpl" in by[501] and "cc-by" in by[502] and "cc-by" in by[503] and "lgpl" in by[504]
 
 
+def test_line_terminators_are_part_of_words(docs):
+    """U+0085, U+2028 and U+2029 end no word, at the end of a text too."""
+    rows = [(i, f"see the MIT License{c}{tail}") for i, (c, tail) in enumerate((c, t) for c in ("", "\x85", "\u2028", "\u2029") for t in ("", " x"))]
+    for r in licenses.scan(docs(rows)).collect():
+        clean = r.doc_id < 2
+        assert (r.n_base, r.base_labels, r.first_word) == ((1, "mit", 2) if clean else (0, "", None))
+        assert clean == ("mit" in r.labels)
+
+
+def test_short_items_sql(spark):
+    import duckdb
+    con = duckdb.connect()
+    docs_ = [(1, "say Hello, world again"), (2, "hello world"), (3, "helloworld"), (4, None), (5, "a b c d e f g"), (None, "hello WORLD")]
+    items_ = [(1, "hello world"), (2, "world"), (3, "A b c d e f"), (4, ""), (5, None), (6, "b c d e")]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs_)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items_)
+    got = decontaminate.contained(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(items_, "item_id long, text string"))
+    names = ["doc_id", "item_id", "item_size", "shared", "containment"]
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == sorted(con.execute(decontaminate.SQL).fetchall(), key=repr)
+
+
 # ------------------------------------------------------------------ op10
 def brute_repeats(rows):
     least = {}
