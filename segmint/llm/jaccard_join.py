@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir
 from ..sources import bucketed
-from .common import LOWER, UPPER, free_name, kept, table
+from .common import LOWER, UPPER, free_name, kept, table, tidy
 from .components import components
 from .shingles import Shingler, mix
 from .tokens import chunks
@@ -123,7 +123,7 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
                             F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, set_key binary, tol0 long, tol1 long, need0 long, need1 long, reach long")
+        tidy(run), "doc_id long, text_key long, n_shingles long, set_key binary, tol0 long, tol1 long, need0 long, need1 long, reach long")
 
 
 def only(documents: DataFrame, ids: DataFrame, how: str, on: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -157,7 +157,7 @@ def _emitted(documents: DataFrame, n_buckets: int) -> DataFrame:
                         [pa.array(cols[0], pa.int64())] + [pa.array(c, pa.binary()) for c in cols[1:]],
                         ["bucket", "docs", "kinds", "units", "low"])
 
-    return documents.select("id", "text").mapInArrow(run, "bucket long, docs binary, kinds binary, units binary, low binary")
+    return documents.select("id", "text").mapInArrow(tidy(run), "bucket long, docs binary, kinds binary, units binary, low binary")
 
 
 def _repeated(t: pa.Table) -> pa.Table:
@@ -252,7 +252,7 @@ def stored_sets(documents: DataFrame) -> DataFrame:
                     [pa.array([ids[i] for i in fresh], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()),
                      *(pa.array(bits[:, i]) for i in range(len(PARITY)))], ["id", "elements", *PARITY])
 
-    sets = documents.select("id", "text").mapInArrow(run, "id long, elements binary, " + ", ".join(f"{k} long" for k in PARITY))
+    sets = documents.select("id", "text").mapInArrow(tidy(run), "id long, elements binary, " + ", ".join(f"{k} long" for k in PARITY))
     return bucketed.write(sets, fresh_dir(documents.sparkSession, "sets"), "id")
 
 

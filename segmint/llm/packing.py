@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, table, tidy
 from .tokens import TOKEN_CHUNK, chunks, encoder, tokenizer_path
 
 LENGTH, GROUP, END = 1024, 16_384, 2
@@ -139,7 +139,7 @@ def pieces_of(documents: DataFrame, path: str, kind: str = "byte", end: int = EN
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+        tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import kept, table
+from .common import kept, table, tidy
 from .shingles import mix
 
 WIDTH, GRAM, SIDE = 50, 16, 18
@@ -139,7 +139,7 @@ def _keys(docs: DataFrame, n_buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
                         ["bucket", "rows", "places", "places2", "low", "high"])
-    return docs.select("row", "bytes").mapInArrow(run, "bucket int, rows binary, places binary, places2 binary, low binary, high binary")
+    return docs.select("row", "bytes").mapInArrow(tidy(run), "bucket int, rows binary, places binary, places2 binary, low binary, high binary")
 
 
 def _met(t: pa.Table) -> pa.Table:
