@@ -17,14 +17,26 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the cluster doesn't say otherwise.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """``spark`` with Arrow batches bounded by bytes: 10,000 rows of long texts are no bound."""
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES[0]):
+        spark.conf.set(*BATCH_BYTES)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage,
     survives lost executors and is computed once however often it is used."""
-    path = fresh_dir(df.sparkSession, name)
+    path = fresh_dir(bounded(df.sparkSession), name)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
