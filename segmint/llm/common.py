@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,10 +42,14 @@ def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def tidy(run: Callable[[Iterator], Iterator], tokens: bool = False) -> Callable[[Iterator], Iterator]:
     """``run`` (a function of Arrow batches) that hands freed memory back when its task ends:
-    Python workers stay, and would hold it while later stages need it."""
+    Python workers stay, and would hold it while later stages need it.  A task that doesn't
+    use ``tokens`` drops the tokenizer's pieces that an earlier stage has left in its worker."""
     def tidied(batches):
+        left = sys.modules.get("segmint.llm.tokens")
+        if left is not None and not tokens:
+            left.encoder.cache_clear()
         try:
             yield from run(batches)
         finally:

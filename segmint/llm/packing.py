@@ -139,7 +139,7 @@ def pieces_of(documents: DataFrame, path: str, kind: str = "byte", end: int = EN
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+        tidy(run, tokens=True), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
