@@ -1,18 +1,18 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine on inverted lists,
-distance-weighted votes, and evidence.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine on block-max inverted
+lists, distance-weighted votes calibrated to scores, and evidence.
 
 Learning uses a bounded sample of distinct labelled texts, by text hash: at most
 ``MAX_EXAMPLES``, and ``MAX_POSTINGS`` distinct words in sum.  Every example is
 indexed by all its words and every text that has words is searched whole, where it
-is read.  Evidence beside the vote are the words and word beginnings that are
-clearly commoner in toxic examples.  Votes and evidence are calibrated by a logistic
-fit on the examples' own, each left out of its neighbours and of the counts.
+is read.  The weight of a word is (1 + log tf) * idf * (1 + how surely it is commoner in
+toxic examples): with idf alone the words of a long text that say nothing choose its
+neighbours.  The score is a function of the neighbours' vote only.  It is calibrated by
+a logistic fit on the examples' own votes, each left out of its neighbours.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,68 +27,34 @@ from .tokens import chunks
 
 MAX_EXAMPLES, MAX_POSTINGS = 20_000, 1 << 23
 NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.7
-MIN_Z, MIN_ODDS, MIN_DF = 3.0, math.log(6), 3
+SURE = 2.0  # standard errors that a word's log odds must exceed to count
+FIRST = 4  # blocks that a text's search begins with
+CENTRES, ROUNDS = 48, 4  # of the clustering that puts similar examples into the same blocks
 QUERIES = 128  # texts whose scores are held at once
 DENSE_BYTES = 64 << 20  # weights of the commonest words, by example
-#: Bytes of word beginnings that are terms of their own.
-BEGINNINGS = (5, 6, 7)
-RIDGE = 0.05
+RIDGE = 0.001
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """The word, and its beginnings marked by a star."""
-    return [word, *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n)]
-
-
-def odds_of(t, c, n_toxic: int, n_clean: int):
-    """(log odds to be in a toxic text against a clean one, its standard errors) of counts."""
+def leaning(t, c, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The log odds of words to be in a toxic example against a clean one (``t`` and ``c``
+    of them), less ``SURE`` standard errors; 0 where that is below 0."""
     t, c = np.asarray(t, np.float64), np.asarray(c, np.float64)
     odds = np.log((t + 0.5) / (n_toxic - t + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
-    return odds, odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-
-
-def weight_of(t, c, n_toxic: int, n_clean: int) -> np.ndarray:
-    """The log odds of terms that lean toxic by ``MIN_Z`` standard errors and ``MIN_ODDS``, else 0."""
-    odds, z = odds_of(t, c, n_toxic, n_clean)
-    return np.where((np.asarray(t) >= MIN_DF) & (z >= MIN_Z) & (odds >= MIN_ODDS), odds, 0.0)
-
-
-class Leaning:
-    """The terms that lean toxic, and their log odds with and without an example of either label."""
-
-    def __init__(self, counts: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int):
-        t, c = np.array([x[1] for x in counts], np.int64), np.array([x[2] for x in counts], np.int64)
-        odds = weight_of(t, c, n_toxic, n_clean)
-        order = [i for _, i in sorted((x[0], i) for i, x in enumerate(counts) if odds[i] > 0)]
-        self.number = {counts[i][0]: n for n, i in enumerate(order)}
-        self.names = [counts[i][0].decode("utf-8", "replace") for i in order]
-        t, c, self.odds = t[order], c[order], odds[order]
-        self.without = (weight_of(t, np.maximum(c - 1, 0), n_toxic, max(0, n_clean - 1)),
-                        weight_of(np.maximum(t - 1, 0), c, max(0, n_toxic - 1), n_clean))
-
-    def evidence(self, found: Counter, label: int | None = None) -> tuple[int, float]:
-        """Number and sum of log odds of the terms; of an example with its own label left out."""
-        odds = (self.odds if label is None else self.without[label])[list(found)]
-        return int((odds > 0).sum()), float(odds.sum())
-
-    def named(self, found: Counter) -> str:
-        """The five that speak loudest."""
-        return ",".join(self.names[i] for i in sorted(found, key=lambda i: (-self.odds[i] * (1 + math.log(found[i])), i))[:5])
+    return np.maximum(0.0, odds - SURE * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)))
 
 
 class Terms(dict):
     """Word -> its number in the examples' words (-1: in none), made as words come."""
 
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray, leaning: Leaning):
+    def __init__(self, hashes: np.ndarray, weight: np.ndarray):
         super().__init__()
-        self.hashes, self.idf, self.leaning, self.leans = hashes, idf, leaning, {}
+        self.hashes, self.weight = hashes, weight
 
     def learn(self, words: list[bytes]) -> None:
         """Look the new ones of a text's words up."""
         new = [w for w in dict.fromkeys(words) if w not in self]
         if len(self) + len(new) > 300_000:
             self.clear()
-            self.leans.clear()
             new = list(dict.fromkeys(words))
         if not new:
             return
@@ -98,24 +64,15 @@ class Terms(dict):
         hit = np.full(len(new), -1, np.int64)
         hit[known] = np.where(self.hashes[at[known]] == h[known], at[known], -1)
         self.update(zip(new, hit.tolist()))
-        number = self.leaning.number
-        for w in new:
-            own = tuple(number[t] for t in terms_of(w) if t in number)
-            if own:
-                self.leans[w] = own
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, weights (1 + log tf) * idf scaled to length 1) of a text's words.  Words
+        """(numbers, weights scaled to length 1) of a text's words.  Words
         that no example has would only scale all its cosines alike."""
         self.learn(words)
         ids, tf = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
         if len(ids) and ids[0] < 0:
             ids, tf = ids[1:], tf[1:]
-        return ids, scaled((1 + np.log(tf)) * self.idf[ids])
-
-    def found(self, words: list[bytes]) -> Counter:
-        """The terms that lean toxic, after ``vector``."""
-        return Counter(i for w in words if w in self.leans for i in self.leans[w])
+        return ids, scaled((1 + np.log(tf)) * self.weight[ids])
 
 
 def scaled(w: np.ndarray) -> np.ndarray:
@@ -123,9 +80,11 @@ def scaled(w: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Inverted lists of all words; those of the commonest words (one example in 20 and
-    more, up to ``DENSE_BYTES``) are rows of a matrix.  Scores are summed over whole
-    lists; the largest of each block of ``BLOCK`` examples bounds the k-th from below."""
+    """Inverted lists of all words, cut at blocks of ``BLOCK`` examples, with the largest
+    weight of each word in each block; those of the commonest words (one example in 20 and
+    more, up to ``DENSE_BYTES``) are matrices by block.  The sum of a text's weights times
+    these maxima bounds its cosines with a block: a block whose bound stays under the k-th
+    cosine found so far is skipped."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self._hold((np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32),
@@ -150,47 +109,85 @@ class BlockMaxIndex:
     def _build(self):
         """The lists, made where they are first used."""
         self.built = True
-        df = np.bincount(self.own, minlength=self.n_terms)
-        common = np.argsort(-df, kind="stable")[:DENSE_BYTES // (4 * max(1, self.n))]
-        common = common[df[common] >= max(8, self.n / 20)]
-        self.row = np.full(self.n_terms, -1, np.int64)
-        self.row[common] = np.arange(len(common))
+        self.row = common_words(self.own, self.n, self.n_terms)
+        self.n_blocks = -(-self.n // BLOCK)
         example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.starts))
         row = self.row[self.own]
-        self.dense = np.zeros((len(common), self.n), np.float32)
-        self.dense[row[row >= 0], example[row >= 0]] = self.own_weight[row >= 0]
+        at, e = row[row >= 0], example[row >= 0]
+        self.dense = np.zeros((self.n_blocks, int(self.row.max(initial=-1)) + 1, BLOCK), np.float32)
+        self.dense[e // BLOCK, at, e % BLOCK] = self.own_weight[row >= 0]
+        self.dense_most = np.ascontiguousarray(self.dense.max(axis=2).T)
         rare = np.flatnonzero(row < 0)
         rare = rare[np.argsort(self.own[rare], kind="stable")]
-        self.example, self.weight = example[rare], self.own_weight[rare]
-        df[common] = 0
-        self.cuts = np.concatenate([[0], np.cumsum(df)])
+        self.example, self.weight, term = example[rare], self.own_weight[rare], self.own[rare]
+        # one entry for each word and block that has it
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(rare) else np.zeros(0, np.int64)
+        self.entry = np.r_[first, len(rare)]
+        self.block = block[first]
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=self.n_terms))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k largest cosines (over 0) and their examples; of ties the lower number."""
         return self.nearest_of([(terms, weights)], k)[0]
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
-        """``nearest`` of each text, ``QUERIES`` at once."""
+        """``nearest`` of each text, ``QUERIES`` with similar bounds at once."""
         if not self.built:
             self._build()
-        out: list[list[tuple[float, int]]] = []
+        out: list[list[tuple[float, int]]] = [[] for _ in queries]
+        if not self.n:
+            return out
+        common = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for i, (t, w) in enumerate(queries):
+            row = self.row[t]
+            common[i, row[row >= 0]] = w[row >= 0]
+        bound = common @ self.dense_most
+        entries = []
+        for i, (t, w) in enumerate(queries):
+            at, n = _ranges(self.cuts[t], self.cuts[t + 1])
+            w = np.repeat(w.astype(np.float32), n)
+            entries.append((at, w))
+            if len(at):
+                bound[i] += np.bincount(self.block[at], w * self.most[at], self.n_blocks)
         full = np.zeros(self.n_terms)
-        for at in range(0, len(queries), QUERIES):
-            part = queries[at:at + QUERIES]
-            common = np.zeros((len(part), len(self.dense)), np.float32)
-            for i, (t, w) in enumerate(part):
-                row = self.row[t]
-                common[i, row[row >= 0]] = w[row >= 0]
-            scores = common @ self.dense
-            for (t, w), score in zip(part, scores):
-                places, n = _ranges(self.cuts[t], self.cuts[t + 1])
-                if len(places):
-                    score += np.bincount(self.example[places], np.repeat(w.astype(np.float32), n) * self.weight[places], self.n)
+        order = np.argsort(bound.argmax(axis=1), kind="stable")
+        for at in range(0, len(order), QUERIES):
+            part = order[at:at + QUERIES]
+            score = np.zeros((len(part), self.n_blocks, BLOCK), np.float32)
+            flat = score.reshape(len(part), -1)
+            most = bound[part]
+            need = np.zeros(most.shape, bool)
+            need[np.arange(len(part))[:, None], np.argsort(-most, axis=1)[:, :FIRST]] = True
+            self._add(score, common[part], [entries[i] for i in part], need)
+            least = np.zeros(len(part), np.float32)
+            if FIRST * BLOCK > k:
+                for i, has in enumerate(need):
+                    own = score[i, has].ravel()
+                    least[i] = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else 0.0
+            rest = (most > np.maximum(0.0, least - 1e-4)[:, None]) & ~need
+            self._add(score, common[part], [entries[i] for i in part], rest)
+            for i, q in enumerate(part.tolist()):
+                t, w = queries[q]
                 full[t] = w
-                out.append(self._best(score, full, k))
+                out[q] = self._best(flat[i, :self.n], full, k)
                 full[t] = 0
         return out
 
+    def _add(self, score: np.ndarray, common: np.ndarray, entries: list, need: np.ndarray) -> None:
+        """Sum the cosines of each text with the blocks that it needs."""
+        for b in np.flatnonzero(need.any(axis=0)).tolist():
+            rows = np.flatnonzero(need[:, b])
+            score[rows, b] = common[rows] @ self.dense[b]
+        for i, (at, w) in enumerate(entries):
+            own = need[i][self.block[at]]
+            at, w = at[own], w[own]
+            if len(at):
+                places, n = _ranges(self.entry[at], self.entry[at + 1])
+                flat = score[i].reshape(-1)
+                flat += np.bincount(self.example[places], np.repeat(w, n) * self.weight[places], len(flat))
+
     def _best(self, score: np.ndarray, full: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The candidates by single precision, ordered by double."""
         most = np.maximum.reduceat(score, np.arange(0, self.n, BLOCK)) if self.n > k * BLOCK else score
@@ -212,8 +209,35 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
 
 
-def _features(vote: float, n_terms: int, odds: float, n_words: int) -> list[float]:
-    return [1.0, vote, math.log1p(n_terms), math.log1p(odds), math.log1p(n_words)]
+def common_words(own: np.ndarray, n: int, n_terms: int) -> np.ndarray:
+    """The row of each word that is in one of 20 of the ``n`` examples and more, else -1."""
+    df = np.bincount(own, minlength=n_terms)
+    common = np.argsort(-df, kind="stable")[:DENSE_BYTES // (4 * max(1, n))]
+    common = common[df[common] >= max(8, n / 20)]
+    row = np.full(n_terms, -1, np.int64)
+    row[common] = np.arange(len(common))
+    return row
+
+
+def similar_order(own: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_terms: int) -> np.ndarray:
+    """The examples in an order that has similar ones side by side: a few rounds of k-means
+    over their common words, from evenly spaced examples."""
+    n = len(starts) - 1
+    row = common_words(own, n, n_terms)
+    if n <= BLOCK or not (row >= 0).any():
+        return np.arange(n)
+    x = np.zeros((n, int(row.max()) + 1), np.float32)
+    example = np.repeat(np.arange(n), np.diff(starts))
+    at = row[own]
+    x[example[at >= 0], at[at >= 0]] = weight[at >= 0]
+    centre = x[np.linspace(0, n - 1, min(CENTRES, n)).astype(np.int64)].copy()
+    for _ in range(ROUNDS):
+        near = (x @ centre.T).argmax(axis=1)
+        for c in range(len(centre)):
+            if (near == c).any():
+                centre[c] = scaled(x[near == c].sum(axis=0))
+    close = x @ centre.T
+    return np.lexsort((-close.max(axis=1), close.argmax(axis=1)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -230,12 +254,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Examples:
-    """What all tasks share: the examples' words, labels and index, and the leaning terms."""
+    """What all tasks share: the examples' words, labels and index."""
 
-    def __init__(self, rows: list[tuple], leaning: Leaning):
+    def __init__(self, rows: list[tuple]):
         """``rows``: (hash of the text, doc_id, label, word hashes, counts), in a fixed order."""
-        self.h = np.array([r[0] for r in rows], np.int64)
-        self.doc_ids, self.labels, self.leaning = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), leaning
         size = np.array([len(r[3]) // 8 for r in rows], np.int64)
         starts = np.concatenate([[0], np.cumsum(size)])
         flat = np.empty(int(starts[-1]), np.uint64)
@@ -244,17 +266,33 @@ class Examples:
         rising = np.sort(flat)
         first = np.flatnonzero(np.r_[True, rising[1:] != rising[:-1]]) if len(rising) else np.zeros(0, np.int64)
         self.hashes = rising[first]
-        self.idf = np.log((1 + len(rows)) / (1 + np.diff(np.r_[first, len(rising)]))) + 1
         del rising
         ids, weights = np.empty(len(flat), np.int32), np.empty(len(flat), np.float32)
-        for r, i, j in zip(rows, starts[:-1], starts[1:]):
+        for i, j in zip(starts[:-1], starts[1:]):
             ids[i:j] = np.searchsorted(self.hashes, flat[i:j])
-            weights[i:j] = scaled((1 + np.log(np.frombuffer(r[4], "<u4"))) * self.idf[ids[i:j]])
-        self.index = BlockMaxIndex.of(ids, weights, starts, len(self.hashes))
-        self.share = float(self.labels.mean()) if rows else 0.0
+        del flat
+        labels = np.array([r[2] for r in rows], np.int64)
+        df = np.bincount(ids, minlength=len(self.hashes))
+        toxic = np.bincount(ids[np.repeat(labels, size) == 1], minlength=len(self.hashes))
+        self.leans = leaning(toxic, df - toxic, int(labels.sum()), len(rows) - int(labels.sum()))
+        self.weight = (np.log((1 + len(rows)) / (1 + df)) + 1) * (1 + self.leans)
+        for r, i, j in zip(rows, starts[:-1], starts[1:]):
+            weights[i:j] = scaled((1 + np.log(np.frombuffer(r[4], "<u4"))) * self.weight[ids[i:j]])
+        order = similar_order(ids, weights, starts, len(self.hashes))
+        places, n = _ranges(starts[order], starts[order + 1]) if len(rows) else (starts[:0], starts[:0])
+        self.index = BlockMaxIndex.of(ids[places], weights[places], np.concatenate([[0], np.cumsum(n)]).astype(np.int64), len(self.hashes))
+        self.doc_ids, self.labels = [rows[i][1] for i in order.tolist()], labels[order]
+        h = np.array([r[0] for r in rows], np.int64)[order]
+        self.by_hash = np.argsort(h)
+        self.h = h[self.by_hash]
+        self.share = float(labels.mean()) if rows else 0.0
 
     def terms(self) -> Terms:
-        return Terms(self.hashes, self.idf, self.leaning)
+        return Terms(self.hashes, self.weight)
+
+    def numbers(self, h: np.ndarray) -> list[int]:
+        """The examples with these text hashes."""
+        return self.by_hash[np.searchsorted(self.h, h)].tolist()
 
     def vote(self, near: list[tuple[float, int]], left_out: int = -1) -> float:
         """The toxic share of the neighbours' cosines; without neighbours, of all examples."""
@@ -269,14 +307,19 @@ class Model:
         self.shared, self.weights, self.prior = shared, weights, prior
 
     def scores(self, texts: list[list[bytes]], terms: Terms) -> list[tuple[float, list[int], str]]:
-        """(score, nearest examples, terms that speak for it) of each text's words."""
+        """(score, nearest examples, words that drew toxic neighbours) of each text's words."""
         own = self.shared.value
         out = []
-        for words, near in zip(texts, own.index.nearest_of([terms.vector(w) for w in texts])):
-            found = terms.found(words)
-            x = float(np.dot(self.weights, _features(own.vote(near), *own.leaning.evidence(found), len(words))))
+        vectors = [terms.vector(w) for w in texts]
+        for words, (ids, weight), near in zip(texts, vectors, own.index.nearest_of(vectors)):
+            x = float(self.weights[0] + self.weights[1] * own.vote(near))
+            why = ""
+            if x > 0 and len(ids):
+                top = ids[np.argsort(-weight * (own.leans[ids] > 0), kind="stable")[:5]]
+                name = {terms[w]: w for w in dict.fromkeys(words)}
+                why = ",".join(name[t].decode("utf-8", "replace") for t in top.tolist() if own.leans[t] > 0)
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) if words else self.prior,
-                        [own.doc_ids[e] for _, e in near[:3]], own.leaning.named(found)))
+                        [own.doc_ids[e] for _, e in near[:3]], why))
         return out
 
 
@@ -319,26 +362,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     inside = F.col("h") <= F.lit(sizes[n - 1][0]) if n else F.lit(False)
     rows = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in examples.where(inside).select(
         "h", "doc_id", "toxic", "words", "counts").collect())
-    n_toxic = sum(r[2] for r in rows)
-
-    def words(batches):
-        for b in batches:
-            for at, texts in chunks(b.column(0)):
-                seen: dict[bytes, list[int]] = {}
-                for t, toxic in zip(texts, b.column(1).slice(at, len(texts)).to_pylist()):
-                    for w in {x for w in set(plain_words(t)) for x in terms_of(w)}:
-                        seen.setdefault(w, [0, 0])[1 - toxic] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(seen), pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()),
-                     pa.array([v[1] for v in seen.values()], pa.int64())], ["term", "t", "c"])
-
-    t, c = F.col("t"), F.col("c")
-    odds = F.log((t + 0.5) / (n_toxic - t + 0.5)) - F.log((c + 0.5) / (n - n_toxic - c + 0.5))
-    # a little below the borders of weight_of, which decides
-    leans = (t >= MIN_DF) & (odds >= MIN_ODDS - 1e-6) & (odds >= (MIN_Z - 1e-6) * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)))
-    counts = picked.where(inside).select("text", "toxic").mapInArrow(words, "term binary, t long, c long").groupBy("term").agg(
-        F.sum("t").alias("t"), F.sum("c").alias("c")).where(leans)
-    own = Examples(rows, Leaning([(bytes(r[0]), r[1], r[2]) for r in counts.collect()], n_toxic, n - n_toxic))
+    own = Examples(rows)
+    del rows
     shared = documents.sparkSession.sparkContext.broadcast(own)
 
     def features(batches):
@@ -349,23 +374,30 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
                 words = [plain_words(t) for t in texts]
                 near = m.index.nearest_of([terms.vector(w) for w in words], NEIGHBOURS + 1)
                 h = b.column(0).slice(at, len(texts))
-                x = [_features(m.vote(e, i), *m.leaning.evidence(terms.found(w), y), len(w)) for e, i, y, w in zip(
-                    near, np.searchsorted(m.h, h.to_numpy()).tolist(), b.column(1).slice(at, len(texts)).to_pylist(), words)]
+                votes = [m.vote(e, i) for e, i in zip(near, m.numbers(h.to_numpy()))]
                 yield pa.RecordBatch.from_arrays([h, b.column(1).slice(at, len(texts)), pa.array([len(w) for w in words], pa.int64()),
-                                                  pa.array(x, pa.list_(pa.float64()))], ["h", "toxic", "n_words", "x"])
+                                                  pa.array(votes, pa.float64())], ["h", "toxic", "n_words", "vote"])
 
     found = sorted(tuple(r) for r in picked.where(inside).select("h", "toxic", "text").mapInArrow(
-        features, "h long, toxic int, n_words long, x array<double>").collect())
+        features, "h long, toxic int, n_words long, vote double").collect())
     # calibration of the texts without words: their share of toxic examples
     none = [y for _, y, size, _ in found if not size]
     prior = (sum(none) + 0.5) / (len(none) + 1)
-    some = [(x, y) for _, y, size, x in found if size]
-    weights = _logistic(np.array([x for x, _ in some]), np.array([y for _, y in some], np.float64)) if some else np.zeros(5)
+    some = [(1.0, x, y) for _, y, size, x in found if size]
+    weights = _logistic(np.array(some)[:, :2], np.array(some)[:, 2]) if some else np.zeros(2)
     return Model(shared, weights, min(prior, 0.5))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, nearest (doc_ids of examples), evidence."""
+    """doc_id, held_out, score, predicted, nearest (doc_ids of the three nearest examples) and
+    evidence (the words that drew toxic neighbours; empty below a score of 0.5).
+
+    One row for each row: repeated rows score alike.  A null or empty text, and one without
+    words, has the share of toxic examples among such texts, 0.5 at most; a text whose words
+    no example has votes as all examples do.  A null doc_id is never held out.  Of equal
+    cosines the example that comes first in the index counts.  Empty tables give no rows;
+    without examples every score is 0.5.  Other columns are not read.
+    """
     def run(batches):
         terms = model.shared.value.terms()
         for b in batches:

@@ -395,7 +395,15 @@ def test_toxicity_searches_all_words(spark, docs):
     train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
     sets = {i: __import__("collections").Counter(t.split()) for i, t in train}
     df_ = __import__("collections").Counter(w for c in sets.values() for w in c)
-    vec = lambda c: {w: (1 + np.log(n)) * (np.log((1 + len(train)) / (1 + df_[w])) + 1) for w, n in c.items() if w in df_}
+    bad = __import__("collections").Counter(w for i, c in sets.items() if i % 5 == 0 for w in c)
+    n_bad = sum(i % 5 == 0 for i in sets)
+
+    def lean(w):
+        t, c = bad[w] + 0.5, df_[w] - bad[w] + 0.5
+        odds = np.log(t / (n_bad + 1 - t)) - np.log(c / (len(sets) - n_bad + 1 - c))
+        return max(0.0, odds - 2 * (1 / t + 1 / c) ** 0.5)
+
+    vec = lambda c: {w: (1 + np.log(n)) * (np.log((1 + len(train)) / (1 + df_[w])) + 1) * (1 + lean(w)) for w, n in c.items() if w in df_}
     long = lambda v: sum(x * x for x in v.values()) ** 0.5
     vecs = {i: vec(c) for i, c in sets.items()}
     for i in (90000, 90001):
@@ -404,6 +412,39 @@ def test_toxicity_searches_all_words(spark, docs):
         assert np.allclose([cos[e] for e in got[i].nearest], sorted(cos.values(), reverse=True)[:3], atol=1e-6)
 
 
+def test_toxicity_skips_blocks():
+    """Clustered examples: blocks are skipped, and the neighbours are those of the whole index."""
+    r = np.random.default_rng(4)
+    vectors = []
+    for i in range(1600):
+        t = np.unique(np.r_[r.integers(0, 40, 6) + 40 * (i // 160), r.integers(400, 2000, 4)])
+        vectors.append((t, toxicity.scaled(r.random(len(t)) + 0.1)))
+    index = toxicity.BlockMaxIndex(vectors, 2000)
+    asked, add = [], index._add
+    index._add = lambda score, common, entries, need: (asked.append((int(need.sum()), need.shape[0])), add(score, common, entries, need))
+    near = index.nearest_of(vectors[::3], 15)
+    # of all (text, block) pairs fewer than half were scored
+    assert sum(n for n, _ in asked) < 0.5 * len(vectors[::3]) * index.n_blocks
+    dense = np.zeros((1600, 2000))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for got, (t, w) in zip(near, vectors[::3]):
+        assert np.allclose([s for s, _ in got], np.sort(dense[:, t] @ w)[::-1][:15], atol=1e-5)
+    assert toxicity.BlockMaxIndex([], 5).nearest(np.array([1]), np.array([1.0])) == []
+
+
+def test_toxicity_comes_from_the_neighbours(spark, docs):
+    """Without the index nothing is flagged: words choose neighbours, neighbours vote."""
+    rows = [(i, prose(30, 9000 + i, 300) + (" grunk zwart" if i % 4 == 0 else "")) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(rows), labels)
+    texts = [toxicity.plain_words(t) for _, t in rows]
+    own = model.shared.value
+    assert all((s >= 0.7) == (i % 4 == 0) for (s, _, _), (i, _) in zip(model.scores(texts, own.terms()), rows))
+    own.index = toxicity.BlockMaxIndex([], len(own.hashes))
+    assert all(s < 0.7 for s, _, _ in model.scores(texts, own.terms()))
+
+
 # ------------------------------------------------------------------ op5
 def brute_quality(text):
     t = text or ""
