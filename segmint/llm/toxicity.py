@@ -29,8 +29,8 @@ MAX_EXAMPLES, MAX_POSTINGS = 20_000, 1 << 23
 NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.7
 SURE = 2.0  # standard errors that a word's log odds must exceed to count
 FIRST = 4  # blocks that a text's search begins with
-CENTRES, ROUNDS = 48, 4  # of the clustering that puts similar examples into the same blocks
-QUERIES = 128  # texts whose scores are held at once
+CENTRES, ROUNDS, CLUSTERED = 96, 4, 256  # of the clustering (by so many words) that puts similar examples into the same blocks
+QUERIES = 256  # texts whose scores are held at once
 DENSE_BYTES = 64 << 20  # weights of the commonest words, by example
 RIDGE = 0.001
 
@@ -80,11 +80,11 @@ def scaled(w: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Inverted lists of all words, cut at blocks of ``BLOCK`` examples, with the largest
-    weight of each word in each block; those of the commonest words (one example in 20 and
-    more, up to ``DENSE_BYTES``) are matrices by block.  The sum of a text's weights times
-    these maxima bounds its cosines with a block: a block whose bound stays under the k-th
-    cosine found so far is skipped."""
+    """Inverted lists of all words.  Those of the commonest words (one example in 20 and
+    more, up to ``DENSE_BYTES``) are matrices by block of ``BLOCK`` examples, with the
+    largest weight of each word in each block.  A text's rarer words are summed first; the
+    largest sum in a block and the text's weights times the block's maxima bound its cosines
+    there, and a block whose bound stays under the k-th cosine found so far is skipped."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self._hold((np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32),
@@ -119,14 +119,8 @@ class BlockMaxIndex:
         self.dense_most = np.ascontiguousarray(self.dense.max(axis=2).T)
         rare = np.flatnonzero(row < 0)
         rare = rare[np.argsort(self.own[rare], kind="stable")]
-        self.example, self.weight, term = example[rare], self.own_weight[rare], self.own[rare]
-        # one entry for each word and block that has it
-        block = self.example // BLOCK
-        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(rare) else np.zeros(0, np.int64)
-        self.entry = np.r_[first, len(rare)]
-        self.block = block[first]
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=self.n_terms))])
+        self.example, self.weight = example[rare], self.own_weight[rare]
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(self.own[rare], minlength=self.n_terms))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k largest cosines (over 0) and their examples; of ties the lower number."""
@@ -144,57 +138,48 @@ class BlockMaxIndex:
             row = self.row[t]
             common[i, row[row >= 0]] = w[row >= 0]
         bound = common @ self.dense_most
-        entries = []
-        for i, (t, w) in enumerate(queries):
-            at, n = _ranges(self.cuts[t], self.cuts[t + 1])
-            w = np.repeat(w.astype(np.float32), n)
-            entries.append((at, w))
-            if len(at):
-                bound[i] += np.bincount(self.block[at], w * self.most[at], self.n_blocks)
         full = np.zeros(self.n_terms)
         order = np.argsort(bound.argmax(axis=1), kind="stable")
         for at in range(0, len(order), QUERIES):
             part = order[at:at + QUERIES]
             score = np.zeros((len(part), self.n_blocks, BLOCK), np.float32)
-            flat = score.reshape(len(part), -1)
-            most = bound[part]
+            for own, q in zip(score, part.tolist()):
+                t, w = queries[q]
+                places, n = _ranges(self.cuts[t], self.cuts[t + 1])
+                if len(places):
+                    own.reshape(-1)[:] = np.bincount(self.example[places], np.repeat(w.astype(np.float32), n) * self.weight[places],
+                                                     self.n_blocks * BLOCK)
+            most = bound[part] + score.max(axis=2)
             need = np.zeros(most.shape, bool)
             need[np.arange(len(part))[:, None], np.argsort(-most, axis=1)[:, :FIRST]] = True
-            self._add(score, common[part], [entries[i] for i in part], need)
-            least = np.zeros(len(part), np.float32)
-            if FIRST * BLOCK > k:
-                for i, has in enumerate(need):
-                    own = score[i, has].ravel()
-                    least[i] = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else 0.0
-            rest = (most > np.maximum(0.0, least - 1e-4)[:, None]) & ~need
-            self._add(score, common[part], [entries[i] for i in part], rest)
+            self._add(score, common[part], need)
+            # the k-th cosine is no less than the k-th of the best blocks' sums, nor of all blocks' largest
+            least = _kth(score.max(axis=2), k)
+            least = np.maximum(least, _kth(score[need].reshape(len(part), -1), k))
+            self._add(score, common[part], (most > 0) & (most >= (least - 1e-4)[:, None]) & ~need)
+            most = score.max(axis=2)
+            least = np.maximum(least, _kth(most, k))
             for i, q in enumerate(part.tolist()):
                 t, w = queries[q]
                 full[t] = w
-                out[q] = self._best(flat[i, :self.n], full, k)
+                out[q] = self._best(score[i], most[i], float(least[i]) - 1e-4, full, k)
                 full[t] = 0
         return out
 
-    def _add(self, score: np.ndarray, common: np.ndarray, entries: list, need: np.ndarray) -> None:
-        """Sum the cosines of each text with the blocks that it needs."""
+    def _add(self, score: np.ndarray, common: np.ndarray, need: np.ndarray) -> None:
+        """Add the common words' part of each text's cosines with the blocks that it needs."""
         for b in np.flatnonzero(need.any(axis=0)).tolist():
             rows = np.flatnonzero(need[:, b])
-            score[rows, b] = common[rows] @ self.dense[b]
-        for i, (at, w) in enumerate(entries):
-            own = need[i][self.block[at]]
-            at, w = at[own], w[own]
-            if len(at):
-                places, n = _ranges(self.entry[at], self.entry[at + 1])
-                flat = score[i].reshape(-1)
-                flat += np.bincount(self.example[places], np.repeat(w, n) * self.weight[places], len(flat))
-
-    def _best(self, score: np.ndarray, full: np.ndarray, k: int) -> list[tuple[float, int]]:
+            score[rows, b] += common[rows] @ self.dense[b]
+
+    def _best(self, score: np.ndarray, most: np.ndarray, least: float, full: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The candidates by single precision, ordered by double."""
-        most = np.maximum.reduceat(score, np.arange(0, self.n, BLOCK)) if self.n > k * BLOCK else score
-        least = np.partition(most, len(most) - k)[len(most) - k] if len(most) > k else 0.0
-        at = np.flatnonzero((score > 0) & (score >= least - 1e-4))
+        blocks = np.flatnonzero((most > 0) & (most >= least))
+        own = score[blocks]
+        b, e = np.nonzero((own > 0) & (own >= least))
+        at, own = blocks[b] * BLOCK + e, own[b, e]
         if len(at) > k:
-            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k] - 1e-4]
+            at = at[own >= np.partition(own, len(own) - k)[len(own) - k] - 1e-4]
         if not len(at):
             return []
         places, n = _ranges(self.starts[at], self.starts[at + 1])
@@ -203,6 +188,11 @@ class BlockMaxIndex:
         return [(min(1.0, s), e) for s, e in zip(exact[order].tolist(), at[order].tolist())]
 
 
+def _kth(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; 0 where there are not as many."""
+    return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k] if x.shape[1] >= k else np.zeros(len(x), np.float32)
+
+
 def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges one after the other, and how many each has."""
     n = b - a
@@ -226,6 +216,7 @@ def similar_order(own: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_ter
     row = common_words(own, n, n_terms)
     if n <= BLOCK or not (row >= 0).any():
         return np.arange(n)
+    row[row >= CLUSTERED] = -1
     x = np.zeros((n, int(row.max()) + 1), np.float32)
     example = np.repeat(np.arange(n), np.diff(starts))
     at = row[own]
@@ -273,14 +264,14 @@ class Examples:
         del flat
         labels = np.array([r[2] for r in rows], np.int64)
         df = np.bincount(ids, minlength=len(self.hashes))
-        toxic = np.bincount(ids[np.repeat(labels, size) == 1], minlength=len(self.hashes))
+        toxic = np.bincount(ids[np.repeat(labels == 1, size)], minlength=len(self.hashes))
         self.leans = leaning(toxic, df - toxic, int(labels.sum()), len(rows) - int(labels.sum()))
         self.weight = (np.log((1 + len(rows)) / (1 + df)) + 1) * (1 + self.leans)
         for r, i, j in zip(rows, starts[:-1], starts[1:]):
             weights[i:j] = scaled((1 + np.log(np.frombuffer(r[4], "<u4"))) * self.weight[ids[i:j]])
         order = similar_order(ids, weights, starts, len(self.hashes))
-        places, n = _ranges(starts[order], starts[order + 1]) if len(rows) else (starts[:0], starts[:0])
-        self.index = BlockMaxIndex.of(ids[places], weights[places], np.concatenate([[0], np.cumsum(n)]).astype(np.int64), len(self.hashes))
+        ids, weights = (np.concatenate([x[:0], *(x[starts[i]:starts[i + 1]] for i in order.tolist())]) for x in (ids, weights))
+        self.index = BlockMaxIndex.of(ids, weights, np.concatenate([[0], np.cumsum(size[order])]), len(self.hashes))
         self.doc_ids, self.labels = [rows[i][1] for i in order.tolist()], labels[order]
         h = np.array([r[0] for r in rows], np.int64)[order]
         self.by_hash = np.argsort(h)
@@ -361,7 +352,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     n = int(np.searchsorted(np.cumsum([s for _, s in sizes]), MAX_POSTINGS, side="right")) if sizes else 0
     inside = F.col("h") <= F.lit(sizes[n - 1][0]) if n else F.lit(False)
     rows = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in examples.where(inside).select(
-        "h", "doc_id", "toxic", "words", "counts").collect())
+        "h", "doc_id", "toxic", "words", "counts").toLocalIterator())
     own = Examples(rows)
     del rows
     shared = documents.sparkSession.sparkContext.broadcast(own)
@@ -402,7 +393,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         terms = model.shared.value.terms()
         for b in batches:
             for at, texts in chunks(b.column(2)):
-                s, near, why = zip(*model.scores([plain_words(t) for t in texts], terms))
+                once = list(dict.fromkeys(texts))  # copies score alike
+                found = dict(zip(once, model.scores([plain_words(t) for t in once], terms)))
+                s, near, why = zip(*(found[t] for t in texts))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(s, pa.float64()),
                      pa.array([int(x >= THRESHOLD) for x in s], pa.int32()), pa.array(near, pa.list_(pa.int64())),

@@ -421,7 +421,7 @@ def test_toxicity_skips_blocks():
         vectors.append((t, toxicity.scaled(r.random(len(t)) + 0.1)))
     index = toxicity.BlockMaxIndex(vectors, 2000)
     asked, add = [], index._add
-    index._add = lambda score, common, entries, need: (asked.append((int(need.sum()), need.shape[0])), add(score, common, entries, need))
+    index._add = lambda score, common, need: (asked.append((int(need.sum()), need.shape[0])), add(score, common, need))
     near = index.nearest_of(vectors[::3], 15)
     # of all (text, block) pairs fewer than half were scored
     assert sum(n for n, _ in asked) < 0.5 * len(vectors[::3]) * index.n_blocks
