@@ -32,6 +32,7 @@ FIRST = 4  # blocks that a text's search begins with
 CENTRES, ROUNDS, CLUSTERED = 96, 4, 256  # of the clustering (by so many words) that puts similar examples into the same blocks
 QUERIES = 256  # texts whose scores are held at once
 DENSE_BYTES = 64 << 20  # weights of the commonest words, by example
+LEARNED = 300_000  # words that a task keeps looked up
 RIDGE = 0.001
 
 
@@ -53,7 +54,7 @@ class Terms(dict):
     def learn(self, words: list[bytes]) -> None:
         """Look the new ones of a text's words up."""
         new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > 300_000:
+        if len(self) + len(new) > LEARNED:
             self.clear()
             new = list(dict.fromkeys(words))
         if not new:
@@ -307,6 +308,7 @@ class Model:
             why = ""
             if x > 0 and len(ids):
                 top = ids[np.argsort(-weight * (own.leans[ids] > 0), kind="stable")[:5]]
+                terms.learn(words)  # a later text may have emptied the table
                 name = {terms[w]: w for w in dict.fromkeys(words)}
                 why = ",".join(name[t].decode("utf-8", "replace") for t in top.tolist() if own.leans[t] > 0)
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) if words else self.prior,

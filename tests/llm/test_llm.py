@@ -433,7 +433,7 @@ def test_toxicity_skips_blocks():
     assert toxicity.BlockMaxIndex([], 5).nearest(np.array([1]), np.array([1.0])) == []
 
 
-def test_toxicity_comes_from_the_neighbours(spark, docs):
+def test_toxicity_comes_from_the_neighbours(spark, docs, monkeypatch):
     """Without the index nothing is flagged: words choose neighbours, neighbours vote."""
     rows = [(i, prose(30, 9000 + i, 300) + (" grunk zwart" if i % 4 == 0 else "")) for i in range(600)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
@@ -441,6 +441,10 @@ def test_toxicity_comes_from_the_neighbours(spark, docs):
     texts = [toxicity.plain_words(t) for _, t in rows]
     own = model.shared.value
     assert all((s >= 0.7) == (i % 4 == 0) for (s, _, _), (i, _) in zip(model.scores(texts, own.terms()), rows))
+    # a table of words that is emptied between texts changes nothing
+    whole = model.scores(texts, own.terms())
+    monkeypatch.setattr(toxicity, "LEARNED", 50)
+    assert model.scores(texts, own.terms()) == whole and any(why for _, _, why in whole)
     own.index = toxicity.BlockMaxIndex([], len(own.hashes))
     assert all(s < 0.7 for s, _, _ in model.scores(texts, own.terms()))
 
