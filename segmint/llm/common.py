@@ -60,6 +60,12 @@ def tidy(run: Callable[[Iterator], Iterator], tokens: bool = False) -> Callable[
     return tidied
 
 
+def in_batches(t: pa.Table, rows: int = 1 << 15) -> pa.Table:
+    """``t`` in batches of ``rows``: a group's result would else go to Spark as one buffer a
+    column, which the executor holds, rounded up, beside its heap."""
+    return pa.Table.from_batches(t.combine_chunks().to_batches(max_chunksize=rows), t.schema)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, LOWER)

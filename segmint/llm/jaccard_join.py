@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir
 from ..sources import bucketed
-from .common import LOWER, UPPER, free_name, kept, table, tidy
+from .common import LOWER, UPPER, free_name, in_batches, kept, table, tidy
 from .components import components
 from .shingles import Shingler, mix
 from .tokens import chunks
@@ -171,7 +171,7 @@ def _repeated(t: pa.Table) -> pa.Table:
     at = order[n > 1]
     bucket = np.int64(t.column("bucket")[0].as_py()) if len(t) else np.int64(0)
     key = (bucket << np.int64(32)) | sig[at].astype(np.int64)
-    return pa.table({"id": docs[at], "kind": kinds[at].astype(np.int32), "unit": units[at].astype(np.int32), "sig": key, "n": n[n > 1].astype(np.int64)})
+    return in_batches(pa.table({"id": docs[at], "kind": kinds[at].astype(np.int32), "unit": units[at].astype(np.int32), "sig": key, "n": n[n > 1].astype(np.int64)}))
 
 
 def allocated(batches):

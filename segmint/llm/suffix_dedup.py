@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import kept, table, tidy
+from .common import in_batches, kept, table, tidy
 from .shingles import mix
 
 WIDTH, GRAM, SIDE = 50, 16, 18
@@ -153,7 +153,7 @@ def _met(t: pa.Table) -> pa.Table:
     n = np.diff(np.r_[first, len(k)])
     several = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), n)
     p = np.where(np.repeat(n > HOT, n), ~p, p)
-    return pa.table({"row": d[several], "place": p[several].astype(np.int32)})
+    return in_batches(pa.table({"row": d[several], "place": p[several].astype(np.int32)}))
 
 
 def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -277,8 +277,8 @@ def _sorted_bucket(t: pa.Table) -> pa.Table:
     o, s, m = owner[at], step[at], m[at]
     first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1) | (m[1:] != m[:-1])]) if len(at) else at
     key, digest = t.column("key").to_numpy(), t.column("digest").to_numpy()
-    return pa.table({"key": key[o[first]], "digest": digest[o[first]], "shift": s[first].astype(np.int32),
-                     "n": np.diff(np.r_[first, len(at)]).astype(np.int32), "least": m[first]})
+    return in_batches(pa.table({"key": key[o[first]], "digest": digest[o[first]], "shift": s[first].astype(np.int32),
+                                "n": np.diff(np.r_[first, len(at)]).astype(np.int32), "least": m[first]}))
 
 
 def spans(rows: DataFrame) -> DataFrame:
