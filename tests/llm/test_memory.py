@@ -3,8 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from segmint.llm import jaccard_join, packing, suffix_dedup, tokens
-from segmint.llm.common import in_batches
+from segmint.llm import common, jaccard_join, packing, suffix_dedup, tokens
 
 
 def _raw(values, kind):
@@ -23,7 +22,7 @@ def test_group_results_leave_in_batches():
     for t, column in ((found, "id"), (met, "row")):
         assert sorted(t.column(column).to_pylist()) == list(range(2 * n))
         assert max(b.num_rows for b in t.to_batches()) <= 1 << 15
-    empty = in_batches(pa.table({"a": pa.array([], pa.int64())}))
+    empty = common.in_batches(pa.table({"a": pa.array([], pa.int64())}))
     assert empty.num_rows == 0 and empty.schema == pa.schema([("a", pa.int64())])
 
 
