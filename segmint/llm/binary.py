@@ -135,11 +135,10 @@ def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for v in b.column(0):
-                n = np.bincount(np.frombuffer(v.as_buffer(), kind))
-                if len(n) > len(total):
-                    total, n = n, total
-                total[:len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))  # as long as the vocabulary: one a batch, not a text
+            if len(n) > len(total):
+                total, n = n, total
+            total[:len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
     return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
