@@ -69,6 +69,28 @@ def reach(sizes: np.ndarray) -> np.ndarray:
     return (sizes + 5 * sizes // 4) // 9 + 1
 
 
+def segments(sets: list[np.ndarray]):
+    """Of each role, and of all sets' elements end to end: which are used, and of these the document,
+    its band, the segment, where a segment starts, and whether it has a neighbourhood."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    for bands, _ in plan(sizes):
+        use = np.repeat(bands >= 0, sizes)
+        h, d = flat[use], doc[use]
+        band = bands[d]
+        seg = ((h >> np.uint64(32)) * SEGMENTS.astype(np.uint64)[band]) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (d[1:] != d[:-1])]) if len(d) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(d)])
+        around = (BAND_ENDS[band[first]] <= SMALL) & (n > 1)
+        yield use, d, band, seg, first, n, around
+
+
+def tolerances(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Per role the number of differences that each document's segments stand for."""
+    return [np.bincount(d[first], 1 + around, len(sets)).astype(np.int64) for _, d, _, _, first, _, around in segments(sets)]
+
+
 def signatures(sets: list[np.ndarray]):
     """(document index, kind, unit, signature) arrays of all sets, and per role
     the number of differences that each document's segments stand for.
@@ -76,23 +98,14 @@ def signatures(sets: list[np.ndarray]):
     A unit is a segment: its number and one in small texts, 0 in others, where a segment
     has one signature.  Kind is the role, plus 2 for a neighbour (one element deleted), plus
     4 where the segment has neighbours, so stands for up to two differences, not one."""
-    sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     mixed = mix(flat + np.uint64(0x51ED270B7A2C9F35))
-    doc = np.repeat(np.arange(len(sets)), sizes)
     out, tolerance = [], []
-    for role, (bands, _) in enumerate(plan(sizes)):
-        use = bands[doc] >= 0 if len(doc) else np.zeros(0, bool)
-        h, v, d = flat[use], mixed[use], doc[use]
-        band = bands[d]
-        seg = ((h >> np.uint64(32)) * SEGMENTS[band].astype(np.uint64)) >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (d[1:] != d[:-1])]) if len(d) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[first, len(d)])
+    for role, (use, d, band, seg, first, n, around) in enumerate(segments(sets)):
+        v = mixed[use]
         total = np.add.reduceat(v, first) if len(first) else np.zeros(0, np.uint64)
         salt = mix(band[first].astype(np.uint64) * np.uint64(1 << 32) + seg[first])
-        small = BAND_ENDS[band[first]] <= SMALL
-        around = small & (n > 1)
-        unit = np.where(small, seg[first].astype(np.int64) + 1, 0).astype(np.uint8)
+        unit = np.where(BAND_ENDS[band[first]] <= SMALL, seg[first].astype(np.int64) + 1, 0).astype(np.uint8)
         kind = (role + 4 * around).astype(np.uint8)
         tolerance.append(np.bincount(d[first], 1 + around, len(sets)).astype(np.int64))
         out.append((d[first], kind, unit, mix(total ^ salt)))
@@ -114,7 +127,7 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
             for at, texts in chunks(b.column(2), CHUNK):
                 sets = sh.sets(texts)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                _, (t0, t1) = signatures(sets)
+                t0, t1 = tolerances(sets)
                 (_, n0), (b1, n1) = plan(sizes)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
