@@ -26,9 +26,14 @@ _PLAIN = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 9
                for c in range(256))
 
 
+def plain_bytes(text: str) -> bytes:
+    """``text`` with A-Z lower-cased and a blank for all that is no letter, no digit and not beyond ASCII."""
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN)
+
+
 def plain_words(text: str) -> list[bytes]:
     """Runs of letters, digits and characters beyond ASCII, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    return plain_bytes(text).split()
 
 
 def short_windows(w: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, table
-from .decontaminate import plain_words
-from .shingles import _Words
+from .decontaminate import plain_bytes, plain_words
+from .shingles import _Words, blank_parted
 from .tokens import chunks
 
 MAX_EXAMPLES, MAX_POSTINGS = 20_000, 1 << 23
@@ -52,11 +52,11 @@ class Terms(dict):
         self.hashes, self.weight = hashes, weight
 
     def learn(self, words: list[bytes]) -> None:
-        """Look the new ones of a text's words up."""
-        new = [w for w in dict.fromkeys(words) if w not in self]
+        """Look the new ones of distinct words up."""
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > LEARNED:
             self.clear()
-            new = list(dict.fromkeys(words))
+            new = words
         if not new:
             return
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
@@ -66,14 +66,23 @@ class Terms(dict):
         hit[known] = np.where(self.hashes[at[known]] == h[known], at[known], -1)
         self.update(zip(new, hit.tolist()))
 
-    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, weights scaled to length 1) of a text's words.  Words
-        that no example has would only scale all its cosines alike."""
-        self.learn(words)
-        ids, tf = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
-        if len(ids) and ids[0] < 0:
-            ids, tf = ids[1:], tf[1:]
-        return ids, scaled((1 + np.log(tf)) * self.weight[ids])
+    def vectors(self, texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, dict[int, bytes]]:
+        """Of the plain bytes of all texts at once: (numbers, weights scaled to length 1) of each one's
+        words, how many words it has, and the words by number.  Words that no example has
+        would only scale all its cosines alike."""
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        words, sizes = blank_parted(np.frombuffer(b"".join(texts), np.uint8), ends)
+        words = words.dictionary_encode()  # each word is looked up once
+        each = words.dictionary.to_pylist()
+        self.learn(each)
+        number = np.fromiter(map(self.__getitem__, each), np.int64, len(each))
+        ids = number[words.indices.to_numpy()]
+        key = np.repeat(np.arange(len(texts)) * len(self.hashes), sizes) + ids
+        key, tf = np.unique(key[ids >= 0], return_counts=True)
+        doc, ids = np.divmod(key, max(1, len(self.hashes)))
+        weight = (1 + np.log(tf)) * self.weight[ids]
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        return [(ids[i:j], scaled(weight[i:j])) for i, j in zip(cuts, cuts[1:])], sizes, dict(zip(number.tolist(), each))
 
 
 def scaled(w: np.ndarray) -> np.ndarray:
@@ -120,7 +129,9 @@ class BlockMaxIndex:
         self.dense_most = np.ascontiguousarray(self.dense.max(axis=2).T)
         rare = np.flatnonzero(row < 0)
         rare = rare[np.argsort(self.own[rare], kind="stable")]
-        self.example, self.weight = example[rare], self.own_weight[rare]
+        # example and weight side by side: a word's are one slice
+        self.pairs = np.empty(len(rare), np.int64)
+        self.pairs.view(np.int32)[::2], self.pairs.view(np.float32)[1::2] = example[rare], self.own_weight[rare]
         self.cuts = np.concatenate([[0], np.cumsum(np.bincount(self.own[rare], minlength=self.n_terms))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
@@ -146,9 +157,11 @@ class BlockMaxIndex:
             score = np.zeros((len(part), self.n_blocks, BLOCK), np.float32)
             for own, q in zip(score, part.tolist()):
                 t, w = queries[q]
-                places, n = _ranges(self.cuts[t], self.cuts[t + 1])
-                if len(places):
-                    own.reshape(-1)[:] = np.bincount(self.example[places], np.repeat(w.astype(np.float32), n) * self.weight[places],
+                first, n = self.cuts[t], self.cuts[t + 1] - self.cuts[t]
+                first, w, n = first[n > 0], w[n > 0], n[n > 0]
+                if len(n):
+                    pairs = _slices(self.pairs, first, n)
+                    own.reshape(-1)[:] = np.bincount(pairs.view(np.int32)[::2], np.repeat(w.astype(np.float32), n) * pairs.view(np.float32)[1::2],
                                                      self.n_blocks * BLOCK)
             most = bound[part] + score.max(axis=2)
             need = np.zeros(most.shape, bool)
@@ -183,8 +196,8 @@ class BlockMaxIndex:
             at = at[own >= np.partition(own, len(own) - k)[len(own) - k] - 1e-4]
         if not len(at):
             return []
-        places, n = _ranges(self.starts[at], self.starts[at + 1])
-        exact = np.add.reduceat(full[self.own[places]] * self.own_weight[places], np.cumsum(n) - n)
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        exact = np.add.reduceat(full[_slices(self.own, first, n)] * _slices(self.own_weight, first, n), np.cumsum(n) - n)
         order = np.argsort(-exact, kind="stable")[:k]
         return [(min(1.0, s), e) for s, e in zip(exact[order].tolist(), at[order].tolist())]
 
@@ -194,10 +207,9 @@ def _kth(x: np.ndarray, k: int) -> np.ndarray:
     return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k] if x.shape[1] >= k else np.zeros(len(x), np.float32)
 
 
-def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges one after the other, and how many each has."""
-    n = b - a
-    return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
+def _slices(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The slices of ``x`` that start at ``first`` and are ``n`` long, one after the other."""
+    return np.concatenate([x[i:j] for i, j in zip(first.tolist(), (first + n).tolist())])
 
 
 def common_words(own: np.ndarray, n: int, n_terms: int) -> np.ndarray:
@@ -300,16 +312,18 @@ class Model:
 
     def scores(self, texts: list[list[bytes]], terms: Terms) -> list[tuple[float, list[int], str]]:
         """(score, nearest examples, words that drew toxic neighbours) of each text's words."""
+        return self.scores_of([b" ".join(w) for w in texts], terms)
+
+    def scores_of(self, texts: list[bytes], terms: Terms) -> list[tuple[float, list[int], str]]:
+        """``scores`` from the texts' plain bytes."""
         own = self.shared.value
         out = []
-        vectors = [terms.vector(w) for w in texts]
-        for words, (ids, weight), near in zip(texts, vectors, own.index.nearest_of(vectors)):
+        vectors, sizes, name = terms.vectors(texts)
+        for words, (ids, weight), near in zip(sizes.tolist(), vectors, own.index.nearest_of(vectors)):
             x = float(self.weights[0] + self.weights[1] * own.vote(near))
             why = ""
             if x > 0 and len(ids):
                 top = ids[np.argsort(-weight * (own.leans[ids] > 0), kind="stable")[:5]]
-                terms.learn(words)  # a later text may have emptied the table
-                name = {terms[w]: w for w in dict.fromkeys(words)}
                 why = ",".join(name[t].decode("utf-8", "replace") for t in top.tolist() if own.leans[t] > 0)
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) if words else self.prior,
                         [own.doc_ids[e] for _, e in near[:3]], why))
@@ -364,11 +378,11 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         terms = m.terms()
         for b in batches:
             for at, texts in chunks(b.column(2)):
-                words = [plain_words(t) for t in texts]
-                near = m.index.nearest_of([terms.vector(w) for w in words], NEIGHBOURS + 1)
+                vectors, sizes, _ = terms.vectors([plain_bytes(t) for t in texts])
+                near = m.index.nearest_of(vectors, NEIGHBOURS + 1)
                 h = b.column(0).slice(at, len(texts))
                 votes = [m.vote(e, i) for e, i in zip(near, m.numbers(h.to_numpy()))]
-                yield pa.RecordBatch.from_arrays([h, b.column(1).slice(at, len(texts)), pa.array([len(w) for w in words], pa.int64()),
+                yield pa.RecordBatch.from_arrays([h, b.column(1).slice(at, len(texts)), pa.array(sizes, pa.int64()),
                                                   pa.array(votes, pa.float64())], ["h", "toxic", "n_words", "vote"])
 
     found = sorted(tuple(r) for r in picked.where(inside).select("h", "toxic", "text").mapInArrow(
@@ -396,7 +410,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for at, texts in chunks(b.column(2)):
                 once = list(dict.fromkeys(texts))  # copies score alike
-                found = dict(zip(once, model.scores([plain_words(t) for t in once], terms)))
+                found = dict(zip(once, model.scores_of([plain_bytes(t) for t in once], terms)))
                 s, near, why = zip(*(found[t] for t in texts))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(s, pa.float64()),
