@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir
+from ..sources import fs
 
 #: ASCII white space: the only word separators of the white-space word rule.
 SPACE = " \t\n\x0b\x0c\r"
@@ -39,7 +40,15 @@ def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     survives lost executors and is computed once however often it is used."""
     path = fresh_dir(bounded(df.sparkSession), name)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``kept`` has written (``table`` as it came from there), once all that reads it is
+    itself kept: a long job's tables would else lie there together until its end."""
+    fs.delete(table.sparkSession, table.kept_at)
 
 
 def tidy(run: Callable[[Iterator], Iterator], tokens: bool = False) -> Callable[[Iterator], Iterator]:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir
 from ..sources import bucketed
-from .common import LOWER, UPPER, free_name, in_batches, kept, table, tidy
+from .common import LOWER, UPPER, discard, free_name, in_batches, kept, table, tidy
 from .components import components
 from .shingles import Shingler, mix
 from .tokens import chunks
@@ -247,7 +247,10 @@ def groups(documents: DataFrame, sizes: DataFrame, n_shingles: int) -> DataFrame
     rows = rows.repartition("id").sortWithinPartitions("id", F.col("kind").bitwiseAND(1), "unit").mapInArrow(
         allocated, "id long, role int, sig long, size long, probes boolean, weight long")
     rows = kept(rows, "allocated")
-    return kept(rows.join(rows.where("probes").select("sig").distinct(), "sig", "left_semi"), "groups")
+    discard(shared)
+    out = kept(rows.join(rows.where("probes").select("sig").distinct(), "sig", "left_semi"), "groups")
+    discard(rows)
+    return out
 
 
 def stored_sets(documents: DataFrame) -> DataFrame:
@@ -347,13 +350,14 @@ def links(documents: DataFrame, sizes: DataFrame, percent: int = 80, every: bool
         pivots = own.groupBy("sig").agg(F.max_by(F.struct("id", "component", "size"), order).alias("p"))
         far = own.join(pivots, "sig").where((F.col("component") != F.col("p.component")) & _close("size", "p.size"))
         try_pairs(far.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
-    rows = labelled().join(_marks(tested), "id", "left")
     # every pair across components has a member outside the group's main component
-    rows = kept(rows, "labelled")
+    rows = kept(labelled().drop("weight"), "labelled")
     main = rows.groupBy("sig", "component").count().groupBy("sig").agg(
         F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
     mixed = rows.join(main.where(F.col("parts") > 1), "sig").where(F.col("probes") | (F.col("role") == 0))
-    mixed = kept(mixed.join(bits, "id"), "mixed")
+    # what is told of a text joins its rows last: dealt by signature they would carry it along
+    mixed = kept(mixed.join(bits, "id").join(_marks(tested), "id", "left"), "mixed")
+    discard(rows)
     aside = mixed.where(F.col("component") != F.col("main"))
     # distances are a metric: what a third text tells apart needn't be tried
     apart = (F.col("x.component") != F.col("y.component")) & ~F.coalesce(
